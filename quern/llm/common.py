@@ -85,3 +85,7 @@ class Scratch:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+#: Arrow types of key columns, by Spark's name.
+KEY_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, sentencepieces
+from . import chat, langid, media, sentencepieces
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
+    "op2_langid_crf": langid.op2_langid_crf,
     "op5_media_avi": media.op5_media_avi,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL}
 
 
 def queries() -> dict:

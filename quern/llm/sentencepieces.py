@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_block
+from .common import KEY_TYPES, by_block
 
 MARK = "▁"
 EXPONENT, SHIFT = 1.07, 2.7
@@ -266,7 +266,6 @@ def encode_column(spark: SparkSession, df: DataFrame, key: str = "doc_id", text:
     return df.select(key, text).mapInArrow(by_block([key, text], work), f"`{key}` {kind}, {SCHEMA}")
 
 
-KEY_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
