@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, sentencepieces
+from . import chat, langid, media, sentencepieces, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_langid_crf": langid.op2_langid_crf,
     "op5_media_avi": media.op5_media_avi,
+    "op6_simhash": simhash.op6_simhash,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL}
