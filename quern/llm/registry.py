@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, sentencepieces, simhash
+from . import chat, langid, media, mixing, sentencepieces, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_langid_crf": langid.op2_langid_crf,
+    "op3_mixing": mixing.op3_mixing,
     "op5_media_avi": media.op5_media_avi,
     "op6_simhash": simhash.op6_simhash,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
 }
-SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL}
+SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
 
 
 def queries() -> dict:
