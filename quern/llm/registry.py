@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, sentencepieces, simhash
+from . import chat, langid, media, mixing, sentencepieces, simhash, surrogates
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media_avi": media.op5_media_avi,
     "op6_simhash": simhash.op6_simhash,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
+    "op9_surrogates": surrogates.op9_surrogates,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
 
