@@ -120,10 +120,14 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) ->
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays; rows without doc_id stay where nothing else does."""
-    kept = components(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    w = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+    """Of each component the document with the smallest doc_id stays, once; rows without doc_id go."""
+    found = Scratch(spark, "copies").keep(components(spark, docs))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        return out
+    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return out.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
