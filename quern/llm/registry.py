@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, sentencepieces, simhash, surrogates
+from . import chat, langid, media, mixing, sentencepieces, simhash, sketches, surrogates
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_langid_crf": langid.op2_langid_crf,
     "op3_mixing": mixing.op3_mixing,
+    "op4_lookup_sketch": sketches.op4_lookup_sketch,
     "op5_media_avi": media.op5_media_avi,
     "op6_simhash": simhash.op6_simhash,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
