@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, sentencepieces, simhash, sketches, surrogates
+from . import chat, langid, media, mixing, resampling, sentencepieces, simhash, sketches, suffixes, surrogates
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_lookup_sketch": sketches.op4_lookup_sketch,
     "op5_media_avi": media.op5_media_avi,
     "op6_simhash": simhash.op6_simhash,
+    "op7_importance_resampling": resampling.op7_importance_resampling,
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_surrogates": surrogates.op9_surrogates,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
 
