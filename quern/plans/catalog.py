@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import rates
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES: tuple = (rates,)
 
 
 def queries() -> dict[str, Query]:
