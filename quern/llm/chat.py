@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, map_arrow, table
 
 #: Control strings of the template, by name.
 TURN, MID, END = "### ", ": ", " </turn>\n"
@@ -153,7 +153,7 @@ def encode_turns(spark: SparkSession, turns: DataFrame, vocabulary: tuple[str, s
                     names=["conv_id", "turn", "role", "text", "ids", "text_from", "text_to"],
                 )
 
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, TURNS)
+    return map_arrow(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")), run, TURNS)
 
 
 def in_order(encoded: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def assemble(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] =
                 conv, turn, at, ids, a, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["conv_id", "turn", "token_offset", "token_ids", "loss_from", "loss_to"])
 
-    return encoded.mapInArrow(run, "conv_id long, turn long, token_offset long, token_ids array<int>, loss_from long, loss_to long")
+    return map_arrow(encoded, run, "conv_id long, turn long, token_offset long, token_ids array<int>, loss_from long, loss_to long")
 
 
 def digests(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] = LEARNED_ROLES, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -235,7 +235,7 @@ def digests(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] =
         if now:
             yield out([now])
 
-    return encoded.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(encoded, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 DIGEST_NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, map_arrow, table
 
 TRAIN_DOCS, TRAIN_CHARS = 1600, 20_000
 SLOTS = 1 << 16
@@ -269,7 +269,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple[str
             )
 
     extra = "".join(f", `{c}` {k}" for c, k in zip(carry, kinds, strict=True))
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{extra}")
+    return map_arrow(docs.select("doc_id", "text", *carry), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{extra}")
 
 
 #: A document whose words agree on no language to this share is rejected, as is one without words.

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_block, table
+from .common import by_block, map_arrow, table
 
 #: Width and height of a frame, frames a second.
 SIDE, FPS = 32, 25
@@ -353,7 +353,7 @@ def clips(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame
         names = [key, "clip", "start_s", "end_s", "n_frames", "mean_level"]
         return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows]) if rows else None
 
-    return df.select(key, media).mapInArrow(by_block([key, media], work), f"`{key}` {kind}, clip long, start_s double, end_s double, n_frames long, mean_level double")
+    return map_arrow(df.select(key, media), by_block([key, media], work), f"`{key}` {kind}, clip long, start_s double, end_s double, n_frames long, mean_level double")
 
 
 def padded(text: str | None) -> tuple[bytes, bytes]:
@@ -384,7 +384,7 @@ def documents_as_media(df: DataFrame) -> DataFrame:
             rows.append((k, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), _features(hists, starts, movie)))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=NAMES)
 
-    return df.select("doc_id", "text").mapInArrow(by_block(["doc_id", "text"], work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(df.select("doc_id", "text"), by_block(["doc_id", "text"], work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import KEY_TYPES, by_block
+from .common import KEY_TYPES, by_block, map_arrow
 
 MARK = "▁"
 EXPONENT, SHIFT = 1.07, 2.7
@@ -263,7 +263,7 @@ def encode_column(spark: SparkSession, df: DataFrame, key: str = "doc_id", text:
             names=[key, "n_tokens", "n_byte_tokens", "token_ids", "round_trip"],
         )
 
-    return df.select(key, text).mapInArrow(by_block([key, text], work), f"`{key}` {kind}, {SCHEMA}")
+    return map_arrow(df.select(key, text), by_block([key, text], work), f"`{key}` {kind}, {SCHEMA}")
 
 
 

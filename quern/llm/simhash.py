@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_block, table
+from .common import Scratch, by_block, map_arrow, table
 from .components import roots
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_block(["doc_id", "text"], work), "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), by_block(["doc_id", "text"], work), "doc_id long, fp long")
 
 
 def embedding(fp: F.Column) -> F.Column:
