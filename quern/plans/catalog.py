@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rates
+from . import rates, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = (rates,)
+MODULES: tuple = (rates, relational)
 
 
 def queries() -> dict[str, Query]:
