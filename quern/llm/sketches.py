@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text is the set of digests of its paragraphs (pieces between line ends and
-sentence ends, of at most ``PIECE`` characters). A sketch has three tables of
+A text is the set of digests of its paragraphs: lines, those over ``PIECE``
+characters cut into pieces of that length. A sketch has three tables of
 cells; each digest is in one cell of each table. A cell holds the number of its
 digests, the XOR of the digests and the XOR of their check values. Subtracting the
 sketches of two versions cancels what they share; peeling takes digests from cells
@@ -29,14 +29,14 @@ PIECE = 160
 #: Cells of each of the three tables: of a fingerprint, and the least of a pair's sketch.
 BASE, LEAST = 4, 8
 #: Passes over the three tables in an attempt, growth of a retry, most attempts.
-CYCLES, GROWTH, MOST_ATTEMPTS = 5, 4, 8
+CYCLES, GROWTH, MOST_ATTEMPTS = 2, 4, 8
 #: Documents in a block of the order by doc_id.
 IN_BLOCK = 1024
 
 
 def digests(text: Column) -> Column:
     """Distinct paragraph digests."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n.!?]{{1,{PIECE}}}+[.!?]*+"), 0)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}+"), 0)
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
 
 
@@ -85,7 +85,7 @@ def differences(pairs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataF
     """Of pairs (key, a, b) of digest arrays: (key, only_a, only_b) of those that differ."""
     todo, done = pairs, None
     for attempt in range(MOST_ATTEMPTS):
-        size = f"greatest({least}, shiftleft(1, int(ceil(log2(greatest(1, size(a) + size(b))))) - 1)) * {GROWTH**attempt}"
+        size = f"greatest({least}, shiftleft(1, int(ceil(log2(greatest(1, size(a) + size(b))))))) * {GROWTH**attempt}"
         result = scratch.keep(_attempt(todo, size))
         good = result.where("ok").drop("ok")
         done = good if done is None else done.union(good)
