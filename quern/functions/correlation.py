@@ -22,19 +22,25 @@ def from_moments(n: Column, cxy: Column, vx: Column, vy: Column, least: int) ->
     """r from covariance and variances; clamped, NULL where undefined."""
     den = F.sqrt(F.greatest(F.lit(0.0), vx)) * F.sqrt(F.greatest(F.lit(0.0), vy))
     r = F.try_divide(cxy, F.when(den > 1e-300, den))
-    return F.when(n >= least, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    return F.when((n >= least) & r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+
+
+def _variance(a: Column, w: Window | None = None) -> Column:
+    """Population variance, exactly 0 where all values agree."""
+    over = (lambda e: e) if w is None else (lambda e: e.over(w))
+    return F.when(over(F.min(a)) < over(F.max(a)), over(F.var_pop(a))).otherwise(0.0)
 
 
 def pearson(x: Column, y: Column, least: int = 2) -> Column:
     """Aggregate: Pearson's r over finite pairs."""
     a, b = paired(x, y)
-    return from_moments(F.count(a), F.covar_pop(a, b), F.var_pop(a), F.var_pop(b), least)
+    return from_moments(F.count(a), F.covar_pop(a, b), _variance(a), _variance(b), least)
 
 
 def pearson_over(x: Column, y: Column, w: Window, least: int = 2) -> Column:
     """Pearson's r over a window."""
     a, b = paired(x, y)
-    return from_moments(F.count(a).over(w), F.covar_pop(a, b).over(w), F.var_pop(a).over(w), F.var_pop(b).over(w), least)
+    return from_moments(F.count(a).over(w), F.covar_pop(a, b).over(w), _variance(a, w), _variance(b, w), least)
 
 
 def weighted_pearson(x: Column, y: Column, weight: Column, least: int = 2) -> Column:
@@ -46,8 +52,8 @@ def weighted_pearson(x: Column, y: Column, weight: Column, least: int = 2) -> Co
     total = F.sum(w)
     mx, my = F.try_divide(F.sum(w * a), total), F.try_divide(F.sum(w * b), total)
     cov = F.try_divide(F.sum(w * a * b), total) - mx * my
-    vx = F.try_divide(F.sum(w * a * a), total) - mx * mx
-    vy = F.try_divide(F.sum(w * b * b), total) - my * my
+    vx = F.when(F.min(a) < F.max(a), F.try_divide(F.sum(w * a * a), total) - mx * mx).otherwise(0.0)
+    vy = F.when(F.min(b) < F.max(b), F.try_divide(F.sum(w * b * b), total) - my * my).otherwise(0.0)
     return from_moments(F.count(w), cov, vx, vy, least)
 
 

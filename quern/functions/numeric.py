@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def wilson(k: Column, n: Column, upper: bool, z: float = Z95, on_empty: float |
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
+    return F.when(x.isNotNull(), F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x)))
 
 
 def fisher_bound(r: Column, n: Column, upper: bool, z: float = Z95) -> Column:
@@ -104,8 +105,6 @@ def correlation_p(r: float | None, n: float | None, sides: int = 2, lost: int =
 
 def t_p_udf(sides: int = 2, lost: int = 2):
     """``correlation_p`` as an Arrow function of (r, n); there is no t distribution among Spark's functions."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([correlation_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b), sides, lost) for a, b in zip(r, n, strict=True)], dtype="float64")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rates, relational, vectors
+from . import rates, relational, statistics, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = (rates, relational, vectors)
+MODULES: tuple = (rates, relational, vectors, statistics)
 
 
 def queries() -> dict[str, Query]:
