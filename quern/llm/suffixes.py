@@ -41,6 +41,8 @@ from .common import Scratch, map_arrow, small_batches, table
 DEPTH, GRAM = 50, 24
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 24 << 20
+#: Parts, by the anchor's hash, in which a bucket is sorted one after another.
+PARTS = 16
 #: Window starts that are looked at at once.
 CHUNK = 1 << 18
 LAST = (1 << 63) - 1
@@ -264,12 +266,12 @@ def _runs(flag: np.ndarray, where: np.ndarray, owner: np.ndarray) -> tuple[np.nd
 
 
 def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
-    """(t1, t2, begin, end) of covered bytes, from (t1, t2, doc, packed, grams); spans may overlap."""
+    """(t1, doc, begin, end) of covered bytes, from (t1, doc, packed, grams); spans may overlap."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2, doc, packed = (batch.column(i).to_pylist() for i in range(4))
-            grams = batch.column(4)
+            t1, doc, packed = (batch.column(i).to_pylist() for i in range(3))
+            grams = batch.column(3)
             least: dict[bytes, int] = {}
             mine = []
             for i, blob in enumerate(packed):
@@ -277,30 +279,31 @@ def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
                 h, lo, hi = anchors(raw)
                 hit = np.isin(_gram_key(h, buckets), grams[i].values.to_numpy(zero_copy_only=False))
                 data = raw.tobytes()
-                for b, x, y in zip(_bucket(h[hit], buckets).tolist(), lo[hit].tolist(), (hi[hit] + DEPTH).tolist(), strict=True):
+                h = h[hit]
+                for b, u, x, y in zip(_bucket(h, buckets).tolist(), (h % np.uint64(PARTS)).tolist(), lo[hit].tolist(), (hi[hit] + DEPTH).tolist(), strict=True):
                     piece = data[x:y]
                     if least.setdefault(piece, doc[i]) > doc[i]:
                         least[piece] = doc[i]
-                    mine.append((b, i, x, piece))
+                    mine.append((b, u, i, x, piece))
             sent: dict[int, list] = {}
             known: dict[int, list] = {}
-            for b, i, x, piece in mine:
+            for b, u, i, x, piece in mine:
                 if least[piece] < doc[i]:
                     known.setdefault(int(t1[i]) % buckets, []).append((i, x, len(piece)))
                 else:
-                    sent.setdefault(b, []).append((i, x, piece))
+                    sent.setdefault(b, []).append((i, x, piece, u))
             rows = []
-            t1, t2, doc = (np.array(x, np.int64) for x in (t1, t2, doc))
+            t1, doc = np.array(t1, np.int64), np.array(doc, np.int64)
             for b, x in sent.items():
                 i = np.array([y[0] for y in x])
                 size = np.array([len(y[2]) for y in x], np.int32)
-                rows.append((b, 0, t1[i].tobytes(), t2[i].tobytes(), doc[i].tobytes(), np.array([y[1] for y in x], np.int64).tobytes(), size.tobytes(), b"".join([y[2] for y in x])))
+                rows.append((b, 0, t1[i].tobytes(), doc[i].tobytes(), np.array([y[1] for y in x], np.int64).tobytes(), size.tobytes(), b"".join([y[2] for y in x]), bytes([y[3] for y in x])))
             for b, x in known.items():
                 i = np.array([y[0] for y in x])
-                rows.append((b, 1, t1[i].tobytes(), t2[i].tobytes(), b"", np.array([y[1] for y in x], np.int64).tobytes(), np.array([y[2] for y in x], np.int32).tobytes(), b""))
+                rows.append((b, 1, t1[i].tobytes(), doc[i].tobytes(), np.array([y[1] for y in x], np.int64).tobytes(), np.array([y[2] for y in x], np.int32).tobytes(), b"", b""))
             if rows:
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), *[pa.array(x, pa.binary()) for x in c[2:]]], names=["bucket", "kind", "t1", "t2", "doc", "at", "size", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int8()), *[pa.array(x, pa.binary()) for x in c[2:]]], names=["bucket", "kind", "t1", "doc", "at", "size", "data", "part"])
 
     def settle(rows: pa.Table) -> pa.Table:
         kind = np.array(rows.column("kind").to_pylist())
@@ -309,18 +312,23 @@ def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
             held = rows.column(name).to_pylist()
             return np.concatenate([np.empty(0, dtype), *[np.frombuffer(held[i], dtype) for i in np.nonzero(kind == k)[0]]])
 
-        t1, t2, doc, at, size, data = (gather(n, d, 0) for n, d in (("t1", np.int64), ("t2", np.int64), ("doc", np.int64), ("at", np.int64), ("size", np.int32), ("data", np.uint8)))
-        n = (size - DEPTH + 1).astype(np.int64)
-        piece = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        t1, doc, at, size, data = (gather(n, d, 0) for n, d in (("t1", np.int64), ("doc", np.int64), ("at", np.int64), ("size", np.int32), ("data", np.uint8)))
+        part = gather("part", np.uint8, 0)
         base = np.cumsum(size.astype(np.int64)) - size
-        hit = equal_groups(data, base[piece] + inner, doc[piece])
-        o, a, z = _runs(hit, at[piece] + inner, piece)
-        k1, k2, ka, ks = (gather(x, d, 1) for x, d in (("t1", np.int64), ("t2", np.int64), ("at", np.int64), ("size", np.int32)))
-        return pa.table({"t1": np.concatenate([t1[o], k1]), "t2": np.concatenate([t2[o], k2]), "begin": np.concatenate([a, ka]), "end": np.concatenate([z, ka + ks])})
-
-    dealt = map_arrow(texts.select("t1", "t2", "doc", "packed", "grams"), deal, "bucket int, kind tinyint, t1 binary, t2 binary, doc binary, at binary, size binary, data binary")
-    return dealt.groupBy("bucket").applyInArrow(settle, "t1 long, t2 long, begin long, end long")
+        found = []
+        for k in range(PARTS):
+            mine = np.nonzero(part == k)[0]
+            n = (size[mine] - DEPTH + 1).astype(np.int64)
+            piece = np.repeat(mine, n)
+            inner = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+            hit = equal_groups(data, base[piece] + inner, doc[piece])
+            found.append(_runs(hit, at[piece] + inner, piece))
+        o, a, z = (np.concatenate(x) for x in zip(*found, strict=True))
+        k1, kd, ka, ks = (gather(x, d, 1) for x, d in (("t1", np.int64), ("doc", np.int64), ("at", np.int64), ("size", np.int32)))
+        return pa.table({"t1": np.concatenate([t1[o], k1]), "doc": np.concatenate([doc[o], kd]), "begin": np.concatenate([a, ka]), "end": np.concatenate([z, ka + ks])})
+
+    dealt = map_arrow(texts.select("t1", "doc", "packed", "grams"), deal, "bucket int, kind tinyint, t1 binary, doc binary, at binary, size binary, data binary, part binary")
+    return dealt.groupBy("bucket").applyInArrow(settle, "t1 long, doc long, begin long, end long")
 
 
 def union_of_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,10 +370,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUC
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     first = F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc")
     texts = rows.groupBy("t1", "t2").agg(first)
-    grams = shared_grams(docs, buckets).groupBy("t1").agg(F.collect_list("gram").alias("grams"))
+    grams = shared_grams(docs, buckets).groupBy("t1").agg(F.collect_list("gram").alias("grams")).join(texts, "t1")
+    # dealt once by (t1, t2) and read by both joins: neither needs it dealt otherwise
     packed = pack(docs)
-    spans = scratch.keep(covered_spans(packed.join(texts, ["t1", "t2"]).join(grams, "t1"), buckets))
-    each = spans.groupBy("t1", "t2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    spans = covered_spans(packed.join(grams, ["t1", "t2"]), buckets)
+    each = spans.groupBy("t1", "doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")).join(texts, ["t1", "doc"])
     found = scratch.keep(cut_out(packed.join(each, ["t1", "t2"])))
     out = rows.join(texts, ["t1", "t2"]).join(found, ["t1", "t2"], "left")
     copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("doc")) & (F.col("n_bytes") >= DEPTH)
