@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rates, relational, samples, statistics, texts, vectors
+from . import rates, relational, samples, scans, statistics, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = (rates, relational, vectors, statistics, samples, texts)
+MODULES: tuple = (vectors, rates, relational, statistics, samples, texts, scans)
 
 
 def queries() -> dict[str, Query]:
