@@ -2,7 +2,7 @@
 
 Words and word pairs are hashed into ``BUCKETS``. Two generative models hold the
 smoothed share of each bucket: the target model from documents labelled good and
-not toxic, the raw model from all documents. A document's log weight is the sum
+not toxic (``TARGET_DOCS`` at most), the raw model from all documents. A document's log weight is the sum
 over its n-grams of the log ratio. A Gumbel number keyed by the document is added
 to the weight, and the documents with the k largest sums are the resample:
 drawing without replacement in proportion to the weights. k is the number of
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, map_arrow, table
 
 BUCKETS = 1 << 18
-#: Added to each bucket's count, so that neither model has an empty bucket.
-SMOOTHING = 1.0
+#: Added to each bucket's count in the target and to that expected from the raw model: rare n-grams tell little.
+SMOOTHING = 20.0
 SEED = "resample-1"
+#: Labelled documents that the target model is fitted on, at most.
+TARGET_DOCS = 20_000
 #: Buckets of this many words a worker remembers.
 CACHE = 300_000
 #: Bins of equal width that find the k-th largest sum.
@@ -93,9 +95,9 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of the target model's share of each bucket over the raw model's."""
-    t, r = target + SMOOTHING, raw + SMOOTHING
-    return np.log(t / t.sum()) - np.log(r / r.sum())
+    """Log of the target model's share of each bucket over the raw model's, counts on the target's scale."""
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
 
 
 def weigh(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -145,12 +147,16 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.where(~inside).withColumn("selected", F.col("draw") > hi).unionByName(edge)
 
 
-def targets(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """Documents labelled good and not toxic, and their share among the labelled."""
+def targets(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> tuple[DataFrame, float]:
+    """Texts of documents labelled good and not toxic, and the share of such among the labelled.
+
+    The target model is fitted on at most ``most`` of them, the first by a digest of
+    doc_id; their ids are a bounded table, so that texts stay where they are read.
+    """
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id")
-    share = known.agg(F.avg(F.coalesce("good", F.lit(0)))).first()[0]
-    return known.where("good = 1").select("text"), 1.0 if share is None else float(share)
+    share = marked.agg(F.avg(F.coalesce("good", F.lit(0)))).first()[0]
+    ids = marked.where("good = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most).select("doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text"), 1.0 if share is None else float(share)
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
