@@ -22,12 +22,12 @@ def _r(c, name, places=6):
     return F.round(c, places).alias(name)
 
 
-X, Y, Z, W = (F.col(c) for c in "xyzw")
+X, Y, Z, W = "xyzw"
 
 
 @Q.add("l01_pearson", f"WITH {POINTS} SELECT grp, count(*) AS n, round(corr(x,y),6) AS r FROM points GROUP BY 1")
 def l01(spark, sf):
-    return points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), _r(C.pearson(X, Y), "r"))
+    return points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), _r(C.pearson(F.col(X), F.col(Y)), "r"))
 
 
 @Q.add("l01_pearson_guarded", "SELECT l_linestatus AS grp, NULL::DOUBLE AS r FROM lineitem GROUP BY 1")
@@ -47,30 +47,30 @@ _WSUM = f"{POINTS}, m AS (SELECT grp, sum(w*x)/sum(w) mx, sum(w*y)/sum(w) my FRO
 
 @Q.add("l03_weighted_pearson", f"WITH {_WSUM} SELECT grp, round(r,5) AS r FROM wr")
 def l03(spark, sf):
-    return points(spark, sf).groupBy("grp").agg(_r(C.weighted_pearson(X, Y, W), "r", 5))
+    return points(spark, sf).groupBy("grp").agg(_r(C.weighted_pearson(F.col(X), F.col(Y), F.col(W)), "r", 5))
 
 
 @Q.add("l04_kish_effective_n", f"WITH {_WSUM} SELECT grp, round(n_eff,4) AS n_eff FROM wr")
 def l04(spark, sf):
-    return points(spark, sf).groupBy("grp").agg(_r(C.kish(W), "n_eff", 4))
+    return points(spark, sf).groupBy("grp").agg(_r(C.kish(F.col(W)), "n_eff", 4))
 
 
 @Q.add("l04_weighted_p")
 def l04p(spark, sf):
     """p of the weighted correlation with the effective n; the t distribution is no SQL function."""
-    g = points(spark, sf).groupBy("grp").agg(C.weighted_pearson(X, Y, W).alias("r"), C.kish(W).alias("n_eff"))
+    g = points(spark, sf).groupBy("grp").agg(C.weighted_pearson(F.col(X), F.col(Y), F.col(W)).alias("r"), C.kish(F.col(W)).alias("n_eff"))
     return g.select("grp", _r(F.col("r"), "r"), _r(N.t_p_udf()(F.col("r"), F.col("n_eff")), "p"))
 
 
 @Q.add("l05_fisher_interval", f"WITH {POINTS}, c AS (SELECT grp, count(*) n, corr(x,y) r FROM points GROUP BY 1) SELECT grp, round(tanh(atanh(r)-1.96/sqrt(n-3)),6) AS lo, round(tanh(atanh(r)+1.96/sqrt(n-3)),6) AS hi FROM c WHERE n > 3 AND abs(r) < 1 UNION ALL SELECT grp, NULL, NULL FROM c WHERE n <= 3 OR abs(r) >= 1")
 def l05(spark, sf):
-    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(X, Y).alias("r"))
+    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(F.col(X), F.col(Y)).alias("r"))
     return g.select("grp", _r(N.fisher_bound(F.col("r"), F.col("n"), False), "lo"), _r(N.fisher_bound(F.col("r"), F.col("n"), True), "hi"))
 
 
 @Q.add("l06_t_test_p")
 def l06(spark, sf):
-    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(X, Y).alias("r"))
+    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(F.col(X), F.col(Y)).alias("r"))
     return g.select("grp", "n", _r(F.col("r"), "r"), _r(N.t_p_udf()(F.col("r"), F.col("n")), "p_two"), _r(N.t_p_udf(1)(F.col("r"), F.col("n")), "p_one"))
 
 
@@ -106,7 +106,7 @@ _PARTIAL = "(a-b*c)/sqrt((1-b*b)*(1-c*c))"
 
 @Q.add("l11_partial_correlation", f"WITH {POINTS}, c AS (SELECT grp, corr(x,y) a, corr(x,z) b, corr(y,z) c, count(*) n FROM points GROUP BY 1) SELECT grp, n, round({_PARTIAL},6) AS r_partial FROM c")
 def l11(spark, sf):
-    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(X, Y).alias("a"), C.pearson(X, Z).alias("b"), C.pearson(Y, Z).alias("c"))
+    g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(F.col(X), F.col(Y)).alias("a"), C.pearson(F.col(X), F.col(Z)).alias("b"), C.pearson(F.col(Y), F.col(Z)).alias("c"))
     return g.select("grp", "n", _r(C.partial(F.col("a"), F.col("b"), F.col("c")), "r_partial"))
 
 
@@ -114,7 +114,7 @@ def l11(spark, sf):
 def l12(spark, sf):
     """Within-group correlation, and the same given z: demeaning is regressing on group dummies."""
     d = points(spark, sf).select(*[ranking.demean(c, ["grp"]).alias(c) for c in "xyz"])
-    g = d.agg(F.count("*").alias("n"), C.pearson(X, Y).alias("a"), C.pearson(X, Z).alias("b"), C.pearson(Y, Z).alias("c"))
+    g = d.agg(F.count("*").alias("n"), C.pearson(F.col(X), F.col(Y)).alias("a"), C.pearson(F.col(X), F.col(Z)).alias("b"), C.pearson(F.col(Y), F.col(Z)).alias("c"))
     return g.select("n", _r(F.col("a"), "r_fe"), _r(C.partial(F.col("a"), F.col("b"), F.col("c")), "r_fe_partial"))
 
 
@@ -195,7 +195,7 @@ def l18s(spark, sf):
 def l19(spark, sf):
     """Correlations at every threshold of the weight, ranked by their mean."""
     passed = F.explode(F.filter(F.array(*[F.lit(t) for t in (0.0, 20.0, 40.0)]), lambda t: t <= F.col("w"))).alias("threshold")
-    g = points(spark, sf).select("grp", "x", "y", passed).groupBy("grp", "threshold").agg(C.pearson(X, Y, 3).alias("r"), F.count("*").alias("n")).where("n >= 3")
+    g = points(spark, sf).select("grp", "x", "y", passed).groupBy("grp", "threshold").agg(C.pearson(F.col(X), F.col(Y), 3).alias("r"), F.count("*").alias("n")).where("n >= 3")
     return g.groupBy("threshold").agg(F.count("*").alias("n_groups"), _r(F.avg(F.abs("r")), "mean_abs_r")).orderBy(F.desc("mean_abs_r"))
 
 
