@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from .common import Scratch, by_block, map_arrow, table
 from .components import roots
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
+#: Near copies by shingle sets: words of a shingle, similarity, mean words of a segment.
+NEAR_SHINGLE, NEAR_SIMILARITY, SEGMENT_WORDS = 5, 0.8, 16
 #: Fingerprints in a cell beyond which one-bit neighbours replace pairs.
 CELL = 32
 #: Shingle values whose bits are counted at once.
@@ -119,15 +122,116 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) ->
     return fps.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def segments(text: str | None, shingle: int = NEAR_SHINGLE, every: int = SEGMENT_WORDS) -> np.ndarray:
+    """SimHashes of a text's segments, each once; a segment ends after a word whose hash says so, on average every ``every`` words.
+
+    Where a text is unchanged its segments are, so near copies share most of them.
+    """
+    words = _words(text)
+    if not words:
+        return np.empty(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    ends = np.array([digest(w, 1) % every == 0 for w in words])
+    segment = np.concatenate([[0], np.cumsum(ends)[:-1]])
+    out = []
+    for lo in range(0, len(words), AT_ONCE):
+        # a shingle belongs to the segment of its first word and stays inside it
+        part, seg = words[lo : lo + AT_ONCE], segment[lo : lo + AT_ONCE]
+        cuts = [0, *(np.nonzero(np.diff(seg))[0] + 1).tolist(), len(part)]
+        hashes, starts = [], []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            starts.append(len(hashes))
+            hashes += [digest(b" ".join(part[k : min(j, k + shingle)]), SEED) for k in range(i, max(i + 1, j - shingle + 1))]
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        n = np.diff([*starts, len(hashes)])
+        out.append(np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles; fewer words are one shingle, none is none."""
+    words = _words(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = NEAR_SIMILARITY) -> DataFrame:
+    """Links (a, b) between documents of ``nodes`` (doc_id) whose five-word shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Candidates share segments with equal SimHashes. The documents of a segment are
+    compared with one of them, the one best supported by others: its segments occur
+    in most documents, as an original's do among its edited copies. A candidate
+    shares a quarter of its segments with that one, and the pair is then verified on
+    whole shingle sets. Each document has few candidates, whatever its groups' size.
+    """
+
+    def cut(keys: list, texts: list) -> pa.RecordBatch:
+        found = [segments(t) for t in texts]
+        n = [len(x) for x in found]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k if k is not None else 0 for k in keys], np.int64), n)), pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(np.array(n, np.int32), n))], names=["doc_id", "seg", "k"])
+
+    named = docs.where(F.col("doc_id").isNotNull())
+    every = map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], cut), "doc_id long, seg long, k int")
+    often = every.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seg"))).where("n > 1").drop("n")
+    shared = scratch.keep(scratch.keep(often).join(nodes, "doc_id", "left_semi").distinct())
+    sizes = shared.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = scratch.keep(shared.join(sizes, "seg"))
+    support = sized.groupBy("doc_id").agg((F.sum(F.log2("n")) / F.max("k")).alias("support"))
+    centre = sized.join(support, "doc_id").groupBy("seg").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("b"))
+    pairs = scratch.keep(sized.join(centre, "seg").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b", "k").agg(F.count(F.lit(1)).alias("m")).where("4 * m >= k").select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def pack(keys: list, texts: list) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["doc_id", "packed"])
+
+    packed = map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], pack), "doc_id long, packed binary")
+    texts = scratch.keep(packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    def verify(batches):
+        z = zstandard.ZstdDecompressor()
+        plain = lambda x: shingles(z.decompress(x).decode("utf-8", "surrogatepass"))
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            keep, held = [], (None, None)
+            for i in range(len(a)):
+                if held[0] != b[i]:
+                    held = (b[i], plain(y[i]))
+                one, two = plain(x[i]), held[1]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both and both >= least * (len(one) + len(two) - both):
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    left = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays, once; rows without doc_id go."""
-    found = Scratch(spark, "copies").keep(components(spark, docs))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """One document of each group of near copies stays, that with the smallest doc_id, once; rows without doc_id go.
+
+    Groups are the components of fingerprints at DISTANCE or fewer bits, joined where
+    their representatives' five-word shingles are similar by 0.8 or more.
+    """
+    scratch = Scratch(spark, "copies")
+    found = scratch.keep(components(spark, docs))
+    first = scratch.keep(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    links = scratch.keep(near_links(docs, first, scratch))
+    gone = roots(links, scratch).select(F.col("node").alias("doc_id"))
+    kept = first.join(gone, "doc_id", "left_anti")
     out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return out.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,64 @@ def test_long_chain_settles(spark):
 def test_one_of_each_group_stays(spark):
     kept = sorted(r.doc_id for r in S.deduplicate(spark, edge_docs(spark)).collect())
     assert kept == sorted(set(kept)) and 4 in kept and not {5, 6} & set(kept)
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def near_copies():
+    """Originals with edited copies, more than one of them before the original, and a passage that all share."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te", "vo") for b in ("bra", "dan", "fil", "gus", "hen", "jor", "nim", "pel")]
+    passage = " ".join(rng.choice(vocabulary, 30))
+    rows, ids = [], iter(rng.permutation(1000).tolist())
+    for _ in range(12):
+        words = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        rows.append((next(ids), " ".join(words) + " " + passage))
+        for edits in rng.integers(0, 12, 6):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = "edited" + str(int(rng.integers(99)))
+            rows.append((next(ids), " ".join(copy) + " " + passage))
+    return rows
+
+
+def test_similar_shingle_sets_are_one_group(spark):
+    rows = near_copies()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = Scratch(spark, "t")
+    links = [(r.a, r.b) for r in S.near_links(d, d.select("doc_id"), sc).collect()]
+    text = dict(rows)
+    assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in links)
+
+    def groups(pairs):
+        owner = {i: i for i in text}
+
+        def find(x):
+            while owner[x] != x:
+                x = owner[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            owner[max(a, b)] = min(a, b)
+        return {i: find(i) for i in text}
+
+    every = [(a, b) for a in text for b in text if a < b and jaccard(text[a], text[b]) >= 0.8]
+    want, got = groups(every), groups(links)
+    assert sum(want[i] == got[i] for i in text) >= 0.97 * len(text)
+    assert all(want[i] == want[got[i]] for i in text)
+
+
+def test_segments_survive_edits_elsewhere():
+    words = [f"w{i % 97}x{i % 31}" for i in range(400)]
+    one = set(S.segments(" ".join(words)).tolist())
+    words[200] = "changed"
+    two = set(S.segments(" ".join(words)).tolist())
+    assert len(one) > 8 and len(one & two) >= len(one) - 3
+    assert len(S.segments(None)) == len(S.segments(" \n")) == 0 and len(S.segments("one two")) == 1
