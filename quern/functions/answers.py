@@ -132,6 +132,14 @@ STUB_WORDS = """
 a an and are as associated at be been being but by called can cannot could did do does doing dont father her here his i im in information is it its language locate located might mother my named no not of on or our people provide question response sorry speak speaks specified sure text that the their therefore they this to unable was we were what who without you your
 """.split()
 
+# Placeholder and stock answers, openings and fences that are dropped, a father's name.
+PLACEHOLDER = r"^(?:n/?a|none|null|unknown|not applicable)\.?$"
+STOCK = r"^(?:i am (?:an )?ai language model\.?|i am a helpful assistant\.?)$"
+OPENING = r"(?i)^\s*(?:sure[,!\s]*|okay[,!\s]*|certainly[,!\s]*|of course[,!\s]*)?(?:here\s+(?:is|are)\s+)?(?:the\s+)?(?:answer|response)\s*[:\-–—]\s*"
+SECOND_OPENING = r"(?i)^\s*answer\s*[:\-–—]\s*"
+FENCE_HEAD, FENCE_TAIL = r"(?s)^\s*```.*?\n", r"\n```$"
+FATHER = r"father['’]s (?:first )?name is [A-Z][a-z]+"
+
 
 def _any(patterns: list[str]) -> Column:
     return F.lit("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
@@ -141,8 +149,8 @@ def refusal_v1(s: Column) -> Column:
     """Empty, a placeholder, a stock phrase, a refusal, or nothing but punctuation."""
     t = T.normalize_text(s)
     low = F.trim(T.strip_accents(F.lower(t)))
-    placeholder = F.rlike(low, F.lit(r"^(?:n/?a|none|null|unknown|not applicable)\.?$"))
-    stock = F.rlike(low, F.lit(r"^(?:i am (?:an )?ai language model\.?|i am a helpful assistant\.?)$"))
+    placeholder = F.rlike(low, F.lit(PLACEHOLDER))
+    stock = F.rlike(low, F.lit(STOCK))
     return (t == "") | placeholder | stock | F.rlike(t, _any(REFUSAL_V1)) | F.rlike(t, F.lit(r"(?U)^[\W_]+$"))
 
 
@@ -171,10 +179,8 @@ def label_v1(answer: Column, prompt: Column, gold: Column, relation: Column) ->
 def clean_answer(answer: Column, prompt: Column) -> Column:
     """Without a code fence, an announcement, and a repeated end of the prompt."""
     a = F.trim(T.normalize_text(answer, collapse=False))
-    a = F.regexp_replace(a, r"(?s)^\s*```.*?\n", "")
-    a = F.regexp_replace(F.trim(a), r"\n```$", "")
-    opening = r"(?i)^\s*(?:sure[,!\s]*|okay[,!\s]*|certainly[,!\s]*|of course[,!\s]*)?(?:here\s+(?:is|are)\s+)?(?:the\s+)?(?:answer|response)\s*[:\-–—]\s*"
-    a = F.regexp_replace(F.regexp_replace(a, opening, ""), r"(?i)^\s*answer\s*[:\-–—]\s*", "")
+    a = F.regexp_replace(F.trim(F.regexp_replace(a, FENCE_HEAD, "")), FENCE_TAIL, "")
+    a = F.regexp_replace(F.regexp_replace(a, OPENING, ""), SECOND_OPENING, "")
     return T.strip_prompt_echo(F.trim(a), F.coalesce(prompt, F.lit("")))
 
 
@@ -239,7 +245,7 @@ def label_rcw(answer: Column, gold: Column) -> Column:
     """REFUSAL first, then CORRECT, then WRONG."""
     short = F.lower(T.normalize_text(short_rcw(answer)))
     g = F.lower(T.normalize_text(gold))
-    refusal = (short == "") | F.rlike(short, F.lit(r"^(?:n/?a|none|null|unknown|not applicable)\.?$")) | F.rlike(short, _any(REFUSAL_RCW)) | F.rlike(short, F.lit(r"^(?:i am (?:an )?ai language model\.?|i am a helpful assistant\.?)$"))
+    refusal = (short == "") | F.rlike(short, F.lit(PLACEHOLDER)) | F.rlike(short, _any(REFUSAL_RCW)) | F.rlike(short, F.lit(STOCK))
     has = lambda words: F.rlike(short, F.lit(r"(?iU)(?<!\w)(?:" + "|".join(words) + r")(?!\w)"))
     m, f = has(MALE_RCW), has(FEMALE_RCW)
     correct = F.when(g == "men", m & ~f).when(g == "women", f & ~m).otherwise(T.boundary_match(short, g))
@@ -260,7 +266,7 @@ def refusal_substring(s: Column) -> Column:
 
 
 def names_father(s: Column) -> Column:
-    return F.rlike(F.coalesce(s, F.lit("")), F.lit(r"father['’]s (?:first )?name is [A-Z][a-z]+"))
+    return F.rlike(F.coalesce(s, F.lit("")), F.lit(FATHER))
 
 
 def names_instrument(s: Column) -> Column:
