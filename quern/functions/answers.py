@@ -253,8 +253,11 @@ def label_rcw(answer: Column, gold: Column) -> Column:
 
 
 def judge_binary(answer: Column, patterns: list[str] | None = None) -> Column:
-    """REFUSAL by pattern, else HALLUCINATION."""
-    return F.when(F.rlike(T.normalize_text(answer), _any(patterns or REFUSAL_V1)), "REFUSAL").otherwise("HALLUCINATION")
+    """REFUSAL for empty, placeholder and stock answers and refusals, else HALLUCINATION."""
+    t = F.trim(T.normalize_text(answer))
+    low = F.lower(t)
+    refusal = (t == "") | F.rlike(low, F.lit(PLACEHOLDER)) | F.rlike(t, _any(patterns or REFUSAL_V1)) | F.rlike(low, F.lit(STOCK))
+    return F.when(refusal, "REFUSAL").otherwise("HALLUCINATION")
 
 
 def refusal_substring(s: Column) -> Column:

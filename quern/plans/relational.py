@@ -188,10 +188,14 @@ def c07(spark, sf):
     return r.groupBy("relation_key").agg(F.min("n").alias("least"), F.count("*").alias("m")).join(F.broadcast(k)).where("least >= 2 AND m = k").select("relation_key", "least")
 
 
+# What a failed judge call leaves as its reason.
+FAILED_CALLS = [r"Gemini call failed", r"RESOURCE_EXHAUSTED", r"Quota exceeded", r"generate_requests_per_model_per_day", r"\b429\b", r"NOT_FOUND", r"rate limit"]
+
+
 def needs_rejudge(label, confidence, reason, mode: str):
     """Rows that a judge should see again: unknown, failed, needs_rationale or all."""
     unknown = F.lower(label) == "unknown"
-    failed = unknown | (F.coalesce(finite(confidence), F.lit(0.0)) <= 0) | F.rlike(F.coalesce(reason, F.lit("")), F.lit("(?i)error|failed|timeout|parse"))
+    failed = unknown | (F.coalesce(finite(confidence), F.lit(0.0)) <= 0) | F.rlike(F.coalesce(reason, F.lit("")), F.lit("(?i)" + "|".join(FAILED_CALLS)))
     empty = F.coalesce(F.trim(reason), F.lit("")).isin("") | F.lower(reason).isin("nan", "none")
     bare = failed | empty | F.startswith(F.lower(F.coalesce(reason, F.lit(""))), F.lit("repaired_by="))
     return {"unknown": unknown, "failed": failed, "needs_rationale": bare, "all": F.lit(True)}[mode]
@@ -202,8 +206,7 @@ def c08(spark, sf):
     e = read(spark, sf, "events")
     label = F.when(F.col("event_id") % 7 == 0, "Unknown").otherwise("REFUSAL")
     conf, reason = F.greatest(F.lit(0.0), F.col("value") - 20), F.when(F.col("event_id") % 5 == 0, " ").otherwise(F.col("event_type"))
-    # a blank reason can't hide an error type
-    reason = F.when(F.col("event_type") == "error", "error").otherwise(reason)
+    reason = F.when(F.col("event_type") == "error", "HTTP 429: rate limit").otherwise(reason)
     return e.select("event_id", *[needs_rejudge(label, conf, reason, m).alias(m) for m in ("unknown", "failed", "needs_rationale")])
 
 

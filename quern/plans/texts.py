@@ -230,7 +230,7 @@ def j03(spark, sf):
     return v.select("id", A.label_rcw(F.col("answer"), F.col("gold")).alias("label"))
 
 
-@Q.add("j04_binary_judge", f"WITH {_varied_sql()} SELECT CASE WHEN id % 7 IN (0, 3, 5) THEN 'REFUSAL' ELSE 'HALLUCINATION' END AS label, count(*) AS n FROM varied WHERE id % 7 < 6 AND id % 7 <> 1 GROUP BY 1")
+@Q.add("j04_binary_judge", f"WITH {_varied_sql()} SELECT CASE WHEN id % 7 IN (0, 2, 3, 5) THEN 'REFUSAL' ELSE 'HALLUCINATION' END AS label, count(*) AS n FROM varied WHERE id % 7 < 6 AND id % 7 <> 1 GROUP BY 1")
 def j04(spark, sf):
     v = _varied(spark, sf).where("id % 7 < 6 AND id % 7 <> 1")
     return v.groupBy(A.judge_binary(F.col("answer")).alias("label")).agg(F.count("*").alias("n"))
