@@ -177,9 +177,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k if k is not None else 0 for k in keys], np.int64), n)), pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(np.array(n, np.int32), n))], names=["doc_id", "seg", "k"])
 
     named = docs.where(F.col("doc_id").isNotNull())
-    every = map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], cut), "doc_id long, seg long, k int")
-    often = every.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seg"))).where("n > 1").drop("n")
-    shared = scratch.keep(scratch.keep(often).join(nodes, "doc_id", "left_semi").distinct())
+    every = scratch.keep(map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], cut), "doc_id long, seg long, k int"))
+    # counted map-side first, so that a segment in a third of all documents meets as a few rows
+    often = every.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seg")
+    shared = scratch.keep(every.join(often.hint("merge"), "seg", "left_semi").join(nodes.hint("merge"), "doc_id", "left_semi").distinct())
+    scratch.drop(every)
     sizes = shared.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = scratch.keep(shared.join(sizes, "seg"))
     support = sized.groupBy("doc_id").agg((F.sum(F.log2("n")) / F.max("k")).alias("support"))
@@ -192,7 +194,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=["doc_id", "packed"])
 
     packed = map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], pack), "doc_id long, packed binary")
-    texts = scratch.keep(packed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = scratch.keep(packed.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def verify(batches):
         z = zstandard.ZstdDecompressor()
@@ -227,7 +229,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = scratch.keep(near_links(docs, first, scratch))
     gone = roots(links, scratch).select(F.col("node").alias("doc_id"))
     kept = first.join(gone, "doc_id", "left_anti")
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # the ids grow with the texts: the plan that holds for many is the plan for few
+    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         return out
     order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
