@@ -32,7 +32,7 @@ EXPONENT, SHIFT = 1.07, 2.7
 #: Score of a character without a piece, below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a worker remembers, and the longest such chunk.
-CACHE_SIZE, CACHE_CHARS = 400_000, 48
+CACHE_SIZE, CACHE_CHARS = 250_000, 48
 
 
 def default_vocabulary() -> str:
