@@ -25,6 +25,8 @@ Repeated rows are copies.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +44,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY, SEGMENT_WORDS = 5, 0.8, 16
 CELL = 32
 #: Shingle values whose bits are counted at once.
 AT_ONCE = 200_000
+#: Documents whose shingles are counted to order shingles by, and most shingles so ordered.
+HOT_SAMPLE, HOT_MOST = 10_000, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -161,32 +165,87 @@ def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: float = NEAR_SIMILARITY) -> DataFrame:
-    """Links (a, b) between documents of ``nodes`` (doc_id) whose five-word shingle sets have a Jaccard similarity of ``least`` or more.
-
-    Candidates share segments with equal SimHashes. The documents of a segment are
-    compared with one of them, the one best supported by others: its segments occur
-    in most documents, as an original's do among its edited copies. A candidate
-    shares a quarter of its segments with that one, and the pair is then verified on
-    whole shingle sets. Each document has few candidates, whatever its groups' size.
+def _prefix(held: np.ndarray, hot: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a sorted set, rarest first by (count in ``often``, value), of which two sets similar by ``least`` share one."""
+    if not len(held):
+        return held
+    n = np.zeros(len(held), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, held), len(hot) - 1)
+        n = np.where(hot[at] == held, often[at], 0)
+    return held[np.lexsort((held, n))[: len(held) - math.ceil(least * len(held) - 1e-6) + 1]]
+
+
+def _common(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a sample of texts shares most, sorted, and their counts; they only order shingles, no result depends on them."""
+    n = named.count()
+
+    def every(keys: list, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *[shingles(t) for t in texts]]).view(np.int64))], names=["token"])
+
+    some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, min(1_000_000, HOT_SAMPLE * 1_000_000 // max(1, n))))
+    counts = map_arrow(some.select("doc_id", "text"), by_block(["doc_id", "text"], every), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.col("n").desc(), "token").limit(HOT_MOST).toPandas()
+    hot = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], found["n"].to_numpy(np.int64)[order]
+
+
+def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least: float = NEAR_SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all documents of ``nodes`` (doc_id; all if None) whose five-word shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Two sets x and y that similar share at least t = least / (1 + least) (|x| + |y|)
+    shingles, so in any common order of shingles the first shared one has t - 1 or more
+    behind it in both. Each distinct set enters its rarest shingles as far as that
+    reaches, and pairs that meet there are all candidates there can be. First the sets
+    of a shingle are verified against one of them, the one best supported by others,
+    as an original is by its edited copies. Then all candidates that these links, equal
+    sets and ``known`` links (a, b) leave in different components are verified: those
+    outside the most frequent component of a shingle against all of its sets. Pairs
+    within a component aren't, as no link between them changes it.
     """
-
-    def cut(keys: list, texts: list) -> pa.RecordBatch:
-        found = [segments(t) for t in texts]
-        n = [len(x) for x in found]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([k if k is not None else 0 for k in keys], np.int64), n)), pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(np.array(n, np.int32), n))], names=["doc_id", "seg", "k"])
-
-    named = docs.where(F.col("doc_id").isNotNull())
-    every = scratch.keep(map_arrow(named.select("doc_id", "text"), by_block(["doc_id", "text"], cut), "doc_id long, seg long, k int"))
-    # counted map-side first, so that a segment in a third of all documents meets as a few rows
-    often = every.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seg")
-    shared = scratch.keep(every.join(often.hint("merge"), "seg", "left_semi").join(nodes.hint("merge"), "doc_id", "left_semi").distinct())
-    scratch.drop(every)
-    sizes = shared.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = scratch.keep(shared.join(sizes, "seg"))
-    support = sized.groupBy("doc_id").agg((F.sum(F.log2("n")) / F.max("k")).alias("support"))
-    centre = sized.join(support, "doc_id").groupBy("seg").agg(F.max_by("doc_id", F.struct("support", -F.col("doc_id"))).alias("b"))
-    pairs = scratch.keep(sized.join(centre, "seg").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b", "k").agg(F.count(F.lit(1)).alias("m")).where("4 * m >= k").select("a", "b"))
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    hot, often = _common(named)
+
+    def enter(keys: list, texts: list) -> pa.RecordBatch:
+        sets = [shingles(t) for t in texts]
+        first = [_prefix(x, hot, often, least) for x in sets]
+        ends = np.cumsum([0, *[len(x) for x in first]]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)))
+        names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names), pa.array([len(x) for x in sets], pa.int32()), tokens], names=["doc_id", "node", "size", "tokens"])
+
+    entered = map_arrow(named, by_block(["doc_id", "text"], enter), "doc_id long, node long, size int, tokens array<long>").where("size > 0")
+    rows = scratch.keep(entered if nodes is None else entered.join(nodes.hint("merge"), "doc_id", "left_semi"))
+    owner = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("rep")))
+    equal = rows.select("node", "doc_id").join(owner.hint("merge"), "node").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # one shuffle of the entries; equal sets enter once
+    one = rows.select("node", "size", F.posexplode("tokens").alias("pos", "token")).repartition("token").distinct()
+    met = one.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    shared = scratch.keep(met.join(owner.hint("merge"), "node").select("token", F.col("rep").alias("doc_id"), "size", "pos", "n"))
+
+    t = least / (1 + least)
+    enough = f"ceil({t!r} * (size + size_b) - 1e-6)"
+    may = f"least(size - pos, size_b - pos_b) >= {enough} AND least(size, size_b) >= {least!r} * greatest(size, size_b) - 1e-6"
+    other = [F.col("size").alias("size_b"), F.col("pos").alias("pos_b")]
+    support = shared.groupBy("doc_id").agg((F.sum(F.log2("n")) / F.max("size")).alias("support"))
+    best = shared.join(support.hint("merge"), "doc_id").groupBy("token").agg(F.max_by(F.struct(F.col("doc_id").alias("b"), *other), F.struct("support", -F.col("doc_id"))).alias("o")).select("token", "o.*")
+    star = shared.join(best.hint("merge"), "token").where("doc_id <> b").where(may).select(F.col("doc_id").alias("a"), "b").distinct()
+    links = equal.union(_verified(named, scratch.keep(star), scratch, least))
+    links = scratch.keep(links if known is None else links.union(known.select("a", "b")))
+
+    found = roots(links, scratch).select(F.col("node").alias("doc_id"), "root")
+    marked = scratch.keep(shared.join(found.hint("merge"), "doc_id", "left").select("token", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root")))
+    major = marked.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    split = scratch.keep(marked.join(major.hint("merge"), "token"))
+    right = split.select("token", F.col("doc_id").alias("b"), *other, F.col("root").alias("root_b"))
+    rest = split.where("root <> major").join(right.hint("merge"), "token").where("root <> root_b AND (root_b = major OR doc_id < b)").where(may)
+    pairs = scratch.keep(rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+    return links.union(_verified(named, pairs, scratch, least))
+
+
+def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of documents whose whole shingle sets are similar by ``least`` or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def pack(keys: list, texts: list) -> pa.RecordBatch:
