@@ -50,3 +50,13 @@ def test_all_pairs_of_widespread_passages_are_joined(spark):
             rows.append((3 * i + k, " ".join(copy)))
     want, got = compared(spark, rows)
     assert got == want
+
+
+def test_short_texts_with_an_edit_are_joined(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(150):
+        words = [f"w{int(k)}" for k in rng.integers(0, 5000, int(rng.integers(10, 100)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "changed"]))]
+    want, got = compared(spark, rows)
+    assert got == want
