@@ -280,12 +280,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id, once; rows without doc_id go.
 
     Groups are the components of fingerprints at DISTANCE or fewer bits, joined where
-    their representatives' five-word shingles are similar by 0.8 or more.
+    the five-word shingles of any of their documents are similar by 0.8 or more.
     """
     scratch = Scratch(spark, "copies")
     found = scratch.keep(components(spark, docs))
-    first = scratch.keep(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    links = scratch.keep(near_links(docs, first, scratch))
+    first = found.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    known = found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = scratch.keep(near_links(docs, None, scratch, known=known))
     gone = roots(links, scratch).select(F.col("node").alias("doc_id"))
     kept = first.join(gone, "doc_id", "left_anti")
     # the ids grow with the texts: the plan that holds for many is the plan for few

@@ -60,3 +60,12 @@ def test_short_texts_with_an_edit_are_joined(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "changed"]))]
     want, got = compared(spark, rows)
     assert got == want
+
+
+def test_links_of_other_members_than_the_first_join_groups(spark):
+    """1 and 2 have one fingerprint, 3 is a near copy of 2 alone."""
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, "x " * 600 + one), (2, "x " * 600 + two), (3, two)]
+    assert S.fingerprint(rows[0][1]) == S.fingerprint(rows[1][1]) != S.fingerprint(two)
+    kept = S.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [1]
