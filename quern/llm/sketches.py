@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text is the set of digests of its paragraphs: lines, those over ``PIECE``
-characters cut into pieces of that length. A sketch has three tables of
+A text is the set of digests of its paragraphs: pieces between line ends and
+sentence ends, of at most ``PIECE`` characters, so that an edit changes the pieces of
+its sentence alone. ``compared`` can also cut lines at every ``PIECE`` characters. A sketch has three tables of
 cells; each digest is in one cell of each table. A cell holds the number of its
 digests, the XOR of the digests and the XOR of their check values. Subtracting the
 sketches of two versions cancels what they share; peeling takes digests from cells
@@ -34,9 +35,14 @@ CYCLES, GROWTH, MOST_ATTEMPTS = 2, 4, 8
 IN_BLOCK = 1024
 
 
-def digests(text: Column) -> Column:
+#: Patterns of a piece: within a line, and within a sentence with its marks.
+LINE = rf"[^\n]{{1,{PIECE}}}+"
+SENTENCE = rf"[^\n.!?]{{1,{PIECE}}}+[.!?]*+|[.!?]++"
+
+
+def digests(text: Column, piece: str = LINE) -> Column:
     """Distinct paragraph digests."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}+"), 0)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(piece), 0)
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
 
 
@@ -115,7 +121,7 @@ def _next_block(blocks: DataFrame) -> DataFrame:
     return near.join(starts, "far").select("block", F.coalesce("next_block", "next_start").alias("next_block"))
 
 
-def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch, piece: str = LINE) -> DataFrame:
     """(uid, doc_id, n_chars, own, edited, next, edited_sha256): digests of each text, of its edited text and of the next document's.
 
     Documents are dealt once into blocks of about IN_BLOCK along doc_id (equal widths;
@@ -126,17 +132,17 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lo, hi = (0, 0) if lo is None else (lo, hi)
     width = max(1.0, (float(hi) - float(lo) + 1) / max(1, n // IN_BLOCK))
     block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(lo)) / width), F.floor(F.lit((float(hi) - float(lo)) / width)) + 1)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block).repartition("block").withColumn("own", digests(F.col("text")))
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block).repartition("block").withColumn("own", digests(F.col("text"), piece))
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
     placed = dealt.select("*", F.row_number().over(w).alias("row"), F.lead("text").over(w).alias("next_text"), F.lead("own").over(w).alias("next"))
     last = F.col("next_text").isNull()
     edge = placed.select("block", "doc_id", F.length("text").cast("long").alias("n_chars"), "own", (F.col("row") == 1).alias("is_first"), last.alias("is_last"), F.when(last | (F.col("row") == 1), F.col("text")).alias("edge_text"), _edited("text", "next_text").alias("edited_text"), "next")
-    held = scratch.keep(edge.withColumn("edited", F.when(~F.col("is_last"), digests(F.col("edited_text")))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text").withColumn("uid", F.monotonically_increasing_id()))
+    held = scratch.keep(edge.withColumn("edited", F.when(~F.col("is_last"), digests(F.col("edited_text"), piece))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text").withColumn("uid", F.monotonically_increasing_id()))
     firsts = held.where("is_first").select(F.col("block").alias("next_block"), F.col("edge_text").alias("next_text"), F.col("own").alias("next"))
     lasts = held.where("is_last").select("block", "uid", "doc_id", "n_chars", "own", "edge_text")
     joined = lasts.join(_next_block(firsts.select(F.col("next_block").alias("block"))), "block").join(firsts, "next_block").withColumn("edited_text", _edited("edge_text", "next_text"))
     names = ["uid", "doc_id", "n_chars", "own", "edited", "next", "edited_sha256"]
-    ends = joined.withColumn("edited", digests(F.col("edited_text"))).withColumn("edited_sha256", F.sha2("edited_text", 256))
+    ends = joined.withColumn("edited", digests(F.col("edited_text"), piece)).withColumn("edited_sha256", F.sha2("edited_text", 256))
     return held.where("NOT is_last").select(names).union(ends.select(names))
 
 
@@ -145,9 +151,9 @@ def _edited(text: str, following: str) -> Column:
     return F.expr(f"concat(substr({text}, 1, length({text}) - length({text}) div 2), substr({following}, 1, length({text}) div 2))")
 
 
-def compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def compared(docs: DataFrame, scratch: Scratch, piece: str = LINE) -> DataFrame:
     """Fingerprints and likenesses of every document, its edited text and the next document."""
-    rows = scratch.keep(with_next(docs, scratch))
+    rows = scratch.keep(with_next(docs, scratch, piece))
     pair = F.explode(F.array(F.struct((F.col("uid") * 2).alias("key"), F.col("own").alias("a"), F.col("edited").alias("b")), F.struct((F.col("uid") * 2 + 1).alias("key"), F.col("own").alias("a"), F.col("next").alias("b"))))
     found = differences(rows.select(pair.alias("p")).select("p.*"), scratch)
     sizes = found.select(F.shiftright("key", 1).alias("uid"), F.when(F.col("key") % 2 == 0, F.struct("only_a", "only_b")).alias("e"), F.when(F.col("key") % 2 == 1, F.struct("only_a", "only_b")).alias("n"))
@@ -165,4 +171,4 @@ def compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op4_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents against its edited text and the next document."""
-    return compared(table(spark, sf_dir, "documents"), Scratch(spark, "sketch"))
+    return compared(table(spark, sf_dir, "documents"), Scratch(spark, "sketch"), SENTENCE)
