@@ -365,7 +365,7 @@ def padded(text: str | None) -> tuple[bytes, bytes]:
 def _features(hists: np.ndarray, starts: np.ndarray, movie: Movie) -> str:
     total = hists.sum(0)
     level = float(total @ np.arange(BINS)) / max(1, total.sum())
-    times = ",".join(f"{s * movie.seconds_per_frame:.2f}" for s in starts[:16].tolist())
+    times = ",".join(f"{s * movie.seconds_per_frame:.2f}" for s in starts.tolist())
     return f"frames={len(hists)};shots={len(starts)};level={level:.4f};hist={zlib.crc32(total.astype('<i8').tobytes()):08x};starts={times}"
 
 
