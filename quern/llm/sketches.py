@@ -2,21 +2,29 @@
 
 A text is the set of digests of its paragraphs: pieces between line ends and
 sentence ends, of at most ``PIECE`` characters, so that an edit changes the pieces of
-its sentence alone. ``compared`` can also cut lines at every ``PIECE`` characters. A sketch has three tables of
-cells; each digest is in one cell of each table. A cell holds the number of its
-digests, the XOR of the digests and the XOR of their check values. Subtracting the
-sketches of two versions cancels what they share; peeling takes digests from cells
-that hold just one, table after table, and recovers the digests of either side. A
-pair whose sketch doesn't peel is tried again with four times the cells.
+its sentence alone. A sketch has three tables of cells; each digest is in one cell of
+each table. A cell holds the number of its digests, the XOR of the digests and the XOR
+of their check values. Subtracting the sketches of two versions cancels what they
+share; peeling takes digests from cells that hold just one, table after table, and
+recovers the digests of either side.
+
+The fingerprint of a text is its sketch of ``BASE`` cells a table. Two fingerprints are
+subtracted first. The squares of the counts that are left estimate the size of the
+difference; a small one is peeled from the subtracted fingerprints themselves, a larger
+one from sketches of both digest sets with about ``ROOM`` times as many cells a table as
+the estimate. A pair whose sketch doesn't peel, as estimates are rough, is tried again
+with ``GROWTH`` times the cells until it does.
 
 Subtraction and peeling are hash aggregations by (pair, cell) within partitions
-dealt by pair, so an attempt has one shuffle, of digests, and takes time in
-proportion to the number of digests.
+dealt by row, so an attempt has one shuffle, of digests, and takes time in
+proportion to the number of digests. Documents are dealt into blocks of the order by
+doc_id between quantiles of it, so neither gaps nor outliers make blocks uneven.
 
 Defined results: null text is empty and has no paragraphs; two texts without
-paragraphs are alike by 1. Rows without doc_id come last in the order, ties of
-doc_id are ordered by text, the last row's next is the first; an empty table gives
-no rows.
+paragraphs are alike by 1; a very long text has as many digests as it has distinct
+pieces. Rows without doc_id come last in the order, ties of doc_id are ordered by
+text, the last row's next is the first; repeated rows are each other's next. Columns
+other than doc_id and text are never read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,22 +35,20 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 PIECE = 160
-#: Cells of each of the three tables: of a fingerprint, and the least of a pair's sketch.
-BASE, LEAST = 4, 8
-#: Passes over the three tables in an attempt, growth of a retry, most attempts.
-CYCLES, GROWTH, MOST_ATTEMPTS = 2, 4, 8
-#: Documents in a block of the order by doc_id.
-IN_BLOCK = 1024
-
-
-#: Patterns of a piece: within a line, and within a sentence with its marks.
-LINE = rf"[^\n]{{1,{PIECE}}}+"
+#: Cells of each of a fingerprint's three tables; cells a table for each differing digest of the estimate.
+BASE, ROOM = 4, 2
+#: Passes over the three tables in an attempt, growth of a retry.
+CYCLES, GROWTH = 2, 4
+#: Documents in a block of the order by doc_id, and most quantiles taken at once.
+IN_BLOCK, QUANTILES = 1024, 256
+
+#: Pattern of a piece: a sentence, with its marks, within a line.
 SENTENCE = rf"[^\n.!?]{{1,{PIECE}}}+[.!?]*+|[.!?]++"
 
 
-def digests(text: Column, piece: str = LINE) -> Column:
+def digests(text: Column) -> Column:
     """Distinct paragraph digests."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(piece), 0)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), 0)
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.trim(p))))
 
 
@@ -50,100 +56,151 @@ def _check(k: str) -> str:
     return f"(xxhash64({k}, 1) & 4294967295L)"
 
 
-def _slot(k: str, j: str, size: str) -> str:
-    """Cell of a digest in table j; a size that divides another gives the same cell modulo it."""
+def _slot(k: str, j: int, size: str) -> str:
+    """Cell of a digest in table j."""
     return f"int({j} * {size} + pmod(xxhash64({k}, 10 + {j}), {size}))"
 
 
-def fingerprint(d: str) -> Column:
-    """The sketch of a digest column in 3 x BASE cells as hex: count, digests, check values of each."""
-    cells = f"""
-      transform(sequence(0, {3 * BASE - 1}), i -> aggregate(
-        filter({d}, x -> {_slot('x', f'(i div {BASE})', str(BASE))} = i),
-        named_struct('n', 0L, 'k', 0L, 'c', 0L),
-        (s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x, 'c', s.c ^ {_check('x')}),
-        s -> concat(lpad(hex(s.n), 4, '0'), lpad(hex(s.k), 16, '0'), lpad(hex(s.c), 8, '0'))))"""
-    return F.lower(F.array_join(F.expr(cells), ""))
+def sketch(d: Column) -> Column:
+    """A digest column's sketch of 3 x BASE cells, as structs of count ``n``, digests ``k`` and check values ``c``."""
+    placed = F.transform(d, lambda x: F.struct(x.alias("k"), F.xxhash64(x, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("c"), *[F.pmod(F.xxhash64(x, F.lit(10 + j)), F.lit(BASE)).cast("int").alias(f"s{j}") for j in range(3)]))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+    add = lambda s, x: F.struct((s.n + 1).alias("n"), s.k.bitwiseXOR(x.k).alias("k"), s.c.bitwiseXOR(x.c).alias("c"))
+
+    def cell(held: Column, j: int, i: int) -> Column:
+        return F.aggregate(F.filter(held, lambda x: x[f"s{j}"] == i), none, add)
+
+    # bound once: every cell reads the placed digests
+    return F.element_at(F.transform(F.array(placed), lambda held: F.array(*[cell(held, j, i) for j in range(3) for i in range(BASE)])), 1)
+
+
+def fingerprint(cells: Column) -> Column:
+    """A sketch as hex: 8 digits of count, 16 of digests, 8 of check values for each cell."""
+    return F.lower(F.array_join(F.transform(cells, lambda s: F.concat(F.lpad(F.hex(s.n), 8, "0"), F.lpad(F.hex(s.k), 16, "0"), F.lpad(F.hex(s.c), 8, "0"))), ""))
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    """The cells of a sketch less those of another: (``size``, ``delta``), the cells a table that its peeling takes and the difference.
+
+    ``size`` is BASE where the sketches themselves do. The counts are sums of +1 and -1
+    over a cell's differing digests, so their squares add up to the number of these and
+    what the difference in size gives by itself.
+    """
+    delta = F.zip_with(a, b, lambda x, y: F.struct((x.n - y.n).alias("n"), x.k.bitwiseXOR(y.k).alias("k"), x.c.bitwiseXOR(y.c).alias("c")))
+    plus = lambda s, x: s + x
+    squares = lambda d: F.aggregate(F.transform(d, lambda x: x.n * x.n), F.lit(0).cast("long"), plus)
+    more = lambda d: F.aggregate(F.transform(F.slice(d, 1, BASE), lambda x: x.n), F.lit(0).cast("long"), plus)
+
+    def sized(d: Column) -> Column:
+        apart = F.abs(more(d)).cast("double")
+        about = F.greatest(apart, (squares(d) / 3.0 - apart * apart / BASE) / (1 - 1 / BASE))
+        size = F.when(about <= BASE, BASE).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(about * ROOM)))).cast("int")
+        return F.struct(size.alias("size"), d.alias("delta"))
+
+    return F.element_at(F.transform(F.array(delta), sized), 1)
+
 
+def _attempt(rows: DataFrame, pairs: Column) -> DataFrame:
+    """(uid, pair, ok, only_a, only_b) of the pairs that differ.
 
-def _attempt(pairs: DataFrame, size: str) -> DataFrame:
-    """(key, ok, only_a, only_b) of the pairs (key, a, b) that differ; ``size`` is SQL for a table's cells."""
-    sides = "concat(transform(a, x -> struct(x, 1L AS n)), transform(b, x -> struct(x, -1L AS n)))"
-    each = pairs.repartition("key").select("key", F.expr(f"int({size})").alias("s"), F.explode(F.expr(sides)).alias("e")).select("key", "s", "e.x", "e.n")
-    entered = each.select("key", "s", "n", F.col("x").alias("k"), F.expr(_check("x")).alias("c"), F.explode(F.expr(f"array({_slot('x', '0', 's')}, {_slot('x', '1', 's')}, {_slot('x', '2', 's')})")).alias("cell"), F.lit(0).cast("long").alias("digest"))
+    ``pairs`` of each row is an array of (pair, size, delta, a, b): the cells of
+    ``delta`` are peeled where it isn't null, else the sketches of the digest arrays. It is
+    formed behind the shuffle, so arrays that several pairs hold are sent once.
+    """
+    cells = "transform(filter(transform(p.delta, (x, i) -> named_struct('cell', int(i), 'n', x.n, 'k', x.k, 'c', x.c)), x -> x.n <> 0 OR x.k <> 0 OR x.c <> 0), x -> named_struct('pair', p.pair, 's', p.size, 'cell', x.cell, 'n', x.n, 'k', x.k, 'c', x.c))"
+    side = lambda name, n: f"transform(p.{name}, x -> named_struct('pair', p.pair, 's', p.size, 'cell', -1, 'n', {n}L, 'k', x, 'c', 0L))"
+    entries = f"flatten(transform(pairs, p -> IF(p.delta IS NOT NULL, {cells}, concat({side('a', 1)}, {side('b', -1)}))))"
+    each = rows.repartition("uid").select("uid", pairs.alias("pairs")).select("uid", F.explode(F.expr(entries)).alias("e")).select("uid", "e.*")
+    slots = ", ".join(_slot("k", j, "s") for j in range(3))
+    entered = each.select("uid", "pair", "s", "n", "k", F.expr(f"IF(cell < 0, {_check('k')}, c)").alias("c"), F.explode(F.expr(f"IF(cell < 0, array({slots}), array(cell))")).alias("cell"), F.lit(0).cast("long").alias("digest"))
 
     def summed(rows: DataFrame) -> DataFrame:
-        out = rows.groupBy("key", "s", "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+        out = rows.groupBy("uid", "pair", "s", "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
         return out.where("cell < 0 OR n <> 0 OR k <> 0 OR c <> 0")
 
     cells = summed(entered)
     same = "named_struct('cell', cell, 'digest', digest, 'n', n, 'k', k, 'c', c)"
     for j in list(range(3)) * CYCLES:
-        others = ", ".join(f"named_struct('cell', {_slot('k', str(i), 's')}, 'digest', 0L, 'n', -n, 'k', k, 'c', c)" for i in range(3) if i != j)
+        others = ", ".join(f"named_struct('cell', {_slot('k', i, 's')}, 'digest', 0L, 'n', -n, 'k', k, 'c', c)" for i in range(3) if i != j)
         found = f"array(named_struct('cell', -1, 'digest', k, 'n', n, 'k', 0L, 'c', 0L), {others})"
-        pure = f"cell >= 0 AND cell div s = {j} AND abs(n) = 1 AND c = {_check('k')} AND cell = {_slot('k', str(j), 's')}"
-        cells = summed(cells.select("key", "s", F.explode(F.expr(f"IF({pure}, {found}, array({same}))")).alias("e")).select("key", "s", "e.*"))
-    side = lambda n: F.array_sort(F.collect_list(F.when((F.col("cell") < 0) & (F.col("n") == n), F.col("digest"))))
-    return cells.groupBy("key").agg(F.bool_and(F.col("cell") < 0).alias("ok"), side(1).alias("only_a"), side(-1).alias("only_b"))
-
-
-def differences(pairs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """Of pairs (key, a, b) of digest arrays: (key, only_a, only_b) of those that differ."""
-    todo, done = pairs, None
-    for attempt in range(MOST_ATTEMPTS):
-        size = f"greatest({least}, shiftleft(1, int(ceil(log2(greatest(1, size(a) + size(b))))))) * {GROWTH**attempt}"
-        result = scratch.keep(_attempt(todo, size))
-        good = result.where("ok").drop("ok")
+        pure = f"cell >= 0 AND cell div s = {j} AND abs(n) = 1 AND c = {_check('k')} AND cell = {_slot('k', j, 's')}"
+        cells = summed(cells.select("uid", "pair", "s", F.explode(F.expr(f"IF({pure}, {found}, array({same}))")).alias("e")).select("uid", "pair", "s", "e.*"))
+    of = lambda n: F.array_sort(F.collect_list(F.when((F.col("cell") < 0) & (F.col("n") == n), F.col("digest"))))
+    return cells.groupBy("uid", "pair").agg(F.bool_and(F.col("cell") < 0).alias("ok"), of(1).alias("only_a"), of(-1).alias("only_b"))
+
+
+def pair(number: int, s: Column, a: Column, b: Column) -> Column:
+    """Digest arrays and the ``subtracted`` of their sketches, as ``_attempt`` takes them."""
+    return F.struct(F.lit(number).alias("pair"), s["size"].alias("size"), F.when(s["size"] == BASE, s["delta"]).alias("delta"), a.alias("a"), b.alias("b"))
+
+
+def _larger(pairs: Column, which: Column, times: int) -> Column:
+    """The pairs of ``which`` with that many times the cells, to be sketched from their digests."""
+    grown = lambda p: F.struct(p["pair"].alias("pair"), (p["size"] * times).cast("int").alias("size"), F.nullif(p["delta"], p["delta"]).alias("delta"), p["a"].alias("a"), p["b"].alias("b"))
+    return F.transform(F.filter(pairs, lambda p: F.array_contains(which, p["pair"])), grown)
+
+
+def differences(rows: DataFrame, pairs: Column, scratch: Scratch, result: tuple[str, ...] = ("only_a", "only_b")) -> DataFrame:
+    """(uid, pair, *result) of the pairs that differ; ``result`` is SQL over ``only_a`` and ``only_b``.
+
+    Pairs that fail are tried with GROWTH times the cells, again and again: an attempt
+    with many more cells than digests fails by chance alone.
+    """
+    done, times = None, 1
+    tried = scratch.keep(_attempt(rows, pairs).selectExpr("uid", "pair", "ok", *result))
+    while True:
+        good = tried.where("ok").drop("ok")
         done = good if done is None else done.union(good)
-        failed = result.where("NOT ok").select("key")
+        failed = tried.where("NOT ok").groupBy("uid").agg(F.collect_set("pair").alias("failed"))
         if failed.isEmpty():
             return done
-        todo = scratch.keep(todo.join(failed, "key", "left_semi"))
-    raise RuntimeError("a sketch does not peel after the last attempt")
+        times *= GROWTH
+        again = _attempt(rows.join(failed, "uid"), _larger(pairs, F.col("failed"), times))
+        tried = scratch.keep(again.selectExpr("uid", "pair", "ok", *result))
 
 
-def likeness(a: Column, b: Column, only_a: Column, only_b: Column) -> Column:
-    """Shared digests over all digests of both; null differences mean none."""
-    na, nb = F.size(a), F.size(b)
-    x, y = F.coalesce(F.size(only_a), F.lit(0)), F.coalesce(F.size(only_b), F.lit(0))
-    x, y = F.when(only_a.isNull(), 0).otherwise(x), F.when(only_b.isNull(), 0).otherwise(y)
+def likeness(na: Column, nb: Column, x: Column, y: Column) -> Column:
+    """Shared digests over all digests of two texts with na and nb, of which x and y are theirs alone; null is none."""
+    x, y = F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))
     return F.when(na + nb == 0, 1.0).otherwise((na - x) / F.greatest(F.lit(1), na + y)).cast("double")
 
 
-def _next_block(blocks: DataFrame) -> DataFrame:
-    """(block, next_block) of the blocks that occur, the last's next being the first; windows span 4096 blocks or one in 4096."""
-    far = blocks.withColumn("far", F.floor(F.col("block") / 4096))
-    near = far.withColumn("next_block", F.lead("block").over(Window.partitionBy("far").orderBy("block")))
-    starts = far.groupBy("far").agg(F.min("block").alias("start"))
-    w = Window.orderBy("far")
-    whole = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = starts.select("far", F.coalesce(F.lead("start").over(w), F.first("start").over(whole)).alias("next_start"))
-    return near.join(starts, "far").select("block", F.coalesce("next_block", "next_start").alias("next_block"))
-
-
-def with_next(docs: DataFrame, scratch: Scratch, piece: str = LINE) -> DataFrame:
-    """(uid, doc_id, n_chars, own, edited, next, edited_sha256): digests of each text, of its edited text and of the next document's.
-
-    Documents are dealt once into blocks of about IN_BLOCK along doc_id (equal widths;
-    uneven ids make uneven blocks, never wrong ones) and the next one is a lead inside
-    a block. Only first and last rows of blocks keep their text, to be joined.
+def _quantiles(doc_id: str, n: int) -> Column:
+    """The n - 1 ids that part the rows into n ranges, roughly."""
+    if n < 2:
+        return F.array().cast("array<bigint>")
+    return F.percentile_approx(doc_id, [i / n for i in range(1, n)], 16 * QUANTILES)
+
+
+def _range(bounds: Column, x: Column) -> Column:
+    """How many of the sorted bounds are not above x, by binary search; at most QUANTILES - 1."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((QUANTILES - 1).bit_length()))])
+    go = lambda lo, step: F.when((lo + step <= F.size(bounds)) & (F.try_element_at(bounds, lo + step) <= x), lo + step).otherwise(lo)
+    return F.aggregate(steps, F.lit(0), go)
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """The documents with ``block``, ascending with doc_id, of about IN_BLOCK documents as long as QUANTILES squared blocks can hold them.
+
+    Bounds are QUANTILES quantiles, and as many of each of these ranges: 256 rows of 255 numbers, whatever the input.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1.0, (float(hi) - float(lo) + 1) / max(1, n // IN_BLOCK))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(lo)) / width), F.floor(F.lit((float(hi) - float(lo)) / width)) + 1)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block).repartition("block").withColumn("own", digests(F.col("text"), piece))
-    w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    placed = dealt.select("*", F.row_number().over(w).alias("row"), F.lead("text").over(w).alias("next_text"), F.lead("own").over(w).alias("next"))
-    last = F.col("next_text").isNull()
-    edge = placed.select("block", "doc_id", F.length("text").cast("long").alias("n_chars"), "own", (F.col("row") == 1).alias("is_first"), last.alias("is_last"), F.when(last | (F.col("row") == 1), F.col("text")).alias("edge_text"), _edited("text", "next_text").alias("edited_text"), "next")
-    held = scratch.keep(edge.withColumn("edited", F.when(~F.col("is_last"), digests(F.col("edited_text"), piece))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text").withColumn("uid", F.monotonically_increasing_id()))
-    firsts = held.where("is_first").select(F.col("block").alias("next_block"), F.col("edge_text").alias("next_text"), F.col("own").alias("next"))
-    lasts = held.where("is_last").select("block", "uid", "doc_id", "n_chars", "own", "edge_text")
-    joined = lasts.join(_next_block(firsts.select(F.col("next_block").alias("block"))), "block").join(firsts, "next_block").withColumn("edited_text", _edited("edge_text", "next_text"))
-    names = ["uid", "doc_id", "n_chars", "own", "edited", "next", "edited_sha256"]
-    ends = joined.withColumn("edited", digests(F.col("edited_text"), piece)).withColumn("edited_sha256", F.sha2("edited_text", 256))
-    return held.where("NOT is_last").select(names).union(ends.select(names))
+    n = docs.count()
+    many = max(1, -(-n // IN_BLOCK))
+    first = docs.agg(_quantiles("doc_id", min(QUANTILES, many)).alias("q")).first()["q"] or []
+    far = F.when(F.col("doc_id").isNull(), QUANTILES).otherwise(_range(F.array(*map(F.lit, first)).cast("array<bigint>"), F.col("doc_id")))
+    placed = docs.withColumn("far", far)
+    if many > QUANTILES:
+        second = docs.select("doc_id").withColumn("far", far).groupBy("far").agg(_quantiles("doc_id", min(QUANTILES, -(-many // QUANTILES))).alias("q"))
+        near = F.coalesce(_range(F.col("q"), F.col("doc_id")), F.lit(0))
+        return placed.join(F.broadcast(second), "far").withColumn("block", F.col("far") * QUANTILES + near).drop("far", "q")
+    return placed.withColumn("block", F.col("far") * QUANTILES).drop("far")
+
+
+def _next_block(blocks: DataFrame) -> DataFrame:
+    """(block, next_block) of the blocks that occur, the last's next being the first; there are at most QUANTILES squared and one."""
+    w = Window.orderBy("block")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return blocks.select("block", F.coalesce(F.lead("block").over(w), F.first("block").over(whole)).alias("next_block"))
 
 
 def _edited(text: str, following: str) -> Column:
@@ -151,24 +208,60 @@ def _edited(text: str, following: str) -> Column:
     return F.expr(f"concat(substr({text}, 1, length({text}) - length({text}) div 2), substr({following}, 1, length({text}) div 2))")
 
 
-def compared(docs: DataFrame, scratch: Scratch, piece: str = LINE) -> DataFrame:
+def _described(df: DataFrame) -> DataFrame:
+    """With ``edited_text`` replaced by its digest, its paragraph digests and its sketch."""
+    out = df.withColumn("edited", digests(F.col("edited_text"))).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    return out.withColumn("edited_cells", sketch(F.col("edited")))
+
+
+def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, own, edited, next, e, n): digests of each text, its edited text and the next document's, and their sketches subtracted (``e``, ``n``).
+
+    Documents are dealt once, by block, and the next one is a lead inside a block. Only
+    first and last rows of blocks keep their text, to be joined.
+    """
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = in_blocks(plain).repartition("block").withColumn("own", digests(F.col("text"))).withColumn("cells", sketch(F.col("own")))
+    w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    placed = dealt.select("*", F.row_number().over(w).alias("row"), *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", "own", "cells")])
+    last = F.col("next_text").isNull()
+    edge = placed.select(
+        "block", "doc_id", F.length("text").cast("long").alias("n_chars"), "own", "cells", (F.col("row") == 1).alias("is_first"), last.alias("is_last"),
+        F.when(last | (F.col("row") == 1), F.col("text")).alias("edge_text"), _edited("text", "next_text").alias("edited_text"), "next_own", "next_cells",
+    )
+    held = _described(edge).withColumn("uid", F.monotonically_increasing_id())
+    done = lambda df, *more: df.select(
+        "uid", "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("cells")).alias("fingerprint"), fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+        "own", "edited", F.col("next_own").alias("next"), subtracted(F.col("cells"), F.col("edited_cells")).alias("e"), subtracted(F.col("cells"), F.col("next_cells")).alias("n"), *more,
+    )
+    ends = F.col("is_first") | F.col("is_last")
+    held = scratch.keep(done(held, "block", "is_first", "is_last", "edge_text", F.when(ends, F.col("cells")).alias("cells")))
+    firsts = held.where("is_first").select(F.col("block").alias("next_block"), F.col("edge_text").alias("next_text"), F.col("own").alias("next_own"), F.col("cells").alias("next_cells"))
+    lasts = held.where("is_last").select("block", "uid", "doc_id", "n_chars", "own", "cells", "edge_text")
+    joined = lasts.join(_next_block(firsts.select(F.col("next_block").alias("block"))), "block").join(firsts, "next_block").withColumn("edited_text", _edited("edge_text", "next_text"))
+    ends = done(_described(joined))
+    return held.where("NOT is_last").select(ends.columns).union(ends)
+
+
+def compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Fingerprints and likenesses of every document, its edited text and the next document."""
-    rows = scratch.keep(with_next(docs, scratch, piece))
-    pair = F.explode(F.array(F.struct((F.col("uid") * 2).alias("key"), F.col("own").alias("a"), F.col("edited").alias("b")), F.struct((F.col("uid") * 2 + 1).alias("key"), F.col("own").alias("a"), F.col("next").alias("b"))))
-    found = differences(rows.select(pair.alias("p")).select("p.*"), scratch)
-    sizes = found.select(F.shiftright("key", 1).alias("uid"), F.when(F.col("key") % 2 == 0, F.struct("only_a", "only_b")).alias("e"), F.when(F.col("key") % 2 == 1, F.struct("only_a", "only_b")).alias("n"))
-    both = sizes.groupBy("uid").agg(F.max("e").alias("e"), F.max("n").alias("n"))
-    return rows.join(both, "uid", "left").select(
+    rows = scratch.keep(with_next(docs, scratch))
+    pairs = F.array(pair(0, F.col("e"), F.col("own"), F.col("edited")), pair(1, F.col("n"), F.col("own"), F.col("next")))
+    found = differences(rows.select("uid", "own", "edited", "next", "e", "n"), pairs, scratch, ("size(only_a) AS x", "size(only_b) AS y"))
+    of = lambda p: F.max(F.when(F.col("pair") == p, F.struct("x", "y")))
+    both = found.groupBy("uid").agg(of(0).alias("e"), of(1).alias("n"))
+    out = rows.select("uid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *[F.size(c).alias(f"n_{c}") for c in ("own", "edited", "next")])
+    return out.join(both, "uid", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint("own").alias("fingerprint"),
-        fingerprint("edited").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), F.col("e.only_a"), F.col("e.only_b")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next"), F.col("n.only_a"), F.col("n.only_b")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("n_own"), F.col("n_edited"), F.col("e.x"), F.col("e.y")).alias("near_edited"),
+        likeness(F.col("n_own"), F.col("n_next"), F.col("n.x"), F.col("n.y")).alias("near_next"),
     )
 
 
 def op4_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents against its edited text and the next document."""
-    return compared(table(spark, sf_dir, "documents"), Scratch(spark, "sketch"), SENTENCE)
+    return compared(table(spark, sf_dir, "documents"), Scratch(spark, "sketch"))
