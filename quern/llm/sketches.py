@@ -80,9 +80,9 @@ def fingerprint(cells: Column) -> Column:
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    """The cells of a sketch less those of another: (``size``, ``delta``), the cells a table that its peeling takes and the difference.
+    """The cells of a sketch less those of another: (``size``, ``delta``), the cells a table that its peeling takes, and the difference where BASE cells do.
 
-    ``size`` is BASE where the sketches themselves do. The counts are sums of +1 and -1
+    The counts are sums of +1 and -1
     over a cell's differing digests, so their squares add up to the number of these and
     what the difference in size gives by itself.
     """
@@ -95,7 +95,7 @@ def subtracted(a: Column, b: Column) -> Column:
         apart = F.abs(more(d)).cast("double")
         about = F.greatest(apart, (squares(d) / 3.0 - apart * apart / BASE) / (1 - 1 / BASE))
         size = F.when(about <= BASE, BASE).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(about * ROOM)))).cast("int")
-        return F.struct(size.alias("size"), d.alias("delta"))
+        return F.struct(size.alias("size"), F.when(size == BASE, d).alias("delta"))
 
     return F.element_at(F.transform(F.array(delta), sized), 1)
 
@@ -131,7 +131,7 @@ def _attempt(rows: DataFrame, pairs: Column) -> DataFrame:
 
 def pair(number: int, s: Column, a: Column, b: Column) -> Column:
     """Digest arrays and the ``subtracted`` of their sketches, as ``_attempt`` takes them."""
-    return F.struct(F.lit(number).alias("pair"), s["size"].alias("size"), F.when(s["size"] == BASE, s["delta"]).alias("delta"), a.alias("a"), b.alias("b"))
+    return F.struct(F.lit(number).alias("pair"), s["size"].alias("size"), s["delta"].alias("delta"), a.alias("a"), b.alias("b"))
 
 
 def _larger(pairs: Column, which: Column, times: int) -> Column:
@@ -239,13 +239,13 @@ def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     firsts = held.where("is_first").select(F.col("block").alias("next_block"), F.col("edge_text").alias("next_text"), F.col("own").alias("next_own"), F.col("cells").alias("next_cells"))
     lasts = held.where("is_last").select("block", "uid", "doc_id", "n_chars", "own", "cells", "edge_text")
     joined = lasts.join(_next_block(firsts.select(F.col("next_block").alias("block"))), "block").join(firsts, "next_block").withColumn("edited_text", _edited("edge_text", "next_text"))
-    ends = done(_described(joined))
+    ends = scratch.keep(done(_described(joined)))
     return held.where("NOT is_last").select(ends.columns).union(ends)
 
 
 def compared(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Fingerprints and likenesses of every document, its edited text and the next document."""
-    rows = scratch.keep(with_next(docs, scratch))
+    rows = with_next(docs, scratch)
     pairs = F.array(pair(0, F.col("e"), F.col("own"), F.col("edited")), pair(1, F.col("n"), F.col("own"), F.col("next")))
     found = differences(rows.select("uid", "own", "edited", "next", "e", "n"), pairs, scratch, ("size(only_a) AS x", "size(only_b) AS y"))
     of = lambda p: F.max(F.when(F.col("pair") == p, F.struct("x", "y")))
