@@ -39,6 +39,8 @@ PIECE = 160
 BASE, ROOM = 4, 2
 #: Passes over the three tables in an attempt, growth of a retry.
 CYCLES, GROWTH = 2, 4
+#: Digests that a partition peels at once, so that its cells stay in memory, and most partitions of an attempt; with more digests than both allow, cells spill.
+AT_ONCE, PARTITIONS = 300_000, 1 << 15
 #: Documents in a block of the order by doc_id, and most quantiles taken at once.
 IN_BLOCK, QUANTILES = 1024, 256
 
@@ -110,7 +112,9 @@ def _attempt(rows: DataFrame, pairs: Column) -> DataFrame:
     cells = "transform(filter(transform(p.delta, (x, i) -> named_struct('cell', int(i), 'n', x.n, 'k', x.k, 'c', x.c)), x -> x.n <> 0 OR x.k <> 0 OR x.c <> 0), x -> named_struct('pair', p.pair, 's', p.size, 'cell', x.cell, 'n', x.n, 'k', x.k, 'c', x.c))"
     side = lambda name, n: f"transform(p.{name}, x -> named_struct('pair', p.pair, 's', p.size, 'cell', -1, 'n', {n}L, 'k', x, 'c', 0L))"
     entries = f"flatten(transform(pairs, p -> IF(p.delta IS NOT NULL, {cells}, concat({side('a', 1)}, {side('b', -1)}))))"
-    each = rows.repartition("uid").select("uid", pairs.alias("pairs")).select("uid", F.explode(F.expr(entries)).alias("e")).select("uid", "e.*")
+    held = F.sum(F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + F.size(p["a"]) + F.size(p["b"])))
+    parts = min(PARTITIONS, (rows.agg(held.alias("n")).first()["n"] or 0) // AT_ONCE + 1)
+    each = rows.repartition(parts, "uid").select("uid", pairs.alias("pairs")).select("uid", F.explode(F.expr(entries)).alias("e")).select("uid", "e.*")
     slots = ", ".join(_slot("k", j, "s") for j in range(3))
     entered = each.select("uid", "pair", "s", "n", "k", F.expr(f"IF(cell < 0, {_check('k')}, c)").alias("c"), F.explode(F.expr(f"IF(cell < 0, array({slots}), array(cell))")).alias("cell"), F.lit(0).cast("long").alias("digest"))
 
