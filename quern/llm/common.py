@@ -6,10 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python operator works on at once, unless one text is longer.
 BLOCK_CHARS = 500_000
@@ -21,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, or with as many underscores behind it as no name of ``taken`` has, in any case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, though ``use`` reads it many times or inside functions of elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have BATCH_BYTES at most, as rows may be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bound, table
 
 PIECE = 160
 #: Cells of each of a fingerprint's three tables; cells a table for each differing digest of the estimate.
@@ -72,8 +72,7 @@ def sketch(d: Column) -> Column:
     def cell(held: Column, j: int, i: int) -> Column:
         return F.aggregate(F.filter(held, lambda x: x[f"s{j}"] == i), none, add)
 
-    # bound once: every cell reads the placed digests
-    return F.element_at(F.transform(F.array(placed), lambda held: F.array(*[cell(held, j, i) for j in range(3) for i in range(BASE)])), 1)
+    return bound(placed, lambda held: F.array(*[cell(held, j, i) for j in range(3) for i in range(BASE)]))
 
 
 def fingerprint(cells: Column) -> Column:
@@ -99,7 +98,7 @@ def subtracted(a: Column, b: Column) -> Column:
         size = F.when(about <= BASE, BASE).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(about * ROOM)))).cast("int")
         return F.struct(size.alias("size"), F.when(size == BASE, d).alias("delta"))
 
-    return F.element_at(F.transform(F.array(delta), sized), 1)
+    return bound(delta, sized)
 
 
 def _attempt(rows: DataFrame, pairs: Column) -> DataFrame:

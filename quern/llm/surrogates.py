@@ -1,67 +1,97 @@
 """PII surrogates, in DataFrame operations only.
 
 Entities are e-mail addresses, IPv4 addresses, phone, card, social-security and
-account (IBAN) numbers, secrets, and persons' names. Each distinct entity of the
-table gets one surrogate, made from a keyed digest of its type and normal form, so
-that every mention, however written, gets the same one. Surrogates keep type and
-format: length, case, separators, character classes, a phone's country code, a
-card's first digit and whether its check digit is right, a mail address's top
-domain; names keep title, script, case and gender.
+account (IBAN) numbers, secrets, and persons' names. A name is found by a title, by a
+known given name, by words that announce one ("my name is"), or by standing right
+before a mail address; in a text where it was found, each of its words is an entity
+wherever it stands alone. Each distinct entity of the table gets one surrogate, made
+from a keyed digest (HMAC-SHA-256) of its type and normal form, so that every mention,
+however written, gets the same one. Surrogates keep type and format: length, case,
+separators, character classes, a phone's country code, an account's country with
+check digits that are right, a card's first digit and whether its check digit is
+right, a mail address's top domain; an IP address stays one, of any length; names keep
+title, hyphens, particles, script, case and gender.
 
 Collision checks: a surrogate must not be an entity of the table, nor that of
 another entity of its type. Entities for which it is are given the next attempt's
-surrogate, round by round, until none is left. Texts stay where they are read:
-only distinct entities move. The few entities with a later attempt go into the
-expression as a map while at most ``MAP_MOST``, and beyond by a join on doc_id.
+surrogate, round by round, until none is left; as a format may have fewer strings than
+entities, every ``GROW`` attempts make surrogates one character longer. Texts are
+searched once and written with their mentions; only rows with mentions are joined with
+the later attempts, at every size by the same plan.
 
 Defined results: null text stays null; empty text stays empty; other columns are
-kept; repeated rows repeat their result.
+kept, whatever their names; rows without doc_id, ties and repeated rows are like any
+other, as no column but the text is read; very long texts are searched whole, by
+patterns that match in linear time; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bound, free_name, table
 
-KEY = "surrogate-key-1"
-MAP_MOST, MOST_ATTEMPTS = 5000, 40
+#: Setting that holds the secret key, and the key of tests and examples, where it is unset.
+KEY_SETTING, EXAMPLE_KEY = "spark.quern.surrogate.key", "example-key"
+#: Attempts after which surrogates grow by a character.
+GROW = 4
 
 # Titles by gender, given names by gender and script, syllables of made-up names.
 TITLES_F = "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Señorita Sra Госпожа".split()
 TITLES_M = "Mr Herr Monsieur Señor Sr Господин".split()
-TITLES_ANY = "Dr Prof".split()
-GIVEN_F = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Emma Sophie Julia Laura Marie Claire Camille Carmen Lucía Sofía Katharina Ursula Olivia Alice Emily Grace Анна Мария Елена Ольга Наталья Ирина".split()
-GIVEN_M = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Peter Paul Hans Klaus Jürgen Wolfgang Pierre Jean François Louis Carlos Juan José Miguel Antonio Henry George Edward Иван Сергей Алексей Дмитрий Николай Андрей".split()
+TITLES_ANY = "Dr Prof Professor Doctor Sir Judge Captain Pastor".split()
+GIVEN_F = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Emma Sophie Julia Laura Marie Claire Camille Carmen Lucía Sofía Katharina Ursula Olivia Alice Emily Grace Fatima Aisha Priya Ananya Mei Yuki Ingrid Chiara Giulia Zeynep Анна Мария Елена Ольга Наталья Ирина".split()
+GIVEN_M = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Peter Paul Hans Klaus Jürgen Wolfgang Pierre Jean François Louis Carlos Juan José Miguel Antonio Henry George Edward Mohammed Ahmed Omar Wei Hiroshi Kenji Raj Arjun Sven Lars Giovanni Marco Mehmet Иван Сергей Алексей Дмитрий Николай Андрей".split()
+#: Small words inside names, words that announce a name.
+PARTICLES = "von van der den de del della di da la le bin ibn al".split()
+ANNOUNCED = ["my name is", "name is", "name:", "contact person", "contact:", "signed by", "written by", "yours sincerely,", "sincerely,", "kind regards,", "regards,", "attn:", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es"]
 LATIN = "ba be bo da de di do fa fe fi ga ge ka ke ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo za".split()
 CYRILLIC = "ба бе бо ва ве ви во га ге да де ди до за ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се си со та те ти то".split()
 
 _TITLE = "(?:" + "|".join(TITLES_F + TITLES_M + TITLES_ANY) + r")\b\.?"
 _GIVEN = "(?:" + "|".join(GIVEN_F + GIVEN_M) + ")"
-_CAPITAL = r"\p{Lu}[\p{L}'’-]{1,40}"
+_CAPITAL = r"\p{Lu}[\p{L}'’]{1,40}(?:-\p{Lu}[\p{L}'’]{1,40}){0,2}"
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+_REST = rf"(?: \p{{Lu}}\.)?(?: {_PARTICLE}){{0,2}} {_CAPITAL}"
+_CUE = "(?i:" + "|".join(ANNOUNCED) + ")"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Types and patterns, in order of precedence. Runs are possessive and begin at a border, so that matching stays linear.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/=-]{8,}+",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9+])\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE} {_CAPITAL}(?: {_CAPITAL})?|{_GIVEN} {_CAPITAL})",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9+])\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9.,+/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9])",
+    "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE} {_CAPITAL}(?:{_REST})?|(?:\p{{Lu}}[\p{{L}}]{{1,40}}-)?{_GIVEN}(?:-\p{{Lu}}[\p{{L}}]{{1,40}})?{_REST}|(?=\p{{Lu}})(?:(?<={_CUE} ){_CAPITAL}(?:{_REST})?|{_CAPITAL}{_REST}(?=,? [(<]?[\p{{L}}\p{{N}}._%+-]{{1,64}}+@)))(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: A cheap test that every text with an entity passes.
-HINT = rf"[0-9]|@|(?:token|secret|password|passwd|key)\b|\b(?:{_TITLE}|{_GIVEN}) \p{{Lu}}".replace("(?:token", "(?i:token")
+#: What a text of each type holds; a text with none of it has no entity.
+HINTS = {
+    "digit or address": "[0-9@]",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)",
+    "hex": "[a-f]{32}|[A-F]{32}",
+    "name": rf"\b(?:{_TITLE}|{_GIVEN})[ -]|{_CUE} \p{{Lu}}",
+}
+HINT = "|".join(HINTS.values())
+
+
+def _keyed(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 as hex."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
-def _hex(kind: Column, norm: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(KEY), kind, norm, attempt.cast("string")), 256)
+def _hex(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    return _keyed(key, F.concat_ws("|", kind, norm, attempt.cast("string")))
 
 
 def _number(digest: Column, i: Column, digits: int = 3) -> Column:
@@ -79,7 +109,9 @@ def _like(x: Column, digest: Column, letters: int = 26) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         d = _number(digest, i)
-        return F.when(c.between("0", "9"), F.char(d % 10 + 48)).when(c.between("a", "z"), F.char(d % letters + 97)).when(c.between("A", "Z"), F.char(d % letters + 65)).otherwise(c)
+        lower, upper = F.char(d % letters + 97), F.char(d % letters + 65)
+        other = F.when(F.rlike(c, F.lit(r"\p{Lu}")), upper).when(F.rlike(c, F.lit(r"\p{L}")), lower).when(F.rlike(c, F.lit(r"\p{N}")), F.char(d % 10 + 48)).otherwise(c)
+        return F.when(c.between("0", "9"), F.char(d % 10 + 48)).when(c.between("a", "z"), lower).when(c.between("A", "Z"), upper).when(c.between("!", "~"), c).otherwise(other)
 
     return F.array_join(F.transform(_chars(x), one), "")
 
@@ -124,6 +156,14 @@ def _is_cyrillic(x: Column) -> Column:
     return F.rlike(x, F.lit(r"\p{IsCyrillic}"))
 
 
+def _iban(norm: Column, digest: Column) -> Column:
+    """The country, check digits that are right, and an account of the same classes."""
+    country, account = F.substr(norm, F.lit(1), F.lit(2)), _like(F.substr(norm, F.lit(5)), digest)
+    values = F.transform(_chars(F.concat(account, country, F.lit("00"))), lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    rest = F.aggregate(values, F.lit(0), lambda s, v: (s * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    return F.concat(country, F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account)
+
+
 def normal(kind: Column, x: Column) -> Column:
     """The form in which mentions of one entity agree."""
     return (
@@ -135,23 +175,29 @@ def normal(kind: Column, x: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate of a normal form."""
-    h = _hex(kind, norm, attempt)
-    domain = F.regexp_extract(norm, "@(.*)$", 1)
-    host = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    more = F.greatest(F.lit(0), F.floor(attempt / 3)).cast("int")
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str = EXAMPLE_KEY) -> Column:
+    """The surrogate of a normal form. Digests are bound, as they are read for every character."""
+    host = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1)
+    digests = F.struct(_hex(key, kind, norm, attempt).alias("own"), F.when(kind == "email", _hex(key, F.lit("host"), host, F.lit(0))).alias("host"))
+    return bound(digests, lambda h: _surrogate(kind, norm, attempt, h.own, host, h.host))
+
+
+def _surrogate(kind: Column, norm: Column, attempt: Column, h: Column, host: Column, of_host: Column) -> Column:
+    more = F.floor(attempt / GROW).cast("int")
+    grown = lambda x: F.concat(x, F.repeat(F.right(x, F.lit(1)), more))
+    local = F.regexp_extract(norm, "^(.*)@", 1)
 
     def named(shared: int, ends: tuple[str, str]) -> Column:
         return F.when(_is_cyrillic(norm), F.concat(_syllables(h, F.lit(shared) + more, CYRILLIC), F.lit(ends[1]))).otherwise(F.concat(_syllables(h, F.lit(shared) + more, LATIN), F.lit(ends[0])))
 
+    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: (_number(h, i) % 254 + 1).cast("string")), ".")
     return (
-        F.when(kind == "email", F.concat(_like(F.regexp_extract(norm, "^(.*)@", 1), h), F.lit("@"), _like(host, _hex(F.lit("host"), host, F.lit(0))), F.regexp_extract(norm, r"(\.[^.]*)$", 1)))
-        .when(kind.isin("secret", "hex"), F.when(F.rlike(norm, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _like(norm, h, 6)).otherwise(_like(norm, h)))
-        .when(kind == "ip", F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: (_number(h, i) % 254 + 1).cast("string")), "."))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _like(F.substr(norm, F.lit(3)), h)))
-        .when(kind == "card", _card(norm, h))
-        .when(kind.isin("phone", "ssn"), _like(norm, h))
+        F.when(kind == "email", F.concat(_like(F.concat(local, F.repeat(F.lit("a"), more)), h), F.lit("@"), _like(host, of_host), F.regexp_extract(norm, r"(\.[^.]*)$", 1)))
+        .when(kind.isin("secret", "hex"), F.when(F.rlike(norm, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _like(grown(norm), h, 6)).otherwise(_like(grown(norm), h)))
+        .when(kind == "ip", F.when(more < 16, octets).otherwise(F.concat(octets, F.lit(":"), F.lpad((_number(h, F.lit(9)) + attempt).cast("string"), 4, "0"))))
+        .when(kind == "iban", _iban(grown(norm), h))
+        .when(kind == "card", _card(grown(norm), h))
+        .when(kind.isin("phone", "ssn", "initial"), _like(grown(norm), h))
         .when(kind == "given_f", named(2, ("na", "на")))
         .when(kind == "given_m", named(2, ("n", "н")))
         .when(kind == "given", named(2, ("l", "л")))
@@ -170,68 +216,83 @@ def _kind(x: Column) -> Column:
 _SECRET_HEAD = r"^(.*?[:=]\s{0,3}[\"']?)(.*)$"
 
 
-def _named(x: Column) -> tuple[Column, Column, Column, Column]:
-    """Of a name: title with its space, given name (or empty), surname, gender."""
-    title = F.regexp_extract(x, rf"^({_TITLE} )", 1)
-    rest = F.substr(x, F.length(title) + 1)
-    given = F.regexp_extract(rest, "^([^ ]+) ", 1)
-    surname = F.regexp_extract(rest, "([^ ]+)$", 1)
-    word = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(word.isin(TITLES_F) | given.isin(GIVEN_F), "_f").when(word.isin(TITLES_M) | given.isin(GIVEN_M), "_m").otherwise("")
-    return title, given, surname, gender
+def words(name: Column) -> Column:
+    """(word, kind) of a name behind its title: given names, then the surname; particles are ``keep``, single letters ``initial``."""
+    title = F.regexp_extract(name, rf"^({_TITLE} )", 1)
+
+    def split(n: Column) -> Column:
+        first = F.split(F.substr(n.x, F.length(n.title) + 1), " ")
+        title_word = F.regexp_replace(n.title, r"\.? $", "")
+        given = F.when(F.size(first) > 1, F.get(first, F.lit(0)))
+        alone = F.coalesce(given, F.lit(""))
+        has = lambda names: F.exists(F.split(alone, "-"), lambda w: w.isin(names))
+        gender = F.when(title_word.isin(TITLES_F) | has(GIVEN_F), "_f").when(title_word.isin(TITLES_M) | has(GIVEN_M), "_m").otherwise("")
+        return F.struct(first.alias("parts"), gender.alias("gender"))
+
+    def roles(n: Column) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            family = F.when(_is_cyrillic(w) & (n.gender == "_f"), "surname_f").otherwise("surname")
+            kind = F.when(i == F.size(n.parts) - 1, family).when(w.isin(PARTICLES), "keep").when(F.rlike(w, F.lit(r"^.\.?$")), "initial").otherwise(F.concat(F.lit("given"), n.gender))
+            return F.transform(F.split(w, "-"), lambda v: F.struct(v.alias("word"), kind.alias("kind")))
+
+        return F.flatten(F.transform(n.parts, of))
+
+    return bound(bound(F.struct(name.alias("x"), title.alias("title")), split), roles)
 
 
-def _family(surname: Column, gender: Column) -> Column:
-    """Surnames differ by gender where their script makes them do so."""
-    return F.when(_is_cyrillic(surname) & (gender == "_f"), "surname_f").otherwise("surname")
+def names_in(found: Column) -> Column:
+    """The distinct (word, kind) of the names among mentions, without particles and initials."""
+    named = F.filter(found, lambda x: _kind(x) == "name")
+    return F.array_distinct(F.filter(F.flatten(F.transform(named, words)), lambda w: ~w.kind.isin("keep", "initial")))
 
 
-def parsed(found: Column) -> Column:
-    """Mentions as structs: the mention ``x``, its ``kind``, the parts of a name, and ``keys``, its types and normal forms.
+def with_bare(names: Column) -> Column:
+    """The pattern of a text in which these names were found: their words, alone, are mentions too."""
+    each = F.array_join(F.array_sort(F.transform(names, lambda n: n.word), lambda a, b: F.length(b) - F.length(a)), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}-])(?:"), each, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(PATTERN))
+
+
+def parsed(found: Column, names: Column) -> Column:
+    """Mentions as structs: the mention ``x``, its ``kind``, and ``keys``, its types and normal forms.
 
     Each step binds what the next ones read more than once.
     """
-    kinds = F.transform(found, lambda x: F.struct(x.alias("x"), _kind(x).alias("kind")))
-
-    def split(m: Column) -> Column:
-        title, given, surname, gender = _named(m.x)
-        is_name = m.kind == "name"
-        value = F.when(m.kind == "secret", F.regexp_extract(m.x, _SECRET_HEAD, 2)).otherwise(m.x)
-        none = F.lit("")
-        part = lambda c: F.when(is_name, c).otherwise(none)
-        return F.struct(m.x.alias("x"), m.kind.alias("kind"), value.alias("value"), part(title).alias("title"), part(given).alias("given"), part(surname).alias("surname"), part(gender).alias("gender"))
+    kinds = F.transform(found, lambda x: F.struct(x.alias("x"), F.filter(names, lambda n: n.word == x).alias("bare")))
+    kinds = F.transform(kinds, lambda m: F.struct(m.x.alias("x"), m.bare.alias("bare"), F.when(F.size(m.bare) > 0, "name").otherwise(_kind(m.x)).alias("kind")))
 
     def keyed(m: Column) -> Column:
-        first = F.when(m.kind == "name", _family(m.surname, m.gender)).otherwise(m.kind)
-        one = F.struct(first.alias("kind"), F.when(m.kind == "name", m.surname).otherwise(m.value).alias("norm"))
-        two = F.struct(F.concat(F.lit("given"), m.gender).alias("kind"), m.given.alias("norm"))
-        pairs = F.when(m.given != "", F.array(one, two)).otherwise(F.array(one))
-        return F.struct(*[m[c].alias(c) for c in ("x", "kind", "value", "title", "given", "surname")], F.transform(pairs, lambda k: F.struct(k.kind.alias("kind"), normal(k.kind, k.norm).alias("norm"))).alias("keys"))
+        value = F.when(m.kind == "secret", F.regexp_extract(m.x, _SECRET_HEAD, 2)).otherwise(m.x)
+        one = F.array(F.struct(value.alias("word"), m.kind.alias("kind")))
+        parts = F.when(m.kind != "name", one).when(F.size(m.bare) > 0, F.slice(m.bare, 1, 1)).otherwise(words(m.x))
+        return F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(parts, lambda k: F.struct(k.kind.alias("kind"), normal(k.kind, k.word).alias("norm"), k.word.alias("word"))).alias("keys"))
 
-    return F.transform(F.transform(kinds, split), keyed)
+    return F.transform(kinds, keyed)
 
 
 def _cased(new: Column, old: Column) -> Column:
     return F.when((F.upper(old) == old) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
 
 
-def rewritten(found: Column, later: Column | None) -> Column:
-    """Parsed mentions as strings with their surrogates. ``later``: attempts by ``kind|norm`` where not 0."""
+def rewritten(found: Column, later: Column, key: str) -> Column:
+    """Parsed mentions as strings with their surrogates. ``later``: attempts by ``kind|norm`` where not 0; null for none."""
 
     def make(k: Column) -> Column:
-        attempt = F.lit(0) if later is None else F.coalesce(F.try_element_at(later, F.concat_ws("|", k.kind, k.norm)), F.lit(0))
-        return surrogate(k.kind, k.norm, attempt)
+        attempt = F.coalesce(F.try_element_at(later, F.concat_ws("|", k.kind, k.norm)), F.lit(0))
+        new = F.when(k.kind == "keep", k.word).otherwise(surrogate(k.kind, k.norm, attempt, key))
+        return F.struct(new.alias("new"), k.word.alias("word"), k.kind.alias("kind"))
 
-    made = F.transform(found, lambda m: F.struct(*[m[c].alias(c) for c in ("x", "kind", "title", "given", "surname")], F.transform(m["keys"], make).alias("new")))
+    made = F.transform(found, lambda m: F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(m["keys"], make).alias("made")))
 
     def lay(m: Column) -> Column:
-        x, kind, new = m.x, m.kind, F.element_at(m.new, 1)
-        given = F.when(m.given != "", F.concat(_cased(F.try_element_at(m.new, F.lit(2)), m.given), F.lit(" "))).otherwise("")
+        x, kind, new = m.x, m.kind, F.element_at(m.made, 1)["new"]
+        title = F.regexp_extract(x, rf"^({_TITLE} )", 1)
+        borders = F.regexp_extract_all(F.substr(x, F.length(title) + 1), F.lit("[ -]"), 0)
+        laid = F.zip_with(m.made, borders, lambda w, b: F.concat(F.when(w.kind == "keep", w["new"]).otherwise(_cased(w["new"], w.word)), F.coalesce(b, F.lit(""))))
         apart = F.length(F.regexp_extract(x, r"^\+([0-9]{1,3})[ .(-]", 1))
         country = F.when((kind != "phone") | ~F.startswith(x, F.lit("+")), 0).when(apart > 0, apart).otherwise(F.when(F.rlike(x, F.lit(r"^\+[17]")), 1).otherwise(2))
         grouped = F.array_join(F.regexp_extract_all(new, F.lit("(.{1,4})"), 1), " ")
         return (
-            F.when(kind == "name", F.concat(m.title, given, _cased(new, m.surname)))
+            F.when(kind == "name", F.concat(title, F.array_join(laid, "")))
             .when(kind == "secret", F.concat(F.regexp_extract(x, _SECRET_HEAD, 1), new))
             .when(kind.isin("card", "ssn", "phone"), _laid_out(x, new, country))
             .when((kind == "iban") & F.contains(x, F.lit(" ")), grouped)
@@ -244,32 +305,27 @@ def rewritten(found: Column, later: Column | None) -> Column:
 
 def _with_case(x: Column, new: Column) -> Column:
     old = _chars(x)
-    return F.when(F.lower(x) == x, new).otherwise(F.array_join(F.zip_with(old, _chars(new), lambda o, n: F.when(o.between("A", "Z"), F.upper(n)).otherwise(n)), ""))
+    return F.when(F.lower(x) == x, new).otherwise(F.array_join(F.zip_with(old, _chars(new), lambda o, n: F.when(F.rlike(o, F.lit(r"\p{Lu}")), F.upper(n)).otherwise(n)), ""))
 
 
 def mentions(text: Column) -> Column:
-    """The text's mentions in order, none for a text that fails the cheap test."""
+    """The text's mentions in order, but for bare names; none for a text that fails the cheap test."""
     return F.when(F.rlike(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """(kind, norm, attempt) of the entities whose first surrogate collides."""
-    found = docs.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("x")).distinct()
-    named = found.select(F.explode(F.element_at(parsed(F.array("x")), 1)["keys"]).alias("k"))
-    entities = scratch.keep(named.select("k.kind", "k.norm").distinct())
-    return resolve(entities, scratch)
-
-
 def resolve(entities: DataFrame, scratch: Scratch, make=surrogate) -> DataFrame:
-    """Attempts above 0 that give distinct entities (kind, norm) distinct surrogates, none of them an entity."""
+    """Attempts above 0 that give distinct entities (kind, norm) distinct surrogates, none of them an entity.
+
+    ``make`` must have endless many surrogates for an entity, or as many as make do.
+    """
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = entities.select("kind", F.col("norm").alias("made"))
-    taken = scratch.keep(real.limit(0))
+    taken = real.limit(0)
     todo, later = entities, None
-    for attempt in range(MOST_ATTEMPTS):
-        tried = todo.withColumn("made", make(F.col("kind"), F.col("norm"), F.lit(attempt)))
+    for attempt in itertools.count():
+        tried = todo.repartition(parts, "kind", "norm").withColumn("made", make(F.col("kind"), F.col("norm"), F.lit(attempt)))
         fresh = tried.join(real, ["kind", "made"], "left_anti").join(taken, ["kind", "made"], "left_anti")
-        first = fresh.groupBy("kind", "made").agg(F.min("norm").alias("norm"))
-        won = scratch.keep(first.select("kind", "norm", "made"))
+        won = scratch.keep(fresh.groupBy("kind", "made").agg(F.min("norm").alias("norm")).select("kind", "norm", "made"))
         todo = scratch.keep(todo.join(won, ["kind", "norm"], "left_anti"))
         if attempt:
             now = won.select("kind", "norm", F.lit(attempt).alias("attempt"))
@@ -277,39 +333,35 @@ def resolve(entities: DataFrame, scratch: Scratch, make=surrogate) -> DataFrame:
         taken = taken.union(won.select("kind", "made"))
         if todo.isEmpty():
             break
-    else:
-        raise RuntimeError("surrogates collide after the last attempt")
     return scratch.keep(later if later is not None else entities.limit(0).withColumn("attempt", F.lit(0)))
 
 
-def _apply(text: Column, found: Column, later: Column | None) -> Column:
-    pieces = F.split(text, PATTERN, -1)
-    new = rewritten(parsed(found), later)
+def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, scratch: Scratch | None = None, text: str = "text", count: str = "n_entities") -> DataFrame:
+    """The documents with surrogates in ``text``, and the number of mentions replaced.
+
+    ``key`` is the secret that surrogates derive from; None takes it from KEY_SETTING. The number's column is named
+    ``count``, with underscores behind it as long as the documents have such a column.
+    """
+    scratch = scratch or Scratch(spark, "pii")
+    key = spark.conf.get(KEY_SETTING, EXAMPLE_KEY) if key is None else key
+    doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    first = docs.select(doc.alias("doc")).withColumn("found", mentions(F.col("doc")[text])).withColumn("names", names_in(F.col("found")))
+    every = F.when(F.size("names") > 0, F.regexp_extract_all(F.col("doc")[text], with_bare(F.col("names")), F.lit(0))).otherwise(F.col("found"))
+    held = scratch.keep(first.withColumn("found", every).withColumn("row", F.monotonically_increasing_id()))
+    some = held.where(F.size("found") > 0)
+    mentioned = some.select("row", F.explode(parsed(F.col("found"), F.col("names"))).alias("m")).select("row", F.explode("m.keys").alias("k")).where("k.kind NOT IN ('keep', 'initial')").select("row", "k.kind", "k.norm")
+    mentioned = scratch.keep(mentioned.distinct())
+    later = resolve(scratch.keep(mentioned.select("kind", "norm").distinct()), scratch, lambda k, n, a: surrogate(k, n, a, key))
+    by_row = mentioned.join(later, ["kind", "norm"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("later"))
+    pieces = F.split(F.col("doc")[text], with_bare(F.col("names")), -1)
+    new = rewritten(parsed(F.col("found"), F.col("names")), F.col("later"), key)
     whole = F.array_join(F.zip_with(pieces, new, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    return F.when(F.size(found) > 0, whole).otherwise(text)
-
-
-def replace(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None, text: str = "text", key: str = "doc_id", most: int = MAP_MOST) -> DataFrame:
-    """The documents with surrogates in ``text``, and ``n_entities``, the number of mentions replaced."""
-    later = attempts(docs, scratch or Scratch(spark, "pii"), text)
-    few = later.limit(most + 1).collect()
-    found = docs.withColumn("_found", mentions(F.col(text)))
-    if not few:
-        held = None
-    elif len(few) <= most:
-        held = F.from_json(F.lit(json.dumps({f"{r['kind']}|{r['norm']}": r["attempt"] for r in few})), "map<string,int>")
-    else:
-        k = F.concat_ws("|", F.col("k.kind"), F.col("k.norm"))
-        named = later.select(F.concat_ws("|", "kind", "norm").alias("_name"), "attempt")
-        each = found.select(key, F.explode(parsed(F.col("_found"))).alias("x")).select(key, F.explode("x.keys").alias("k")).select(key, k.alias("_name")).distinct()
-        per_doc = each.join(named, "_name").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "attempt"))).alias("_later"))
-        found = found.join(per_doc, key, "left")
-        held = F.col("_later")
-    out = found.withColumn(text, _apply(F.col(text), F.col("_found"), held)).withColumn("n_entities", F.size("_found").cast("long"))
-    return out.select(*docs.columns, "n_entities")
+    count = free_name(count, docs.columns)
+    out = lambda df, value: df.select(*[(value if c == text else F.col("doc")[c]).alias(c) for c in docs.columns], F.size("found").cast("long").alias(count))
+    return out(held.where(F.coalesce(F.size("found"), F.lit(0)) <= 0), F.col("doc")[text]).union(out(some.join(by_row, "row", "left"), whole))
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents with surrogates."""
+    """Every whole text of documents with surrogates, by the key in KEY_SETTING."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace(spark, docs).select("doc_id", "n_entities", "text")

@@ -1,10 +1,15 @@
+import hashlib
+import hmac
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import surrogates as P
 from quern.llm.common import Scratch
 
+from .helpers import as_tables
+
 TEXTS = [
     "Mail Jo.Doe7@mail3.Example.com or jo.doe7@mail3.example.com now.",
     'token = "b44e15e09fd311c3cf3163b66d5a9875b883aaaa" and TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!',
@@ -22,7 +27,7 @@ TEXTS = [
 
 def replaced(spark, texts, **how):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in P.replace(spark, df, **how).orderBy("doc_id").collect()]
+    return [r.text for r in P.replace(spark, df, "k", **how).orderBy("doc_id").collect()]
 
 
 def luhn(digits):
@@ -66,24 +71,95 @@ def test_no_original_is_left(spark):
 
 def test_collisions_go_to_later_attempts(spark):
     def narrow(kind, norm, attempt):
-        """Ten surrogates only, some of them real entities."""
-        return F.pmod(F.xxhash64(norm, attempt), F.lit(30)).cast("string")
+        """Thirty surrogates only, some of them real entities, for four attempts."""
+        return F.pmod(F.xxhash64(norm, attempt), F.lit(30) * F.greatest(F.lit(1), attempt - 3)).cast("string")
 
     ents = spark.createDataFrame([("k", str(i)) for i in range(12)], "kind string, norm string")
     later = {r.norm: r.attempt for r in P.resolve(ents, Scratch(spark, "t"), narrow).collect()}
-    made = ents.select("norm", *[narrow(None, F.col("norm"), F.lit(a)).alias(f"m{a}") for a in range(P.MOST_ATTEMPTS)]).collect()
+    made = ents.select("norm", *[narrow(None, F.col("norm"), F.lit(a)).alias(f"m{a}") for a in range(max(later.values()) + 1)]).collect()
     final = [r[f"m{later.get(r.norm, 0)}"] for r in made]
     assert len(set(final)) == 12 and not set(final) & {str(i) for i in range(12)}
     assert max(later.values()) > 0
 
 
-def test_later_attempts_are_applied_both_ways(spark, monkeypatch):
-    monkeypatch.setattr(P, "attempts", lambda docs, scratch, text="text": spark.createDataFrame([("ssn", "123456789", 2), ("email", "jo.doe7@mail3.example.com", 1)], "kind string, norm string, attempt int"))
-    by_map, by_join = replaced(spark, TEXTS), replaced(spark, TEXTS, most=0)
-    assert by_map == by_join
-    monkeypatch.undo()
-    plain = replaced(spark, TEXTS)
-    assert by_map[5] != plain[5] and by_map[0] != plain[0] and by_map[1:5] == plain[1:5]
+def test_formats_that_run_out_grow(spark):
+    """26 one-letter addresses in a domain need all 26 letters of the domain that stands for theirs, which digests hardly give."""
+    texts = [f"{c}@mail.example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = replaced(spark, texts)
+    assert len(set(new)) == 26 and not set(new) & set(texts)
+    assert all(re.fullmatch(r"[a-z]{1,3}@[a-z]{4}\.[a-z]{7}\.com", x) for x in new)
+
+
+def test_rows_without_id_and_later_attempts(spark, monkeypatch):
+    def one_letter(key, kind, norm, attempt):
+        return F.when(attempt == 0, F.sha2(F.lit("same"), 256)).otherwise(F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt), 256))
+
+    monkeypatch.setattr(P, "_hex", one_letter)
+    rows = [(None, "ssn 123-45-6789"), (None, "ssn 987-65-4321"), (1, "ssn 123-45-6789"), (1, "ssn 987-65-4321 and 123-45-6789")]
+    new = [r.text for r in P.replace(spark, spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    b, a = re.findall("[0-9-]{11}", max(new, key=len))
+    assert a != b and sorted(new) == sorted([f"ssn {a}", f"ssn {b}", f"ssn {a}", f"ssn {b} and {a}"])
+
+
+def test_names_beyond_lists_and_bare_mentions(spark):
+    new = replaced(spark, ["Mary Jones came. Later Jones left and Mary stayed; Jonesboro didn't.", "My name is Tarn Velloso, said Velloso.", "Ask Priya Patel <p.patel@ex.com>; Patel knows.", "Marie-Claire Dubois and Dr. von Hagen", "Kwame Asante (k.a@ex.org) wrote. Asante", "The Green River is long."])
+    given, family = re.match(r"(\w+na) (\w+r) came\. Later (?:\2) left and (?:\1) stayed; Jonesboro didn't\.$", new[0]).groups()
+    assert given != "Mary" and family != "Jones"
+    assert re.match(r"My name is (\w+l) (\w+r), said \2\.$", new[1])
+    assert re.match(r"Ask \w+na (\w+r) <\w\.\w+@\w\w\.com>; \1 knows\.$", new[2]) and "atel" not in new[2]
+    assert re.match(r"\w+-\w+ \w+ and Dr\. von \w+$|\w+-\w+ \w+ and Dr\. von Hagen$", new[3]) and "Dubois" not in new[3] and "Claire" not in new[3]
+    assert "Asante" not in new[4] and "Kwame" not in new[4]
+    assert new[5] == "The Green River is long."
+
+
+def test_hint_lets_every_type_pass(spark):
+    texts = [*TEXTS[:8], "see abcdefabcdefabcdefabcdefabcdefab end", "SEE ABCDEFABCDEFABCDEFABCDEFABCDEFAB END", "password: hunterhunter", "Frau Schmidt", "Marie-Claire Dubois", "my name is Tarn Velloso", "jöhn@ex.com", "0171 1234567"]
+    new = replaced(spark, texts)
+    assert not [a for a, b in zip(texts, new, strict=True) if a == b]
+    assert "j" not in new[-2].split("@")[0][:0] and "jö" not in new[-2] and new[-1][:1] == re.sub(r"\D", "", new[-1])[:1]
+
+
+def test_account_check_digits_are_right(spark):
+    new = replaced(spark, [TEXTS[7]])[0]
+    for iban in re.match(r"IBAN (.*) or (.*)$", new).groups():
+        iban = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "DE"
+
+
+def test_key_decides(spark):
+    one, two, again = (P.replace(spark, spark.createDataFrame([(1, TEXTS[5])], "doc_id long, text string"), k).first().text for k in ("a", "b", "a"))
+    assert one == again != two
+    want = hmac.new(b"a", b"ssn|123456789|0", hashlib.sha256).hexdigest()
+    assert spark.range(1).select(P._hex("a", F.lit("ssn"), F.lit("123456789"), F.lit(0)).alias("h")).first().h == want
+
+
+def test_users_columns_stay(spark):
+    names = ["doc_id", "text", "n_entities", "found", "names", "row", "later", "doc", "_found"]
+    df = spark.createDataFrame([(1, TEXTS[5], *"abcdefg"), (2, "plain", *"hijklmn")], ", ".join(f"{n} string" for n in names).replace("doc_id string", "doc_id long"))
+    rows = {r.doc_id: r for r in P.replace(spark, df).collect()}
+    assert [rows[1][n] for n in names[2:]] == list("abcdefg") and [rows[2][n] for n in names[1:]] == ["plain", *"hijklmn"]
+    assert rows[1]["n_entities_"] == 1 and rows[2]["n_entities_"] == 0
+
+
+def test_query_against_plain_rules(spark, tmp_path):
+    """Mail addresses, IPs, cards and tokens of the query, against Python's patterns and a dictionary of surrogates."""
+    rng = np.random.default_rng(3)
+    mail = [f"{a}.{n}@mail{n % 4}.example.com" for a, n in zip(["die", "and", "the"] * 5, range(10, 25), strict=True)]
+    ips = [".".join(map(str, rng.integers(1, 250, 4))) for _ in range(9)]
+    tokens = [f'token = "{"".join(rng.choice(list("0123456789abcdef"), 40))}"' for _ in range(5)]
+    pool = mail + ips + tokens
+    texts = [" wort ".join(["anfang", *[pool[k] for k in rng.integers(0, len(pool), n)], "ende"]) for n in rng.integers(0, 6, 60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.op9_surrogates(spark, as_tables(tmp_path, documents=rows)).collect()}
+    pattern = re.compile(r'\S+@\S+|(?:\d+\.){3}\d+|(?<=token = ")[0-9a-f]+')
+    seen = {}
+    for i, t in enumerate(texts):
+        old, new = pattern.findall(t), pattern.findall(got[i].text)
+        assert got[i].n_entities == len(old) == len(new)
+        assert pattern.sub("#", t) == pattern.sub("#", got[i].text)
+        for a, b in zip(old, new, strict=True):
+            assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(seen)
 
 
 def test_long_runs_stay_linear(spark):
