@@ -18,9 +18,12 @@ all are at most 2 bits from each other, so components come out the same, with 65
 rows for a fingerprint rather than all pairs.
 
 Defined results: null text is the empty text; texts without words have fingerprint
-zero, which links like any other; fewer words than a shingle are one shingle. A row
-without doc_id is returned with its fingerprint's component and never names one.
-Repeated rows are copies.
+zero, which links like any other; fewer words than a shingle are one shingle. Rows
+without doc_id link like any others, so their fingerprints can connect two documents,
+but never name a component; one without any doc_id has none. Repeated rows and rows of
+one doc_id with different texts each have their own text's component. Very long texts
+are read in parts; other columns, whatever their names, are never read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ wherever it stands alone. Each distinct entity of the table gets one surrogate,
 from a keyed digest (HMAC-SHA-256) of its type and normal form, so that every mention,
 however written, gets the same one. Surrogates keep type and format: length, case,
 separators, character classes, a phone's country code, an account's country with
-check digits that are right, a card's first digit and whether its check digit is
-right, a mail address's top domain; an IP address stays one, of any length; names keep
+check digits that are right, a card's first digit with a check digit that is right (a
+number whose check digit is wrong is none and stays), a mail address's top domain; an IP address stays one, of any length; names keep
 title, hyphens, particles, script, case and gender.
 
 Collision checks: a surrogate must not be an entity of the table, nor that of
@@ -67,7 +67,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9])(?:[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|[2-6][0-9]{3}[ -][0-9]{6}[ -][0-9]{5}|[2-6][0-9]{12,18})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9+])\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9.,+/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE} {_CAPITAL}(?:{_REST})?|(?:\p{{Lu}}[\p{{L}}]{{1,40}}-)?{_GIVEN}(?:-\p{{Lu}}[\p{{L}}]{{1,40}})?{_REST}|(?=\p{{Lu}})(?:(?<={_CUE} ){_CAPITAL}(?:{_REST})?|{_CAPITAL}{_REST}(?=,? [(<]?[\p{{L}}\p{{N}}._%+-]{{1,64}}+@)))(?![\p{{L}}\p{{N}}])",
 }
@@ -141,10 +141,9 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(norm: Column, digest: Column) -> Column:
+    """The first digit, others, and the check digit that is right."""
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(_like(norm, digest), F.lit(2), F.length(norm) - 2))
-    check = (F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10
-    step = F.when(_luhn(norm) == 0, 0).otherwise(_number(digest, F.lit(40)) % 9 + 1)
-    return F.concat(body, ((check + step) % 10).cast("string"))
+    return F.concat(body, ((F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
 
 def _syllables(digest: Column, n: Column, which: list[str]) -> Column:
@@ -207,10 +206,12 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, h: Column, host: Col
 
 
 def _kind(x: Column) -> Column:
+    """The type of a mention; ``none`` for a number like a card's whose check digit is wrong."""
+    is_a = lambda kind: F.rlike(x, F.lit(f"^(?:{PATTERNS[kind]})$"))
     out = F.when(F.contains(x, F.lit("@")), "email")
-    for kind in ("secret", "hex", "iban", "ip", "ssn", "card", "phone"):
-        out = out.when(F.rlike(x, F.lit(f"^(?:{PATTERNS[kind]})$")), kind)
-    return out.otherwise("name")
+    for kind in ("secret", "hex", "iban", "ip", "ssn"):
+        out = out.when(is_a(kind), kind)
+    return out.when(is_a("card"), F.when(_luhn(_digits(x)) == 0, "card").otherwise("none")).when(is_a("phone"), "phone").otherwise("name")
 
 
 _SECRET_HEAD = r"^(.*?[:=]\s{0,3}[\"']?)(.*)$"
@@ -263,7 +264,7 @@ def parsed(found: Column, names: Column) -> Column:
     def keyed(m: Column) -> Column:
         value = F.when(m.kind == "secret", F.regexp_extract(m.x, _SECRET_HEAD, 2)).otherwise(m.x)
         one = F.array(F.struct(value.alias("word"), m.kind.alias("kind")))
-        parts = F.when(m.kind != "name", one).when(F.size(m.bare) > 0, F.slice(m.bare, 1, 1)).otherwise(words(m.x))
+        parts = F.when(m.kind == "none", F.slice(one, 1, 0)).when(m.kind != "name", one).when(F.size(m.bare) > 0, F.slice(m.bare, 1, 1)).otherwise(words(m.x))
         return F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(parts, lambda k: F.struct(k.kind.alias("kind"), normal(k.kind, k.word).alias("norm"), k.word.alias("word"))).alias("keys"))
 
     return F.transform(kinds, keyed)
@@ -284,7 +285,7 @@ def rewritten(found: Column, later: Column, key: str) -> Column:
     made = F.transform(found, lambda m: F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(m["keys"], make).alias("made")))
 
     def lay(m: Column) -> Column:
-        x, kind, new = m.x, m.kind, F.element_at(m.made, 1)["new"]
+        x, kind, new = m.x, m.kind, F.get(m.made, F.lit(0))["new"]
         title = F.regexp_extract(x, rf"^({_TITLE} )", 1)
         borders = F.regexp_extract_all(F.substr(x, F.length(title) + 1), F.lit("[ -]"), 0)
         laid = F.zip_with(m.made, borders, lambda w, b: F.concat(F.when(w.kind == "keep", w["new"]).otherwise(_cased(w["new"], w.word)), F.coalesce(b, F.lit(""))))
@@ -292,7 +293,8 @@ def rewritten(found: Column, later: Column, key: str) -> Column:
         country = F.when((kind != "phone") | ~F.startswith(x, F.lit("+")), 0).when(apart > 0, apart).otherwise(F.when(F.rlike(x, F.lit(r"^\+[17]")), 1).otherwise(2))
         grouped = F.array_join(F.regexp_extract_all(new, F.lit("(.{1,4})"), 1), " ")
         return (
-            F.when(kind == "name", F.concat(title, F.array_join(laid, "")))
+            F.when(kind == "none", x)
+            .when(kind == "name", F.concat(title, F.array_join(laid, "")))
             .when(kind == "secret", F.concat(F.regexp_extract(x, _SECRET_HEAD, 1), new))
             .when(kind.isin("card", "ssn", "phone"), _laid_out(x, new, country))
             .when((kind == "iban") & F.contains(x, F.lit(" ")), grouped)
@@ -347,8 +349,9 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, scratc
     doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
     first = docs.select(doc.alias("doc")).withColumn("found", mentions(F.col("doc")[text])).withColumn("names", names_in(F.col("found")))
     every = F.when(F.size("names") > 0, F.regexp_extract_all(F.col("doc")[text], with_bare(F.col("names")), F.lit(0))).otherwise(F.col("found"))
-    held = scratch.keep(first.withColumn("found", every).withColumn("row", F.monotonically_increasing_id()))
-    some = held.where(F.size("found") > 0)
+    real = F.size(F.filter("found", lambda x: ~x.rlike("^[0-9 -]+$") | (_kind(x) != "none"))).cast("long")
+    held = scratch.keep(first.withColumn("found", every).withColumn("n", real).withColumn("row", F.monotonically_increasing_id()))
+    some = held.where("n > 0")
     mentioned = some.select("row", F.explode(parsed(F.col("found"), F.col("names"))).alias("m")).select("row", F.explode("m.keys").alias("k")).where("k.kind NOT IN ('keep', 'initial')").select("row", "k.kind", "k.norm")
     mentioned = scratch.keep(mentioned.distinct())
     later = resolve(scratch.keep(mentioned.select("kind", "norm").distinct()), scratch, lambda k, n, a: surrogate(k, n, a, key))
@@ -357,8 +360,8 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, scratc
     new = rewritten(parsed(F.col("found"), F.col("names")), F.col("later"), key)
     whole = F.array_join(F.zip_with(pieces, new, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
     count = free_name(count, docs.columns)
-    out = lambda df, value: df.select(*[(value if c == text else F.col("doc")[c]).alias(c) for c in docs.columns], F.size("found").cast("long").alias(count))
-    return out(held.where(F.coalesce(F.size("found"), F.lit(0)) <= 0), F.col("doc")[text]).union(out(some.join(by_row, "row", "left"), whole))
+    out = lambda df, value: df.select(*[(value if c == text else F.col("doc")[c]).alias(c) for c in docs.columns], F.col("n").alias(count))
+    return out(held.where("n = 0"), F.col("doc")[text]).union(out(some.join(by_row, "row", "left"), whole))
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,14 @@ def test_hint_lets_every_type_pass(spark):
     assert "j" not in new[-2].split("@")[0][:0] and "jö" not in new[-2] and new[-1][:1] == re.sub(r"\D", "", new[-1])[:1]
 
 
+def test_numbers_with_a_wrong_check_digit_stay(spark):
+    texts = ["number 4111111111111112 or 9807915762804490", "card 4111111111111111, number 4111111111111112"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = P.replace(spark, df, "k").orderBy("doc_id").collect()
+    assert (a.text, a.n_entities, b.n_entities) == (texts[0], 0, 1)
+    assert b.text.endswith(", number 4111111111111112") and "4111111111111111" not in b.text
+
+
 def test_account_check_digits_are_right(spark):
     new = replaced(spark, [TEXTS[7]])[0]
     for iban in re.match(r"IBAN (.*) or (.*)$", new).groups():
