@@ -10,7 +10,9 @@ so does each backslash, which ``unescape`` undoes exactly.
 
 Defined results: null text or role is empty; turns are ordered by turn (null
 first), then role, then text, and repeated rows are turns of their own; a null
-conv_id is a conversation; an empty table gives no rows.
+conv_id is a conversation; a very long text is encoded by itself and a conversation of
+any length streams through; other columns, whatever their names, are never read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -164,8 +166,8 @@ def in_order(encoded: DataFrame) -> DataFrame:
 class _Conversation:
     """Digests of one conversation, fed turn by turn in order."""
 
-    def __init__(self, conv_id, learned: tuple[str, ...]):
-        self.conv_id, self.learned = conv_id, learned
+    def __init__(self, conv_id):
+        self.conv_id = conv_id
         self.turns = self.loss_chars = self.chars = self.tokens = 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
@@ -173,10 +175,9 @@ class _Conversation:
         for role, text in c.read(ids):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role in self.learned:
-                masked = unescape(c.encoding.decode(ids[lo:hi].tolist()))
-                self.loss_chars += len(masked)
-                self.loss.update(masked.encode())
+        masked = unescape(c.encoding.decode(ids[lo:hi].tolist()))
+        self.loss_chars += len(masked)
+        self.loss.update(masked.encode())
         self.chars += len(c.written(ids))
         self.tokens += len(ids)
 
@@ -211,8 +212,8 @@ def assemble(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] =
     return map_arrow(encoded, run, "conv_id long, turn long, token_offset long, token_ids array<int>, loss_from long, loss_to long")
 
 
-def digests(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] = LEARNED_ROLES, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """One row per conversation, read back from the ids."""
+def digests(spark: SparkSession, assembled: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """One row per conversation of ``assemble``, read back from its ids and loss ranges."""
     held = spark.sparkContext.broadcast(codec(*(vocabulary or default_ranks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +225,19 @@ def digests(spark: SparkSession, encoded: DataFrame, learned: tuple[str, ...] =
 
         for batch in batches:
             done = []
-            conv, _, blobs, lo, hi = (batch.column(i).to_pylist() for i in range(5))
-            for k, blob, a, z in zip(conv, blobs, lo, hi, strict=True):
+            conv, offset, lo, hi = (batch.column(i).to_pylist() for i in (0, 2, 4, 5))
+            ids = batch.column(3)
+            for i, (k, at, a, z) in enumerate(zip(conv, offset, lo, hi, strict=True)):
                 if now is None or now.conv_id != k:
                     done += [now] if now else []
-                    now = _Conversation(k, learned)
-                now.add(c, np.frombuffer(blob, np.int32), a, z)
+                    now = _Conversation(k)
+                now.add(c, ids[i].values.to_numpy(zero_copy_only=False), a - at, z - at)
             if done:
                 yield out(done)
         if now:
             yield out([now])
 
-    return map_arrow(encoded, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(assembled, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 DIGEST_NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -246,7 +248,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe conversation -7."""
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(spark, in_order(encode_turns(spark, turns)))
+    return digests(spark, assemble(spark, in_order(encode_turns(spark, turns))))
 
 
 OP1_SQL = r"""

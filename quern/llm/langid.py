@@ -8,13 +8,16 @@ on the CRF likelihood, over sequences of which many switch language in the
 middle. Forward-backward gives each word's marginals; a document's language has
 the largest mean marginal, and that mean is the score.
 
-The model is fitted on a bounded sample (``TRAIN_DOCS`` documents in expectation,
-of at most ``TRAIN_CHARS`` characters); prediction covers every word of every
-text, without a shuffle.
+The model is fitted on a bounded sample: ``TRAIN_DOCS`` documents in expectation,
+spread over the languages (of more languages than that, the most frequent), and of a
+longer document a stretch of ``TRAIN_CHARS`` characters from a place its digest names.
+Prediction covers every word of every text, without a shuffle.
 
 Defined results: null text and text without letters give ``und`` with score 0, as
-does every text where no labelled document is there to learn from. Rows are
-independent; repeated rows repeat their result.
+does every text where no labelled document is there to learn from. Of languages with
+equal means the first by name is given. Rows are independent, with or without doc_id;
+repeated rows repeat their result; very long texts are read in blocks of words; other
+columns, whatever their names, are kept by ``accept``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, map_arrow, table
+from .common import blocks, free_name, map_arrow, table
 
 TRAIN_DOCS, TRAIN_CHARS = 1600, 20_000
 SLOTS = 1 << 16
@@ -234,15 +238,16 @@ def fit_on(docs: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) ->
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 40)) / float(1 << 40)
-    rows = usable.where((drawn < share) & (F.length("text") <= chars)).select("doc_id", "text", "lang").collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    rows = usable.where(drawn < share).select("doc_id", F.substr("text", start, F.lit(chars)).alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score of every row; ``carry`` names string or long columns to keep beside them."""
+def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row with lang_pred and score, named with underscores behind where ``carry`` has these names."""
     held = spark.sparkContext.broadcast(model)
-    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("doc"), "text")
 
     def run(batches):
         m = held.value
@@ -264,12 +269,12 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple[str
             score = np.where(good, np.clip(share.max(1), 0, 1) if m.labels else 0.0, 0.0)
             moved = batch.take(pa.array(order))
             yield pa.RecordBatch.from_arrays(
-                [moved.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score.astype(np.float64)), *[moved.column(2 + i) for i in range(len(carry))]],
-                names=["doc_id", "lang_pred", "score", *carry],
+                [moved.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score.astype(np.float64))],
+                names=["doc", "lang_pred", "score"],
             )
 
-    extra = "".join(f", `{c}` {k}" for c, k in zip(carry, kinds, strict=True))
-    return map_arrow(docs.select("doc_id", "text", *carry), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{extra}")
+    found = map_arrow(packed, run, StructType([packed.schema["doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return found.select(*[F.col("doc")[c].alias(c) for c in carry], *[F.col(c).alias(free_name(c, carry)) for c in ("lang_pred", "score")])
 
 
 #: A document whose words agree on no language to this share is rejected, as is one without words.
@@ -279,9 +284,9 @@ LEAST_SCORE = 0.4
 def accept(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with a language; a missing lang is filled with the predicted one."""
     names = docs.columns
-    rest = tuple(c for c in names if c not in ("doc_id",))
-    found = predict(spark, docs, fit_on(docs), rest).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    lang, score = (F.col(f"`{free_name(c, names)}`") for c in ("lang_pred", "score"))
+    found = predict(spark, docs, fit_on(docs), tuple(names)).where((lang != UNDETERMINED) & (score >= LEAST_SCORE))
+    return found.select(*[(F.coalesce("lang", lang) if c == "lang" else F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def op2_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

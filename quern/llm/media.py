@@ -7,7 +7,10 @@ zero bit and the byte's eight bits. ``read_frame`` decodes any baseline grey JPE
 frames written here take a vectorised way.
 
 Defined results: null and empty payloads are one block of zeros; equal payloads
-give equal files. Rows are independent of each other and of other columns.
+give equal files. Rows are independent of each other, of doc_id, which may be null or
+repeated, and of other columns, whatever their names. A very long text is one file
+(RIFF sizes have 32 bits, which hold any text that fits a row); an empty table gives
+no rows.
 """
 
 from __future__ import annotations

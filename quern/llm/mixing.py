@@ -13,7 +13,10 @@ Tokens are runs of characters other than U+0020 and U+0009 to U+000D.
 
 Defined results: null text has no tokens; a null source is the source with the
 empty name; a source without tokens has weight 0 and no copies; repeated rows of a
-doc_id share one place in the order; an empty table gives no rows.
+doc_id, and rows without one, share one place in the order; a very long text that
+doesn't fit what is left of its source's target ends the part; columns of the names
+that the result adds stay and the result's get underscores; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_name, table
 
 SEED = "mix-1"
 #: Way from the shares' entropy to the largest, most epochs of a source, budget as a multiple of all tokens.
@@ -35,8 +38,9 @@ def n_tokens(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x09-\x0D\x20]+")), F.lit(0)).cast("long")
 
 
-_POWER_SUM = "aggregate(p, 0D, (s, x) -> s + pow(x, {a}))"
-_ENTROPY = "(ln({z}) - {a} * aggregate(p, 0D, (s, x) -> s + pow(x, {a}) * ln(x)) / {z})"
+#: Over ``p``, the shares that occur, ascending, and how many sources have each.
+_POWER_SUM = "aggregate(p, 0D, (s, x) -> s + x.k * pow(x.p, {a}))"
+_ENTROPY = "(ln({z}) - {a} * aggregate(p, 0D, (s, x) -> s + x.k * pow(x.p, {a}) * ln(x.p)) / {z})"
 
 
 def _entropy(a: str) -> str:
@@ -52,28 +56,29 @@ def _bisect(low: str, high: str, raise_low: str) -> str:
 def weights(totals: DataFrame, way: float = ENTROPY_WAY, epochs: float = MOST_EPOCHS, budget: float | None = BUDGET) -> DataFrame:
     """(source, n, weight, target, full, rest) from (source, n): token target, whole epochs of it and the tokens left.
 
-    The only gathered row has one number for each source. ``budget`` None: the least
-    that holds every source once.
+    The only gathered row holds the distinct numbers of tokens and how many sources have
+    each, no source. ``budget`` None: the least that holds every source once.
     """
-    row = totals.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("t"))
-    row = row.withColumn("total", F.expr("aggregate(t, 0L, (s, x) -> s + x.n)")).withColumn("p", F.expr("transform(t, x -> x.n / total)"))
-    row = row.withColumn("aim", F.expr(f"(1 - {way}D) * {_entropy('1D')} + {way}D * ln(size(p))"))
+    some = totals.where("n > 0")
+    row = some.groupBy("n").agg(F.count(F.lit(1)).alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("t"))
+    row = row.withColumn("total", F.expr("aggregate(t, 0L, (s, x) -> s + x.n * x.k)")).withColumn("p", F.expr("transform(t, x -> struct(x.n / total AS p, x.k AS k))"))
+    row = row.withColumn("aim", F.expr(f"(1 - {way}D) * {_entropy('1D')} + {way}D * ln(aggregate(t, 0L, (s, x) -> s + x.k))"))
     row = row.withColumn("a", F.expr(_bisect("0D", "1D", f"{_entropy('{mid}')} >= aim") + ".lo"))
     if budget is None:
-        repeats = "pow(array_min(p) / array_max(p), {a} - 1)"
+        repeats = "pow(p[0].p / element_at(p, -1).p, {a} - 1)"
     else:
-        repeats = f"({budget}D * pow(array_min(p), {{a}} - 1) / {_POWER_SUM})"
+        repeats = f"({budget}D * pow(p[0].p, {{a}} - 1) / {_POWER_SUM})"
     over = repeats + f" > {epochs}D"
     row = row.withColumn("a", F.expr(f"IF({over.format(a='a')}, {_bisect('a', '1D', over.replace('{a}', '{mid}'))}.hi, a)"))
-    row = row.withColumn("z", F.expr(_POWER_SUM.format(a="a"))).withColumn("w", F.expr("transform(p, x -> round(pow(x, a) / z, 12))"))
+    row = row.withColumn("z", F.expr(_POWER_SUM.format(a="a")))
+    row = row.withColumn("budget", F.expr("aggregate(t, 0D, (s, x) -> greatest(s, x.n / round(pow(x.n / total, a) / z, 12)))" if budget is None else f"total * {budget}D"))
+    found = row.where("size(t) > 0").select("a", "z", "total", "budget").first() or (1.0, 1.0, 1, 0.0)
+    a, z, total, tokens = (F.lit(x) for x in found)
+    each = some.withColumn("weight", F.round(F.pow(F.col("n") / total, a) / z, 12))
+    target = F.floor(F.col("weight") * tokens).cast("long")
     if budget is None:
-        row = row.withColumn("budget", F.expr("aggregate(zip_with(t, w, (x, y) -> x.n / y), 0D, (s, x) -> greatest(s, x))"))
-        target = F.expr("greatest(x.n, bigint(floor(x.weight * budget)))")
-    else:
-        row = row.withColumn("budget", F.expr(f"total * {budget}D"))
-        target = F.expr("bigint(floor(x.weight * budget))")
-    each = row.select("budget", F.explode(F.expr("zip_with(t, w, (x, y) -> struct(x.source AS source, x.n AS n, y AS weight))")).alias("x"))
-    return each.select("x.source", "x.n", "x.weight", target.alias("target")).select("*", F.expr("target div n").alias("full"), F.expr("target % n").alias("rest"))
+        target = F.greatest("n", target)
+    return each.withColumn("target", target).select("*", F.expr("target div n").alias("full"), F.expr("target % n").alias("rest"))
 
 
 def _key(doc_id: F.Column, full: F.Column) -> F.Column:
@@ -105,20 +110,25 @@ def plan(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     return scratch.keep(per_source.join(cuts, "source", "left").select("source", "weight", "full", F.coalesce("cut", F.lit("")).alias("cut")))
 
 
+def _planned(docs: DataFrame, planned: DataFrame) -> DataFrame:
+    """(doc, weight, copies): the documents as structs. Nothing moves but the plan, one row for each source."""
+    doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    named = docs.select(doc.alias("doc")).withColumn("source", F.coalesce(F.col("doc")["source"], F.lit("")))
+    part = (_key(F.col("doc")["doc_id"], F.col("full")) <= F.col("cut")).cast("long")
+    return named.join(planned, "source", "left").select("doc", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce(F.col("full") + part, F.lit(0)).cast("long").alias("copies"))
+
+
 def copies(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    """The documents with ``weight`` and ``copies``. Nothing moves but the plan, one row for each source."""
-    named = docs.withColumn("_source", F.coalesce("source", F.lit("")))
-    p = planned.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("full").alias("_full"), F.col("cut").alias("_cut"))
-    part = (_key(F.col("doc_id"), F.col("_full")) <= F.col("_cut")).cast("long")
-    out = named.join(p, "_source", "left").withColumn("weight", F.coalesce("_weight", F.lit(0.0))).withColumn("copies", F.coalesce(F.col("_full") + part, F.lit(0)).cast("long"))
-    return out.drop("_source", "_weight", "_full", "_cut")
+    """The documents with ``weight`` and ``copies``, named with underscores behind where the documents have such columns."""
+    names = docs.columns
+    return _planned(docs, planned).select(*[F.col("doc")[c].alias(c) for c in names], *[F.col(c).alias(free_name(c, names)) for c in ("weight", "copies")])
 
 
 def realise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents as often as the mix has them, with their own columns; each at least once."""
-    planned = plan(docs, Scratch(spark, "mix"), epochs=PIPELINE_EPOCHS, budget=None)
-    mixed = copies(docs.select(*docs.columns), planned)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1))))).select(*docs.columns)
+    mixed = _planned(docs, plan(docs, Scratch(spark, "mix"), epochs=PIPELINE_EPOCHS, budget=None))
+    each = mixed.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1)))))
+    return each.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

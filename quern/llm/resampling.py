@@ -15,6 +15,8 @@ Defined results: null and empty texts have weight 0; a word is a run of letters,
 digits or other characters but space, lower-cased; a doc_id labelled twice is good
 if any of its rows is; rows without doc_id draw the same Gumbel number; ties are
 broken by doc_id, then by the text's digest; without labels every document is in.
+Very long texts are read whole; other columns, whatever their names, are never read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

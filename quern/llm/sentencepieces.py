@@ -10,8 +10,10 @@ merge ranks. The log scores used here follow from the rank r by the
 Zipf-Mandelbrot rule ``-EXPONENT * ln(r + SHIFT)``, normalised over the pieces.
 
 Defined results: null and empty text have no tokens. A literal U+2581 is written
-as bytes, so decoding is exact for every text. Rows are independent: repeated
-rows give repeated results and other columns don't matter.
+as bytes, so decoding is exact for every text, however long. Of segmentations with
+equal scores the one whose last pieces are longest is given. Rows are independent:
+repeated rows and rows without doc_id give repeated results and other columns, whatever
+their names, don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations

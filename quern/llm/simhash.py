@@ -104,9 +104,10 @@ def cells(point: F.Column) -> F.Column:
 
 def links(distinct: DataFrame, scratch: Scratch, most: int = CELL) -> DataFrame:
     """Links (a, b) between the nodes of distinct fingerprints (node, fp) that connect all at 2 or fewer differing bits."""
-    entered = distinct.where(F.col("node").isNotNull()).withColumn("point", embedding(F.col("fp"))).select("node", "fp", F.explode(cells(F.col("point"))).alias("cell"))
-    size = F.count("*").over(Window.partitionBy("cell"))
-    shared = scratch.keep(entered.withColumn("n", size).where("n > 1"))
+    entered = distinct.withColumn("point", embedding(F.col("fp"))).select("node", "fp", F.explode(cells(F.col("point"))).alias("cell"))
+    # counts are combined before they move, and a crowded cell's rows may be split in the join
+    sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.keep(entered.join(sizes, "cell"))
     light = shared.where(F.col("n") <= most).select("cell", "node", "fp")
     other = light.select("cell", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
@@ -120,13 +121,14 @@ def links(distinct: DataFrame, scratch: Scratch, most: int = CELL) -> DataFrame:
 
 
 def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
+    """(doc_id, fp, component_id) of every document. Fingerprints are the nodes, so those of rows without doc_id link too."""
     scratch = Scratch(spark, "simhash")
     fps = scratch.keep(fingerprints(docs, shingle))
-    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = roots(links(distinct, scratch), scratch)
-    owner = distinct.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(owner, "fp").select("doc_id", "fp", "component_id")
+    distinct = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = roots(links(distinct.select(F.col("fp").alias("node"), "fp"), scratch), scratch)
+    owner = scratch.keep(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = owner.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(owner.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -280,24 +282,28 @@ def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id, once; rows without doc_id go.
+    """One document of each group of near copies stays, that with the smallest doc_id, nulls last.
 
     Groups are the components of fingerprints at DISTANCE or fewer bits, joined where
-    the five-word shingles of any of their documents are similar by 0.8 or more.
+    the five-word shingles of any of their documents are similar by 0.8 or more. Rows are
+    told apart by a number of their own: rows without doc_id, and rows of one doc_id with
+    different texts, are documents like any others. Texts without words are one group.
+    Columns, whatever their names, stay as they are.
     """
     scratch = Scratch(spark, "copies")
-    found = scratch.keep(components(spark, docs))
-    first = found.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    known = found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = scratch.keep(near_links(docs, None, scratch, known=known))
-    gone = roots(links, scratch).select(F.col("node").alias("doc_id"))
-    kept = first.join(gone, "doc_id", "left_anti")
+    doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    rows = scratch.keep(docs.select(doc.alias("doc")).withColumn("row", F.monotonically_increasing_id()))
+    named = rows.select(F.col("row").alias("doc_id"), F.col("doc")["text"].alias("text"))
+    found = scratch.keep(components(spark, named))
+    known = found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    links = near_links(named, None, scratch, known=known)
+    hung = scratch.keep(roots(scratch.keep(links), scratch).withColumnRenamed("node", "row"))
+    members = hung.union(hung.select(F.col("root").alias("row"), "root").distinct())
     # the ids grow with the texts: the plan that holds for many is the plan for few
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        return out
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    ranked = rows.select("row", F.col("doc")["doc_id"].alias("id")).join(members.hint("merge"), "row")
+    first = ranked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row"))
+    gone = scratch.keep(members.select("row").join(first.hint("merge"), "row", "left_anti"))
+    return rows.join(gone.hint("merge"), "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

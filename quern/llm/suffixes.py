@@ -20,8 +20,9 @@ compressed bytes to the sorting round, and again to have their spans cut out.
 
 Defined results: null text is empty; texts under DEPTH bytes lose nothing; rows
 without doc_id count as behind all others; repeated rows of a doc_id are no
-smaller than each other, so they don't cover each other; an empty table gives no
-rows.
+smaller than each other, so they don't cover each other; very long texts are searched
+in chunks; other columns, whatever their names, are never read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -35,12 +35,6 @@ def edge_docs(spark):
     return spark.createDataFrame(edge_rows(), DOCS)
 
 
-def clashing(df):
-    from pyspark.sql import functions as F
-
-    return df.select("*", *[F.lit(7).alias(c) for c in CLASHING])
-
-
 def empty_docs(spark):
     return spark.createDataFrame([], DOCS)
 

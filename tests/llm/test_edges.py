@@ -1,11 +1,14 @@
 """Each operator on empty tables, edge values and clashing extra columns."""
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import langid, media, mixing, resampling, sentencepieces, simhash, sketches, suffixes, surrogates
+from quern.llm import chat, langid, media, mixing, resampling, sentencepieces, simhash, sketches, suffixes, surrogates
 from quern.llm.common import Scratch
 
-from .helpers import clashing, edge_docs, edge_rows, empty_docs
+from .helpers import CLASHING, as_tables, edge_docs, edge_rows, empty_docs
 
 
 def labels(spark):
@@ -36,21 +39,54 @@ def test_every_row_has_one_result(spark, name):
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in edge_rows())
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+#: Operators that return the documents' own columns, and the names of what they add.
+KEEPING = {
+    "mixing": (lambda s, d: mixing.copies(d, mixing.plan(d, Scratch(s, "t"))), ("weight", "copies")),
+    "surrogates": (lambda s, d: surrogates.replace(s, d), ("n_entities",)),
+    "accept": (lambda s, d: langid.accept(s, d), ()),
+    "deduplicate": (lambda s, d: simhash.deduplicate(s, d), ()),
+    "realise": (lambda s, d: mixing.realise(s, d), ()),
+}
+#: What an operator may use inside, beside the names of what it returns.
+INSIDE = tuple(dict.fromkeys((*CLASHING, "doc", "row", "root", "n", "found", "names", "later", "full", "cut", "block", "uid", "_copy", "_source", "_row", "least")))
+
+
+def crowded(df):
+    """With a column of every name in INSIDE, telling its row."""
+    tag = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.length("text"))
+    return df.select("*", *[tag.alias(c) for c in INSIDE if c not in df.columns])
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_users_columns_of_any_name_stay(spark, name):
+    run, added = KEEPING[name]
+    out, plain = run(spark, crowded(edge_docs(spark))), run(spark, edge_docs(spark))
+    mine = [c for c in out.columns if c in INSIDE]
+    assert sorted(mine) == sorted(set(INSIDE) - set(edge_docs(spark).columns))
+    for r in out.collect():
+        assert len({r[c] for c in mine}) == 1 and r[mine[0]].split("|")[0] == str(r["doc_id"] if r["doc_id"] is not None else "none")
+    results = [c + "_" if c in INSIDE else c for c in added]
+    cols = [*edge_docs(spark).columns, *results]
+    assert sorted(map(tuple, out.select(*cols).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(OPERATORS) - {"mixing", "surrogates"}))
 def test_clashing_columns_change_nothing(spark, name):
-    if name == "mixing":
-        plain = {r["doc_id"]: r["copies"] for r in OPERATORS[name](spark, edge_docs(spark)).collect()}
-        d = clashing(edge_docs(spark)).drop("copies", "weight")
-        assert {r["doc_id"]: r["copies"] for r in OPERATORS[name](spark, d).collect()} == plain
-        return
-    d = clashing(edge_docs(spark))
-    if name == "surrogates":
-        d = d.drop("n_entities")
-    out, plain = OPERATORS[name](spark, d), OPERATORS[name](spark, edge_docs(spark))
+    out, plain = OPERATORS[name](spark, crowded(edge_docs(spark))), OPERATORS[name](spark, edge_docs(spark))
     cols = plain.columns
     assert sorted(map(str, out.select(*cols).collect())) == sorted(map(str, plain.collect()))
 
 
+def test_chat_edges(spark, tmp_path):
+    """Very long texts, and columns of the names that the operator uses."""
+    long = "word ### " * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (None, None, None, None), (2, 0, "assistant", "")]
+    turns = spark.createDataFrame([(*r, 7, "x") for r in rows], "conv_id long, turn long, role string, text string, ids int, token_offset string")
+    got = {r.conv_id: r for r in chat.op1_chat_format(spark, as_tables(tmp_path, conversations=turns)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert (got[None].n_turns, got[2].loss_chars) == (1, 0)
+
+
 def test_stages_keep_columns(spark):
     import corpus_pipeline as P
 
@@ -65,6 +101,4 @@ def test_stages_keep_columns(spark):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline as P
 
-    from .helpers import as_tables
-
     assert P.run(spark, as_tables(tmp_path, documents=empty_docs(spark))).count() == 0

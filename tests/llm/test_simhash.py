@@ -77,8 +77,25 @@ def test_long_chain_settles(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    kept = sorted(r.doc_id for r in S.deduplicate(spark, edge_docs(spark)).collect())
-    assert kept == sorted(set(kept)) and 4 in kept and not {5, 6} & set(kept)
+    kept = sorted((r.doc_id for r in S.deduplicate(spark, edge_docs(spark)).collect()), key=lambda i: (i is None, i))
+    assert kept == [1, 4, 7, 8, 9, None]
+
+
+def test_rows_without_id_are_documents(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(None, one, 1), (None, two, 2), (5, two, 3), (6, one, 4), (6, three, 5), (6, three, 5), (7, three, 6)]
+    names = ["doc_id", "text", "row", "root", "_row", "doc"]
+    d = spark.createDataFrame([(*r, r[2], {"k": r[2]}, "x") for r in rows], "doc_id long, text string, row int, root int, _row map<string,int>, doc string")
+    out = S.deduplicate(spark, d)
+    assert out.columns == names
+    assert sorted((r.row, r.doc_id, r._row["k"], r.doc) for r in out.collect()) == [(3, 5, 3, "x"), (4, 6, 4, "x"), (5, 6, 5, "x")]
+
+
+def test_fingerprints_of_rows_without_id_link(spark, monkeypatch):
+    fps = spark.createDataFrame([(1, 0), (None, 1), (None, 7), (2, 15), (None, 1 << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(S, "fingerprints", lambda docs, shingle=3: fps)
+    got = sorted((r.fp, r.component_id) for r in S.components(spark, None).collect())
+    assert got == [(0, 1), (1, 1), (7, 1), (15, 1), (1 << 40, 1)]
 
 
 def jaccard(a, b):
