@@ -7,13 +7,16 @@ occur in more than one text are found in two rounds of hash-dealt buckets:
    its anchor; equal windows have equal anchors at equal offsets. Only anchors
    are dealt, and those whose gram occurs in a single text drop out with all their
    windows.
-2. Sorting. The fragments around surviving anchors are dealt by gram. In a bucket
-   the suffixes are split by their 8-byte digits, most significant first; a group
-   that lies in one document ends, and only groups of several documents go on to
-   the next digit. Groups equal through DEPTH bytes are exactly the repeated
-   windows, and a group's least doc_id tells which of them are covered.
-
-Equal texts are one text with the least of their doc_ids; the others are covered
+2. Sorting. The fragments around surviving anchors are dealt by gram; those of a gram
+   in over ``HOT`` texts by the gram with ``BESIDE`` more bytes on the side where its
+   windows have them, so that one string in many contexts is many groups. In a bucket
+   the suffixes are sorted by their 8-byte digits, most significant first and inside
+   the groups of equal digits before; a group that lies in one document ends, and only
+   groups of several documents go on to the next digit. Groups equal through DEPTH
+   bytes are exactly the repeated windows, and a group's least doc_id tells which of
+   them are covered.
+
+Equal texts (of one 128-bit digest) are one text with the least of their doc_ids; the others are covered
 whole. What repeats inside a batch of texts is settled there and sent once, so a
 passage in a third of all documents sends one entry from each batch. Texts move as
 compressed bytes to the sorting round, and again to have their spans cut out.
@@ -44,6 +47,8 @@ DEPTH, GRAM = 50, 24
 BUCKET_BYTES = 24 << 20
 #: Parts, by the anchor's hash, in which a bucket is sorted one after another.
 PARTS = 16
+#: Texts with a gram beyond which it is dealt with the bytes beside it, and how many of these; each window has so many on one side.
+HOT, BESIDE = 64, (DEPTH - GRAM) // 2
 #: Window starts that are looked at at once.
 CHUNK = 1 << 18
 LAST = (1 << 63) - 1
@@ -77,8 +82,8 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): each anchor's gram hash and the range of window starts that it stands for."""
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last, at): each anchor's gram hash, the range of window starts that it stands for, and its place."""
     windows = len(raw) - DEPTH + 1
     found = []
     for lo in range(0, max(0, windows), CHUNK):
@@ -93,10 +98,10 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = np.minimum(v[: hi - lo], v[width - size : width - size + hi - lo])
         at = (v & low).astype(np.int64)
         start = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])
-        found.append((h[at[start]], start + lo, np.concatenate([start[1:], [hi - lo]]) - 1 + lo))
+        found.append((h[at[start]], start + lo, np.concatenate([start[1:], [hi - lo]]) - 1 + lo, at[start] + lo))
     if not found:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -222,39 +227,34 @@ def _gram_key(h: np.ndarray, buckets: int) -> np.ndarray:
 def equal_groups(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each suffix of ``data`` at ``starts``: whether a suffix equal through DEPTH bytes lies in a smaller document.
 
-    Most significant digit first, 8 bytes a pass; groups inside one document end early.
+    Most significant digit first, 8 bytes a pass, each sorted inside the groups that the
+    digits before have made; groups inside one document end early.
     """
     covered = np.zeros(len(starts), bool)
     alive = np.arange(len(starts))
-    group = np.zeros(len(starts), np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    digits = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    group = np.zeros(len(starts), np.int64)
+    digits = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
     for depth in range(0, DEPTH, 8):
         if not len(alive):
             break
-        digit = digits[starts[alive] + depth].view(np.uint64).reshape(-1)
+        digit = digits[starts[alive] + depth].view(">u8").reshape(-1).astype(np.uint64)
         if depth + 8 > DEPTH:
-            digit = digit & np.uint64((1 << (8 * (DEPTH - depth))) - 1)
-        key = digit ^ _mixed(group)
-        order = np.argsort(key)
-        key, alive = key[order], alive[order]
-        first = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
-        times = np.diff(np.append(first, len(key)))
+            digit = digit >> np.uint64(8 * (depth + 8 - DEPTH))
+        order = np.lexsort((digit, group)) if depth else np.argsort(digit)
+        digit, group, alive = digit[order], group[order], alive[order]
+        new = np.concatenate([[True], (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])])
+        first = np.nonzero(new)[0]
+        times = np.diff(np.append(first, len(digit)))
         d = docs[alive]
         least, most = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
         go_on = np.repeat(least != most, times)
         if depth + 8 >= DEPTH:
             covered[alive[d > np.repeat(least, times)]] = True
-        group = key[go_on]
+        group = np.cumsum(new)[go_on]
         alive = alive[go_on]
     return covered
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD[0]
-    return (x ^ (x >> np.uint64(29))) * _ODD[1]
-
-
 def _runs(flag: np.ndarray, where: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, begin, end) of bytes covered by flagged windows; neighbours of one owner are joined."""
     w, o = where[flag], owner[flag]
@@ -266,6 +266,31 @@ def _runs(flag: np.ndarray, where: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     return o[first], w[first], w[last] + DEPTH
 
 
+def fragments(raw: np.ndarray, grams: np.ndarray, buckets: int) -> list[tuple[int, int, int, int]]:
+    """(bucket, part, begin, end) of the text around its anchors in ``grams``; hot grams are there as -1 - key.
+
+    A window of a hot gram has BESIDE bytes behind the gram if it starts at most BESIDE
+    bytes before it, else more than BESIDE bytes before the gram.
+    """
+    h, lo, hi, at = anchors(raw)
+    key = _gram_key(h, buckets)
+    cold, hot = np.isin(key, grams[grams >= 0]), np.isin(key, -1 - grams[grams < 0])
+    x = h[cold]
+    out = list(zip(_bucket(x, buckets).tolist(), (x % np.uint64(PARTS)).tolist(), lo[cold].tolist(), (hi[cold] + DEPTH).tolist(), strict=True))
+    for first, last, p in zip(lo[hot].tolist(), hi[hot].tolist(), at[hot].tolist(), strict=True):
+        for a, z, begin, end in ((max(first, p - BESIDE), last, p, p + GRAM + BESIDE), (first, min(last, p - BESIDE - 1), p - BESIDE - 1, p + GRAM)):
+            if a <= z:
+                x = np.array([xxhash.xxh64_intdigest(raw[begin:end].tobytes())], np.uint64)
+                out.append((int(_bucket(x, buckets)[0]), int(x[0] % np.uint64(PARTS)), a, z + DEPTH))
+    return out
+
+
+def with_heat(grams: DataFrame) -> DataFrame:
+    """(t1, gram): grams of over HOT texts as -1 - gram."""
+    hot = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
+    return grams.join(hot, "gram", "left").select("t1", F.when(F.col("hot"), -1 - F.col("gram")).otherwise(F.col("gram")).alias("gram"))
+
+
 def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
     """(t1, doc, begin, end) of covered bytes, from (t1, doc, packed, grams); spans may overlap."""
 
@@ -277,11 +302,8 @@ def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
             mine = []
             for i, blob in enumerate(packed):
                 raw = _unpack(blob)
-                h, lo, hi = anchors(raw)
-                hit = np.isin(_gram_key(h, buckets), grams[i].values.to_numpy(zero_copy_only=False))
                 data = raw.tobytes()
-                h = h[hit]
-                for b, u, x, y in zip(_bucket(h, buckets).tolist(), (h % np.uint64(PARTS)).tolist(), lo[hit].tolist(), (hi[hit] + DEPTH).tolist(), strict=True):
+                for b, u, x, y in fragments(raw, grams[i].values.to_numpy(zero_copy_only=False), buckets):
                     piece = data[x:y]
                     if least.setdefault(piece, doc[i]) > doc[i]:
                         least[piece] = doc[i]
@@ -371,7 +393,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUC
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     first = F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc")
     texts = rows.groupBy("t1", "t2").agg(first)
-    grams = shared_grams(docs, buckets).groupBy("t1").agg(F.collect_list("gram").alias("grams")).join(texts, "t1")
+    grams = with_heat(scratch.keep(shared_grams(docs, buckets))).groupBy("t1").agg(F.collect_list("gram").alias("grams")).join(texts, "t1")
     # dealt once by (t1, t2) and read by both joins: neither needs it dealt otherwise
     packed = pack(docs)
     spans = covered_spans(packed.join(grams, ["t1", "t2"]), buckets)

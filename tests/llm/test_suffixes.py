@@ -49,13 +49,35 @@ def test_against_brute_force(spark, bucket_bytes):
     assert run(spark, cases(), bucket_bytes=bucket_bytes) == brute(cases())
 
 
+def test_hot_grams_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(X, "HOT", 3)
+    assert run(spark, cases(), bucket_bytes=2000) == brute(cases())
+
+
+def test_one_string_in_many_contexts_is_spread():
+    rng = np.random.default_rng(8)
+    shared, sent = "the same thirty-five bytes in here.", {}
+    for _ in range(800):
+        raw = np.frombuffer(("".join(rng.choice(list("abcdefghij"), 60)) + shared + "".join(rng.choice(list("klmnopqrst"), 60))).encode(), np.uint8)
+        h, lo, hi, at = X.anchors(raw)
+        inside = (at >= 60) & (at + X.GRAM <= 95)
+        hot = -1 - X._gram_key(h[inside], 50)
+        for bucket, _, a, z in X.fragments(raw, hot, 50):
+            assert (lo.min() <= a) and z - a >= X.DEPTH
+            sent[bucket] = sent.get(bucket, 0) + 1
+        cold = X.fragments(raw, X._gram_key(h[inside], 50), 50)
+        windows = lambda f: sorted(s for _, _, a, z in f for s in range(a, z - X.DEPTH + 1))
+        assert windows(cold) == windows(X.fragments(raw, hot, 50))
+    assert len(sent) == 50 and max(sent.values()) < 3 * sum(sent.values()) / 50
+
+
 def test_windows_belong_to_one_anchor_each():
     raw = np.frombuffer((" ".join(sentence(i) for i in range(3000))).encode(), np.uint8)
     chunk = X.CHUNK
-    h, lo, hi = X.anchors(raw)
+    h, lo, hi, _ = X.anchors(raw)
     X.CHUNK = 1000
     try:
-        h2, lo2, hi2 = X.anchors(raw)
+        h2, lo2, hi2, _ = X.anchors(raw)
     finally:
         X.CHUNK = chunk
     assert lo[0] == 0 and hi[-1] == len(raw) - X.DEPTH and (lo[1:] == hi[:-1] + 1).all()
@@ -69,3 +91,17 @@ def test_radix_groups_stop_at_the_depth():
     data = np.frombuffer(a + b, np.uint8)
     hit = X.equal_groups(data, np.array([0, 1, 70, 71]), np.array([1, 1, 2, 2]))
     assert hit.tolist() == [False, False, True, False]
+
+
+def test_groups_are_told_apart_by_bytes():
+    """Random texts of two letters: every group of the sort against a dictionary of windows."""
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"ab", np.uint8), 4000)
+    data[1000:1300], data[3000:3300] = data[2000:2300], data[2000:2300]
+    starts = np.arange(len(data) - X.DEPTH + 1)
+    docs = starts // 900
+    least = {}
+    for i, d in zip(starts, docs, strict=True):
+        least.setdefault(data[i : i + X.DEPTH].tobytes(), d)
+    want = [least[data[i : i + X.DEPTH].tobytes()] < d for i, d in zip(starts, docs, strict=True)]
+    assert X.equal_groups(data, starts, docs).tolist() == want and sum(want) > 400
