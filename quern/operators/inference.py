@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.correlation import paired
 from quern.functions.numeric import clip, finite, t_tail
+from quern.sources.files import scratch_dir
 
 MOST_EXACT = 9
 
@@ -37,7 +38,7 @@ def _points(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def permutation_exact(df: DataFrame, keys: list[str], x: str, y: str, tol: float = 1e-12) -> DataFrame:
-    """(keys, n, r, p_two, p_one): over all orders of y; NULL p beyond MOST_EXACT points or without variance."""
+    """(keys, n, r, p_two, p_one): over all orders of y; NULL p beyond MOST_EXACT points, which are never gathered, or without variance."""
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_x", "_y"])
@@ -51,7 +52,13 @@ def permutation_exact(df: DataFrame, keys: list[str], x: str, y: str, tol: float
             two, one = float((np.abs(all_r) >= abs(r) - tol).mean()), float((all_r >= r - tol).mean())
         return pd.DataFrame([[*pdf[keys].iloc[0], len(a), None if math.isnan(r) else r, two, one]], columns=[*keys, "n", "r", "p_two", "p_one"])
 
-    return _points(df, keys, x, y).groupBy(*keys).applyInPandas(test, f"{_kinds(df, keys)}, n long, r double, p_two double, p_one double")
+    rows = _points(df, keys, x, y)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("r"))
+    small = rows.join(sizes.where(F.col("n") <= MOST_EXACT).select(*keys), keys, "left_semi")
+    tested = small.groupBy(*keys).applyInPandas(test, f"{_kinds(df, keys)}, n long, r double, p_two double, p_one double")
+    none = F.lit(None).cast("double")
+    large = sizes.where(F.col("n") > MOST_EXACT).select(*keys, "n", F.nanvl("r", none).alias("r"), none.alias("p_two"), none.alias("p_one"))
+    return tested.union(large)
 
 
 def permutation_sampled(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
@@ -115,28 +122,43 @@ def ols_hc3(df: DataFrame, y: str, group: str, specs: dict[str, list[str]]) -> D
     return df.sparkSession.createDataFrame(rows, "spec string, term string, coef double, se_hc3 double, p_hc3 double, n long, r2 double, adj_r2 double, aic double, bic double")
 
 
-def logistic(df: DataFrame, keys: list[str], x: str, y: str, c: float = 1.0, steps: int = 8) -> DataFrame:
+def logistic(df: DataFrame, keys: list[str], x: str, y: str, c: float = 1.0, tol: float = 1e-10) -> DataFrame:
     """(keys, n, n_pos, mu, sd, w0, w1): per-group logistic fits on standardised x with an L2 penalty 1/C on the slope.
 
-    ``steps`` Newton steps from zero, each a grouped sum of five terms, so a group
-    may have any number of rows; groups of one class or without variance have NULLs.
+    Newton steps from zero until no group's weights move by ``tol`` any more; the
+    penalised likelihood has one optimum. A step is a grouped sum of five terms, so a
+    group may have any number of rows; the rows are written once and each step's weights
+    after it. Groups of one class or without variance have NULLs.
     """
-    rows = df.select(*keys, finite(F.col(x)).alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    spark = df.sparkSession
+    place = scratch_dir(spark, "logistic")
+
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{place}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{place}/{name}")
+
+    rows = keep(df.select(*keys, finite(F.col(x)).alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"]), "rows")
     m = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("n_pos"), F.avg("_x").alias("mu"), F.stddev_pop("_x").alias("sd"))
+    m = keep(m, "groups")
     good = m.where((F.col("sd") > 0) & (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")))
-    fits = good.withColumn("w0", F.lit(0.0)).withColumn("w1", F.lit(0.0))
-    carried = [*keys, "n", "n_pos", "mu", "sd", "w0", "w1"]
-    for _ in range(steps):
-        z = (F.col("_x") - F.col("mu")) / F.col("sd")
-        p = 1 / (1 + F.exp(-clip(F.col("w0") + F.col("w1") * F.col("_z"), -500, 500)))
-        err, q = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
-        g = rows.join(fits, keys).withColumn("_z", z).withColumn("_p", p).groupBy(*carried).agg(
+    fits = good.select(*keys, "mu", "sd", F.lit(0.0).alias("w0"), F.lit(0.0).alias("w1"))
+    z = (F.col("_x") - F.col("mu")) / F.col("sd")
+    p = 1 / (1 + F.exp(-clip(F.col("w0") + F.col("w1") * F.col("_z"), -500, 500)))
+    err, q = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
+    for step in itertools.count():
+        g = rows.join(fits, keys).withColumn("_z", z).withColumn("_p", p).groupBy(*keys, "mu", "sd", "w0", "w1").agg(
             (c * F.sum(err)).alias("g0"), (c * F.sum(err * F.col("_z")) + F.col("w1")).alias("g1"), (c * F.sum(q)).alias("h00"),
             (c * F.sum(q * F.col("_z"))).alias("h01"), (c * F.sum(q * F.col("_z") * F.col("_z")) + 1).alias("h11"),
         )
         det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        d0, d1 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det), F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
-        fits = g.select(*carried[:-2], (F.col("w0") - d0).alias("w0"), (F.col("w1") - d1).alias("w1"))
+        d0 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
+        d1 = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
+        # damped while far away, so that no step overshoots
+        size = F.greatest(F.lit(1.0), F.abs(d0), F.abs(d1))
+        fits = keep(g.select(*keys, "mu", "sd", (F.col("w0") - d0 / size).alias("w0"), (F.col("w1") - d1 / size).alias("w1"), F.greatest(F.abs(d0), F.abs(d1)).alias("_moved")), f"step{step}")
+        if (fits.agg(F.max("_moved")).first()[0] or 0.0) < tol:
+            break
+        fits = fits.drop("_moved")
     return m.join(fits.select(*keys, "w0", "w1"), keys, "left")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -53,26 +55,59 @@ def prototypes(triples: DataFrame, keys: list[str], label: str, source: str = "t
     return V.mean_vector(rows, [*keys, label], "o", "proto")
 
 
+#: Groups whose cross products a task holds at once, and parts in which a group's are added up.
+HELD_GROUPS, PARTS = 256, 32
+_SUMS = ["n", "sx", "sy", "xx", "xy"]
+
+
+def _cross_products(train: DataFrame, keys: list[str], kinds: str) -> DataFrame:
+    """(keys, n, sx, sy, xx, xy): each task's sums of s, o, s s' and s o' by group, matrices row by row."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        flush = lambda: pd.DataFrame([[*k, v[0], *[x.ravel().tolist() for x in v[1:]]] for k, v in held.items()], columns=[*keys, *_SUMS])
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, dropna=False, sort=False):
+                x, y = (np.stack(g[c].to_numpy()) for c in ("s", "o"))
+                new = [len(x), x.sum(0), y.sum(0), x.T @ x, x.T @ y]
+                held[key] = [a + b for a, b in zip(held[key], new, strict=True)] if key in held else new
+                if len(held) >= HELD_GROUPS:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    return train.mapInPandas(sums, f"{kinds}, n long, sx array<double>, sy array<double>, xx array<double>, xy array<double>")
+
+
 def affine(triples: DataFrame, keys: list[str], ridge: float = 1e-2) -> DataFrame:
     """(keys, id, inferred): test subjects under the ridge map of their relation's training rows.
 
-    The dual solution needs one relation's training vectors together: a bounded,
-    relation-sized group by nature, solved in one NumPy call.
+    Primal: a group of any size is summed to cross products of the vectors' dimension,
+    part by part, and one small system a group is solved; the map itself is applied to
+    test rows by expressions.
     """
     kinds = ", ".join(f"`{k}` {triples.schema[k].dataType.simpleString()}" for k in keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["split"] == "train"].sort_values("id")
-        test = pdf[pdf["split"] == "test"]
-        if train.empty or test.empty:
-            return pdf.iloc[:0][[*keys, "id"]].assign(inferred=pd.Series(dtype=object))
-        x, y = (np.stack(train[c].to_numpy()) for c in ("s", "o"))
-        mx, my = x.mean(0), y.mean(0)
-        dual = np.linalg.solve((x - mx) @ (x - mx).T + ridge * np.eye(len(x)), y - my)
-        hat = (np.stack(test["s"].to_numpy()) - mx) @ (x - mx).T @ dual + my
-        return test[[*keys, "id"]].assign(inferred=list(hat))
-
-    return triples.select(*keys, "id", "s", "o", "split").groupBy(*keys).applyInPandas(fit, f"{kinds}, id long, inferred array<double>")
+    full = f"{kinds}, n long, sx array<double>, sy array<double>, xx array<double>, xy array<double>"
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = [np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist() for c in _SUMS[1:]]
+        return pd.DataFrame([[*pdf[keys].iloc[0], int(pdf["n"].sum()), *total]], columns=[*keys, *_SUMS])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = added(pdf).iloc[0]
+        n, sx, sy = one["n"], np.array(one["sx"]), np.array(one["sy"])
+        d = len(sx)
+        xx = np.array(one["xx"]).reshape(d, d) - np.outer(sx, sx) / n
+        xy = np.array(one["xy"]).reshape(d, -1) - np.outer(sx, sy) / n
+        w = np.linalg.solve(xx + ridge * np.eye(d), xy)
+        return pd.DataFrame([[*pdf[keys].iloc[0], [c.tolist() for c in w.T], (sx / n).tolist(), (sy / n).tolist()]], columns=[*keys, "w", "mx", "my"])
+
+    parts = _cross_products(triples.where("split = 'train'").select(*keys, "s", "o"), keys, kinds).withColumn("_part", F.spark_partition_id() % PARTS)
+    fits = parts.groupBy(*keys, "_part").applyInPandas(lambda pdf: added(pdf.drop(columns="_part")), full).groupBy(*keys).applyInPandas(solve, f"{kinds}, w array<array<double>>, mx array<double>, my array<double>")
+    moved = triples.where("split = 'test'").select(*keys, "id", "s").join(fits, keys).withColumn("_x", V.subtract(F.col("s"), F.col("mx")))
+    dot = lambda c: F.aggregate(F.zip_with("_x", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return moved.select(*keys, "id", F.zip_with(F.transform("w", dot), "my", lambda a, b: a + b).alias("inferred"))
 
 
 def queries_of(triples: DataFrame, keys: list[str], gold: str, mode: str) -> DataFrame:

@@ -95,10 +95,11 @@ def l09(spark, sf):
     return ranking.leave_one_out(points(spark, sf), ["grp"], "x", "y").groupBy("grp").agg(_r(F.min("r_without"), "lo"), _r(F.max("r_without"), "hi"))
 
 
-@Q.add("l10_fisher_combined", f"WITH {POINTS}, s AS (SELECT grp, -sum(ln(z)) h, count(*) k FROM points WHERE id <= 2 AND z > 0 GROUP BY 1) SELECT grp, round(least(1, exp(-h)*CASE k WHEN 1 THEN 1 WHEN 2 THEN 1+h ELSE 1+h+h*h/2 END),6) AS p FROM s")
+@Q.add("l10_fisher_combined", f"WITH {POINTS}, s AS (SELECT grp, id // 4 AS part, -sum(ln(z)) h, count(*) k FROM points WHERE z > 0 GROUP BY grp, id // 4) SELECT grp, part, round(least(1, exp(-h)*CASE k WHEN 1 THEN 1 WHEN 2 THEN 1+h WHEN 3 THEN 1+h+h*h/2 ELSE 1+h+h*h/2+h*h*h/6 END),6) AS p FROM s")
 def l10(spark, sf):
-    s = points(spark, sf).where("id <= 2 AND z > 0").groupBy("grp").agg(F.sum(F.log("z")).alias("s"), F.count("*").alias("k"))
-    return s.select("grp", _r(N.fisher_combined(F.col("s"), F.col("k")), "p"))
+    """Suppliers in fours."""
+    s = points(spark, sf).where("z > 0").groupBy("grp", F.floor(F.col("id") / 4).alias("part")).agg(F.sum(F.log("z")).alias("s"), F.count("*").alias("k"))
+    return s.select("grp", "part", _r(N.fisher_combined(F.col("s"), F.col("k")), "p"))
 
 
 _PARTIAL = "(a-b*c)/sqrt((1-b*b)*(1-c*c))"
@@ -146,8 +147,8 @@ def _binary(spark, sf):
     return d.select("doc_id", "model_key", F.log(F.col("n_chars") + 1).alias("x"), (F.col("label") == "HALLUCINATION").cast("int").alias("y"))
 
 
-def _newton_sql(steps: int = 8) -> str:
-    """The same Newton steps as a chain of common tables."""
+def _newton_sql(steps: int = 16) -> str:
+    """Newton steps as a chain of common tables, far more than it takes to settle."""
     out = [f"{LABELLED}, b AS (SELECT model_key, ln(n_chars + 1) x, (label='HALLUCINATION')::INT::DOUBLE y FROM labelled WHERE label <> 'REFUSAL'), m AS (SELECT model_key, count(*) n, sum(y) k, avg(x) mu, stddev_pop(x) sd FROM b GROUP BY 1 HAVING sum(y) > 0 AND sum(y) < count(*) AND stddev_pop(x) > 0), z AS (SELECT model_key, (x-mu)/sd z, y FROM b JOIN m USING (model_key)), f0 AS (SELECT model_key, 0::DOUBLE w0, 0::DOUBLE w1 FROM m)"]
     for i in range(steps):
         out.append(f"g{i} AS (SELECT model_key, w0, w1, sum(p-y) a, sum((p-y)*z)+w1 b, sum(p*(1-p)) h, sum(p*(1-p)*z) j, sum(p*(1-p)*z*z)+1 l FROM (SELECT *, 1/(1+exp(-(w0+w1*z))) p FROM z JOIN f{i} USING (model_key)) GROUP BY 1, 2, 3), f{i + 1} AS (SELECT model_key, w0-(l*a-j*b)/(h*l-j*j) w0, w1-(h*b-j*a)/(h*l-j*j) w1 FROM g{i})")
