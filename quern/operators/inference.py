@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.correlation import paired
+from quern.functions.correlation import paired, pearson
 from quern.functions.numeric import clip, finite, t_tail
 from quern.sources.files import scratch_dir
 
@@ -53,11 +53,11 @@ def permutation_exact(df: DataFrame, keys: list[str], x: str, y: str, tol: float
         return pd.DataFrame([[*pdf[keys].iloc[0], len(a), None if math.isnan(r) else r, two, one]], columns=[*keys, "n", "r", "p_two", "p_one"])
 
     rows = _points(df, keys, x, y)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("r"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_x"), F.col("_y")).alias("r"))
     small = rows.join(sizes.where(F.col("n") <= MOST_EXACT).select(*keys), keys, "left_semi")
     tested = small.groupBy(*keys).applyInPandas(test, f"{_kinds(df, keys)}, n long, r double, p_two double, p_one double")
     none = F.lit(None).cast("double")
-    large = sizes.where(F.col("n") > MOST_EXACT).select(*keys, "n", F.nanvl("r", none).alias("r"), none.alias("p_two"), none.alias("p_one"))
+    large = sizes.where(F.col("n") > MOST_EXACT).select(*keys, "n", "r", none.alias("p_two"), none.alias("p_one"))
     return tested.union(large)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions.numeric import ratio, wilson
+from quern.operators import agreement
 
 from .inputs import LABELLED, POINTS, TRIPLES, labelled, points, triples
 from .registry import Queries, read
@@ -42,11 +43,8 @@ def _wilson_sql(k: str, n: str, upper: bool) -> str:
 )
 def behavior_summary(spark, sf):
     """Labels, counts, rate and Wilson interval of each model and relation."""
-    n = F.count(F.lit(1))
-    return labelled(spark, sf).groupBy("model_key", "relation_key").agg(
-        n.alias("n_total"), _n("REFUSAL").alias("n_refusal"), _n("CORRECT").alias("n_correct"), _n("HALLUCINATION").alias("n_hallucination"),
-        _r(ratio(_n("HALLUCINATION"), n), "hall_rate"), _r(wilson(_n("HALLUCINATION"), n, False), "hall_ci_low"), _r(wilson(_n("HALLUCINATION"), n, True), "hall_ci_high"),
-    )
+    m = agreement.three_way_summary(labelled(spark, sf), ["model_key", "relation_key"])
+    return m.select("model_key", "relation_key", "n_total", "n_refusal", "n_correct", "n_hallucination", *[_r(F.col(c), c) for c in ("hall_rate", "hall_ci_low", "hall_ci_high")])
 
 
 @Q.add("e01_count_by_group", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -176,11 +174,7 @@ def _pair(spark, sf):
 )
 def e17(spark, sf):
     """Accuracy and Cohen's kappa, from the confusion counts."""
-    c = _pair(spark, sf).groupBy("truth", "guess").agg(F.count("*").alias("k"))
-    margins = c.select(F.explode(F.array(F.struct(F.col("truth").alias("l"), F.col("k").alias("a"), F.lit(0).cast("long").alias("b")), F.struct(F.col("guess").alias("l"), F.lit(0).cast("long").alias("a"), F.col("k").alias("b")))).alias("m")).groupBy("m.l").agg(F.sum("m.a").alias("a"), F.sum("m.b").alias("b")).agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-    n = c.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("truth") == F.col("guess"), F.col("k")).otherwise(0)).alias("agree"))
-    p, e = F.col("agree") / F.col("n"), F.col("ab") / (F.col("n") * F.col("n"))
-    return n.join(F.broadcast(margins)).select("n", _r(p, "accuracy"), _r(F.try_divide(p - e, 1 - e), "kappa"))
+    return agreement.kappa(_pair(spark, sf), "truth", "guess").select("n", _r(F.col("accuracy"), "accuracy"), _r(F.col("kappa"), "kappa"))
 
 
 @Q.add("e17_confusion_matrix", f"""WITH {LABELLED}, {_PAIR}, l AS (SELECT unnest(['REFUSAL','CORRECT','HALLUCINATION']) AS l) SELECT t.l AS truth, g.l AS guess, count(p.doc_id) AS n FROM l t CROSS JOIN l g LEFT JOIN pair p ON p.truth=t.l AND p.guess=g.l GROUP BY 1,2""")
@@ -199,14 +193,8 @@ _COUNTS = "SELECT l AS label, count(*) FILTER (truth=l AND guess=l) tp, count(*)
 
 def _prf_rows(df, keys=(), on_empty=None, labels=(*LABELS, "OTHER")):
     """Precision, recall and F1 of each label, absent ones included."""
-    aggs = []
-    for i, x in enumerate(labels):
-        t, g = F.col("truth") == x, F.col("guess") == x
-        aggs += [F.count_if(t & g).alias(f"tp{i}"), F.count_if(~t & g).alias(f"fp{i}"), F.count_if(t & ~g).alias(f"fn{i}")]
-    each = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i, x in enumerate(labels)])).alias("m")
-    m = df.groupBy(*keys).agg(*aggs).select(*keys, each).select(*keys, "m.*")
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return m.select(*keys, "label", _r(ratio(tp, tp + fp, on_empty), "precision"), _r(ratio(tp, tp + fn, on_empty), "recall"), _r(ratio(2 * tp, 2 * tp + fp + fn, on_empty), "f1"))
+    m = agreement.precision_recall(df, "truth", "guess", labels, keys, on_empty)
+    return m.select(*keys, "label", *[_r(F.col(c), c) for c in ("precision", "recall", "f1")])
 
 
 @Q.add("e18_precision_recall_null", f"WITH {LABELLED}, {_PAIR}, c AS ({_COUNTS}) SELECT label, {_prf('')} FROM c")
@@ -232,8 +220,9 @@ def e19(spark, sf):
 
 @Q.add("e20_grouping_sets", f"WITH {LABELLED} SELECT coalesce(model_key,'*') AS model_key, coalesce(relation_key,'*') AS relation_key, count(*) AS n, count(*) FILTER (label='CORRECT') AS n_correct FROM labelled GROUP BY GROUPING SETS ((),(model_key),(relation_key))")
 def e20(spark, sf):
-    labelled(spark, sf).createOrReplaceTempView("quern_labelled")
-    return spark.sql("SELECT coalesce(model_key,'*') AS model_key, coalesce(relation_key,'*') AS relation_key, count(*) AS n, count_if(label='CORRECT') AS n_correct FROM quern_labelled GROUP BY GROUPING SETS ((),(model_key),(relation_key))")
+    keys = ("model_key", "relation_key")
+    g = labelled(spark, sf).groupingSets([[], ["model_key"], ["relation_key"]], *keys).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "CORRECT").alias("n_correct"))
+    return g.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in keys], "n", "n_correct")
 
 
 @Q.add("e21_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.25),4) AS q25, round(quantile_cont(l_extendedprice::DOUBLE, 0.9),4) AS q90 FROM lineitem GROUP BY 1")
@@ -254,10 +243,9 @@ def e22(spark, sf):
     from quern.functions.vectors import cosine
 
     v = triples(spark, sf).select("relation_key", "split", cosine(F.col("s"), F.col("o")).alias("delta"))
-    t = v.where("split = 'train'").groupBy("relation_key").agg(F.percentile("delta", F.lit(0.5)).alias("thr"))
-    core = F.col("delta") >= F.col("thr")
-    hi, lo = F.avg(F.when(core, F.col("delta"))), F.avg(F.when(~core, F.col("delta")))
-    return v.where("split = 'test'").join(t, "relation_key").groupBy("relation_key").agg(F.count("*").alias("n_test"), _r(F.avg("delta"), "delta_test"), _r(hi, "delta_core"), _r(lo, "delta_periphery"), _r(F.avg(core.cast("int")), "core_frac"), _r(hi - lo, "gap"), _r(F.avg(F.when(core, (F.col("delta") > 0).cast("int"))), "pos_share_core"))
+    m = agreement.core_periphery(v, ["relation_key"], "delta")
+    names = {"mean": "delta_test", "mean_core": "delta_core", "mean_periphery": "delta_periphery", "core_frac": "core_frac", "gap": "gap", "pos_share_core": "pos_share_core"}
+    return m.select("relation_key", "n_test", *[_r(F.col(a), b) for a, b in names.items()])
 
 
 @Q.add(

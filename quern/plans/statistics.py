@@ -225,3 +225,50 @@ def l22(spark, sf):
     p = read(spark, sf, "lineitem").groupBy("l_suppkey").pivot("l_linestatus", ["O", "F"]).agg(F.avg("l_discount")).where("O IS NOT NULL AND F IS NOT NULL")
     ranked = p.select("O", "F", F.rank().over(Window.orderBy("O")).alias("ro"), F.rank().over(Window.orderBy("F")).alias("rf"))
     return ranked.agg(_r(C.pearson(F.col("ro"), F.col("rf")), "rank_stability"), _r(F.avg(F.abs(F.col("O") - F.col("F"))), "mean_abs_delta"))
+
+
+# --- from labels and vectors to their relation ------------------------------
+
+#: Rates of hallucination of each model and relation, beside the relation's mean gain in cosine on test rows.
+_BOTH = f"""{LABELLED}, {DIRECTION}, rates AS (
+  SELECT model_key, regexp_extract(relation_key, '[0-9]+$')::INT % 10 AS rel, count(*) FILTER (label='HALLUCINATION') / nullif(count(*) FILTER (label<>'REFUSAL'), 0) AS rate, count(*) FILTER (label<>'REFUSAL') AS w
+  FROM labelled GROUP BY ALL), gains AS (SELECT relation_key AS rel, avg(cos) - avg(base_cos) AS gain FROM scored WHERE split='test' GROUP BY 1),
+both_sides AS (SELECT model_key, rel, rate, w, gain FROM rates JOIN gains USING (rel) WHERE rate IS NOT NULL)"""
+
+
+def _both(spark, sf):
+    from quern.operators import agreement, linearity
+
+    from .inputs import triples
+
+    d = labelled(spark, sf).withColumn("rel", F.try_to_number(F.regexp_extract("relation_key", "[0-9]+$", 0), F.lit("999999999")).cast("int") % 10)
+    rates = agreement.three_way_summary(d, ["model_key", "rel"]).select("model_key", "rel", "hall_rate_answered", (F.col("n_total") - F.col("n_refusal")).alias("w"))
+    gains = linearity.summary(triples(spark, sf), ["relation_key"]).select(F.col("relation_key").alias("rel"), F.col("delta_cos").alias("gain"))
+    return rates, gains
+
+
+@Q.add(
+    "x01_rates_follow_gains",
+    f"""WITH {_BOTH}, k AS (SELECT *, rank() OVER (PARTITION BY model_key ORDER BY gain) + (count(*) OVER (PARTITION BY model_key, gain) - 1) / 2.0 AS a, rank() OVER (PARTITION BY model_key ORDER BY rate) + (count(*) OVER (PARTITION BY model_key, rate) - 1) / 2.0 AS b FROM both_sides),
+    c AS (SELECT model_key, count(*) AS n, CASE WHEN count(*) >= 3 AND min(rate) < max(rate) THEN corr(gain, rate) END AS r, CASE WHEN count(*) >= 3 AND min(rate) < max(rate) THEN corr(a, b) END AS s FROM k GROUP BY 1)
+    SELECT model_key, n, round(r, 5) AS r, round(CASE WHEN n > 3 AND abs(r) < 1 THEN tanh(atanh(r) - 1.96 / sqrt(n - 3)) END, 5) AS r_ci_low, round(CASE WHEN n > 3 AND abs(r) < 1 THEN tanh(atanh(r) + 1.96 / sqrt(n - 3)) END, 5) AS r_ci_high, round(s, 5) AS spearman FROM c""",
+)
+def x01(spark, sf):
+    """Labels to rates, vectors to gains, and how the rates follow the gains for each model."""
+    from quern.operators import agreement
+
+    rates, gains = _both(spark, sf)
+    rates = rates.groupBy("model_key", "rel").agg(F.first("hall_rate_answered").alias("hall_rate_answered"))
+    m = agreement.related(rates, gains, ["rel"], ["model_key"], "hall_rate_answered", "gain")
+    return m.select("model_key", "n", *[_r(F.col(c), c, 5) for c in ("r", "r_ci_low", "r_ci_high", "spearman")])
+
+
+@Q.add("x02_thresholds_by_relation_size", f"""WITH {_BOTH}, g AS (SELECT t, model_key, CASE WHEN min(rate) < max(rate) AND min(gain) < max(gain) THEN corr(gain, rate) END AS r, count(*) AS n FROM both_sides JOIN (SELECT unnest([1, 5, 10, 20]) AS t) ON w >= t GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT t AS threshold, count(*) AS n_models, min(n) AS least_relations, round(avg(r), 5) AS mean_r, round(min(r), 5) AS min_r FROM g GROUP BY 1""")
+def x02(spark, sf):
+    """The same over relations with at least so many answered rows."""
+    rates, gains = _both(spark, sf)
+    both = rates.join(gains, "rel").where("hall_rate_answered IS NOT NULL AND gain IS NOT NULL")
+    at = both.select("model_key", "hall_rate_answered", "gain", F.explode(F.filter(F.array(*map(F.lit, (1, 5, 10, 20))), lambda t: t <= F.col("w"))).alias("threshold"))
+    g = at.groupBy("threshold", "model_key").agg(C.pearson(F.col("gain"), F.col("hall_rate_answered"), 3).alias("r"), F.count("*").alias("n")).where("n >= 3")
+    return g.groupBy("threshold").agg(F.count("*").alias("n_models"), F.min("n").alias("least_relations"), _r(F.avg("r"), "mean_r", 5), _r(F.min("r"), "min_r", 5))
