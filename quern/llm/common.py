@@ -126,6 +126,10 @@ class Scratch:
         """Delete a table of ``keep`` that nothing will read again."""
         self._delete(df._quern_path)
 
+    def clear(self) -> None:
+        """Delete all tables, of which nothing will be read again."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

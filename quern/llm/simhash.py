@@ -34,21 +34,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_block, map_arrow, table
+from .common import Scratch, blocks, by_block, map_arrow, table
 from .components import roots
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Near copies by shingle sets: words of a shingle, similarity, mean words of a segment.
-NEAR_SHINGLE, NEAR_SIMILARITY, SEGMENT_WORDS = 5, 0.8, 16
+#: Near copies by shingle sets: words of a shingle, similarity.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Fingerprints in a cell beyond which one-bit neighbours replace pairs.
 CELL = 32
 #: Shingle values whose bits are counted at once.
 AT_ONCE = 200_000
-#: Documents whose shingles are counted to order shingles by, and most shingles so ordered.
-HOT_SAMPLE, HOT_MOST = 10_000, 100_000
+#: Counters of shingles by their leading bits, parts in which they travel, and groups in which tasks' counters are added first.
+COUNTER_BITS, COUNTER_PARTS, COUNTER_GROUPS = 20, 4, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -135,33 +136,6 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def segments(text: str | None, shingle: int = NEAR_SHINGLE, every: int = SEGMENT_WORDS) -> np.ndarray:
-    """SimHashes of a text's segments, each once; a segment ends after a word whose hash says so, on average every ``every`` words.
-
-    Where a text is unchanged its segments are, so near copies share most of them.
-    """
-    words = _words(text)
-    if not words:
-        return np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    ends = np.array([digest(w, 1) % every == 0 for w in words])
-    segment = np.concatenate([[0], np.cumsum(ends)[:-1]])
-    out = []
-    for lo in range(0, len(words), AT_ONCE):
-        # a shingle belongs to the segment of its first word and stays inside it
-        part, seg = words[lo : lo + AT_ONCE], segment[lo : lo + AT_ONCE]
-        cuts = [0, *(np.nonzero(np.diff(seg))[0] + 1).tolist(), len(part)]
-        hashes, starts = [], []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            starts.append(len(hashes))
-            hashes += [digest(b" ".join(part[k : min(j, k + shingle)]), SEED) for k in range(i, max(i + 1, j - shingle + 1))]
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        n = np.diff([*starts, len(hashes)])
-        out.append(np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1))
-    return np.unique(np.concatenate(out)).view(np.int64)
-
-
 def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     """Distinct hashes of the word shingles; fewer words are one shingle, none is none."""
     words = _words(text)
@@ -170,30 +144,49 @@ def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
 
 
-def _prefix(held: np.ndarray, hot: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """The shingles of a sorted set, rarest first by (count in ``often``, value), of which two sets similar by ``least`` share one."""
+def _slots(held: np.ndarray) -> np.ndarray:
+    return (held >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _prefix(held: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a sorted set, rarest first by (their counter in ``often``, value), of which two sets similar by ``least`` share one."""
     if not len(held):
         return held
-    n = np.zeros(len(held), np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, held), len(hot) - 1)
-        n = np.where(hot[at] == held, often[at], 0)
-    return held[np.lexsort((held, n))[: len(held) - math.ceil(least * len(held) - 1e-6) + 1]]
+    return held[np.lexsort((held, often[_slots(held)]))[: len(held) - math.ceil(least * len(held) - 1e-6) + 1]]
 
 
-def _common(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that a sample of texts shares most, sorted, and their counts; they only order shingles, no result depends on them."""
-    n = named.count()
+def _counted(named: DataFrame) -> np.ndarray:
+    """How many texts have shingles of each counter, over all texts. They only order shingles, no result depends on them.
+
+    A shingle in n texts stands out of its counter's noise once n passes a few square
+    roots of what the counter holds, so what stays unseen grows with the root of the input.
+    """
+    part = (1 << COUNTER_BITS) // COUNTER_PARTS
+
+    def rows(counts: np.ndarray) -> list[bytes]:
+        z = zstandard.ZstdCompressor(level=1)
+        return [z.compress(np.minimum(counts[k * part : (k + 1) * part], 0xFFFFFFFF).astype(np.uint32).tobytes()) for k in range(len(counts) // part)]
+
+    def count(batches):
+        held = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for lo, hi in blocks(texts := batch.column(0).to_pylist()):
+                held += np.bincount(np.concatenate([_slots(shingles(t)) for t in texts[lo:hi]]), minlength=len(held))
+        group = TaskContext.get().partitionId() % COUNTER_GROUPS
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array([group] * COUNTER_PARTS, pa.int32()), pa.array(rows(held), pa.binary())], names=["part", "group", "counts"])
 
-    def every(keys: list, texts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *[shingles(t) for t in texts]]).view(np.int64))], names=["token"])
+    def added(table: pa.Table) -> pa.Table:
+        z, total = zstandard.ZstdDecompressor(), np.zeros(part, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(z.decompress(x.as_py()), np.uint32)
+        return pa.table({"part": table.column("part")[:1], "group": table.column("group")[:1], "counts": pa.array(rows(total), pa.binary())})
 
-    some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, min(1_000_000, HOT_SAMPLE * 1_000_000 // max(1, n))))
-    counts = map_arrow(some.select("doc_id", "text"), by_block(["doc_id", "text"], every), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.col("n").desc(), "token").limit(HOT_MOST).toPandas()
-    hot = found["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    return hot[order], found["n"].to_numpy(np.int64)[order]
+    schema = "part int, group int, counts binary"
+    found = map_arrow(named.select("text"), count, schema).groupBy("part", "group").applyInArrow(added, schema).groupBy("part").applyInArrow(added, schema)
+    out, z = np.zeros(1 << COUNTER_BITS, np.uint32), zstandard.ZstdDecompressor()
+    for r in found.collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(z.decompress(bytes(r["counts"])), np.uint32)
+    return out
 
 
 def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least: float = NEAR_SIMILARITY, known: DataFrame | None = None) -> DataFrame:
@@ -210,11 +203,11 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     within a component aren't, as no link between them changes it.
     """
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    hot, often = _common(named)
+    counters = docs.sparkSession.sparkContext.broadcast(_counted(named))
 
     def enter(keys: list, texts: list) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts]
-        first = [_prefix(x, hot, often, least) for x in sets]
+        sets, often = [shingles(t) for t in texts], counters.value
+        first = [_prefix(x, often, least) for x in sets]
         ends = np.cumsum([0, *[len(x) for x in first]]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)))
         names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
@@ -296,8 +289,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = rows.select(F.col("row").alias("doc_id"), F.col("doc")["text"].alias("text"))
     found = scratch.keep(components(spark, named))
     known = found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    links = near_links(named, None, scratch, known=known)
-    hung = scratch.keep(roots(scratch.keep(links), scratch).withColumnRenamed("node", "row"))
+    near = Scratch(spark, "near")
+    links = scratch.keep(near_links(named, None, near, known=known))
+    near.clear()
+    hung = scratch.keep(roots(links, near).withColumnRenamed("node", "row"))
+    near.clear()
     members = hung.union(hung.select(F.col("root").alias("row"), "root").distinct())
     # the ids grow with the texts: the plan that holds for many is the plan for few
     ranked = rows.select("row", F.col("doc")["doc_id"].alias("id")).join(members.hint("merge"), "row")

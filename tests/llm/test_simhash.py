@@ -148,12 +148,3 @@ def test_similar_shingle_sets_are_one_group(spark):
     want, got = groups(every), groups(links)
     assert sum(want[i] == got[i] for i in text) >= 0.97 * len(text)
     assert all(want[i] == want[got[i]] for i in text)
-
-
-def test_segments_survive_edits_elsewhere():
-    words = [f"w{i % 97}x{i % 31}" for i in range(400)]
-    one = set(S.segments(" ".join(words)).tolist())
-    words[200] = "changed"
-    two = set(S.segments(" ".join(words)).tolist())
-    assert len(one) > 8 and len(one & two) >= len(one) - 3
-    assert len(S.segments(None)) == len(S.segments(" \n")) == 0 and len(S.segments("one two")) == 1
