@@ -43,8 +43,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def _give_back() -> None:
-    """Return what the C allocator holds free, so that an idle worker is small. Elsewhere than on glibc there is nothing to do."""
+def give_back() -> None:
+    """Return what the C allocator holds free, so that an idle process is small. Elsewhere than on glibc there is nothing to do."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -57,7 +57,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         for out in run(batches):
             yield out
             pa.default_memory_pool().release_unused()
-        _give_back()
+        give_back()
 
     return df.mapInArrow(tidy, schema)
 

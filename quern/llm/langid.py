@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, free_name, map_arrow, table
+from .common import blocks, free_name, give_back, map_arrow, table
 
-TRAIN_DOCS, TRAIN_CHARS = 1600, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1600, 4_000
 SLOTS = 1 << 16
 LEXICON_SIZE, LEXICON_LEAST = 20_000, 3
 SEQUENCES, STEPS, BATCH, EPOCHS = 6000, 32, 64, 2
@@ -241,7 +241,11 @@ def fit_on(docs: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) ->
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
     rows = usable.where(drawn < share).select("doc_id", F.substr("text", start, F.lit(chars)).alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    texts, langs = [r["text"] for r in rows], [r["lang"] for r in rows]
+    del rows
+    model = fit(texts, langs)
+    give_back()
+    return model
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
