@@ -48,6 +48,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 CELL = 32
 #: Shingle values whose bits are counted at once.
 AT_ONCE = 200_000
+#: Longs of parity bits of a shingle set.
+PARITY_LONGS = 4
 #: Counters of shingles by their leading bits, parts in which they travel, and groups in which tasks' counters are added first.
 COUNTER_BITS, COUNTER_PARTS, COUNTER_GROUPS = 20, 4, 256
 
@@ -155,6 +157,12 @@ def _prefix(held: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
     return held[np.lexsort((held, often[_slots(held)]))[: len(held) - math.ceil(least * len(held) - 1e-6) + 1]]
 
 
+def _parity(held: np.ndarray) -> np.ndarray:
+    """For each of 64 x PARITY_LONGS classes of shingles, whether the set has an odd number of them."""
+    odd = np.bincount((held % np.uint64(64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _counted(named: DataFrame) -> np.ndarray:
     """How many texts have shingles of each counter, over all texts. They only order shingles, no result depends on them.
 
@@ -200,7 +208,9 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     as an original is by its edited copies. Then all candidates that these links, equal
     sets and ``known`` links (a, b) leave in different components are verified: those
     outside the most frequent component of a shingle against all of its sets. Pairs
-    within a component aren't, as no link between them changes it.
+    within a component aren't, as no link between them changes it, nor are pairs whose
+    parity bits differ in more places than sets that similar can differ in shingles: each
+    shingle that only one has flips one bit.
     """
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     counters = docs.sparkSession.sparkContext.broadcast(_counted(named))
@@ -211,11 +221,15 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
         ends = np.cumsum([0, *[len(x) for x in first]]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)))
         names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names), pa.array([len(x) for x in sets], pa.int32()), tokens], names=["doc_id", "node", "size", "tokens"])
+        bits = np.stack([_parity(x) for x in sets])
+        columns = [pa.array(keys, pa.int64()), pa.array(names), pa.array([len(x) for x in sets], pa.int32()), tokens, *[pa.array(bits[:, k]) for k in range(PARITY_LONGS)]]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "tokens", *parity])
 
-    entered = map_arrow(named, by_block(["doc_id", "text"], enter), "doc_id long, node long, size int, tokens array<long>").where("size > 0")
+    parity = [f"p{k}" for k in range(PARITY_LONGS)]
+    entered = map_arrow(named, by_block(["doc_id", "text"], enter), "doc_id long, node long, size int, tokens array<long>, " + ", ".join(f"{c} long" for c in parity)).where("size > 0")
     rows = scratch.keep(entered if nodes is None else entered.join(nodes.hint("merge"), "doc_id", "left_semi"))
-    owner = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("rep")))
+    known_sets = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in parity]))
+    owner, bits = known_sets.select("node", "rep"), known_sets.select(F.col("rep").alias("doc_id"), *parity)
     equal = rows.select("node", "doc_id").join(owner.hint("merge"), "node").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     # one shuffle of the entries; equal sets enter once
     one = rows.select("node", "size", F.posexplode("tokens").alias("pos", "token")).repartition("token").distinct()
@@ -233,11 +247,13 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     links = scratch.keep(links if known is None else links.union(known.select("a", "b")))
 
     found = roots(links, scratch).select(F.col("node").alias("doc_id"), "root")
-    marked = scratch.keep(shared.join(found.hint("merge"), "doc_id", "left").select("token", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root")))
+    rooted = shared.join(found.hint("merge"), "doc_id", "left").join(bits.hint("merge"), "doc_id")
+    marked = scratch.keep(rooted.select("token", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root"), *parity))
     major = marked.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     split = scratch.keep(marked.join(major.hint("merge"), "token"))
-    right = split.select("token", F.col("doc_id").alias("b"), *other, F.col("root").alias("root_b"))
-    rest = split.where("root <> major").join(right.hint("merge"), "token").where("root <> root_b AND (root_b = major OR doc_id < b)").where(may)
+    right = split.select("token", F.col("doc_id").alias("b"), *other, F.col("root").alias("root_b"), *[F.col(c).alias(f"{c}_b") for c in parity])
+    apart = " + ".join(f"bit_count({c} ^ {c}_b)" for c in parity) + f" <= size + size_b - 2 * {enough}"
+    rest = split.where("root <> major").join(right.hint("merge"), "token").where("root <> root_b AND (root_b = major OR doc_id < b)").where(may).where(apart)
     pairs = scratch.keep(rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
     return links.union(_verified(named, pairs, scratch, least))
 

@@ -69,3 +69,12 @@ def test_links_of_other_members_than_the_first_join_groups(spark):
     assert S.fingerprint(rows[0][1]) == S.fingerprint(rows[1][1]) != S.fingerprint(two)
     kept = S.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 900).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(0, 700)))) for _ in range(2))
+        differ = sum(int(x).bit_count() for x in (S._parity(a) ^ S._parity(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
