@@ -81,6 +81,21 @@ def related(rates: DataFrame, gains: DataFrame, on: Sequence[str], keys: Sequenc
     return r.select("*", bound(False).alias("r_ci_low"), bound(True).alias("r_ci_high")).join(spearman(both, gain, rate, list(keys), least).drop("n"), list(keys))
 
 
+def sensitivity(default: DataFrame, variants: DataFrame, behaviour: DataFrame, keys: Sequence[str], on: Sequence[str], value: str, behaves: str, least: int = 3) -> DataFrame:
+    """(keys, n, r_default, spearman_default, mean_abs_delta, n_behaviour, r_behaviour, spearman_behaviour) of variants of a measure.
+
+    ``keys`` name a variant, ``on`` the rows it shares with the default and with ``behaviour``.
+    """
+    base = default.select(*on, F.col(value).alias("_base"))
+    both = variants.join(base, list(on)).where(F.col(value).isNotNull() & F.col("_base").isNotNull())
+    met = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_base"), F.col(value), least).alias("r_default"), F.avg(F.abs(F.col(value) - F.col("_base"))).alias("mean_abs_delta"))
+    met = met.join(spearman(both, "_base", value, list(keys), least).select(*keys, F.col("spearman").alias("spearman_default")), list(keys), "left")
+    told = variants.join(behaviour.select(*on, F.col(behaves).alias("_told")), list(on)).where(F.col(value).isNotNull() & F.col("_told").isNotNull())
+    seen = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_behaviour"), pearson(F.col(value), F.col("_told"), least).alias("r_behaviour"))
+    seen = seen.join(spearman(told, value, "_told", list(keys), least).select(*keys, F.col("spearman").alias("spearman_behaviour")), list(keys), "left")
+    return met.join(seen, list(keys), "left")
+
+
 def macro(per_label: DataFrame, keys: Sequence[str] = (), measure: str = "f1") -> DataFrame:
     """Mean of a measure over labels."""
     return per_label.groupBy(*keys).agg(F.avg(measure).alias(f"macro_{measure}"))

@@ -1,4 +1,4 @@
-"""Checks on joins: duplicates, coverage, cardinality. One error, raised by the action, names offenders."""
+"""Checks on joins: duplicates, coverage, cardinality. A check runs a job of its own at once; its error names a few offenders."""
 
 from __future__ import annotations
 

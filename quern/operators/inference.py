@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.correlation import paired, pearson
-from quern.functions.numeric import clip, finite, t_tail
+from quern.functions.correlation import kish, paired, pearson, weighted_pearson
+from quern.functions.numeric import clip, finite, t_p_udf, t_tail
 from quern.sources.files import scratch_dir
 
 MOST_EXACT = 9
@@ -84,42 +85,78 @@ def permutation_sampled(df: DataFrame, keys: list[str], x: str, y: str, draws: i
 
 
 def ols_hc3(df: DataFrame, y: str, group: str, specs: dict[str, list[str]]) -> DataFrame:
-    """(spec, term, coef, se_hc3, p_hc3, n, r2, adj_r2, aic, bic): fixed effects of ``group`` plus each specification's predictors.
-
-    The cross products of all columns are one aggregate; only those small matrices
-    are solved, and leverages and residuals go back over the rows as expressions.
+    """(spec, term, coef, se_hc3, t_hc3, p_hc3, n, r2, adj_r2, aic, bic): fixed effects of ``group`` plus each specification's predictors.
+
+    Effects are taken out by demeaning within groups, of which there may be any number:
+    slopes and residuals are those of a regression on group dummies, and so are leverages
+    with 1 / n of the group added. One aggregate gives the cross products of all
+    predictors, a second the weighted residuals of all specifications; only their small
+    matrices are solved. A specification without predictors is one row without term. A
+    group of one row fits itself and adds nothing to the errors.
     """
     names = sorted({p for ps in specs.values() for p in ps})
-    levels = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    base = df.select(finite(F.col(y)).alias("_y"), F.lit(1.0).alias("const"), *[finite(F.col(n)).alias(n) for n in names], *[(F.col(group) == v).cast("double").alias(f"fe_{i}") for i, v in enumerate(levels) if i]).dropna()
-    cols = [c for c in base.columns if c != "_y"]
-    wide = [*cols, "_y"]
-    sums = base.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(wide) for j, b in enumerate(wide) if j >= i], F.count(F.lit(1)).alias("n")).first()
+    rows = df.select(F.col(group).alias("_g"), finite(F.col(y)).alias("_y"), *[finite(F.col(n)).alias(n) for n in names]).dropna()
+    wide = [*names, "_y"]
+    means = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(wide)])
+    base = rows.join(means, "_g").select("_n", F.col("_y").alias("_raw"), *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(wide)])
+    upper = [(i, j) for i in range(len(wide)) for j in range(i, len(wide))]
+    sums = base.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("_n")).alias("groups"), F.var_pop("_raw").alias("v"),
+        *[F.sum(F.col(wide[i]) * F.col(wide[j])).alias(f"s{i}_{j}") for i, j in upper],
+    ).first()
+    schema = "spec string, term string, coef double, se_hc3 double, t_hc3 double, p_hc3 double, n long, r2 double, adj_r2 double, aic double, bic double"
     n = sums["n"]
+    if not n:
+        return df.sparkSession.createDataFrame([], schema)
     full = np.zeros((len(wide), len(wide)))
-    for i in range(len(wide)):
-        for j in range(i, len(wide)):
-            full[i, j] = full[j, i] = sums[f"s{i}_{j}"] or 0.0
-    rows = []
-    for spec, ps in specs.items():
-        use = [c for c in cols if c == "const" or c in ps or c.startswith("fe_")]
-        at = [wide.index(c) for c in use]
-        inv = np.linalg.pinv(full[np.ix_(at, at)])
+    for i, j in upper:
+        full[i, j] = full[j, i] = sums[f"s{i}_{j}"]
+    fits, wanted = {}, []
+    for s, (spec, ps) in enumerate(specs.items()):
+        at = [names.index(p) for p in ps]
+        inv = np.linalg.pinv(full[np.ix_(at, at)]) if at else np.zeros((0, 0))
         beta = inv @ full[at, -1]
-        fitted = sum((F.col(c) * float(b) for c, b in zip(use, beta, strict=True)), F.lit(0.0))
-        lever = sum((F.col(a) * F.col(b) * float(inv[i, j]) for i, a in enumerate(use) for j, b in enumerate(use)), F.lit(0.0))
-        resid = F.col("_y") - fitted
-        w = (resid / (1 - lever)) ** 2
-        meat = base.agg(F.sum(resid * resid).alias("ssr"), F.var_pop("_y").alias("v"), *[F.sum(w * F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(use) for j, b in enumerate(use)]).first()
-        m = np.array([[meat[f"m{i}_{j}"] for j in range(len(use))] for i in range(len(use))])
-        se = np.sqrt(np.diag(inv @ m @ inv))
-        k, ssr, sst = len(use), meat["ssr"], meat["v"] * n
-        r2 = 1 - ssr / sst
-        loglik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-        for c, b, s in zip(use, beta, se, strict=True):
-            p = math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else None
-            rows.append((spec, c, float(b), float(s), p, n, r2, 1 - (1 - r2) * (n - 1) / (n - k), 2 * k - 2 * loglik, k * math.log(n) - 2 * loglik))
-    return df.sparkSession.createDataFrame(rows, "spec string, term string, coef double, se_hc3 double, p_hc3 double, n long, r2 double, adj_r2 double, aic double, bic double")
+        fits[spec] = ps, inv, beta
+        resid = F.col("_y") - sum((F.col(c) * float(b) for c, b in zip(ps, beta, strict=True)), F.lit(0.0))
+        lever = sum((F.col(a) * F.col(b) * float(inv[i, j]) for i, a in enumerate(ps) for j, b in enumerate(ps)), 1 / F.col("_n"))
+        w = F.when(F.col("_n") > 1, F.try_divide(resid, 1 - lever)) ** 2
+        wanted += [F.sum(resid * resid).alias(f"ssr{s}"), *[F.sum(w * F.col(a) * F.col(b)).alias(f"m{s}_{i}_{j}") for i, a in enumerate(ps) for j, b in enumerate(ps) if j >= i]]
+    got = base.agg(*wanted).first()
+    out = []
+    for s, (spec, (ps, inv, beta)) in enumerate(fits.items()):
+        k, ssr, sst = len(ps) + round(sums["groups"]), got[f"ssr{s}"], sums["v"] * n
+        r2 = 1 - ssr / sst if sst > 0 else None
+        adj = 1 - (1 - r2) * (n - 1) / (n - k) if r2 is not None and n > k else None
+        loglik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else None
+        aic, bic = (None, None) if loglik is None else (2 * k - 2 * loglik, k * math.log(n) - 2 * loglik)
+        meat = np.array([[got[f"m{s}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(ps))] for i in range(len(ps))])
+        se = np.sqrt(np.diag(inv @ meat @ inv)) if ps else []
+        for c, b, e in zip(ps, beta, se, strict=True):
+            t = float(b / e) if e > 0 else None
+            out.append((spec, c, float(b), float(e), t, None if t is None else math.erfc(abs(t) / math.sqrt(2)), n, r2, adj, aic, bic))
+        if not ps:
+            out.append((spec, None, None, None, None, None, n, r2, adj, aic, bic))
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def threshold_grid(df: DataFrame, keys: list[str], x: str, y: str, weight: str, thresholds: Sequence[float], least: int = 3) -> DataFrame:
+    """(threshold, keys, n, r, p, r_weighted, n_eff, p_weighted) of the points whose weight reaches each threshold.
+
+    Every key is there at every threshold; r and p are NULL for under ``least`` points or
+    without variance, the weighted p also where the effective number of points is 3 or less.
+    """
+    every = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), finite(F.col(weight)).alias("_w"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    a, b = paired(F.when(F.col("_w") >= F.col("threshold"), F.col("_x")), F.col("_y"))
+    w = F.when(a.isNotNull() & (F.col("_w") > 0), F.col("_w"))
+    g = every.groupBy("threshold", *keys).agg(F.count(a).alias("n"), pearson(a, b, least).alias("r"), weighted_pearson(a, b, w, least).alias("r_weighted"), kish(w).alias("n_eff"))
+    p = t_p_udf()
+    return g.select("threshold", *keys, "n", "r", p("r", "n").alias("p"), "r_weighted", "n_eff", F.when(F.col("n_eff") > 3, p("r_weighted", "n_eff")).alias("p_weighted"))
+
+
+def ranked_thresholds(grid: DataFrame) -> DataFrame:
+    """(threshold, n_tests, mean_p): mean over all keys and both kinds of p, those that can't be computed as 1; the smallest first."""
+    one = lambda c: F.coalesce(F.col(c), F.lit(1.0))
+    return grid.groupBy("threshold").agg((2 * F.count(F.lit(1))).alias("n_tests"), F.avg((one("p") + one("p_weighted")) / 2).alias("mean_p")).orderBy("mean_p", "threshold")
 
 
 def logistic(df: DataFrame, keys: list[str], x: str, y: str, c: float = 1.0, tol: float = 1e-10) -> DataFrame:

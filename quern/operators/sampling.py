@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .guards import require_unique
 
 
+#: Tokens of a pool up to which it is broadcast.
+MOST_BROADCAST = 100_000
+
+
 def order_key(seed: str, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in cols]))
 
@@ -28,7 +32,9 @@ def product_sample(a: DataFrame, b: DataFrame, n: int, seed: str, anchor: tuple[
     key = order_key(seed, F.col(x), F.col(y))
     if anchor:
         key = F.when((F.col(x) == anchor[0]) & (F.col(y) == anchor[1]), "").otherwise(key)
-    pairs = a.distinct().crossJoin(F.broadcast(b.distinct())).withColumn("_k", key)
+    right = b.distinct()
+    small = right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    pairs = a.distinct().crossJoin(F.broadcast(right) if small else right).withColumn("_k", key)
     top = pairs.orderBy("_k", x, y).limit(n)
     return top.withColumn("position", F.row_number().over(Window.orderBy("_k", x, y)) - 1).drop("_k")
 

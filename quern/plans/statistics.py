@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import correlation as C
@@ -119,22 +118,25 @@ def l12(spark, sf):
     return g.select("n", _r(F.col("a"), "r_fe"), _r(C.partial(F.col("a"), F.col("b"), F.col("c")), "r_fe_partial"))
 
 
-SPECS = {"FE only": [], "FE + x": ["x"], "FE + z": ["z"], "FE + x + z": ["x", "z"]}
+SPECS = {"FE only": [], "FE + z": ["z"], "FE + w": ["w"], "FE + x": ["x"], "FE + z + x": ["z", "x"], "FE + w + x": ["w", "x"]}
+#: Specifications and the same with x.
+WITH_X = {"FE + z": "FE + z + x", "FE + w": "FE + w + x"}
 
 
 @Q.add("l13_ols_hc3")
 def l13(spark, sf):
-    """Least squares with group effects and HC3 errors over nested specifications."""
+    """Least squares with group effects and HC3 errors over six specifications."""
     return I.ols_hc3(points(spark, sf), "y", "grp", SPECS)
 
 
 @Q.add("l14_incremental_fit")
 def l14(spark, sf):
-    """Gain in adjusted R2 of each specification over the one without x."""
-    fit = I.ols_hc3(points(spark, sf), "y", "grp", SPECS).select("spec", "adj_r2").distinct()
-    base = fit.select(F.col("spec").alias("base_spec"), F.col("adj_r2").alias("adj_r2_base"))
-    plus = fit.withColumn("base_spec", F.when(F.col("spec") == "FE + x", "FE only").when(F.col("spec") == "FE + x + z", "FE + z"))
-    return plus.join(base, "base_spec").select("base_spec", F.col("spec").alias("plus_spec"), (F.col("adj_r2") - F.col("adj_r2_base")).alias("adj_r2_gain"))
+    """Gain in adjusted R2 of each specification over the one without x, and x's own coefficient."""
+    fit = I.ols_hc3(points(spark, sf), "y", "grp", SPECS)
+    base = fit.where(F.col("spec").isin(*WITH_X)).select(F.col("spec").alias("base_spec"), F.col("adj_r2").alias("adj_r2_base")).distinct()
+    plus = fit.where("term = 'x'").select(F.col("spec").alias("plus_spec"), F.col("adj_r2").alias("adj_r2_plus"), F.col("coef").alias("x_coef"), F.col("p_hc3").alias("x_p_hc3"))
+    named = F.create_map(*[F.lit(v) for pair in WITH_X.items() for v in pair])
+    return base.withColumn("plus_spec", named[F.col("base_spec")]).join(plus, "plus_spec").withColumn("adj_r2_gain", F.col("adj_r2_plus") - F.col("adj_r2_base"))
 
 
 @Q.add("l15_line_fit", f"WITH {POINTS} SELECT grp, round(regr_slope(y,x),4) AS slope, round(regr_intercept(y,x),3) AS intercept FROM points GROUP BY 1")
@@ -219,12 +221,32 @@ def l21(spark, sf):
     return m.agg(F.count("*").alias("n"), _r(C.pearson(b, c), "r", 5), _r(F.avg(c - b), "mean_gain"))
 
 
-@Q.add("l22_variant_sensitivity", "WITH a AS (SELECT l_suppkey k, l_linestatus s, avg(l_discount) v FROM lineitem GROUP BY 1,2), p AS (SELECT a.k, a.v x, b.v y FROM a JOIN a b USING (k) WHERE a.s='O' AND b.s='F'), r AS (SELECT *, rank() OVER (ORDER BY x) rx, rank() OVER (ORDER BY y) ry FROM p) SELECT round(corr(rx, ry),6) AS rank_stability, round(avg(abs(x-y)),6) AS mean_abs_delta FROM r")
+_AVG_RANK = "rank() OVER (PARTITION BY model, variant ORDER BY {0}) + (count(*) OVER (PARTITION BY model, variant, {0}) - 1) / 2.0"
+
+
+def _guarded_corr(a: str, b: str) -> str:
+    return f"CASE WHEN count(*) >= 3 AND min({a}) < max({a}) AND min({b}) < max({b}) THEN round(corr({a}, {b}), 5) END"
+
+
+@Q.add(
+    "l22_variant_sensitivity",
+    f"""WITH v AS (SELECT l_suppkey AS k, l_suppkey % 3 AS model, l_returnflag AS variant, round(avg(l_discount), 9) AS v FROM lineitem GROUP BY ALL), told AS (SELECT l_suppkey AS k, round(avg((l_linestatus = 'F')::INT), 9) AS b FROM lineitem GROUP BY 1),
+    both_v AS (SELECT a.model, a.variant, d.v AS x, a.v AS y FROM v a JOIN v d ON d.k = a.k AND d.variant = 'N' WHERE a.variant <> 'N'), both_r AS (SELECT *, {_AVG_RANK.format("x")} AS rx, {_AVG_RANK.format("y")} AS ry FROM both_v),
+    seen_v AS (SELECT model, variant, v AS x, b AS y FROM v JOIN told USING (k) WHERE variant <> 'N'), seen_r AS (SELECT *, {_AVG_RANK.format("x")} AS rx, {_AVG_RANK.format("y")} AS ry FROM seen_v),
+    m AS (SELECT model, variant, count(*) AS n, {_guarded_corr("x", "y")} AS r_default, {_guarded_corr("rx", "ry")} AS spearman_default, round(avg(abs(y - x)), 6) AS mean_abs_delta FROM both_r GROUP BY 1, 2),
+    s AS (SELECT model, variant, count(*) AS n_behaviour, {_guarded_corr("x", "y")} AS r_behaviour, {_guarded_corr("rx", "ry")} AS spearman_behaviour FROM seen_r GROUP BY 1, 2)
+    SELECT * FROM m LEFT JOIN s USING (model, variant)""",
+)
 def l22(spark, sf):
-    """Rank stability and mean change between two variants."""
-    p = read(spark, sf, "lineitem").groupBy("l_suppkey").pivot("l_linestatus", ["O", "F"]).agg(F.avg("l_discount")).where("O IS NOT NULL AND F IS NOT NULL")
-    ranked = p.select("O", "F", F.rank().over(Window.orderBy("O")).alias("ro"), F.rank().over(Window.orderBy("F")).alias("rf"))
-    return ranked.agg(_r(C.pearson(F.col("ro"), F.col("rf")), "rank_stability"), _r(F.avg(F.abs(F.col("O") - F.col("F"))), "mean_abs_delta"))
+    """How variants of a measure follow its default and a behaviour: suppliers in three models, discounts by return flag, the share of closed lines."""
+    from quern.operators import agreement
+
+    li = read(spark, sf, "lineitem")
+    v = li.groupBy("l_suppkey", (F.col("l_suppkey") % 3).alias("model"), F.col("l_returnflag").alias("variant")).agg(F.round(F.avg("l_discount"), 9).alias("v"))
+    told = li.groupBy("l_suppkey").agg(F.round(F.avg((F.col("l_linestatus") == "F").cast("int")), 9).alias("b"))
+    s = agreement.sensitivity(v.where("variant = 'N'"), v.where("variant <> 'N'"), told, ["model", "variant"], ["l_suppkey"], "v", "b")
+    rounded = [_r(F.col(c), c, 6 if c == "mean_abs_delta" else 5) if c[0] in "rsm" and c != "model" else F.col(c) for c in s.columns]
+    return s.select(*rounded)
 
 
 # --- from labels and vectors to their relation ------------------------------
@@ -236,13 +258,13 @@ _BOTH = f"""{LABELLED}, {DIRECTION}, rates AS (
 both_sides AS (SELECT model_key, rel, rate, w, gain FROM rates JOIN gains USING (rel) WHERE rate IS NOT NULL)"""
 
 
-def _both(spark, sf):
+def _targets(spark, sf):
     from quern.operators import agreement, linearity
 
     from .inputs import triples
 
     d = labelled(spark, sf).withColumn("rel", F.try_to_number(F.regexp_extract("relation_key", "[0-9]+$", 0), F.lit("999999999")).cast("int") % 10)
-    rates = agreement.three_way_summary(d, ["model_key", "rel"]).select("model_key", "rel", "hall_rate_answered", (F.col("n_total") - F.col("n_refusal")).alias("w"))
+    rates = agreement.three_way_summary(d, ["model_key", "rel"]).select("model_key", "rel", "hall_rate_answered", "n_refusal", "n_total", (F.col("n_total") - F.col("n_refusal")).alias("w"))
     gains = linearity.summary(triples(spark, sf), ["relation_key"]).select(F.col("relation_key").alias("rel"), F.col("delta_cos").alias("gain"))
     return rates, gains
 
@@ -257,7 +279,7 @@ def x01(spark, sf):
     """Labels to rates, vectors to gains, and how the rates follow the gains for each model."""
     from quern.operators import agreement
 
-    rates, gains = _both(spark, sf)
+    rates, gains = _targets(spark, sf)
     rates = rates.groupBy("model_key", "rel").agg(F.first("hall_rate_answered").alias("hall_rate_answered"))
     m = agreement.related(rates, gains, ["rel"], ["model_key"], "hall_rate_answered", "gain")
     return m.select("model_key", "n", *[_r(F.col(c), c, 5) for c in ("r", "r_ci_low", "r_ci_high", "spearman")])
@@ -267,8 +289,37 @@ def x01(spark, sf):
     SELECT t AS threshold, count(*) AS n_models, min(n) AS least_relations, round(avg(r), 5) AS mean_r, round(min(r), 5) AS min_r FROM g GROUP BY 1""")
 def x02(spark, sf):
     """The same over relations with at least so many answered rows."""
-    rates, gains = _both(spark, sf)
+    rates, gains = _targets(spark, sf)
     both = rates.join(gains, "rel").where("hall_rate_answered IS NOT NULL AND gain IS NOT NULL")
     at = both.select("model_key", "hall_rate_answered", "gain", F.explode(F.filter(F.array(*map(F.lit, (1, 5, 10, 20))), lambda t: t <= F.col("w"))).alias("threshold"))
     g = at.groupBy("threshold", "model_key").agg(C.pearson(F.col("gain"), F.col("hall_rate_answered"), 3).alias("r"), F.count("*").alias("n")).where("n >= 3")
     return g.groupBy("threshold").agg(F.count("*").alias("n_models"), F.min("n").alias("least_relations"), _r(F.avg("r"), "mean_r", 5), _r(F.min("r"), "min_r", 5))
+
+
+@Q.add("l19_thresholds_by_p")
+def l19p(spark, sf):
+    """Thresholds of the denominator ranked by the mean p of both targets and all models, plain and weighted; SQL has no t distribution."""
+    rates, gains = _targets(spark, sf)
+    value = F.struct(F.lit("hall_given_value").alias("target"), F.col("hall_rate_answered").alias("rate"), F.col("w").alias("denom"))
+    refusal = F.struct(F.lit("refusal").alias("target"), N.ratio(F.col("n_refusal"), F.col("n_total")).alias("rate"), F.col("n_total").alias("denom"))
+    both = rates.join(gains, "rel").select("model_key", "gain", F.inline(F.array(value, refusal)))
+    ranked = I.ranked_thresholds(I.threshold_grid(both, ["target", "model_key"], "gain", "rate", "denom", (1, 2, 5, 10, 20, 50, 100)))
+    return ranked.withColumn("mean_p", F.round("mean_p", 5))
+
+
+@Q.add("l21_affine_and_behaviour")
+def l21a(spark, sf):
+    """How rates of each model follow the gains of moved and of ridge-mapped subjects; the ridge map needs a solve that SQL lacks."""
+    from quern.functions import vectors as V
+    from quern.operators import agreement
+    from quern.operators import linearity as L
+
+    from .inputs import triples
+
+    rates, gains = _targets(spark, sf)
+    t = triples(spark, sf)
+    mapped = L.affine(t, ["relation_key"]).join(t.select("relation_key", "id", "s", "o"), ["relation_key", "id"])
+    plain, ridge = V.cosine(F.col("s"), F.col("o")), V.cosine(F.col("inferred"), F.col("o"))
+    affine = mapped.groupBy(F.col("relation_key").alias("rel")).agg(F.avg(ridge - plain).alias("gain"))
+    named = lambda g, name: agreement.related(rates, g, ["rel"], ["model_key"], "hall_rate_answered", "gain").select("model_key", "n", _r(F.col("r"), f"r_{name}", 5), _r(F.col("spearman"), f"spearman_{name}", 5))
+    return named(gains, "translation").join(named(affine, "affine").drop("n"), "model_key")

@@ -40,6 +40,16 @@ def expand(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     return list(found)
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
+    """A small file, which must not be there yet."""
+    p, fs = _path(spark, name)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def replace(spark: SparkSession, new: str, old: str) -> None:
     """Put a finished folder in another's place: the old one stands aside until the new one is there."""
     p, fs = _path(spark, new)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators import resolve
+from quern.operators import guards, resolve
 
 from . import files
 
@@ -129,3 +131,45 @@ def clean_zip(data: bytes, keep: Sequence[str]) -> bytes:
                 body = "".join(json.dumps({k: r[k] for k in keep if k in r}, ensure_ascii=False) + "\n" for r in rows).encode()
             dst.writestr(item.filename, body)
     return out.getvalue()
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def clean_archives(spark: SparkSession, path: str, keep: Sequence[str]) -> DataFrame:
+    """(name, content): every archive under ``path`` with only the wanted fields; a task holds one archive at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pydict({"name": [name.as_py()], "content": pa.array([clean_zip(content.as_py(), keep)], pa.binary())})
+
+    return _archives(spark, path).mapInArrow(run, "name string, content binary")
+
+
+def archive_lines(spark: SparkSession, path: str, at_once: int = 10_000) -> DataFrame:
+    """(name, task_key, line_no, line) of the JSON-lines members of every archive, read as streams; ``task_key`` is a member's name without folder and extension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for member in (m for m in z.namelist() if m.endswith(".jsonl")):
+                        key = member.rsplit("/", 1)[-1].removesuffix(".jsonl")
+                        with z.open(member) as f:
+                            lines = ((i, line.decode().rstrip("\r\n")) for i, line in enumerate(f) if line.strip())
+                            while some := list(itertools.islice(lines, at_once)):
+                                yield pa.RecordBatch.from_pydict({"name": [name] * len(some), "task_key": [key] * len(some), "line_no": pa.array([i for i, _ in some], pa.int64()), "line": [x for _, x in some]})
+
+    return _archives(spark, path).mapInArrow(run, "name string, task_key string, line_no long, line string")
+
+
+def release_rows(lines: DataFrame, schema: str) -> DataFrame:
+    """Records of ``archive_lines`` with the ids of a release: ``task_idx`` as given or by line, entity_id and example_id from it. A subject or index twice in a task is an error."""
+    r = lines.select("task_key", "line_no", F.from_json("line", f"{schema}, task_idx long", {"mode": "FAILFAST"}).alias("r")).select("task_key", "line_no", "r.*")
+    entity = F.concat_ws("_", "task_key", F.when(F.col("task_idx") < 10_000, F.lpad(F.col("task_idx").cast("string"), 4, "0")).otherwise(F.col("task_idx").cast("string")))
+    out = r.withColumn("task_idx", F.coalesce("task_idx", "line_no")).drop("line_no").withColumn("entity_id", entity).withColumn("example_id", F.concat_ws(":", "task_key", "entity_id"))
+    guards.require_unique(out, ["task_key", "task_idx"], "task_idx")
+    guards.require_unique(out.where("subject IS NOT NULL"), ["task_key", "subject"], "subject")
+    return out

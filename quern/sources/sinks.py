@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
@@ -71,9 +71,23 @@ def todo(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 def append_missing(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str]) -> int:
     """Write only rows that ``path`` lacks; the number written. Running it again after a failure goes on where it stopped."""
     rest = todo(df, spark.read.parquet(path), keys) if files.exists(spark, path) else df
-    before = spark.read.parquet(path).count() if files.exists(spark, path) else 0
-    rest.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    rest.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def after(df: DataFrame, done: DataFrame, position: str) -> DataFrame:
+    """Rows behind the first n, n being the rows in the output, by a 0-based number of the source's rows. An output that isn't those first n is an error."""
+    n, last = done.agg(F.count(F.lit(1)), F.max(position)).first()
+    if n and last != n - 1:
+        raise ValueError(f"the output has {n} rows up to position {last}")
+    return df.where(F.col(position) >= n)
+
+
+def archives(spark: SparkSession, df: DataFrame, folder: str) -> None:
+    """Write (name, content) as files, one after the other through the driver: for release archives, not for data."""
+    for name, content in df.select("name", "content").toLocalIterator():
+        files.write_bytes(spark, f"{folder}/{name}", bytes(content))
 
 
 def complete(source: DataFrame, output: DataFrame) -> bool:
