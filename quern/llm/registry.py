@@ -1,8 +1,8 @@
-"""The ten queries of this subpackage, and SQL for those that SQL can express."""
+"""The queries of this subpackage, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, resampling, sentencepieces, simhash, sketches, suffixes, surrogates
+from . import chat, codebooks, langid, licences, media, mixing, resampling, runs, sentencepieces, simhash, sketches, suffixes, surrogates
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_surrogates": surrogates.op9_surrogates,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_license_scan": licences.op11_license_scan,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_vector_codes": codebooks.op13_vector_codes,
 }
 SQL: dict[str, str] = {"op1_chat_format": chat.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
 
