@@ -5,7 +5,7 @@ Sums run over pairwise finite points only, combine map-side, and never raise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .numeric import finite
@@ -62,24 +62,6 @@ def kish(weight: Column) -> Column:
     return F.try_divide(F.sum(weight) * F.sum(weight), F.sum(weight * weight))
 
 
-def average_rank(x: str, keys: list[str]) -> Column:
-    """Rank among the keys' rows, ties sharing their mean."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ties = Window.partitionBy(*(keys or [F.lit(0)]), x)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
-def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 2) -> DataFrame:
-    """(keys, n, spearman): Pearson's r of average ranks over finite pairs.
-
-    Ranks come from counts of distinct values, so ties are ranked once.
-    """
-    a, b = paired(F.col(x), F.col(y))
-    points = df.select(*keys, a.alias("_x"), b.alias("_y")).where("_x IS NOT NULL")
-    ranked = points.withColumn("_rx", average_rank("_x", keys)).withColumn("_ry", average_rank("_y", keys))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_rx"), F.col("_ry"), least).alias("spearman"))
-
-
 def partial(rxy: Column, rxz: Column, ryz: Column) -> Column:
     """First-order partial correlation from three pairwise ones."""
     den = F.sqrt(F.greatest(F.lit(0.0), (1 - rxz * rxz) * (1 - ryz * ryz)))

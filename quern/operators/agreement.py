@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.correlation import pearson, spearman
+from quern.functions.correlation import pearson
 from quern.functions.numeric import fisher_bound, ratio, wilson
+from quern.operators.guards import null_safe_join
+from quern.operators.ordering import quantiles, spearman
 
 LABELS = ("REFUSAL", "CORRECT", "HALLUCINATION")
 
@@ -43,9 +45,7 @@ def kappa(df: DataFrame, truth: str, guess: str, keys: Sequence[str] = ()) -> Da
     per_label = margins.groupBy(*keys, "m.label").agg(F.sum("m.truth").alias("a"), F.sum("m.guess").alias("b"))
     chance = per_label.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum("a").alias("n"))
     agree = c.groupBy(*keys).agg(F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)).alias("agree"))
-    # without keys both sides are one row
-    one = F.lit(0).alias("one")
-    both = chance.select("*", one).join(agree.select("*", one), [*keys, "one"])
+    both = null_safe_join(chance, agree, keys)
     p, e = F.col("agree") / F.col("n"), F.col("ab") / (F.col("n") * F.col("n"))
     return both.select(*keys, "n", p.alias("accuracy"), F.try_divide(p - e, 1 - e).alias("kappa"))
 
@@ -64,10 +64,10 @@ def precision_recall(df: DataFrame, truth: str, guess: str, labels: Sequence[str
 def core_periphery(df: DataFrame, keys: Sequence[str], value: str, split: str = "split", q: float = 0.5) -> DataFrame:
     """(keys, thr, n_test, mean, mean_core, mean_periphery, core_frac, gap, pos_share_core): core is ``value`` at or above the q-quantile of training rows, measured on test rows."""
     v = F.col(value)
-    thr = df.where(F.col(split) == "train").groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("thr"))
+    thr = quantiles(df.where(F.col(split) == "train"), keys, value, {"thr": q}).drop("total")
     core = v >= F.col("thr")
     hi, lo = F.avg(F.when(core, v)), F.avg(F.when(~core, v))
-    return df.where(F.col(split) == "test").join(thr, list(keys)).groupBy(*keys, "thr").agg(
+    return null_safe_join(df.where(F.col(split) == "test"), thr, keys).groupBy(*keys, "thr").agg(
         F.count(F.lit(1)).alias("n_test"), F.avg(v).alias("mean"), hi.alias("mean_core"), lo.alias("mean_periphery"),
         F.avg(core.cast("int")).alias("core_frac"), (hi - lo).alias("gap"), F.avg(F.when(core, (v > 0).cast("int"))).alias("pos_share_core"),
     )
@@ -75,10 +75,11 @@ def core_periphery(df: DataFrame, keys: Sequence[str], value: str, split: str =
 
 def related(rates: DataFrame, gains: DataFrame, on: Sequence[str], keys: Sequence[str], rate: str, gain: str, least: int = 3) -> DataFrame:
     """(keys, n, r, r_ci_low, r_ci_high, spearman): how a rate follows a gain over the rows that both have."""
-    both = rates.join(gains, list(on)).select(*keys, rate, gain).where(F.col(rate).isNotNull() & F.col(gain).isNotNull())
+    both = null_safe_join(rates, gains, on).select(*keys, rate, gain).where(F.col(rate).isNotNull() & F.col(gain).isNotNull())
     r = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(gain), F.col(rate), least).alias("r"))
     bound = lambda upper: fisher_bound(F.col("r"), F.col("n"), upper)
-    return r.select("*", bound(False).alias("r_ci_low"), bound(True).alias("r_ci_high")).join(spearman(both, gain, rate, list(keys), least).drop("n"), list(keys))
+    ranked = spearman(both, gain, rate, keys, least).drop("n")
+    return null_safe_join(r.select("*", bound(False).alias("r_ci_low"), bound(True).alias("r_ci_high")), ranked, keys)
 
 
 def sensitivity(default: DataFrame, variants: DataFrame, behaviour: DataFrame, keys: Sequence[str], on: Sequence[str], value: str, behaves: str, least: int = 3) -> DataFrame:
@@ -87,13 +88,13 @@ def sensitivity(default: DataFrame, variants: DataFrame, behaviour: DataFrame, k
     ``keys`` name a variant, ``on`` the rows it shares with the default and with ``behaviour``.
     """
     base = default.select(*on, F.col(value).alias("_base"))
-    both = variants.join(base, list(on)).where(F.col(value).isNotNull() & F.col("_base").isNotNull())
+    both = null_safe_join(variants, base, on).where(F.col(value).isNotNull() & F.col("_base").isNotNull())
     met = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_base"), F.col(value), least).alias("r_default"), F.avg(F.abs(F.col(value) - F.col("_base"))).alias("mean_abs_delta"))
-    met = met.join(spearman(both, "_base", value, list(keys), least).select(*keys, F.col("spearman").alias("spearman_default")), list(keys), "left")
-    told = variants.join(behaviour.select(*on, F.col(behaves).alias("_told")), list(on)).where(F.col(value).isNotNull() & F.col("_told").isNotNull())
+    met = null_safe_join(met, spearman(both, "_base", value, keys, least).select(*keys, F.col("spearman").alias("spearman_default")), keys, "left")
+    told = null_safe_join(variants, behaviour.select(*on, F.col(behaves).alias("_told")), on).where(F.col(value).isNotNull() & F.col("_told").isNotNull())
     seen = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_behaviour"), pearson(F.col(value), F.col("_told"), least).alias("r_behaviour"))
-    seen = seen.join(spearman(told, value, "_told", list(keys), least).select(*keys, F.col("spearman").alias("spearman_behaviour")), list(keys), "left")
-    return met.join(seen, list(keys), "left")
+    seen = null_safe_join(seen, spearman(told, value, "_told", keys, least).select(*keys, F.col("spearman").alias("spearman_behaviour")), keys, "left")
+    return null_safe_join(met, seen, keys, "left")
 
 
 def macro(per_label: DataFrame, keys: Sequence[str] = (), measure: str = "f1") -> DataFrame:

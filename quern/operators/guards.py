@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +58,7 @@ def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join in which null keys match each other, as data-frame merges do."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = None
-    for k in keys:
-        one = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    names = {k: f"_r_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    # without keys the right side is one row, as an aggregate without keys is
+    return left.join(right.withColumnsRenamed(names) if keys else F.broadcast(right), reduce(and_, same, F.lit(True)), how).drop(*names.values())

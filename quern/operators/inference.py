@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.correlation import kish, paired, pearson, weighted_pearson
 from quern.functions.numeric import clip, finite, t_p_udf, t_tail
-from quern.sources.files import scratch_dir
+from quern.operators.guards import null_safe_join
+from quern.operators.ordering import Ordered, average_ranks
+from quern.sources.files import kept, scratch_dir
 
 MOST_EXACT = 9
 
@@ -209,19 +211,18 @@ def cross_validated(df: DataFrame, keys: list[str], x: str, y: str, id_col: str,
     rows = df.select(*keys, F.col(id_col).alias("_id"), finite(F.col(x)).alias("_x"), F.col(y).cast("int").alias("_y")).dropna(subset=["_x", "_y"])
     sizes = rows.groupBy(*keys).agg(F.count_if(F.col("_y") == 0).alias("_n0"), F.count_if(F.col("_y") == 1).alias("_n1"))
     k = F.least(F.lit(folds), F.least("_n0", "_n1")).cast("int")
-    order = Window.partitionBy(*keys, "_y").orderBy(F.md5(F.col("_id").cast("string")), "_id")
-    dealt = rows.join(sizes, keys).withColumn("folds", k).where("folds >= 2").withColumn("_fold", ((F.row_number().over(order) - 1) % F.col("folds")).cast("int"))
+    rows = rows.withColumn("_h", F.md5(F.col("_id").cast("string")))
+    dealt = null_safe_join(rows, Ordered(rows, [*keys, "_y"], ["_h", "_id"]).places(), [*keys, "_y", "_h", "_id"])
+    dealt = null_safe_join(dealt, sizes.select(*keys, k.alias("folds")).where("folds >= 2"), keys).withColumn("_fold", (F.col("before") % F.col("folds")).cast("int"))
     train = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("folds") - 1)).alias("_out")).where("_fold <> _out")
     fits = logistic(train, [*keys, "_out"], "_x", "_y").select(*keys, F.col("_out").alias("_fold"), "mu", "sd", "w0", "w1")
     p = 1 / (1 + F.exp(-(F.col("w0") + F.col("w1") * (F.col("_x") - F.col("mu")) / F.col("sd"))))
-    held = dealt.join(fits, [*keys, "_fold"]).withColumn("_p", clip(p, 1e-6, 1 - 1e-6))
-    w = Window.partitionBy(*keys)
-    rank = F.rank().over(w.orderBy("_p")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_p")) - 1) / 2
+    held = kept(null_safe_join(dealt, fits, [*keys, "_fold"]).select(*keys, "_y", "folds", clip(p, 1e-6, 1 - 1e-6).alias("_p")), "held")
     y1 = F.col("_y") == 1
     loss = -F.avg(F.when(y1, F.log("_p")).otherwise(F.log(1 - F.col("_p"))))
     n1, n0 = F.count_if(y1), F.count_if(~y1)
     auc = F.try_divide(F.sum(F.when(y1, F.col("_rank"))) - n1 * (n1 + 1) / 2, (n1 * n0).cast("double"))
-    return held.withColumn("_rank", rank).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("folds").alias("folds"), loss.alias("logloss"), F.avg((F.col("_y") - F.col("_p")) ** 2).alias("brier"), auc.alias("auc"))
+    return average_ranks(held, keys, "_p", "_rank").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("folds").alias("folds"), loss.alias("logloss"), F.avg((F.col("_y") - F.col("_p")) ** 2).alias("brier"), auc.alias("auc"))
 
 
 def partial_p(r: float | None, n: int | None, controls: int = 1) -> float | None:

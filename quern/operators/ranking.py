@@ -1,4 +1,4 @@
-"""Window-like operators: deterministic firsts, heads, bins, numbering and leave-one-out."""
+"""Window-like operators: deterministic firsts, heads, numbering and leave-one-out."""
 
 from __future__ import annotations
 
@@ -26,11 +26,6 @@ def position(keys: Sequence[str], order: Sequence[Column | str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
 
 
-def equal_count_bins(keys: Sequence[str], order: Sequence[Column | str], k: int) -> Column:
-    """Bin 1 to k of nearly equal size by order within a key."""
-    return F.ntile(k).over(Window.partitionBy(*keys).orderBy(*order))
-
-
 def demean(x: str, keys: Sequence[str]) -> Column:
     return F.col(x) - F.avg(x).over(Window.partitionBy(*keys))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions.numeric import ratio, wilson
-from quern.operators import agreement
+from quern.operators import agreement, ordering
 
 from .inputs import LABELLED, POINTS, TRIPLES, labelled, points, triples
 from .registry import Queries, read
@@ -228,7 +227,8 @@ def e20(spark, sf):
 @Q.add("e21_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.25),4) AS q25, round(quantile_cont(l_extendedprice::DOUBLE, 0.9),4) AS q90 FROM lineitem GROUP BY 1")
 def e21(spark, sf):
     """Exact quantiles with linear interpolation."""
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(_r(F.percentile("l_extendedprice", F.lit(0.25)), "q25", 4), _r(F.percentile("l_extendedprice", F.lit(0.9)), "q90", 4))
+    q = ordering.quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q25": 0.25, "q90": 0.9})
+    return q.select("l_returnflag", _r(F.col("q25"), "q25", 4), _r(F.col("q90"), "q90", 4))
 
 
 @Q.add(
@@ -270,23 +270,19 @@ def _median_sql(take: str) -> str:
     return f"SELECT l_suppkey, round(list_sort(list(l_extendedprice))[{take}],4) AS median FROM lineitem GROUP BY 1"
 
 
-def _median(spark, sf, upper: bool):
-    """A middle value of each group from counts of its distinct values, which combine before they move."""
-    w = Window.partitionBy("l_suppkey")
-    counts = read(spark, sf, "lineitem").groupBy("l_suppkey", "l_extendedprice").agg(F.count(F.lit(1)).alias("k"))
-    n = F.sum("k").over(w)
-    at = F.floor(n / 2) + 1 if upper else F.floor((n + 1) / 2)
-    return counts.withColumn("at", at).withColumn("upto", F.sum("k").over(w.orderBy("l_extendedprice"))).where("upto >= at AND upto - k < at").select("l_suppkey", _r(F.col("l_extendedprice"), "median", 4))
+def _medians(spark, sf, side: str):
+    m = ordering.medians(read(spark, sf, "lineitem"), ["l_suppkey"], "l_extendedprice")
+    return m.select("l_suppkey", _r(F.col(side), "median", 4))
 
 
 @Q.add("e25_upper_median", _median_sql("count(*)//2 + 1"))
 def e25(spark, sf):
-    return _median(spark, sf, True)
+    return _medians(spark, sf, "upper")
 
 
 @Q.add("e26_lower_median", _median_sql("(count(*)+1)//2"))
 def e26(spark, sf):
-    return _median(spark, sf, False)
+    return _medians(spark, sf, "lower")
 
 
 @Q.add("e28_mean_of_p", f"WITH {POINTS} SELECT grp, round(avg(coalesce(CASE WHEN w > 5 THEN z * 10 END, 1)),6) AS mean_p FROM points GROUP BY 1")

@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.correlation import average_rank
 from quern.functions.numeric import finite, wilson
-from quern.operators import guards, ranking, resolve
+from quern.operators import guards, ordering, ranking, resolve
 
 from .inputs import ANSWERS, LABELLED, POINTS, answers, labelled, points
 from .rates import _wilson_sql
@@ -360,7 +359,7 @@ def d21(spark, sf):
 
 @Q.add("f02_average_rank", f"WITH {POINTS} SELECT id, grp, rank() OVER (PARTITION BY grp ORDER BY w) + (count(*) OVER (PARTITION BY grp, w) - 1) / 2.0 AS rk FROM points")
 def f02(spark, sf):
-    return points(spark, sf).select("id", "grp", average_rank("w", ["grp"]).alias("rk"))
+    return ordering.average_ranks(points(spark, sf), ["grp"], "w", "rk").select("id", "grp", "rk")
 
 
 @Q.add("f03_group_demean", f"WITH {POINTS} SELECT id, grp, round(x - avg(x) OVER (PARTITION BY grp), 6) AS dx FROM points")
@@ -370,7 +369,7 @@ def f03(spark, sf):
 
 @Q.add("f04_equal_count_bins", f"WITH {POINTS}, b AS (SELECT *, ntile(5) OVER (PARTITION BY grp ORDER BY x, id) AS bin FROM points) SELECT grp, bin::INT AS bin, count(*) AS n, round(min(x),6) AS lo, round(max(x),6) AS hi, {_wilson_sql('count(*) FILTER (z > 0.05)', 'count(*)', True)} AS ci_high FROM b GROUP BY 1,2")
 def f04(spark, sf):
-    b = points(spark, sf).withColumn("bin", ranking.equal_count_bins(["grp"], ["x", "id"], 5))
+    b = ordering.equal_count_bins(points(spark, sf), ["grp"], ["x", "id"], 5)
     return b.groupBy("grp", "bin").agg(F.count("*").alias("n"), _r(F.min("x"), "lo"), _r(F.max("x"), "hi"), _r(wilson(F.count_if(F.col("z") > 0.05), F.count("*"), True), "ci_high"))
 
 

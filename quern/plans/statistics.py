@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import correlation as C
 from quern.functions import numeric as N
 from quern.operators import inference as I
-from quern.operators import ranking
+from quern.operators import ordering, ranking
 
 from .inputs import LABELLED, POINTS, labelled, points
 from .registry import Queries, read
@@ -37,7 +37,7 @@ def l01g(spark, sf):
 
 @Q.add("l02_spearman", f"WITH {POINTS}, k AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY w) + (count(*) OVER (PARTITION BY grp, w) - 1)/2.0 AS a, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1)/2.0 AS b FROM points) SELECT grp, count(*) AS n, round(corr(a,b),6) AS spearman FROM k GROUP BY 1")
 def l02(spark, sf):
-    s = C.spearman(points(spark, sf), "w", "y", ["grp"])
+    s = ordering.spearman(points(spark, sf), "w", "y", ["grp"])
     return s.withColumn("spearman", F.round("spearman", 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import linearity as L
+from quern.operators import spans as S
 
 from .inputs import TRIPLES, triples
 from .registry import Queries, read
@@ -50,12 +51,69 @@ def k02(spark, sf):
     return m.select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
-@Q.add("k03_span_to_tokens", "SELECT doc_id, strpos(text, 'the') AS first_at, len(string_split(left(text, greatest(0, strpos(text, 'the') - 1)), ' ')) - 1 AS token_at FROM documents WHERE strpos(text, 'the') > 0")
+_WORDS = "len(regexp_extract_all({0}, '\\S+'))"
+
+
+def _word_range_sql(at: str, width: int) -> tuple[str, str]:
+    """First and last word that a span touches, by the words that end before and begin before it."""
+    cut = f"(regexp_matches(left(text, {at}), '\\S$') AND regexp_matches(substr(text, {at} + 1, 1), '\\S'))::INT"
+    return f"{_WORDS.format(f'left(text, {at})')} - {cut}", f"{_WORDS.format(f'left(text, {at} + {width})')} - 1"
+
+
+_K03 = [*_word_range_sql("first_at", 6), *_word_range_sql("last_at", 6)]
+
+
+@Q.add(
+    "k03_span_to_tokens",
+    f"""WITH d AS (SELECT doc_id, text, CASE WHEN strpos(text, 'of the') > 0 THEN strpos(text, 'of the') - 1 END AS first_at, CASE WHEN strpos(text, 'of the') > 0 THEN length(text) - strpos(reverse(text), 'eht fo') - 5 END AS last_at FROM documents)
+    SELECT doc_id, first_at, last_at, {_K03[0]} AS first_from, {_K03[1]} AS first_to, {_K03[2]} AS last_from, {_K03[3]} AS last_to FROM d""",
+)
 def k03(spark, sf):
-    """Character span of a word's first occurrence, and the token that it falls in."""
-    d = read(spark, sf, "documents").withColumn("at", F.instr("text", "the")).where("at > 0")
-    before = F.substr("text", F.lit(1), F.col("at") - 1)
-    return d.select("doc_id", F.col("at").cast("long").alias("first_at"), (F.size(F.split(before, " ")) - 1).cast("long").alias("token_at"))
+    """The first and last place of two words in each document, often inside longer words, and the words that these places touch."""
+    d = read(spark, sf, "documents").select("doc_id", "text", *[S.span_start(F.col("text"), F.lit("of the"), w).cast("long").alias(f"{w}_at") for w in ("first", "last")])
+    words = [S.words_of(F.col("text"), F.col(f"{w}_at"), F.col(f"{w}_at") + 6).alias(w) for w in ("first", "last")]
+    ends = [F.col(f"{w}.{side}").cast("long").alias(f"{w}_{name}") for w in ("first", "last") for side, name in (("first", "from"), ("last", "to"))]
+    return d.select("doc_id", "first_at", "last_at", *words).select("doc_id", "first_at", "last_at", *ends)
+
+
+#: The third word of each turn, and the turn as a special token and pieces of five characters.
+_PIECES = """turns AS (SELECT conv_id, turn, text, split_part(text, ' ', 3) AS span FROM conversations),
+placed AS (SELECT *, CASE WHEN strpos(text, span) > 0 AND span <> '' THEN strpos(text, span) - 1 END AS f, CASE WHEN strpos(text, span) > 0 AND span <> '' THEN length(text) - strpos(reverse(text), reverse(span)) - length(span) + 1 END AS l FROM turns),
+touched AS (SELECT conv_id, turn, 'first' AS which, [x + 1 for x in range(f // 5, (f + length(span) - 1) // 5 + 1)] AS tokens FROM placed
+  UNION ALL SELECT conv_id, turn, 'last', [x + 1 for x in range(l // 5, (l + length(span) - 1) // 5 + 1)] FROM placed)"""
+
+
+def _piece_spans(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn", "text", F.split_part("text", F.lit(" "), F.lit(3)).alias("span"))
+    n = F.length("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / 5).cast("int") - 1)), lambda i: F.struct((i * 5).alias("start"), F.least(i * 5 + 5, n).alias("end")))
+    special = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    c = c.withColumn("offsets", F.concat(special, pieces)).withColumn("which", F.explode(F.array(F.lit("first"), F.lit("last"))))
+    at = F.when(F.col("which") == "first", S.span_start(F.col("text"), F.col("span"), "first")).otherwise(S.span_start(F.col("text"), F.col("span"), "last"))
+    c = c.withColumn("at", at)
+    return c.select("conv_id", "turn", "which", S.overlapping(F.col("offsets"), F.col("at"), F.col("at") + F.length("span")).alias("tokens"))
+
+
+@Q.add("k03_span_to_pieces", f"WITH {_PIECES} SELECT conv_id, turn, which, tokens FROM touched")
+def k03p(spark, sf):
+    """Pieces of five characters that a turn's third word touches, at its first and last place."""
+    return _piece_spans(spark, sf).withColumn("tokens", F.col("tokens").cast("array<long>"))
+
+
+@Q.add(
+    "k02_span_pool",
+    f"""WITH {_PIECES}, n AS (SELECT count(*) AS n FROM embeddings), each_one AS (SELECT conv_id, turn, which, unnest(tokens) AS token FROM touched),
+    dims AS (SELECT conv_id, turn, which, i, avg(embedding[i]::DOUBLE) AS v, count(*) AS k FROM each_one, n, embeddings, range(1, 65) r(i) WHERE vec_id = token % n.n GROUP BY 1, 2, 3, 4)
+    SELECT conv_id, turn, which, max(k) AS n_tokens, list(round(v, 6) ORDER BY i) AS pooled FROM dims GROUP BY 1, 2, 3""",
+)
+def k02s(spark, sf):
+    """Mean vector of the pieces that a span touches; a piece's vector is the embedding of its place in the turn."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("token"), F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    at = F.transform("tokens", lambda i: i % F.lit(max(1, n)))
+    spans = _piece_spans(spark, sf).withColumn("tokens", at)
+    m = S.pool_rows(spans, ["conv_id", "turn", "which"], "tokens", e, [], "token", "v")
+    return m.select("conv_id", "turn", "which", "n_tokens", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
 @Q.add("k04_direction", f"WITH {DIRECTION} SELECT relation_key, [round(x, 6) for x in d] AS direction FROM dir")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _path(spark: SparkSession, name: str):
@@ -15,14 +15,28 @@ def _path(spark: SparkSession, name: str):
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which executors share; on a local master without that setting, a temporary one."""
+    """A new folder in spark.checkpoint.dir, which executors share; on a local master without that setting, a temporary one.
+
+    It is deleted when the application ends, as frames that read it may be used until then.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(place)
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: computed once, without lineage, safe when executors are lost."""
+    path = f"{scratch_dir(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, name: str) -> bool:
