@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.correlation import kish, paired, pearson, weighted_pearson
 from quern.functions.numeric import clip, finite, t_p_udf, t_tail
+from quern.functions.permute import mix, mix_numpy, permuted, permuted_numpy
 from quern.operators.guards import null_safe_join
 from quern.operators.ordering import Ordered, average_ranks
 from quern.sources.files import kept, scratch_dir
@@ -64,26 +65,69 @@ def permutation_exact(df: DataFrame, keys: list[str], x: str, y: str, tol: float
     return tested.union(large)
 
 
+#: Points of a group that a task holds to draw orders of them (two arrays of doubles); larger groups are permuted by joins.
+HELD = 1 << 24
+#: Draws times points of a task, and draws that a join permutes at once.
+TASK, JOINED = 20_000_000, 64
+
+
 def permutation_sampled(df: DataFrame, keys: list[str], x: str, y: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(keys, n, r, p): two-sided, from seeded random orders of y; the observed order counts once."""
+    """(keys, n, r, p): two-sided, from seeded random orders of y; the observed order counts once.
+
+    The points of a group are numbered by (x, y). Draw d pairs the x of point i with the y
+    of point ``permuted(i)``, a permutation keyed by seed and draw. A group's draws are
+    dealt over tasks, each of which holds the group's points; a group of more than
+    ``HELD`` points is never held: its draws are joins on the permuted number. Both give
+    the same permutations, and hits are added up by group.
+    """
+    none = F.lit(None).cast("double")
+    a, b = paired(F.col(x), F.col(y))
+    points = df.select(*keys, a.alias("_x"), b.alias("_y")).where("_x IS NOT NULL")
+    placed = Ordered(points, keys, ["_x", "_y"]).places()
+    rows = kept(placed.select(*keys, "_x", "_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ties") - 1)).alias("_of"), "before").select(*keys, "_x", "_y", (F.col("before") + F.col("_of")).alias("_i")), "points")
+    moments = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), pearson(F.col("_x"), F.col("_y")).alias("r"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"),
+        F.sqrt(F.var_pop("_x") * F.var_pop("_y")).alias("_s"),
+    )
+    moments = kept(moments, "moments")
+    tested = moments.where((F.col("n") >= 3) & F.col("r").isNotNull())
+    # deviations, scaled so that their product's sum is r
+    scaled = null_safe_join(rows, tested, keys).select(*keys, "n", "r", "_i", ((F.col("_x") - F.col("_mx")) / (F.col("_s") * F.col("n"))).alias("_a"), (F.col("_y") - F.col("_my")).alias("_b"))
+    hits = _held_draws(scaled.where(F.col("n") <= HELD), keys, draws, seed)
+    if not tested.where(F.col("n") > HELD).isEmpty():
+        hits = hits.unionByName(_joined_draws(scaled.where(F.col("n") > HELD), keys, draws, seed))
+    counted = hits.groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    return null_safe_join(moments.select(*keys, "n", "r"), counted, keys, "left").select(*keys, "n", "r", F.coalesce((F.col("hits") + 1) / (draws + 1), none).alias("p"))
+
+
+def _held_draws(scaled: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """(keys, hits) of parts of the draws, each part a task that holds the group."""
+    parts = F.least(F.lit(draws), F.ceil(F.col("n") * F.lit(draws) / TASK)).cast("int")
+    dealt = scaled.select("*", parts.alias("_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_x", "_y"])
-        a, b = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
-        r = _r(a, b) if len(a) > 1 else float("nan")
-        p = None
-        if len(a) >= 3 and not math.isnan(r):
-            rng = np.random.default_rng(seed)
-            c = (a - a.mean()) / math.sqrt(float(((a - a.mean()) ** 2).sum()) * float(((b - b.mean()) ** 2).sum()))
-            hits, left, block = 0, draws, max(1, 2_000_000 // len(b))
-            while left:
-                m = min(left, block)
-                hits += int((np.abs(rng.permuted(np.tile(b, (m, 1)), axis=1) @ c) >= abs(r) - 1e-12).sum())
-                left -= m
-            p = (hits + 1) / (draws + 1)
-        return pd.DataFrame([[*pdf[keys].iloc[0], len(a), None if math.isnan(r) else r, p]], columns=[*keys, "n", "r", "p"])
-
-    return _points(df, keys, x, y).groupBy(*keys).applyInPandas(test, f"{_kinds(df, keys)}, n long, r double, p double")
+        order = np.argsort(pdf["_i"].to_numpy())
+        a, b = pdf["_a"].to_numpy()[order], pdf["_b"].to_numpy()[order]
+        n, r, part, parts = len(a), pdf["r"].iloc[0], int(pdf["_part"].iloc[0]), int(pdf["_parts"].iloc[0])
+        mine, hits, block = np.arange(part, draws, parts), 0, max(1, 1_000_000 // n)
+        for lo in range(0, len(mine), block):
+            at = permuted_numpy(n, str(seed), mix_numpy(mine[lo : lo + block]))
+            hits += int((np.abs(b[at] @ a) >= abs(r) - 1e-12).sum())
+        return pd.DataFrame([[*pdf[keys].iloc[0], hits]], columns=[*keys, "hits"])
+
+    return dealt.groupBy(*keys, "_part").applyInPandas(test, ", ".join(filter(None, [_kinds(scaled, keys), "hits long"])))
+
+
+def _joined_draws(scaled: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """(keys, hits) of ranges of draws, each range a join of points on their permuted numbers."""
+    out = None
+    for lo in range(0, draws, JOINED):
+        drawn = scaled.select(*keys, "n", "r", "_i", "_a", F.explode(F.sequence(F.lit(lo), F.lit(min(lo + JOINED, draws) - 1))).alias("_draw"))
+        drawn = drawn.withColumn("_i", permuted(F.col("_i"), F.col("n"), str(seed), mix(F.col("_draw").cast("long"))))
+        sums = null_safe_join(drawn, scaled.select(*keys, "_i", "_b"), [*keys, "_i"]).groupBy(*keys, "_draw", "r").agg(F.sum(F.col("_a") * F.col("_b")).alias("_r"))
+        hits = kept(sums.groupBy(*keys).agg(F.count_if(F.abs("_r") >= F.abs("r") - 1e-12).alias("hits")), "hits")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def ols_hc3(df: DataFrame, y: str, group: str, specs: dict[str, list[str]]) -> DataFrame:

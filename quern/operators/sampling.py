@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .guards import require_unique
-
+from quern.functions.permute import pair_at
 
-#: Tokens of a pool up to which it is broadcast.
-MOST_BROADCAST = 100_000
+from .guards import require_unique
+from .ordering import Ordered
 
 
 def order_key(seed: str, *cols: Column) -> Column:
@@ -24,19 +23,31 @@ def sub_seed(seed: int, relation: str) -> str:
 
 
 def product_sample(a: DataFrame, b: DataFrame, n: int, seed: str, anchor: tuple[str, str] | None = None) -> DataFrame:
-    """n distinct pairs of two one-column token pools, the anchor pair first.
+    """n distinct pairs of two one-column token pools in random order, the anchor pair first.
 
-    ``position`` numbers them; only the n smallest digests are kept, map-side first.
+    ``position`` numbers them. The k-th pair is the image of k under a keyed permutation
+    of the product's index space, so n pairs cost n, however large the product is, and
+    no pair comes twice. An anchor outside the product still comes first. More pairs than
+    there are is an error.
     """
-    x, y = a.columns[0], b.columns[0]
-    key = order_key(seed, F.col(x), F.col(y))
-    if anchor:
-        key = F.when((F.col(x) == anchor[0]) & (F.col(y) == anchor[1]), "").otherwise(key)
-    right = b.distinct()
-    small = right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    pairs = a.distinct().crossJoin(F.broadcast(right) if small else right).withColumn("_k", key)
-    top = pairs.orderBy("_k", x, y).limit(n)
-    return top.withColumn("position", F.row_number().over(Window.orderBy("_k", x, y)) - 1).drop("_k")
+    spark, (x, y) = a.sparkSession, (a.columns[0], b.columns[0])
+    pools = [Ordered(d.where(F.col(c).isNotNull()).distinct(), [], [c]).places().select(c, F.col("before").alias(at)) for d, c, at in ((a, x, "_l"), (b, y, "_r"))]
+    na, nb = (p.count() for p in pools)
+    outside = anchor is not None and (pools[0].where(F.col(x) == anchor[0]).isEmpty() or pools[1].where(F.col(y) == anchor[1]).isEmpty())
+    if n > na * nb + outside:
+        raise ValueError(f"{n} pairs are wanted, the product has {na * nb}")
+    if n <= 0 or not na * nb:
+        pairs = spark.range(0).select(F.col("id").alias("_k"), F.lit(0).cast("long").alias("_l"), F.lit(0).cast("long").alias("_r"))
+    else:
+        pairs = spark.range(min(n, na * nb)).select(F.col("id").alias("_k"), F.inline(F.array(pair_at(F.col("id"), na, nb, seed)))).withColumnsRenamed({"l": "_l", "r": "_r"})
+    rows = pairs.join(pools[0], "_l").join(pools[1], "_r").select(x, y, F.col("_k").alias("position"))
+    if anchor is None or n <= 0:
+        return rows
+    is_anchor = (F.col(x) == anchor[0]) & (F.col(y) == anchor[1])
+    at = rows.where(is_anchor).select("position").first()
+    before = F.lit(1) if at is None else (F.col("position") < at["position"]).cast("long")
+    first = spark.createDataFrame([(*anchor, 0)], rows.schema)
+    return first.unionByName(rows.where(~is_anchor).withColumn("position", F.col("position") + before).where(F.col("position") < n))
 
 
 def shuffled_prefix(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: str) -> DataFrame:

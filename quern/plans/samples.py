@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions.permute import pair_sql
 from quern.operators import guards
 from quern.operators import sampling as S
 
@@ -13,10 +14,20 @@ Q = Queries()
 QUERIES, SQL = Q.QUERIES, Q.SQL
 
 
-@Q.add("m01_product_sample", "WITH p AS (SELECT r_name, n_name, CASE WHEN r_name='ASIA' AND n_name='CHINA' THEN '' ELSE md5('7|' || r_name || '|' || n_name) END AS k FROM region, nation) SELECT n_name, r_name, (row_number() OVER (ORDER BY k, n_name, r_name) - 1)::INT AS position FROM p QUALIFY position < 40")
+_POOLS = """a AS (SELECT p_name AS x, row_number() OVER (ORDER BY p_name) - 1 AS i FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)),
+b AS (SELECT c_name AS y, row_number() OVER (ORDER BY c_name) - 1 AS j FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL)),
+counted AS (SELECT k, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb FROM range(5000) t(k))"""
+_ANCHORED = """drawn AS (SELECT x AS p_name, y AS c_name, k FROM paired JOIN a ON i = l JOIN b ON j = r),
+others AS (SELECT p_name, c_name, k, k + 1 - (k > (SELECT coalesce(min(k), 5000) FROM drawn JOIN anchor USING (p_name, c_name)))::BIGINT AS position FROM drawn ANTI JOIN anchor USING (p_name, c_name))
+SELECT p_name, c_name, 0 AS position FROM anchor UNION ALL SELECT p_name, c_name, position FROM others WHERE position < 5000"""
+
+
+@Q.add("m01_product_sample", f"WITH {_POOLS}, anchor AS (SELECT min(p_name) AS p_name, max(c_name) AS c_name FROM part, (SELECT max(c_name) AS c_name FROM customer)), {pair_sql('counted', 'k', 'na', 'nb', '7', 'paired')}, {_ANCHORED}")
 def m01(spark, sf):
-    n, r = read(spark, sf, "nation").select("n_name"), read(spark, sf, "region").select("r_name")
-    return S.product_sample(r, n, 40, "7", ("ASIA", "CHINA"))
+    """5,000 pairs of a part's and a customer's name, of all that there are, the first part with the last customer in front."""
+    p, c = read(spark, sf, "part").select("p_name"), read(spark, sf, "customer").select("c_name")
+    anchor = (p.agg(F.min("p_name")).first()[0], c.agg(F.max("c_name")).first()[0])
+    return S.product_sample(p, c, 5000, "7", anchor)
 
 
 @Q.add("m02_sub_seeds", "SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || label || '|' || vec_id), vec_id) rn FROM embeddings) WHERE rn <= 3")
