@@ -1,8 +1,7 @@
-"""Tests and fits.
+"""Tests of correlations, regressions with group effects, thresholds and cross-validation.
 
-Permutations, folds and linear solves need one small group together and run as
-grouped pandas functions; logistic fits run over groups of any size, as Newton
-steps that are themselves grouped sums.
+What is enumerated needs one small group together and runs as a grouped pandas function;
+everything else is grouped sums, or draws dealt over tasks, over groups of any size.
 """
 
 from __future__ import annotations
@@ -19,9 +18,11 @@ from pyspark.sql import functions as F
 from quern.functions.correlation import kish, paired, pearson, weighted_pearson
 from quern.functions.numeric import clip, finite, t_p_udf, t_tail
 from quern.functions.permute import mix, mix_numpy, permuted, permuted_numpy
-from quern.operators.guards import null_safe_join
-from quern.operators.ordering import Ordered, average_ranks
-from quern.sources.files import kept, scratch_dir
+from quern.sources.files import kept
+
+from . import fits
+from .guards import null_safe_join
+from .ordering import Ordered, average_ranks
 
 MOST_EXACT = 9
 
@@ -205,63 +206,19 @@ def ranked_thresholds(grid: DataFrame) -> DataFrame:
     return grid.groupBy("threshold").agg((2 * F.count(F.lit(1))).alias("n_tests"), F.avg((one("p") + one("p_weighted")) / 2).alias("mean_p")).orderBy("mean_p", "threshold")
 
 
-def logistic(df: DataFrame, keys: list[str], x: str, y: str, c: float = 1.0, tol: float = 1e-10) -> DataFrame:
-    """(keys, n, n_pos, mu, sd, w0, w1): per-group logistic fits on standardised x with an L2 penalty 1/C on the slope.
-
-    Newton steps from zero until no group's weights move by ``tol`` any more; the
-    penalised likelihood has one optimum. A step is a grouped sum of five terms, so a
-    group may have any number of rows; the rows are written once and each step's weights
-    after it. Groups of one class or without variance have NULLs.
-    """
-    spark = df.sparkSession
-    place = scratch_dir(spark, "logistic")
-
-    def keep(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{place}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{place}/{name}")
-
-    rows = keep(df.select(*keys, finite(F.col(x)).alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"]), "rows")
-    m = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("n_pos"), F.avg("_x").alias("mu"), F.stddev_pop("_x").alias("sd"))
-    m = keep(m, "groups")
-    good = m.where((F.col("sd") > 0) & (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")))
-    fits = good.select(*keys, "mu", "sd", F.lit(0.0).alias("w0"), F.lit(0.0).alias("w1"))
-    z = (F.col("_x") - F.col("mu")) / F.col("sd")
-    p = 1 / (1 + F.exp(-clip(F.col("w0") + F.col("w1") * F.col("_z"), -500, 500)))
-    err, q = F.col("_p") - F.col("_y"), F.col("_p") * (1 - F.col("_p"))
-    for step in itertools.count():
-        g = rows.join(fits, keys).withColumn("_z", z).withColumn("_p", p).groupBy(*keys, "mu", "sd", "w0", "w1").agg(
-            (c * F.sum(err)).alias("g0"), (c * F.sum(err * F.col("_z")) + F.col("w1")).alias("g1"), (c * F.sum(q)).alias("h00"),
-            (c * F.sum(q * F.col("_z"))).alias("h01"), (c * F.sum(q * F.col("_z") * F.col("_z")) + 1).alias("h11"),
-        )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        d0 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
-        d1 = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
-        # damped while far away, so that no step overshoots
-        size = F.greatest(F.lit(1.0), F.abs(d0), F.abs(d1))
-        fits = keep(g.select(*keys, "mu", "sd", (F.col("w0") - d0 / size).alias("w0"), (F.col("w1") - d1 / size).alias("w1"), F.greatest(F.abs(d0), F.abs(d1)).alias("_moved")), f"step{step}")
-        if (fits.agg(F.max("_moved")).first()[0] or 0.0) < tol:
-            break
-        fits = fits.drop("_moved")
-    return m.join(fits.select(*keys, "w0", "w1"), keys, "left")
-
-
-def raw_slope(fits: DataFrame) -> DataFrame:
-    """Intercept and slope on the scale of x."""
-    return fits.withColumn("slope", F.try_divide("w1", "sd")).withColumn("intercept", F.col("w0") - F.try_divide(F.col("w1") * F.col("mu"), F.col("sd")))
-
-
-def cross_validated(df: DataFrame, keys: list[str], x: str, y: str, id_col: str, folds: int = 5) -> DataFrame:
-    """(keys, n, folds, logloss, brier, auc): stratified folds in the order of the ids' digests, as many as the rarer class has rows at most."""
+def cross_validated(df: DataFrame, keys: list[str], x: str, y: str, id_col: str, folds: int = 5, curve: str = "logistic") -> DataFrame:
+    """(keys, n, folds, logloss, brier, auc) of a ``logistic`` or ``spline`` curve: stratified folds in the order of the ids' digests, as many as the rarer class has rows at most."""
+    fit, at = {"logistic": (fits.logistic, fits.logistic_p), "spline": (fits.spline_logistic, fits.spline_p)}[curve]
     rows = df.select(*keys, F.col(id_col).alias("_id"), finite(F.col(x)).alias("_x"), F.col(y).cast("int").alias("_y")).dropna(subset=["_x", "_y"])
+    rows = rows.withColumn("_h", F.md5(F.col("_id").cast("string")))
     sizes = rows.groupBy(*keys).agg(F.count_if(F.col("_y") == 0).alias("_n0"), F.count_if(F.col("_y") == 1).alias("_n1"))
     k = F.least(F.lit(folds), F.least("_n0", "_n1")).cast("int")
-    rows = rows.withColumn("_h", F.md5(F.col("_id").cast("string")))
     dealt = null_safe_join(rows, Ordered(rows, [*keys, "_y"], ["_h", "_id"]).places(), [*keys, "_y", "_h", "_id"])
-    dealt = null_safe_join(dealt, sizes.select(*keys, k.alias("folds")).where("folds >= 2"), keys).withColumn("_fold", (F.col("before") % F.col("folds")).cast("int"))
+    dealt = null_safe_join(dealt, sizes.select(*keys, k.alias("folds")).where("folds >= 2"), keys)
+    dealt = kept(dealt.select(*keys, "_x", "_y", "folds", (F.col("before") % F.col("folds")).cast("int").alias("_fold")), "dealt")
     train = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("folds") - 1)).alias("_out")).where("_fold <> _out")
-    fits = logistic(train, [*keys, "_out"], "_x", "_y").select(*keys, F.col("_out").alias("_fold"), "mu", "sd", "w0", "w1")
-    p = 1 / (1 + F.exp(-(F.col("w0") + F.col("w1") * (F.col("_x") - F.col("mu")) / F.col("sd"))))
-    held = kept(null_safe_join(dealt, fits, [*keys, "_fold"]).select(*keys, "_y", "folds", clip(p, 1e-6, 1 - 1e-6).alias("_p")), "held")
+    fitted = fit(train, [*keys, "_out"], "_x", "_y").drop("n", "n_pos").withColumnRenamed("_out", "_fold")
+    held = kept(null_safe_join(dealt, fitted, [*keys, "_fold"]).select(*keys, "_y", "folds", clip(at(F.col("_x")), 1e-6, 1 - 1e-6).alias("_p")), "held")
     y1 = F.col("_y") == 1
     loss = -F.avg(F.when(y1, F.log("_p")).otherwise(F.log(1 - F.col("_p"))))
     n1, n0 = F.count_if(y1), F.count_if(~y1)

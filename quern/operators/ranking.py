@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.files import kept
+
+from .guards import null_safe_join
+from .ordering import Ordered
+
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first n rows of each key in an explicit order."""
@@ -26,6 +31,29 @@ def position(keys: Sequence[str], order: Sequence[Column | str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
 
 
+def pick_one_each(df: DataFrame, keys: Sequence[str], category: str, id_col: str, order: Sequence[str]) -> DataFrame:
+    """(keys, category, id): the first row of each category, the smallest category first, that no category of the same keys before it takes.
+
+    A row may stand in any number of categories. Each category proposes its first row, a
+    row accepts the smallest category that proposes, and those turned away propose their
+    next, until none is; a row may still go to a smaller category in a later round. As
+    there are c categories, no category needs more than its first c rows. A category
+    whose rows are all taken has none.
+    """
+    keys = list(keys)
+    c = df.agg(F.countDistinct(category)).first()[0]
+    placed = Ordered(df.select(*keys, category, *order, id_col).where(F.col(category).isNotNull()), [*keys, category], [*dict.fromkeys([*order, id_col])]).places()
+    pools = kept(placed.where(F.col("before") < c).select(*keys, category, F.col(id_col).alias("_id"), F.col("before").alias("_at")), "pools")
+    asks = kept(pools.groupBy(*keys, category).agg(F.min("_at").alias("_at")), "asks")
+    while True:
+        asked = null_safe_join(asks, pools, [*keys, category, "_at"])
+        taken = asked.groupBy(*keys, "_id").agg(F.min(category).alias("_by"))
+        answer = kept(null_safe_join(asked, taken, [*keys, "_id"]).withColumn("_refused", F.col(category) != F.col("_by")), "asked")
+        if answer.where("_refused").isEmpty():
+            return answer.select(*keys, category, F.col("_id").alias(id_col))
+        asks = kept(answer.select(*keys, category, (F.col("_at") + F.col("_refused").cast("int")).alias("_at")), "asks")
+
+
 def demean(x: str, keys: Sequence[str]) -> Column:
     return F.col(x) - F.avg(x).over(Window.partitionBy(*keys))
 

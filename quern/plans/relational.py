@@ -419,14 +419,28 @@ def g04(spark, sf):
     return top.unionByName(low).drop("o_totalprice")
 
 
-@Q.add("g06_pick_without_reuse", "WITH a AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1), b AS (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT * FROM a) ORDER BY o_orderdate, o_orderkey LIMIT 1) SELECT 'priciest' AS category, * FROM a UNION ALL SELECT 'oldest', * FROM b")
+#: Categories of orders by what they must be and the number that sorts them, ascending; several want the same rows.
+PICKS = [
+    ("1 priciest", "true", "-o_totalprice"), ("2 oldest", "true", "day"), ("3 priciest open", "o_orderstatus = 'O'", "-o_totalprice"), ("4 newest", "true", "-day"),
+    ("5 cheapest", "true", "o_totalprice"), ("6 priciest of the rest", "true", "-o_totalprice"), ("7 oldest closed", "o_orderstatus = 'F'", "day"), ("8 oldest of the rest", "true", "day"),
+]
+
+
+def _picks_sql() -> str:
+    out = ["o AS (SELECT o_orderpriority, o_orderkey, o_orderstatus, o_totalprice, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS day FROM orders)"]
+    for i, (name, what, number) in enumerate(PICKS):
+        used = " AND ".join(["true", *[f"(o_orderpriority, o_orderkey) NOT IN (SELECT o_orderpriority, o_orderkey FROM p{j})" for j in range(i)]])
+        out.append(f"p{i} AS (SELECT o_orderpriority, '{name}' AS category, o_orderkey FROM o WHERE {what} AND {used} QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {number}, o_orderkey) = 1)")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(PICKS)))
+
+
+@Q.add("g06_pick_without_reuse", _picks_sql())
 def g06(spark, sf):
-    """One row a category, none twice: each pool leaves out what is taken."""
-    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    a = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)
-    b = o.join(F.broadcast(a.select("o_orderkey")), "o_orderkey", "left_anti").orderBy("o_orderdate", "o_orderkey").limit(1)
-    pick = lambda d, c: d.select(F.lit(c).alias("category"), "o_orderkey")
-    return pick(a, "priciest").union(pick(b, "oldest"))
+    """One order for each of eight categories, none twice, in every priority."""
+    o = read(spark, sf, "orders").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")).cast("double"))
+    each = [F.when(F.expr(what), F.struct(F.lit(name).alias("category"), F.expr(number).alias("number"))) for name, what, number in PICKS]
+    pools = o.select("o_orderpriority", "o_orderkey", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+    return ranking.pick_one_each(pools, ["o_orderpriority"], "category", "o_orderkey", ["number"])
 
 
 @Q.add("g07_frequent_values", "SELECT l_suppkey, l_partkey, n FROM (SELECT l_suppkey, l_partkey, count(*) n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_partkey) rn FROM lineitem GROUP BY 1,2) WHERE rn <= 8")

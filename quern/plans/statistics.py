@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import correlation as C
 from quern.functions import numeric as N
 from quern.operators import inference as I
-from quern.operators import ordering, ranking
+from quern.operators import fits, guards, ordering, ranking
 
 from .inputs import LABELLED, POINTS, labelled, points
 from .registry import Queries, read
@@ -159,7 +159,7 @@ def _newton_sql(steps: int = 16) -> str:
 
 @Q.add("l16_logistic", _newton_sql())
 def l16(spark, sf):
-    f = I.raw_slope(I.logistic(_binary(spark, sf), ["model_key"], "x", "y")).where("w1 IS NOT NULL")
+    f = fits.raw_slope(fits.logistic(_binary(spark, sf), ["model_key"], "x", "y")).where("w1 IS NOT NULL")
     return f.select("model_key", "n", _r(F.col("slope"), "slope", 5), _r(F.col("intercept"), "intercept", 5))
 
 
@@ -169,29 +169,31 @@ def l17(spark, sf):
     return I.cross_validated(_binary(spark, sf), ["model_key"], "x", "y", "doc_id")
 
 
+@Q.add("l17_spline_cross_validated")
+def l17s(spark, sf):
+    """The same of the spline curve."""
+    return I.cross_validated(_binary(spark, sf), ["model_key"], "x", "y", "doc_id", curve="spline")
+
+
 @Q.add("l18_isotonic")
 def l18(spark, sf):
-    """Isotonic fit of error on length, as an alternative to the logistic curve."""
-    from pyspark.ml.regression import IsotonicRegression
+    """Isotonic fit of error on length over all models, as an alternative to the logistic curve."""
+    b = _binary(spark, sf).select("doc_id", "x", "y")
+    return b.join(fits.isotonic(b, [], "x", "y"), "x").select("doc_id", _r(F.col("fitted"), "p"))
 
-    b = _binary(spark, sf).select("doc_id", F.col("x").alias("features"), F.col("y").cast("double").alias("label"))
-    m = IsotonicRegression().fit(b)
-    return m.transform(b).select("doc_id", _r(F.col("prediction"), "p"))
+
+@Q.add("l18_isotonic_by_model")
+def l18m(spark, sf):
+    """A monotone curve for each model, rising or falling as its errors do."""
+    return fits.isotonic(_binary(spark, sf), ["model_key"], "x", "y", None).select("model_key", _r(F.col("x"), "x"), _r(F.col("fitted"), "p"), "increasing")
 
 
 @Q.add("l18_spline_logistic")
 def l18s(spark, sf):
-    """Logistic fit on a linear spline with knots at the quartiles."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+    """Logistic fit on cubic splines of the length, a curve for each model."""
     b = _binary(spark, sf)
-    knots = b.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("k")).first()[0] or [0.0, 0.0, 0.0]
-    s = b.select("doc_id", "y", "x", *[F.greatest(F.lit(0.0), F.col("x") - float(k)).alias(f"s{i}") for i, k in enumerate(knots)])
-    v = VectorAssembler(inputCols=["x", "s0", "s1", "s2"], outputCol="features").transform(s)
-    fit = LogisticRegression(labelCol="y", regParam=1e-3).fit(v)
-    return fit.transform(v).select("doc_id", _r(vector_to_array("probability")[1], "p", 4))
+    f = fits.spline_logistic(b, ["model_key"], "x", "y").where("w IS NOT NULL").drop("n", "n_pos")
+    return guards.null_safe_join(b, f, ["model_key"]).select("doc_id", _r(fits.spline_p(F.col("x")), "p"))
 
 
 @Q.add("l19_threshold_grid", f"WITH {POINTS}, g AS (SELECT grp, t.t, corr(x,y) r, count(*) n FROM points JOIN (SELECT unnest([0.0, 20.0, 40.0]) AS t) t ON w >= t.t GROUP BY 1, 2) SELECT t AS threshold, count(*) AS n_groups, round(avg(abs(r)),6) AS mean_abs_r FROM g WHERE n >= 3 GROUP BY 1")

@@ -14,7 +14,7 @@ from quern.functions import correlation as C
 from quern.functions import numeric as N
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import guards, inference, linearity, ranking, resolve, sampling
+from quern.operators import fits, guards, inference, linearity, ranking, resolve, sampling
 from quern.sources import files, readers, sinks
 
 
@@ -118,7 +118,7 @@ def test_logistic_is_at_the_optimum(spark):
     x = rng.normal(3, 2, 200)
     y = (rng.random(200) < 1 / (1 + np.exp(-(x - 3)))).astype(int)
     d = spark.createDataFrame([("g", float(a), int(b)) for a, b in zip(x, y)] + [("pure", float(i), 1) for i in range(5)], "g string, x double, y int")
-    f = {r.g: r for r in inference.logistic(d, ["g"], "x", "y").collect()}
+    f = {r.g: r for r in fits.logistic(d, ["g"], "x", "y").collect()}
     z = (x - x.mean()) / x.std()
     p = 1 / (1 + np.exp(-(f["g"].w0 + f["g"].w1 * z)))
     assert abs((p - y).sum()) < 1e-6 and abs(((p - y) * z).sum() + f["g"].w1) < 1e-6
@@ -320,3 +320,19 @@ def test_zip_cleaner():
         z.writestr("README", "hi")
     out = zipfile.ZipFile(io.BytesIO(readers.clean_zip(raw.getvalue(), ["x"])))
     assert out.read("a.jsonl") == b'{"x": 1}\n' and out.read("README") == b"hi"
+
+
+def test_picks_without_reuse_are_those_of_the_loop(spark):
+    """Eight categories that want the same rows, in three groups of which one is hot and one has too few rows."""
+    rng = np.random.default_rng(11)
+    rows = [(g, c, int(i), int(rng.integers(0, 4))) for g, n, ids in (("hot", 400, 60), (None, 12, 6), ("few", 30, 3)) for c in "abcdefgh" for i in rng.permutation(ids)[: max(1, n // 8)]]
+    got = {(r.g, r.c): r.i for r in ranking.pick_one_each(spark.createDataFrame(rows, "g string, c string, i long, o long"), ["g"], "c", "i", ["o"]).collect()}
+    want = {}
+    for g in ("hot", None, "few"):
+        used = set()
+        for c in "abcdefgh":
+            pool = sorted((o, i) for k, d, i, o in rows if (k, d) == (g, c) and i not in used)
+            if pool:
+                want[g, c] = pool[0][1]
+                used.add(pool[0][1])
+    assert got == want and len([k for k in want if k[0] == "few"]) == 3

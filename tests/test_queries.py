@@ -14,6 +14,9 @@ import pytest
 from quern.plans import catalog
 from quern.plans.statistics import SPECS
 
+from . import plain
+from .test_permute import plain_mix, plain_permuted
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -271,23 +274,59 @@ def affine_and_behaviour(got):
             assert (have is None or have != have) if c is None else abs(have - c) < 1e-4
 
 
-def within_unit(*columns):
-    """Where only the range is told: operators themselves are held against NumPy in test_operators."""
+def binary():
+    """(doc_id, model, log length, error) of labelled documents."""
+    d = read("documents").merge(read("labels"), on="doc_id")
+    return pd.DataFrame({"doc_id": d.doc_id, "model": d.lang, "x": np.log(d.n_chars + 1.0), "y": ((d.toxic == 1) | (d.quality == 0)).astype(int)})
+
+
+def spline(got):
+    p = told(got, "doc_id", "p")
+    for _, g in binary().groupby("model"):
+        if g.y.nunique() == 2:
+            want = plain.spline_curve(g.x.to_numpy(), g.y.to_numpy(), g.x.to_numpy())
+            assert np.allclose([p[i] for i in g.doc_id], want, rtol=0, atol=1.1e-6)
+
+
+def isotonic_by_model(got):
+    for k, g in binary().groupby("model"):
+        c = plain_r(g.x.to_numpy(), g.y.to_numpy())
+        want = sorted((round(x, 6), p) for x, p in plain.pooled(g.x.tolist(), g.y.tolist(), c is None or c >= 0).items())
+        mine = sorted(got[got.model_key == k][["x", "p"]].itertuples(index=False, name=None))
+        assert len(mine) == len(want) and np.allclose(mine, want, rtol=0, atol=2e-6)
+
 
+def held_out(curve):
     def check(got):
-        assert len(got)
-        for c in columns:
-            v = got[c].dropna()
-            assert ((v >= 0) & (v <= 1)).all()
+        seen = set()
+        for k, g in binary().groupby("model"):
+            if min((g.y == 0).sum(), (g.y == 1).sum()) < 2:
+                continue
+            r = got[got.model_key == k].iloc[0]
+            want = plain.scores(g.doc_id.tolist(), g.x.to_numpy(), g.y.to_numpy(), curve)
+            assert np.allclose([r.folds, r.logloss, r.brier, r.auc], want, rtol=0, atol=1e-6) and r.n == len(g)
+            seen.add(k)
+        assert seen == set(got.model_key)
 
     return check
 
 
+def drawn_orders(got):
+    """The same 2,000 keyed orders, one by one."""
+    for r in got.itertuples():
+        g = points().query("l_returnflag == @r.grp").sort_values(["x", "y"])
+        x, y = g.x.to_numpy(), g.y.to_numpy()
+        c, a, b = np.corrcoef(x, y)[0, 1], x - x.mean(), y - y.mean()
+        every = np.array([a @ b[plain_permuted(len(x), "0", plain_mix(d))] for d in range(2000)]) / np.sqrt((a @ a) * (b @ b))
+        assert abs(r.r - c) < 1e-9 and abs(r.p - ((np.abs(every) >= abs(c) - 1e-9).sum() + 1) / 2001) < 1e-9
+
+
 CHECKS = {
     "d18_fuzzy_best_match": fuzzy, "i09_boundary_match": borders, "i20_similarity": similar, "i22_fnv1a": fnv, "j07_collision_verdict": verdicts, "k08_affine_ridge": ridge, "l18_isotonic": isotonic,
     "l04_weighted_p": weighted_tests, "l06_t_test_p": t_tests, "l07_permutation_exact": orders, "l13_ols_hc3": fits, "l14_incremental_fit": gains_of_fits,
     "l19_thresholds_by_p": thresholds_by_p, "l21_affine_and_behaviour": affine_and_behaviour,
-    "l08_permutation_sampled": within_unit("p"), "l17_cross_validated": within_unit("brier", "auc"), "l18_spline_logistic": within_unit("p"), "k10_retrieval_affine": lambda got: len(got) or pytest.fail("no rows"),
+    "l08_permutation_sampled": drawn_orders, "l17_cross_validated": held_out(plain.logistic_curve), "l17_spline_cross_validated": held_out(plain.spline_curve),
+    "l18_spline_logistic": spline, "l18_isotonic_by_model": isotonic_by_model, "k10_retrieval_affine": lambda got: len(got) or pytest.fail("no rows"),
 }
 
 
