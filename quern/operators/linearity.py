@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 
+from .guards import null_safe_join
+
 
 def directions(triples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, direction): mean of o - s over training rows."""
@@ -120,17 +122,86 @@ def queries_of(triples: DataFrame, keys: list[str], gold: str, mode: str) -> Dat
     return test.drop("s").join(affine(triples, keys), [*keys, "id"])
 
 
-def ranked(queries: DataFrame, candidates: DataFrame, keys: list[str], gold: str, metric: str = "cosine") -> DataFrame:
-    """Every query against its relation's candidates: score, and rank by score, ties by label."""
-    pairs = queries.join(candidates.withColumnRenamed(gold, "label"), keys)
-    score = V.cosine(F.col("inferred"), F.col("proto")) if metric == "cosine" else -V.distance(F.col("inferred"), F.col("proto"))
-    w = Window.partitionBy(*keys, "id").orderBy(F.desc_nulls_last("score"), "label")
-    return pairs.select(*keys, "id", gold, "label", score.alias("score")).withColumn("rank", F.row_number().over(w))
+#: Queries and candidates of a block; a task scores one block of each.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame, keys: list[str], by: str, name: str, many: str) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt evenly to blocks of about BLOCK, and (keys, many): how many blocks a group has."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(many))
+    dealt = null_safe_join(rows, sizes, keys).withColumn(name, F.pmod(F.xxhash64(by), F.col(many)).cast("int")).drop(many)
+    return dealt, sizes
+
 
+def _scores(queries: np.ndarray, candidates: np.ndarray, metric: str) -> np.ndarray:
+    """(queries x candidates): cosine, NaN for a zero vector, or the negative distance. A pair's score doesn't depend on the block it is in."""
+    dots = np.einsum("id,jd->ij", queries, candidates)
+    if metric == "cosine":
+        norm = lambda v: np.sqrt(np.einsum("id,id->i", v, v))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            den = norm(queries)[:, None] * norm(candidates)[None, :]
+            return np.where(den > 0, dots / den, np.nan)
+    return -np.sqrt(np.stack([np.einsum("jd,jd->j", c, c) for c in (candidates - q for q in queries)])) if len(queries) else dots
 
-def gold_ranks(ranks: DataFrame, keys: list[str], gold: str) -> DataFrame:
+
+def ranked(queries: DataFrame, candidates: DataFrame, keys: list[str], gold: str, metric: str = "cosine", k: int = 10) -> DataFrame:
+    """(keys, id, gold, rank, num_candidates, top): the gold label's rank among its relation's candidates, and the k best (label, score).
+
+    The order is by score, then by label; NULL scores, those of zero vectors, come last.
+    ``rank`` is NULL where the gold label is no candidate. Blocks of queries meet blocks of
+    candidates as matrices: a block counts the candidates before the gold one, whose
+    vector goes along with the query, and gives its own k best; counts are added up, lists
+    merged. There is no row for a pair.
+    """
+    named = candidates.select(*keys, F.col(gold).alias("_label"), "proto")
+    golds = named.select(*keys, F.col("_label").alias(gold), F.col("proto").alias("_gold"))
+    q, nq = _blocks(null_safe_join(queries.select(*keys, "id", gold, "inferred"), golds, [*keys, gold], "left"), keys, "id", "_q", "_nq")
+    c, nc = _blocks(named, keys, "_label", "_c", "_nc")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = null_safe_join(q, nc, keys).withColumn("_c", every("_nc")).drop("_nc")
+    c = null_safe_join(c, nq, keys).withColumn("_q", every("_nq")).drop("_nq")
+    c = c.select(*[F.col(x).alias(x) for x in c.columns])  # both sides may come from one frame
+    kinds = ", ".join(f"`{x}` {queries.schema[x].dataType.simpleString()}" for x in [*keys, "id", gold])
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[[*keys, "id", gold]].copy()
+        if not len(left):
+            return out.assign(before=pd.Series(dtype="int64"), held=pd.Series(dtype="int64"), best=pd.Series(dtype=object))
+        labels = right["_label"].to_numpy()
+        order = np.argsort(labels, kind="stable")
+        labels, vectors = labels[order], np.stack(right["proto"].to_numpy()[order]) if len(right) else np.zeros((0, 1))
+        x = np.stack(left["inferred"].to_numpy())
+        score = _scores(x, vectors, metric) if len(right) else np.zeros((len(x), 0))
+        has = left["_gold"].notna().to_numpy()
+        mine = np.full(len(left), np.nan)
+        if has.any():
+            own = np.stack(left["_gold"].to_numpy()[has])
+            mine[has] = [_scores(a[None], b[None], metric)[0, 0] for a, b in zip(x[has], own, strict=True)]
+        lost = np.isnan(score)
+        smaller = labels[None, :] < left[gold].to_numpy()[:, None] if len(right) else np.zeros(score.shape, bool)
+        top = np.where(np.isnan(mine), -np.inf, mine)[:, None]
+        # a gold label without a score comes behind all that have one
+        better = np.where(np.isnan(mine)[:, None], ~lost, score > top)
+        even = np.where(np.isnan(mine)[:, None], lost, score == top)
+        out["before"] = (better | (even & smaller)).sum(1)
+        out["held"] = len(right)
+        first = np.argsort(np.where(lost, np.inf, -score), axis=1, kind="stable")[:, :k]
+        out["best"] = [[{"label": labels[j], "score": None if np.isnan(score[i, j]) else float(score[i, j])} for j in row] for i, row in enumerate(first)]
+        out.loc[~has, "before"] = -1
+        return out
+
+    label = queries.schema[gold].dataType.simpleString()
+    part = q.groupBy(*keys, "_q", "_c").cogroup(c.groupBy(*keys, "_q", "_c")).applyInPandas(lambda a, b: block(a, b), f"{kinds}, before long, held long, best array<struct<label:{label},score:double>>")
+    worse = lambda a, b: F.when(a["score"].isNull() & b["score"].isNull(), F.lit(0)).when(a["score"].isNull(), 1).when(b["score"].isNull(), -1).when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)
+    place = lambda a, b: F.when(worse(a, b) != 0, worse(a, b)).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)
+    merged = part.groupBy(*keys, "id", gold).agg(F.sum("before").alias("before"), F.min("before").alias("_least"), F.sum("held").alias("num_candidates"), F.flatten(F.collect_list("best")).alias("best"))
+    top_k = F.slice(F.array_sort("best", place), 1, k)
+    return merged.select(*keys, "id", gold, F.when(F.col("_least") >= 0, F.col("before") + 1).alias("rank"), "num_candidates", top_k.alias("top"))
+
+
+def gold_ranks(ranks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, rank, num_candidates): NULL rank where the gold label is no candidate."""
-    return ranks.groupBy(*keys, "id").agg(F.max(F.when(F.col("label") == F.col(gold), F.col("rank"))).alias("rank"), F.count(F.lit(1)).alias("num_candidates"))
+    return ranks.select(*keys, "id", "rank", "num_candidates")
 
 
 def metrics(ranks: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,7 +214,6 @@ def metrics(ranks: DataFrame, keys: list[str]) -> DataFrame:
     ).where(F.col("_g").isin(0, 2 ** len(keys) - 1)).drop("_g")
 
 
-def top_list(ranks: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """(keys, id, labels, scores): the k best of each query in order."""
-    best = ranks.where(F.col("rank") <= k).groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "score"))).alias("_l"))
-    return best.select(*keys, "id", F.transform("_l", lambda x: x["label"]).alias("labels"), F.transform("_l", lambda x: x["score"]).alias("scores"))
+def top_list(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, labels, scores): the best of each query in order."""
+    return ranks.select(*keys, "id", F.transform("top", lambda x: x["label"]).alias("labels"), F.transform("top", lambda x: x["score"]).alias("scores"))

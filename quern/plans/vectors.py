@@ -158,39 +158,39 @@ def k09(spark, sf):
     return p.select("relation_key", "gold", F.round(V.norm(F.col("proto")), 6).alias("proto_norm"))
 
 
-def _ranks(spark, sf, mode, metric="cosine", source="train"):
+def _ranks(spark, sf, mode, metric="cosine", source="train", k=10):
     g = _gold(spark, sf)
-    return L.ranked(L.queries_of(g, KEY, "gold", mode), L.prototypes(g, KEY, "gold", source), KEY, "gold", metric)
+    return L.ranked(L.queries_of(g, KEY, "gold", mode), L.prototypes(g, KEY, "gold", source), KEY, "gold", metric, k)
 
 
 _GOLD_SQL = "SELECT relation_key, id, rk AS rank, m AS num_candidates FROM golds"
 for _name, _mode, _metric, _score in (("translated_cosine", "translated", "cosine", COS), ("subject_cosine", "subject_only", "cosine", SUBJ), ("translated_euclidean", "translated", "euclidean", EUC)):
 
     def _retrieve(spark, sf, mode=_mode, metric=_metric):
-        return L.gold_ranks(_ranks(spark, sf, mode, metric), KEY, "gold").withColumn("rank", F.col("rank").cast("long"))
+        return L.gold_ranks(_ranks(spark, sf, mode, metric), KEY)
 
     Q.add(f"k10_retrieval_{_name}", f"WITH {PROTO.format(score=_score)} {_GOLD_SQL}")(_retrieve)
 
 
 @Q.add("k10_retrieval_affine")
 def k10a(spark, sf):
-    """Retrieval under the ridge map; rows only, as SQL has no linear solve."""
-    return L.gold_ranks(_ranks(spark, sf, "affine_full", source="all"), KEY, "gold")
+    """Retrieval under the ridge map, among all objects; SQL has no linear solve."""
+    return L.gold_ranks(_ranks(spark, sf, "affine_full", source="all"), KEY)
 
 
 @Q.add("e27_retrieval_metrics", f"WITH {PROTO.format(score=COS)} SELECT relation_key, count(*) AS n_test_total, count(rk) AS n_test_covered, round(avg((rk IS NOT NULL)::INT),6) AS coverage, round(avg((rk<=1)::INT),6) AS hits1, round(avg((rk<=10)::INT),6) AS hits10, round(avg(1/rk),6) AS mrr, round(avg(rk),6) AS mean_rank FROM golds GROUP BY GROUPING SETS ((relation_key),())")
 def e27(spark, sf):
-    return _rounded(L.metrics(L.gold_ranks(_ranks(spark, sf, "translated"), KEY, "gold"), KEY))
+    return _rounded(L.metrics(L.gold_ranks(_ranks(spark, sf, "translated"), KEY), KEY))
 
 
 @Q.add("g05_top_list", f"WITH {PROTO.format(score=COS)} SELECT relation_key, id, list(label ORDER BY rk) AS labels FROM placed WHERE rk <= 3 GROUP BY 1, 2")
 def g05(spark, sf):
-    return L.top_list(_ranks(spark, sf, "translated"), KEY, 3).select("relation_key", "id", "labels")
+    return L.top_list(_ranks(spark, sf, "translated", k=3), KEY).select("relation_key", "id", "labels")
 
 
 @Q.add("c09_rank_predicates", f"WITH {PROTO.format(score=COS)} SELECT id, CASE WHEN rk = 1 THEN 'success' WHEN rk > 3 THEN 'failure' ELSE 'gap' END AS category FROM golds WHERE rk IS NOT NULL")
 def c09(spark, sf):
-    g = L.gold_ranks(_ranks(spark, sf, "translated"), KEY, "gold").where("rank IS NOT NULL")
+    g = L.gold_ranks(_ranks(spark, sf, "translated"), KEY).where("rank IS NOT NULL")
     return g.select("id", F.when(F.col("rank") == 1, "success").when(F.col("rank") > 3, "failure").otherwise("gap").alias("category"))
 
 

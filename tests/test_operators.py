@@ -166,11 +166,47 @@ def test_ridge_and_retrieval(spark):
     assert np.allclose(d, (o - s)[:22].mean(0))
     ranks = linearity.ranked(linearity.queries_of(t, ["relation_key"], "gold", "translated"), linearity.prototypes(t, ["relation_key"], "gold"), ["relation_key"], "gold", "euclidean")
     protos = {g: o[[i for i in range(22) if i % 4 == g]].mean(0) for g in range(4)}
-    for r in linearity.gold_ranks(ranks, ["relation_key"], "gold").collect():
+    for r in linearity.gold_ranks(ranks, ["relation_key"]).collect():
         order = sorted(range(4), key=lambda g: np.linalg.norm(protos[g] - (s[r.id] + d)))
         assert r.rank == order.index(r.id % 4) + 1 and r.num_candidates == 4
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("block", [linearity.BLOCK, 3])
+def test_retrieval_by_blocks(spark, monkeypatch, metric, block):
+    """Ties by label, zero vectors last, gold labels that are no candidate, a hot relation and one without candidates; whatever the blocks."""
+    monkeypatch.setattr(linearity, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    vec = lambda: [float(x) for x in rng.integers(-1, 2, 3)]
+    queries = [(r, i, f"g{i % 7}", vec()) for r, n in (("hot", 40), (None, 5), ("none", 2)) for i in range(n)]
+    candidates = [(r, f"g{j}", vec()) for r, n in (("hot", 6), (None, 9)) for j in range(n)]
+    q = spark.createDataFrame(queries, "relation_key string, id long, gold string, inferred array<double>")
+    c = spark.createDataFrame(candidates, "relation_key string, gold string, proto array<double>")
+    got = {(r.relation_key, r.id): r for r in linearity.ranked(q, c, ["relation_key"], "gold", metric, 4).collect()}
+
+    def score(a, b):
+        a, b = np.array(a), np.array(b)
+        if metric == "euclidean":
+            return -np.sqrt(((a - b) ** 2).sum())
+        den = np.sqrt((a**2).sum()) * np.sqrt((b**2).sum())
+        return (a @ b) / den if den > 0 else None
+
+    assert set(got) == {(r, i) for r, i, *_ in queries if r != "none"}
+    for (rel, i), r in got.items():
+        inferred = next(v for a, b, _, v in queries if (a, b) == (rel, i))
+        order = sorted(((s is None, -(s or 0), g, s) for a, g, p in candidates if a == rel for s in [score(inferred, p)]))
+        labels = [g for _, _, g, _ in order]
+        assert r.rank == (labels.index(f"g{i % 7}") + 1 if f"g{i % 7}" in labels else None) and r.num_candidates == len(labels)
+        assert [t.label for t in r.top] == labels[:4] and [t.score for t in r.top] == [s if s is None else pytest.approx(s) for *_, s in order[:4]]
+
+
+def test_retrieval_has_no_row_for_a_pair(spark):
+    q = spark.createDataFrame([("r", i, "g1", [1.0, i / 9]) for i in range(50)], "relation_key string, id long, gold string, inferred array<double>")
+    c = spark.createDataFrame([("r", f"g{j}", [j / 7, 1.0]) for j in range(50)], "relation_key string, gold string, proto array<double>")
+    plan = linearity.ranked(q, c, ["relation_key"], "gold")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Window" not in plan
+
+
 def test_gold_outside_candidates_counts_in_coverage_only(spark):
     ranks = spark.createDataFrame([("r", 1, 1), ("r", 2, None), ("r", 3, 4)], "relation_key string, id long, rank int")
     m = {r.relation_key: r for r in linearity.metrics(ranks, ["relation_key"]).collect()}
