@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.correlation import kish, paired, pearson, weighted_pearson
-from quern.functions.numeric import clip, finite, t_p_udf, t_tail
+from quern.functions.numeric import clip, finite, t_p, t_tail
 from quern.functions.permute import mix, mix_numpy, permuted, permuted_numpy
 from quern.sources.files import kept
 
@@ -196,7 +196,7 @@ def threshold_grid(df: DataFrame, keys: list[str], x: str, y: str, weight: str,
     a, b = paired(F.when(F.col("_w") >= F.col("threshold"), F.col("_x")), F.col("_y"))
     w = F.when(a.isNotNull() & (F.col("_w") > 0), F.col("_w"))
     g = every.groupBy("threshold", *keys).agg(F.count(a).alias("n"), pearson(a, b, least).alias("r"), weighted_pearson(a, b, w, least).alias("r_weighted"), kish(w).alias("n_eff"))
-    p = t_p_udf()
+    p = lambda r, n: t_p(F.col(r), F.col(n))
     return g.select("threshold", *keys, "n", "r", p("r", "n").alias("p"), "r_weighted", "n_eff", F.when(F.col("n_eff") > 3, p("r_weighted", "n_eff")).alias("p_weighted"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.numeric import finite, wilson
-from quern.operators import guards, ordering, ranking, resolve
+from quern.operators import fuzzy, guards, ordering, ranking, resolve
 
 from .inputs import ANSWERS, LABELLED, POINTS, answers, labelled, points
 from .rates import _wilson_sql
@@ -329,11 +329,10 @@ def d17(spark, sf):
 
 @Q.add("d18_fuzzy_best_match")
 def d18(spark, sf):
-    """The most similar supplier name for each customer, within blocks of a shared nation; SQL has no such similarity."""
+    """The most similar supplier name for each customer, among those of the nation; SQL has no such similarity."""
     c = read(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("a"), F.col("c_nationkey").alias("k"))
     s = read(spark, sf, "supplier").select(F.col("s_name").alias("b"), F.col("s_nationkey").alias("k"))
-    scored = c.join(s, "k").select("c_custkey", "b", T.similarity(F.col("a"), F.col("b")).alias("score"))
-    return scored.groupBy("c_custkey").agg(F.max_by("b", F.struct("score", "b")).alias("best"), _r(F.max("score"), "score"))
+    return guards.null_safe_join(c, fuzzy.best_matches(c, s, ["k"], "a", "b"), ["k", "a"]).select("c_custkey", "best", _r(F.col("score"), "score"))
 
 
 @Q.add("d19_layer_grid", "SELECT s::INT AS subject_layer, o::INT AS object_layer FROM range(0, 12) a(s), range(0, 12) b(o) WHERE o > s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from quern.sources import files, readers, sinks
@@ -50,6 +52,15 @@ def a04(spark, sf):
     return readers.json_lines(spark, d, NATION)
 
 
+@Q.add("a04_line_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders")
+def a04n(spark, sf):
+    """Lines of a sorted file, numbered from the counts of its parts."""
+    d = files.scratch_dir(spark, "a04n") + "/orders.jsonl"
+    read(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").coalesce(1).write.json(d)
+    lines = readers.numbered_lines(spark, d)
+    return lines.select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), "line")
+
+
 @Q.add("a05_json_lines_lenient", "SELECT (SELECT count(*) FROM nation) AS n_good, (SELECT count(*) FROM region) AS n_bad")
 def a05(spark, sf):
     d = files.scratch_dir(spark, "a05")
@@ -239,13 +250,31 @@ def a26(spark, sf):
 
 @Q.add("a27_atomic_replace", "SELECT r_regionkey, r_name FROM region")
 def a27(spark, sf):
-    d = files.scratch_dir(spark, "a27")
+    d = files.scratch_dir(spark, "a27") + "/table"
     r = read(spark, sf, "region").select("r_regionkey", "r_name")
     sinks.replace_table(spark, r.limit(1), d)
     sinks.replace_table(spark, r, d)
     return spark.read.parquet(d)
 
 
+@Q.add("a27_checkpointed_repair", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'other' ELSE event_type END AS event_type, value FROM events")
+def a27c(spark, sf):
+    """Events relabelled in slices: the first run stops in the second slice, the next one goes on where it stopped."""
+    d = files.scratch_dir(spark, "a27c") + "/table"
+    e, calls = read(spark, sf, "events").select("event_id", "event_type", "value"), []
+
+    def relabel(rows, stop):
+        calls.append(1)
+        if len(calls) == 2 and stop:
+            raise InterruptedError("a run that stops")
+        return rows.withColumn("event_type", F.when(F.col("event_type") == "error", "other").otherwise(F.col("event_type")))
+
+    for stop in (True, False):
+        with contextlib.suppress(InterruptedError):
+            sinks.checkpointed(spark, e, d, "event_id", lambda rows: relabel(rows, stop), 4)  # noqa: B023
+    return spark.read.parquet(d)
+
+
 @Q.add("n01_streaming_labels", f"WITH {ANSWERS} SELECT count(*) AS n FROM answers")
 def n01(spark, sf):
     """Answers that arrive as files, labelled once each by a stream."""

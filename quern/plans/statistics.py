@@ -58,7 +58,7 @@ def l04(spark, sf):
 def l04p(spark, sf):
     """p of the weighted correlation with the effective n; the t distribution is no SQL function."""
     g = points(spark, sf).groupBy("grp").agg(C.weighted_pearson(F.col(X), F.col(Y), F.col(W)).alias("r"), C.kish(F.col(W)).alias("n_eff"))
-    return g.select("grp", _r(F.col("r"), "r"), _r(N.t_p_udf()(F.col("r"), F.col("n_eff")), "p"))
+    return g.select("grp", _r(F.col("r"), "r"), _r(N.t_p(F.col("r"), F.col("n_eff")), "p"))
 
 
 @Q.add("l05_fisher_interval", f"WITH {POINTS}, c AS (SELECT grp, count(*) n, corr(x,y) r FROM points GROUP BY 1) SELECT grp, round(tanh(atanh(r)-1.96/sqrt(n-3)),6) AS lo, round(tanh(atanh(r)+1.96/sqrt(n-3)),6) AS hi FROM c WHERE n > 3 AND abs(r) < 1 UNION ALL SELECT grp, NULL, NULL FROM c WHERE n <= 3 OR abs(r) >= 1")
@@ -70,7 +70,7 @@ def l05(spark, sf):
 @Q.add("l06_t_test_p")
 def l06(spark, sf):
     g = points(spark, sf).groupBy("grp").agg(F.count("*").alias("n"), C.pearson(F.col(X), F.col(Y)).alias("r"))
-    return g.select("grp", "n", _r(F.col("r"), "r"), _r(N.t_p_udf()(F.col("r"), F.col("n")), "p_two"), _r(N.t_p_udf(1)(F.col("r"), F.col("n")), "p_one"))
+    return g.select("grp", "n", _r(F.col("r"), "r"), _r(N.t_p(F.col("r"), F.col("n")), "p_two"), _r(N.t_p(F.col("r"), F.col("n"), 1), "p_one"))
 
 
 def _nations(spark, sf):

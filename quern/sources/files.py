@@ -15,7 +15,7 @@ def _path(spark: SparkSession, name: str):
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which executors share; on a local master without that setting, a temporary one.
+    """A path for a new folder below spark.checkpoint.dir, which executors share; on a local master without that setting, a temporary one.
 
     It is deleted when the application ends, as frames that read it may be used until then.
     """
@@ -29,12 +29,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     p, fs = _path(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
-    return path
+    return f"{path}/data"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a scratch folder and read back: computed once, without lineage, safe when executors are lost."""
-    path = f"{scratch_dir(df.sparkSession, name)}/rows"
+    path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,6 +64,38 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
         out.close()
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    p, fs = _path(spark, name)
+    fs.delete(p, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    p, fs = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_bytes(spark: SparkSession, name: str) -> bytes:
+    """A small file."""
+    p, fs = _path(spark, name)
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes())
+    finally:
+        source.close()
+
+
+def move_all(spark: SparkSession, folder: str, to: str, prefix: str) -> None:
+    """Move a folder's data files to another under names of their own; those that were moved before are skipped."""
+    q, fs = _path(spark, to)
+    fs.mkdirs(q)
+    for name in names(spark, folder):
+        if not name.startswith(("_", ".")):
+            a, b = _path(spark, f"{folder}/{name}")[0], _path(spark, f"{to}/{prefix}{name}")[0]
+            if not fs.rename(a, b):
+                raise OSError(f"can't move {folder}/{name}")
+
+
 def replace(spark: SparkSession, new: str, old: str) -> None:
     """Put a finished folder in another's place: the old one stands aside until the new one is there."""
     p, fs = _path(spark, new)

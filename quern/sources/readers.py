@@ -24,14 +24,47 @@ def csv(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructT
     return (r.schema(schema) if schema is not None else r.option("inferSchema", infer)).csv(paths)
 
 
+def _placed_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(value, _file, _split, _at): lines with their file, the offset of the part of it that a task reads, and a number that counts up inside the part."""
+    meta = F.col("_metadata")
+    return spark.read.text(paths).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_at"))
+
+
+def _line_numbers(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``rows`` of ``every`` with file and line, counted from 1: lines of a file's parts are counted and added up, so no task reads a whole file."""
+    parts = every.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_split")) - F.col("_n")
+    starts = parts.select("_file", "_split", (before - F.col("_first") + 1).alias("_shift"))
+    return rows.join(starts, ["_file", "_split"]).withColumn("line", F.col("_at") + F.col("_shift")).withColumnRenamed("_file", "file").drop("_split", "_at", "_shift")
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(value, file, line) of every line of text files, blank ones included, whether or not files are read in parts."""
+    lines = _placed_lines(spark, paths)
+    return _line_numbers(lines, lines)
+
+
+class JsonLineError(ValueError):
+    """A malformed line; ``file`` and ``line`` say where."""
+
+    def __init__(self, file: str, line: int, text: str):
+        super().__init__(f"{file}:{line}: malformed JSON record: {text[:200]!r}")
+        self.file, self.line = file, line
+
+
 def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType, strict: bool = True) -> DataFrame:
-    """JSON lines. Strict: a malformed line stops the job. Lenient: it is kept in ``_corrupt_record``."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    """JSON lines, blank ones left out. Strict: malformed ones are looked for at once, the first is an error that names file and line. Lenient: they are kept in ``_corrupt_record``."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
-    lines = spark.read.text(paths).where("trim(value) <> ''")
-    return lines.select(F.from_json("value", full, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    record = F.from_json("value", full, {"mode": "PERMISSIVE"})
+    if not strict:
+        return spark.read.text(paths).where("trim(value) <> ''").select(record.alias("r")).select("r.*")
+    lines = _placed_lines(spark, paths)
+    bad = lines.where((F.trim("value") != "") & record["_corrupt_record"].isNotNull())
+    if not bad.isEmpty():
+        first = _line_numbers(bad, lines).orderBy("file", "line").first()
+        raise JsonLineError(first["file"], first["line"], first["value"])
+    return spark.read.schema(kind).option("mode", "FAILFAST").json(paths)
 
 
 def split_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -102,5 +102,34 @@ def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
     files.replace(spark, new, path)
 
 
+def checkpointed(spark: SparkSession, df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], slices: int = 16) -> None:
+    """Replace a table by ``work`` over ``df``, done in slices that a run which stopped doesn't lose.
+
+    Rows are dealt to slices by a hash of ``key`` and written once beside the table. Each
+    slice's result is written, and only then noted in the manifest, a folder of one small
+    file a slice. A new run with the same arguments does the slices that are not noted;
+    at the end the results' files are moved together and put in the table's place, which
+    until then holds what it held before. ``work`` must give a row's result from the row.
+    """
+    side = f"{path}.slices"
+    plan = f"{key}|{slices}|{df.schema.simpleString()}".encode()
+    if not files.exists(spark, f"{side}/manifest/rows"):
+        files.delete(spark, side)
+        df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).write.partitionBy("_slice").parquet(f"{side}/rows")
+        files.write_bytes(spark, f"{side}/manifest/rows", plan)
+    elif files.read_bytes(spark, f"{side}/manifest/rows") != plan:
+        raise ValueError(f"{side} is of a run with other columns or slices")
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, _slice int").parquet(f"{side}/rows")
+    done = set(files.names(spark, f"{side}/manifest"))
+    for i in range(slices):
+        if f"slice-{i}" not in done:
+            work(rows.where(F.col("_slice") == i).drop("_slice")).write.mode("overwrite").parquet(f"{side}/done/{i}")
+            files.write_bytes(spark, f"{side}/manifest/slice-{i}", b"")
+    for i in range(slices):
+        files.move_all(spark, f"{side}/done/{i}", f"{side}/table", f"{i}-")
+    files.replace(spark, f"{side}/table", path)
+    files.delete(spark, side)
+
+
 def blank_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

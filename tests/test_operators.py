@@ -1,6 +1,7 @@
 """Operators and functions against plain Python and NumPy, with the edge cases of missing and degenerate values."""
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -372,3 +373,67 @@ def test_picks_without_reuse_are_those_of_the_loop(spark):
                 want[g, c] = pool[0][1]
                 used.add(pool[0][1])
     assert got == want and len([k for k in want if k[0] == "few"]) == 3
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_t_tails_as_expressions(spark, sides):
+    """Against the scalar function, from under one degree of freedom to a million, and where nothing is defined."""
+    rows = [(r, n) for r in (0.0, 1e-4, 1e-3, 0.05, 0.31, 0.5, 0.77, 0.95, 0.999999, 1.0) for n in (2.3, 3.0, 3.5, 4.0, 7.0, 21.0, 47.5, 400.0, 12_345.0)]
+    rows += [(-r, n) for r, n in rows] + [(None, 5.0), (float("nan"), 5.0), (0.5, None), (0.5, 2.0), (0.5, 1.0)]
+    got = spark.createDataFrame(rows, "r double, n double").select("r", "n", N.t_p(F.col("r"), F.col("n"), sides).alias("p")).collect()
+    for x in got:
+        want = N.correlation_p(x.r, x.n, sides)
+        assert (x.p is None) if want is None else abs(x.p - want) < 1e-10, x
+    # many degrees of freedom: the normal tail and its first correction
+    t = 0.001 * (1_000_000 / (1 - 1e-6)) ** 0.5
+    normal = 0.5 * math.erfc(t / 2**0.5) + (t**3 + t) / 4e6 * math.exp(-t * t / 2) / (2 * math.pi) ** 0.5
+    big = spark.createDataFrame([(0.001, 1_000_002.0)], "r double, n double").select(N.t_p(F.col("r"), F.col("n"), sides).alias("p")).first().p
+    assert abs(big - normal * sides) < 1e-11
+    # tails far out agree in relation, too
+    far = spark.createDataFrame([(0.9, 60.0), (0.5, 800.0), (0.99, 30.0)], "r double, n double").select("r", "n", N.t_p(F.col("r"), F.col("n")).alias("p")).collect()
+    assert all(abs(x.p / N.correlation_p(x.r, x.n) - 1) < 1e-9 for x in far)
+
+
+def test_strict_lines_name_file_and_line(spark, tmp_path):
+    """In files that many tasks read in parts, with blank lines and lines beyond ASCII before the bad one."""
+    lines = [json.dumps({"k": i, "v": "ü" * (i % 50)}) if i % 7 else "" for i in range(3000)]
+    (tmp_path / "good.jsonl").write_text("\n".join(lines))
+    (tmp_path / "worse.jsonl").write_text("\n".join([*lines[:2345], '{"k": 1', *lines[2345:], "nothing"]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert spark.read.text(str(tmp_path / "good.jsonl")).rdd.getNumPartitions() > 5
+        assert readers.json_lines(spark, str(tmp_path / "good.jsonl"), "k int, v string").count() == sum(map(bool, lines))
+        got = {r.line: r.value for r in readers.numbered_lines(spark, str(tmp_path / "good.jsonl")).collect()}
+        assert got == dict(enumerate(lines, 1))
+        with pytest.raises(readers.JsonLineError, match=r"worse\.jsonl:2346: .*k") as e:
+            readers.json_lines(spark, str(tmp_path), "k int, v string")
+        assert e.value.line == 2346 and e.value.file.endswith("/worse.jsonl")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_run_that_stops_loses_no_slice(spark, tmp_path):
+    path, seen = f"file://{tmp_path}/out/table", []
+    df = spark.range(200).select("id", (F.col("id") % 3).alias("m"))
+    sinks.replace_table(spark, spark.createDataFrame([(-1, 0, 0)], "id long, m long, twice long"), path)
+
+    def work(stop_at):
+        def one(rows):
+            if len(seen) == stop_at:
+                raise RuntimeError("stopped")
+            seen.append(sorted(r.id for r in rows.collect()))
+            return rows.withColumn("twice", F.col("id") * 2)
+
+        return one
+
+    for stop_at in (3, 5):
+        with pytest.raises(RuntimeError, match="stopped"):
+            sinks.checkpointed(spark, df, path, "id", work(stop_at), 8)
+        assert [r.id for r in spark.read.parquet(path).collect()] == [-1]
+    with pytest.raises(ValueError, match="other columns or slices"):
+        sinks.checkpointed(spark, df, path, "id", work(99), 9)
+    sinks.checkpointed(spark, df, path, "id", work(99), 8)
+    assert sorted(i for part in seen for i in part) == list(range(200)) and len(seen) == 8
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(i, i % 3, 2 * i) for i in range(200)]
+    assert not files.exists(spark, path + ".slices")
