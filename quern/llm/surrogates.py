@@ -1,16 +1,22 @@
 """PII surrogates, in DataFrame operations only.
 
-Entities are e-mail addresses, IPv4 addresses, phone, card, social-security and
-account (IBAN) numbers, secrets, and persons' names. A name is found by a title, by a
-known given name, by words that announce one ("my name is"), or by standing right
-before a mail address; in a text where it was found, each of its words is an entity
-wherever it stands alone. Each distinct entity of the table gets one surrogate, made
+Entities are e-mail addresses, IP addresses of both kinds, phone, card, social-security
+and account (IBAN) numbers, secrets, and persons' names. A name is found by a title, by a
+known given name, by words that announce one ("my name is", "Dear"), by a verb of saying
+or living beside two capitalised words, or by standing right before a mail address. In a
+text where it was found, each of its words is an entity wherever it stands alone, unless
+it is an ordinary word there: one that the text also has in lower case, one that is
+capitalised as a month, a day or a German noun, or an English word that may begin a
+sentence, where it does. Each distinct entity of the table gets one surrogate, made
 from a keyed digest (HMAC-SHA-256) of its type and normal form, so that every mention,
-however written, gets the same one. Surrogates keep type and format: length, case,
-separators, character classes, a phone's country code, an account's country with
-check digits that are right, a card's first digit with a check digit that is right (a
-number whose check digit is wrong is none and stays), a mail address's top domain; an IP address stays one, of any length; names keep
-title, hyphens, particles, script, case and gender.
+however written and whatever the title, gets the same one. Surrogates keep type and
+format: length, case, separators, character classes, a phone's country code, an account's
+country with check digits that are right, a card's first digit with a check digit that is
+right (a number whose check digit is wrong is none and stays), a mail address's top
+domain; an IP address stays one, of any length; names keep title, hyphens, particles,
+script and case. A given name's gender is that of its titles and of the lists of given
+names over the whole table, none where these disagree; it chooses the form of the
+surrogate, not the surrogate. A Cyrillic surname keeps the gender of its ending.
 
 Collision checks: a surrogate must not be an entity of the table, nor that of
 another entity of its type. Entities for which it is are given the next attempt's
@@ -49,27 +55,46 @@ GIVEN_M = "James John Robert Michael William David Richard Joseph Thomas Charles
 #: Small words inside names, words that announce a name.
 PARTICLES = "von van der den de del della di da la le bin ibn al".split()
 ANNOUNCED = ["my name is", "name is", "name:", "contact person", "contact:", "signed by", "written by", "yours sincerely,", "sincerely,", "kind regards,", "regards,", "attn:", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es"]
+#: Words that come before or behind a person, and words that begin a sentence before such a one.
+ADDRESSED = "Dear Hi Hello Liebe Lieber Chère Cher Estimada Estimado Querida Querido said says asked replied wrote added".split()
+VERBS = "said says wrote writes called calls replied asked asks told lives lived works worked signed added".split()
+OPENERS = "The A An In On At By For From To And But Or Then Later Yesterday Today Tomorrow When While After Before Now Once Here There This That These Those My Your His Her Our Their It He She They We You I As If So Also Only Even Not No Yes Meanwhile However Finally Mister Der Die Das Ein Eine Und Aber Dann Gestern Heute Le La Les Un Une Et Mais Puis Hier El Los Las Una Y Pero Luego Ayer Hoy".split()
+#: Words that are capitalised though no name, and English words that are names too.
+CAPITALISED = "January March April May June July August Sunday Monday Christmas Easter Stein Berg Wolf König Kaiser Richter Koch Schneider Fischer Weber Müller Wagner Bauer Zimmermann Krieger Vogel Fuchs Busch Baum Winter Sommer Herbst Mai Juni".split()
+ORDINARY = "Will Mark Bill Frank Grant Rich Art Jack Drew Chase Hunter Mason Miles Dale Glen Cliff Pat Sue Rob Gene Ray Dawn Eve Ivy Iris Lily Daisy Violet Pearl Ruby Amber Jade Rose Grace Faith Hope Joy Love Day King Bishop Hill Wood Woods Stone Rivers Field Fields Baker Cook Page Price Rice Bush Banks Green Brown White Black Gray Young Long Short Summer Autumn Major Carter Fisher Gardener Marsh Lane Street Park Parks Church Bell Ball Brook Brooks Rock Rush Sharp Small Little Noble Savage Swift Wise".split()
 LATIN = "ba be bo da de di do fa fe fi ga ge ka ke ko la le li lo ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to va ve vi vo za".split()
 CYRILLIC = "ба бе бо ва ве ви во га ге да де ди до за ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се си со та те ти то".split()
 
-_TITLE = "(?:" + "|".join(TITLES_F + TITLES_M + TITLES_ANY) + r")\b\.?"
-_GIVEN = "(?:" + "|".join(GIVEN_F + GIVEN_M) + ")"
+
+
+def _any_case(words: list[str]) -> str:
+    """A pattern of words as they are and in capitals."""
+    return "|".join(dict.fromkeys([*words, *(w.upper() for w in words)]))
+
+
+_TITLE = f"(?:{_any_case(TITLES_F + TITLES_M + TITLES_ANY)})" + r"\b\.?"
+_GIVEN = f"(?:{_any_case(GIVEN_F + GIVEN_M)})"
 _CAPITAL = r"\p{Lu}[\p{L}'’]{1,40}(?:-\p{Lu}[\p{L}'’]{1,40}){0,2}"
 _PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
 _REST = rf"(?: \p{{Lu}}\.)?(?: {_PARTICLE}){{0,2}} {_CAPITAL}"
-_CUE = "(?i:" + "|".join(ANNOUNCED) + ")"
+_CUE = "(?:(?i:" + "|".join(ANNOUNCED) + r")|(?<![\p{L}])(?:" + "|".join(ADDRESSED) + "))"
+_VERB = r"(?:" + "|".join(VERBS) + r")(?![\p{L}])"
+_NO_OPENER = r"(?<!(?<![\p{L}])(?:[Tt]he|[Aa]n?|[Dd]er|[Dd]ie|[Dd]as|[Ll][ae]|[Ee]l) )(?!(?:" + "|".join(OPENERS) + r")(?![\p{L}]))"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around a double colon and a digit somewhere, as in no word.
+_V6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{7}}{_H}|(?=[A-Fa-f:]{{0,39}}[0-9])(?:{_H}(?::{_H}){{0,5}}::(?:{_H}(?::{_H}){{0,5}})?|::{_H}(?::{_H}){{1,6}}))(?![\p{{L}}\p{{N}}:])"
 #: Types and patterns, in order of precedence. Runs are possessive and begin at a border, so that matching stays linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,24}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/=-]{8,}+",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip": rf"(?:(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|{_V6})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[2-6][0-9]{3}(?:[ -][0-9]{4}){3}|[2-6][0-9]{3}[ -][0-9]{6}[ -][0-9]{5}|[2-6][0-9]{12,18})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9+])\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9.,+/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE} {_CAPITAL}(?:{_REST})?|(?:\p{{Lu}}[\p{{L}}]{{1,40}}-)?{_GIVEN}(?:-\p{{Lu}}[\p{{L}}]{{1,40}})?{_REST}|(?=\p{{Lu}})(?:(?<={_CUE} ){_CAPITAL}(?:{_REST})?|{_CAPITAL}{_REST}(?=,? [(<]?[\p{{L}}\p{{N}}._%+-]{{1,64}}+@)))(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE} {_CAPITAL}(?:{_REST})?|(?:\p{{Lu}}[\p{{L}}]{{1,40}}-)?{_GIVEN}(?:-\p{{Lu}}[\p{{L}}]{{1,40}})?{_REST}|(?=\p{{Lu}})(?:(?<={_CUE} ){_CAPITAL}(?:{_REST})?|{_NO_OPENER}{_CAPITAL}{_REST}(?= {_VERB})|{_CAPITAL}{_REST}(?=,? [(<]?[\p{{L}}\p{{N}}._%+-]{{1,64}}+@)))(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What a text of each type holds; a text with none of it has no entity.
@@ -77,7 +102,7 @@ HINTS = {
     "digit or address": "[0-9@]",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)",
     "hex": "[a-f]{32}|[A-F]{32}",
-    "name": rf"\b(?:{_TITLE}|{_GIVEN})[ -]|{_CUE} \p{{Lu}}",
+    "name": rf"\b(?:{_TITLE}|{_GIVEN})[ -]|{_CUE} \p{{Lu}}|\p{{Lu}}[\p{{L}}'’-]++ {_VERB}",
 }
 HINT = "|".join(HINTS.values())
 
@@ -169,15 +194,15 @@ def normal(kind: Column, x: Column) -> Column:
         F.when(kind == "email", F.lower(x))
         .when(kind.isin("card", "phone", "ssn"), _digits(x))
         .when(kind == "iban", F.regexp_replace(x, " ", ""))
-        .when(kind.startswith("surname") | kind.startswith("given"), F.lower(x))
+        .when(kind.isin("surname", "given") | ((kind == "ip") & F.contains(x, F.lit(":"))), F.lower(x))
         .otherwise(x)
     )
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str = EXAMPLE_KEY) -> Column:
-    """The surrogate of a normal form. Digests are bound, as they are read for every character."""
+    """The surrogate of a normal form; given names of a gender are of the kind ``given_f`` or ``given_m``. Digests are bound, as they are read for every character."""
     host = F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1)
-    digests = F.struct(_hex(key, kind, norm, attempt).alias("own"), F.when(kind == "email", _hex(key, F.lit("host"), host, F.lit(0))).alias("host"))
+    digests = F.struct(_hex(key, F.regexp_replace(kind, "_[fm]$", ""), norm, attempt).alias("own"), F.when(kind == "email", _hex(key, F.lit("host"), host, F.lit(0))).alias("host"))
     return bound(digests, lambda h: _surrogate(kind, norm, attempt, h.own, host, h.host))
 
 
@@ -193,6 +218,7 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, h: Column, host: Col
     return (
         F.when(kind == "email", F.concat(_like(F.concat(local, F.repeat(F.lit("a"), more)), h), F.lit("@"), _like(host, of_host), F.regexp_extract(norm, r"(\.[^.]*)$", 1)))
         .when(kind.isin("secret", "hex"), F.when(F.rlike(norm, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _like(grown(norm), h, 6)).otherwise(_like(grown(norm), h)))
+        .when((kind == "ip") & F.contains(norm, F.lit(":")), F.concat(_like(norm, h, 6), F.when(more > 0, F.concat(F.lit(":"), F.lower(F.hex(attempt)))).otherwise("")))
         .when(kind == "ip", F.when(more < 16, octets).otherwise(F.concat(octets, F.lit(":"), F.lpad((_number(h, F.lit(9)) + attempt).cast("string"), 4, "0"))))
         .when(kind == "iban", _iban(grown(norm), h))
         .when(kind == "card", _card(grown(norm), h))
@@ -200,7 +226,7 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, h: Column, host: Col
         .when(kind == "given_f", named(2, ("na", "на")))
         .when(kind == "given_m", named(2, ("n", "н")))
         .when(kind == "given", named(2, ("l", "л")))
-        .when(kind == "surname_f", named(3, ("r", "рова")))
+        .when(_is_cyrillic(norm) & F.rlike(norm, F.lit("(?:а|ая)$")), named(3, ("r", "рова")))
         .otherwise(named(3, ("r", "ров")))
     )
 
@@ -218,23 +244,24 @@ _SECRET_HEAD = r"^(.*?[:=]\s{0,3}[\"']?)(.*)$"
 
 
 def words(name: Column) -> Column:
-    """(word, kind) of a name behind its title: given names, then the surname; particles are ``keep``, single letters ``initial``."""
+    """(word, kind, gender) of a name behind its title: given names, then the surname; particles are ``keep``, single letters ``initial``. The gender, f, m or empty, is that of the title or of a listed given name."""
     title = F.regexp_extract(name, rf"^({_TITLE} )", 1)
 
     def split(n: Column) -> Column:
         first = F.split(F.substr(n.x, F.length(n.title) + 1), " ")
-        title_word = F.regexp_replace(n.title, r"\.? $", "")
+        title_word = F.lower(F.regexp_replace(n.title, r"\.? $", ""))
         given = F.when(F.size(first) > 1, F.get(first, F.lit(0)))
-        alone = F.coalesce(given, F.lit(""))
-        has = lambda names: F.exists(F.split(alone, "-"), lambda w: w.isin(names))
-        gender = F.when(title_word.isin(TITLES_F) | has(GIVEN_F), "_f").when(title_word.isin(TITLES_M) | has(GIVEN_M), "_m").otherwise("")
+        alone = F.lower(F.coalesce(given, F.lit("")))
+        low = lambda listed: [w.lower() for w in listed]
+        has = lambda listed: F.exists(F.split(alone, "-"), lambda w: w.isin(low(listed)))
+        gender = F.when(title_word.isin(low(TITLES_F)) | has(GIVEN_F), "f").when(title_word.isin(low(TITLES_M)) | has(GIVEN_M), "m").otherwise("")
         return F.struct(first.alias("parts"), gender.alias("gender"))
 
     def roles(n: Column) -> Column:
         def of(w: Column, i: Column) -> Column:
-            family = F.when(_is_cyrillic(w) & (n.gender == "_f"), "surname_f").otherwise("surname")
-            kind = F.when(i == F.size(n.parts) - 1, family).when(w.isin(PARTICLES), "keep").when(F.rlike(w, F.lit(r"^.\.?$")), "initial").otherwise(F.concat(F.lit("given"), n.gender))
-            return F.transform(F.split(w, "-"), lambda v: F.struct(v.alias("word"), kind.alias("kind")))
+            kind = F.when(i == F.size(n.parts) - 1, "surname").when(w.isin(PARTICLES), "keep").when(F.rlike(w, F.lit(r"^.\.?$")), "initial").otherwise("given")
+            gender = F.when(kind == "given", n.gender).otherwise("")
+            return F.transform(F.split(w, "-"), lambda v: F.struct(v.alias("word"), kind.alias("kind"), gender.alias("gender")))
 
         return F.flatten(F.transform(n.parts, of))
 
@@ -242,15 +269,27 @@ def words(name: Column) -> Column:
 
 
 def names_in(found: Column) -> Column:
-    """The distinct (word, kind) of the names among mentions, without particles and initials."""
+    """The distinct (word, kind, gender) of the names among mentions, without particles and initials."""
     named = F.filter(found, lambda x: _kind(x) == "name")
     return F.array_distinct(F.filter(F.flatten(F.transform(named, words)), lambda w: ~w.kind.isin("keep", "initial")))
 
 
+def telling(names: Column, text: Column) -> Column:
+    """Those of the names whose words, alone, are no ordinary words of the text: neither capitalised anyway nor there in lower case."""
+    spelt = lambda n: F.concat(F.lit(r"(?<![\p{L}\p{N}'’._%+@-])"), F.lower(n.word), F.lit(r"(?![\p{L}\p{N}_%+@-]|\.[\p{L}\p{N}])"))
+    return F.filter(names, lambda n: ~n.word.isin(CAPITALISED) & ((F.lower(n.word) == n.word) | ~F.rlike(text, spelt(n))))
+
+
+#: Where no sentence begins.
+_INSIDE = r"(?<!\A)(?<![.!?…:\n][\s]{0,3})(?<![\n][\s\p{P}]{0,3})"
+
+
 def with_bare(names: Column) -> Column:
     """The pattern of a text in which these names were found: their words, alone, are mentions too."""
-    each = F.array_join(F.array_sort(F.transform(names, lambda n: n.word), lambda a, b: F.length(b) - F.length(a)), "|")
-    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}-])(?:"), each, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(PATTERN))
+    longer = lambda a, b: F.length(b) - F.length(a)
+    some = lambda ordinary: F.array_join(F.array_sort(F.transform(F.filter(names, lambda n: n.word.isin(ORDINARY) == ordinary), lambda n: n.word), longer), "|")
+    alone = lambda head, pick: F.when(F.length(pick) > 0, F.concat(F.lit(rf"|(?<![\p{{L}}\p{{N}}-]){head}(?:"), pick, F.lit(r")(?![\p{L}\p{N}])"))).otherwise("")
+    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN), alone("", some(False)), alone(_INSIDE, some(True)))).otherwise(F.lit(PATTERN))
 
 
 def parsed(found: Column, names: Column) -> Column:
@@ -263,9 +302,9 @@ def parsed(found: Column, names: Column) -> Column:
 
     def keyed(m: Column) -> Column:
         value = F.when(m.kind == "secret", F.regexp_extract(m.x, _SECRET_HEAD, 2)).otherwise(m.x)
-        one = F.array(F.struct(value.alias("word"), m.kind.alias("kind")))
+        one = F.array(F.struct(value.alias("word"), m.kind.alias("kind"), F.lit("").alias("gender")))
         parts = F.when(m.kind == "none", F.slice(one, 1, 0)).when(m.kind != "name", one).when(F.size(m.bare) > 0, F.slice(m.bare, 1, 1)).otherwise(words(m.x))
-        return F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(parts, lambda k: F.struct(k.kind.alias("kind"), normal(k.kind, k.word).alias("norm"), k.word.alias("word"))).alias("keys"))
+        return F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(parts, lambda k: F.struct(k.kind.alias("kind"), normal(k.kind, k.word).alias("norm"), k.word.alias("word"), k.gender.alias("gender"))).alias("keys"))
 
     return F.transform(kinds, keyed)
 
@@ -275,11 +314,12 @@ def _cased(new: Column, old: Column) -> Column:
 
 
 def rewritten(found: Column, later: Column, key: str) -> Column:
-    """Parsed mentions as strings with their surrogates. ``later``: attempts by ``kind|norm`` where not 0; null for none."""
+    """Parsed mentions as strings with their surrogates. ``later``: attempt and form by ``kind|norm`` where they are not 0 and empty; null for none."""
 
     def make(k: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(later, F.concat_ws("|", k.kind, k.norm)), F.lit(0))
-        new = F.when(k.kind == "keep", k.word).otherwise(surrogate(k.kind, k.norm, attempt, key))
+        said = F.try_element_at(later, F.concat_ws("|", k.kind, k.norm))
+        attempt, form = F.coalesce(said["attempt"], F.lit(0)), F.coalesce(said["form"], F.lit(""))
+        new = F.when(k.kind == "keep", k.word).otherwise(surrogate(F.concat(k.kind, form), k.norm, attempt, key))
         return F.struct(new.alias("new"), k.word.alias("word"), k.kind.alias("kind"))
 
     made = F.transform(found, lambda m: F.struct(m.x.alias("x"), m.kind.alias("kind"), F.transform(m["keys"], make).alias("made")))
@@ -298,7 +338,7 @@ def rewritten(found: Column, later: Column, key: str) -> Column:
             .when(kind == "secret", F.concat(F.regexp_extract(x, _SECRET_HEAD, 1), new))
             .when(kind.isin("card", "ssn", "phone"), _laid_out(x, new, country))
             .when((kind == "iban") & F.contains(x, F.lit(" ")), grouped)
-            .when(kind == "email", _with_case(x, new))
+            .when((kind == "email") | ((kind == "ip") & F.contains(x, F.lit(":"))), _with_case(x, new))
             .otherwise(new)
         )
 
@@ -335,7 +375,7 @@ def resolve(entities: DataFrame, scratch: Scratch, make=surrogate) -> DataFrame:
         taken = taken.union(won.select("kind", "made"))
         if todo.isEmpty():
             break
-    return scratch.keep(later if later is not None else entities.limit(0).withColumn("attempt", F.lit(0)))
+    return scratch.keep(later if later is not None else entities.limit(0).select("kind", "norm", F.lit(0).alias("attempt")))
 
 
 def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, scratch: Scratch | None = None, text: str = "text", count: str = "n_entities") -> DataFrame:
@@ -347,15 +387,20 @@ def replace(spark: SparkSession, docs: DataFrame, key: str | None = None, scratc
     scratch = scratch or Scratch(spark, "pii")
     key = spark.conf.get(KEY_SETTING, EXAMPLE_KEY) if key is None else key
     doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
-    first = docs.select(doc.alias("doc")).withColumn("found", mentions(F.col("doc")[text])).withColumn("names", names_in(F.col("found")))
+    first = docs.select(doc.alias("doc")).withColumn("found", mentions(F.col("doc")[text])).withColumn("names", telling(names_in(F.col("found")), F.col("doc")[text]))
     every = F.when(F.size("names") > 0, F.regexp_extract_all(F.col("doc")[text], with_bare(F.col("names")), F.lit(0))).otherwise(F.col("found"))
     real = F.size(F.filter("found", lambda x: ~x.rlike("^[0-9 -]+$") | (_kind(x) != "none"))).cast("long")
     held = scratch.keep(first.withColumn("found", every).withColumn("n", real).withColumn("row", F.monotonically_increasing_id()))
     some = held.where("n > 0")
-    mentioned = some.select("row", F.explode(parsed(F.col("found"), F.col("names"))).alias("m")).select("row", F.explode("m.keys").alias("k")).where("k.kind NOT IN ('keep', 'initial')").select("row", "k.kind", "k.norm")
+    mentioned = some.select("row", F.explode(parsed(F.col("found"), F.col("names"))).alias("m")).select("row", F.explode("m.keys").alias("k")).where("k.kind NOT IN ('keep', 'initial')").select("row", "k.kind", "k.norm", "k.gender")
     mentioned = scratch.keep(mentioned.distinct())
-    later = resolve(scratch.keep(mentioned.select("kind", "norm").distinct()), scratch, lambda k, n, a: surrogate(k, n, a, key))
-    by_row = mentioned.join(later, ["kind", "norm"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("later"))
+    told = lambda g: F.max(F.col("gender") == g)
+    form = F.when(told("f") & ~told("m"), "_f").when(told("m") & ~told("f"), "_m").otherwise("")
+    entities = scratch.keep(mentioned.groupBy("kind", "norm").agg(form.alias("form")))
+    later = resolve(entities, scratch, lambda k, n, a: surrogate(F.concat(k, F.col("form")), n, a, key))
+    special = entities.join(later, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))).where("form <> '' OR attempt <> 0")
+    by_row = mentioned.select("row", "kind", "norm").distinct().join(special, ["kind", "norm"])
+    by_row = by_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), F.struct("attempt", "form")))).alias("later"))
     pieces = F.split(F.col("doc")[text], with_bare(F.col("names")), -1)
     new = rewritten(parsed(F.col("found"), F.col("names")), F.col("later"), key)
     whole = F.array_join(F.zip_with(pieces, new, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
