@@ -7,9 +7,10 @@ occur in more than one text are found in two rounds of hash-dealt buckets:
    its anchor; equal windows have equal anchors at equal offsets. Only anchors
    are dealt, and those whose gram occurs in a single text drop out with all their
    windows.
-2. Sorting. The fragments around surviving anchors are dealt by gram; those of a gram
-   in over ``HOT`` texts by the gram with ``BESIDE`` more bytes on the side where its
-   windows have them, so that one string in many contexts is many groups. In a bucket
+2. Sorting. The fragments around surviving anchors are dealt by gram; the windows of a
+   gram in over ``HOT`` texts one by one, by all their bytes, so that a string of any
+   length in many contexts is many groups, of which none is larger than that of windows
+   that are equal and sent once from each batch. In a bucket
    the suffixes are sorted by their 8-byte digits, most significant first and inside
    the groups of equal digits before; a group that lies in one document ends, and only
    groups of several documents go on to the next digit. Groups equal through DEPTH
@@ -47,8 +48,8 @@ DEPTH, GRAM = 50, 24
 BUCKET_BYTES = 24 << 20
 #: Parts, by the anchor's hash, in which a bucket is sorted one after another.
 PARTS = 16
-#: Texts with a gram beyond which it is dealt with the bytes beside it, and how many of these; each window has so many on one side.
-HOT, BESIDE = 64, (DEPTH - GRAM) // 2
+#: Texts with a gram beyond which its windows are dealt one by one.
+HOT = 256
 #: Window starts that are looked at at once.
 CHUNK = 1 << 18
 LAST = (1 << 63) - 1
@@ -267,21 +268,18 @@ def _runs(flag: np.ndarray, where: np.ndarray, owner: np.ndarray) -> tuple[np.nd
 
 
 def fragments(raw: np.ndarray, grams: np.ndarray, buckets: int) -> list[tuple[int, int, int, int]]:
-    """(bucket, part, begin, end) of the text around its anchors in ``grams``; hot grams are there as -1 - key.
-
-    A window of a hot gram has BESIDE bytes behind the gram if it starts at most BESIDE
-    bytes before it, else more than BESIDE bytes before the gram.
-    """
+    """(bucket, part, begin, end) of the text around its anchors in ``grams``; hot grams are there as -1 - key, and each of their windows is a fragment."""
     h, lo, hi, at = anchors(raw)
     key = _gram_key(h, buckets)
     cold, hot = np.isin(key, grams[grams >= 0]), np.isin(key, -1 - grams[grams < 0])
     x = h[cold]
     out = list(zip(_bucket(x, buckets).tolist(), (x % np.uint64(PARTS)).tolist(), lo[cold].tolist(), (hi[cold] + DEPTH).tolist(), strict=True))
-    for first, last, p in zip(lo[hot].tolist(), hi[hot].tolist(), at[hot].tolist(), strict=True):
-        for a, z, begin, end in ((max(first, p - BESIDE), last, p, p + GRAM + BESIDE), (first, min(last, p - BESIDE - 1), p - BESIDE - 1, p + GRAM)):
-            if a <= z:
-                x = np.array([xxhash.xxh64_intdigest(raw[begin:end].tobytes())], np.uint64)
-                out.append((int(_bucket(x, buckets)[0]), int(x[0] % np.uint64(PARTS)), a, z + DEPTH))
+    if hot.any():
+        times = hi[hot] - lo[hot] + 1
+        begin = np.arange(times.sum()) + np.repeat(lo[hot] - (np.cumsum(times) - times), times)
+        data, digest = raw.tobytes(), xxhash.xxh64_intdigest
+        x = np.array([digest(data[a : a + DEPTH]) for a in begin.tolist()], np.uint64)
+        out += zip(_bucket(x, buckets).tolist(), (x % np.uint64(PARTS)).tolist(), begin.tolist(), (begin + DEPTH).tolist(), strict=True)
     return out
 
 
