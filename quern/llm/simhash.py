@@ -10,12 +10,11 @@ each point is entered in its own cell and the at most 32 beside it, and candidat
 share a cell. Candidates are then verified exactly by counting differing bits.
 
 Only distinct fingerprints are joined, each standing for all its documents by the
-smallest doc_id. In a cell of over ``CELL`` fingerprints pairs aren't formed:
-its fingerprints are entered under themselves and their 64 one-bit neighbours, and
-those that meet under one such value are linked to the smallest. Two fingerprints
-meet so exactly if they differ in 2 bits or fewer; linked through that meeting they
-all are at most 2 bits from each other, so components come out the same, with 65
-rows for a fingerprint rather than all pairs.
+smallest doc_id. The fingerprints of a cell of over ``CELL`` are joined by a finer grid
+instead: an embedding into segments of 2 bits, and those crowded there again by one of
+64 segments of one bit, with the same unit cells and the same exact check. In a cell of
+the last grid all are within one bit of the cell's middle, so of each other within two:
+checked against the smallest of them they hang together without all pairs.
 
 Defined results: null text is the empty text; texts without words have fingerprint
 zero, which links like any other; fewer words than a shingle are one shingle. Rows
@@ -44,8 +43,8 @@ from .components import roots
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Near copies by shingle sets: words of a shingle, similarity.
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: Fingerprints in a cell beyond which one-bit neighbours replace pairs.
-CELL = 32
+#: Bits of a segment, from grid to finer grid, and fingerprints in a cell beyond which they go on to the next.
+WIDTHS, CELL = (4, 2, 1), 32
 #: Shingle values whose bits are counted at once.
 AT_ONCE = 200_000
 #: Longs of parity bits of a shingle set.
@@ -85,42 +84,56 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), by_block(["doc_id", "text"], work), "doc_id long, fp long")
 
 
-def embedding(fp: F.Column) -> F.Column:
-    """Set bits of each of the 16 segments, four bits of the result to a segment."""
+def embedding(fp: F.Column, width: int = 4) -> F.Column:
+    """Set bits of each segment of ``width`` bits, as many bits of the result to a segment."""
+    if width == 1:
+        return fp
     even, pair = F.lit(0x55555555).cast("long"), F.lit(0x33333333).cast("long")
 
     def half(x: F.Column) -> F.Column:
         by_two = x.bitwiseAND(even) + F.shiftrightunsigned(x, 1).bitwiseAND(even)
-        return by_two.bitwiseAND(pair) + F.shiftrightunsigned(by_two, 2).bitwiseAND(pair)
+        return by_two if width == 2 else by_two.bitwiseAND(pair) + F.shiftrightunsigned(by_two, 2).bitwiseAND(pair)
 
     low = half(fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.shiftleft(half(F.shiftrightunsigned(fp, 32)), 32).bitwiseOR(low)
 
 
-def cells(point: F.Column) -> F.Column:
-    """The point's own cell and those one step away in one segment, within 0 to 4."""
-    held = [F.shiftrightunsigned(point, 4 * i).bitwiseAND(F.lit(7).cast("long")) for i in range(16)]
-    up = [F.when(h < 4, point.bitwiseXOR(F.shiftleft(h.bitwiseXOR(h + 1), 4 * i))) for i, h in enumerate(held)]
-    down = [F.when(h > 0, point.bitwiseXOR(F.shiftleft(h.bitwiseXOR(h - 1), 4 * i))) for i, h in enumerate(held)]
+def cells(point: F.Column, width: int = 4) -> F.Column:
+    """The point's own cell and those one step away in one segment, within 0 to ``width``."""
+    if width == 1:
+        # a step in a segment of one bit flips it
+        flip = lambda i: point.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))
+        return F.concat(F.array(point), F.transform(F.sequence(F.lit(0), F.lit(63)), flip))
+    mask = F.lit(2 * width - 1).cast("long")
+    held = [F.shiftrightunsigned(point, width * i).bitwiseAND(mask) for i in range(64 // width)]
+    up = [F.when(h < width, point.bitwiseXOR(F.shiftleft(h.bitwiseXOR(h + 1), width * i))) for i, h in enumerate(held)]
+    down = [F.when(h > 0, point.bitwiseXOR(F.shiftleft(h.bitwiseXOR(h - 1), width * i))) for i, h in enumerate(held)]
     return F.filter(F.array(point, *up, *down), lambda x: x.isNotNull())
 
 
 def links(distinct: DataFrame, scratch: Scratch, most: int = CELL) -> DataFrame:
     """Links (a, b) between the nodes of distinct fingerprints (node, fp) that connect all at 2 or fewer differing bits."""
-    entered = distinct.withColumn("point", embedding(F.col("fp"))).select("node", "fp", F.explode(cells(F.col("point"))).alias("cell"))
-    # counts are combined before they move, and a crowded cell's rows may be split in the join
-    sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.keep(entered.join(sizes, "cell"))
-    light = shared.where(F.col("n") <= most).select("cell", "node", "fp")
-    other = light.select("cell", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= DISTANCE
-    pairs = light.join(other, "cell").where((F.col("node") < F.col("b")) & near).select(F.col("node").alias("a"), "b")
-    heavy = shared.where(F.col("n") > most).select("node", "fp").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))))
-    met = heavy.select("node", F.explode(flips).alias("value"))
-    least = met.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    star = met.join(least, "value").where("a <> node").select("a", F.col("node").alias("b"))
-    return pairs.union(star).distinct()
+    todo, found = distinct.select("node", "fp"), None
+    near = lambda other: F.bit_count(F.col("fp").bitwiseXOR(F.col(other))) <= DISTANCE
+    for width in WIDTHS:
+        entered = todo.withColumn("point", embedding(F.col("fp"), width)).select("node", "fp", F.explode(cells(F.col("point"), width)).alias("cell"))
+        # counts are combined before they move, and a crowded cell's rows may be split in the join
+        sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("first")).where("n > 1")
+        shared = scratch.keep(entered.join(sizes, "cell"))
+        light = shared.where(F.col("n") <= most).select("cell", "node", "fp")
+        other = light.select("cell", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
+        pairs = light.join(other, "cell").where((F.col("node") < F.col("b")) & near("fp_b")).select(F.col("node").alias("a"), "b")
+        found = pairs if found is None else found.union(pairs)
+        crowded = shared.where(F.col("n") > most)
+        if width == 1:
+            # a cell of this grid is a fingerprint and those one bit from it
+            star = crowded.where((F.col("node") != F.col("first.node")) & near("first.fp")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+            found = found.union(star)
+        else:
+            todo = scratch.keep(crowded.select("node", "fp").distinct())
+            if todo.isEmpty():
+                break
+    return found.distinct()
 
 
 def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
