@@ -271,8 +271,16 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     return links.union(_verified(named, pairs, scratch, least))
 
 
+#: Packed bytes of the texts that are compared with one text in a row, unless one text is larger.
+COMPARED_BYTES = 1 << 20
+
+
 def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose whole shingle sets are similar by ``least`` or more."""
+    """Those of the pairs (a, b) of documents whose whole shingle sets are similar by ``least`` or more.
+
+    The texts that meet a b are dealt to rows of about COMPARED_BYTES, so that the text of
+    a b of many pairs goes along once for each row and its pairs spread over tasks.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def pack(keys: list, texts: list) -> pa.RecordBatch:
@@ -286,21 +294,23 @@ def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float
         z = zstandard.ZstdDecompressor()
         plain = lambda x: shingles(z.decompress(x).decode("utf-8", "surrogatepass"))
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep, held = [], (None, None)
-            for i in range(len(a)):
-                if held[0] != b[i]:
-                    held = (b[i], plain(y[i]))
-                one, two = plain(x[i]), held[1]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both and both >= least * (len(one) + len(two) - both):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
+            for i in range(batch.num_rows):
+                two, keep = plain(batch.column(1)[i].as_py()), []
+                for row in batch.column(2)[i]:
+                    one = plain(row["x"].as_py())
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both and both >= least * (len(one) + len(two) - both):
+                        keep.append(row["a"].as_py())
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(keep), pa.int64())], names=["a", "b"])
+
+    sized = pairs.join(texts.select(F.col("doc_id").alias("a"), F.length("packed").alias("size")), "a")
+    parts = sized.groupBy("b").agg(F.ceil(F.sum("size") / COMPARED_BYTES).alias("parts"))
+    dealt = pairs.join(parts.hint("merge"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    left = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
+    rows = left.groupBy("b", "part").agg(F.collect_list(F.struct("a", "x")).alias("met"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), verify, "a long, b long")
+    return map_arrow(rows.join(right, "b").select("b", "y", "met"), verify, "a long, b long")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
