@@ -159,7 +159,7 @@ def encode_turns(spark: SparkSession, turns: DataFrame, vocabulary: tuple[str, s
 
 
 def in_order(encoded: DataFrame) -> DataFrame:
-    """A conversation's turns next to each other, in order. Only ids and sort keys move; a turn at a time is in memory."""
+    """A conversation's turns next to each other, in order. Ids move with the sort keys, role and text among them, as these tell turns of one number apart; a turn at a time is in memory."""
     return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("role", "text")
 
 

@@ -37,7 +37,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches have BATCH_BYTES at most, as rows may be long."""
+    """From now on the session's Arrow batches have BATCH_BYTES at most, as rows may be long.
+
+    The setting stays: it is read when a frame is run, which may be at any time, and larger batches are needed nowhere.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
@@ -112,6 +115,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # what isn't dropped before goes when the application ends, as frames that read it may be used until then
+        p, fs = self._path(self.root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back; the new frame has no lineage."""
@@ -130,10 +137,13 @@ class Scratch:
         """Delete all tables, of which nothing will be read again."""
         self._delete(self.root)
 
+    def _path(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        p, fs = self._path(path)
+        fs.delete(p, True)
 
 
 #: Arrow types of key columns, by Spark's name.

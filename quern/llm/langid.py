@@ -16,8 +16,9 @@ Prediction covers every word of every text, without a shuffle.
 Defined results: null text and text without letters give ``und`` with score 0, as
 does every text where no labelled document is there to learn from. Of languages with
 equal means the first by name is given. Rows are independent, with or without doc_id;
-repeated rows repeat their result; very long texts are read in blocks of words; other
-columns, whatever their names, are kept by ``accept``; an empty table gives no rows.
+repeated rows repeat their result; texts are labelled together up to a bounded number of
+characters, but a longer one is one chain and one task's work, of about 500 bytes a word;
+other columns, whatever their names, are kept by ``accept``; an empty table gives no rows.
 """
 
 from __future__ import annotations

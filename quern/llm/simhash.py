@@ -320,7 +320,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     the five-word shingles of any of their documents are similar by 0.8 or more. Rows are
     told apart by a number of their own: rows without doc_id, and rows of one doc_id with
     different texts, are documents like any others. Texts without words are one group.
-    Columns, whatever their names, stay as they are.
+    Columns, whatever their names, stay as they are. A very long text is one row of its
+    task, whose shingles are held at once (8 bytes each, and its words).
     """
     scratch = Scratch(spark, "copies")
     doc = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])

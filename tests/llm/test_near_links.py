@@ -1,10 +1,16 @@
 """near_links against all pairs."""
 
+import os
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from quern.llm import simhash as S
 from quern.llm.common import Scratch
 
+SF = "/root/testdata/sf0.01"
+
 
 def sets(rows):
     out = {}
@@ -37,6 +43,26 @@ def compared(spark, rows):
     return groups(held, every), groups(held, links)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_driver_tables_lose_no_near_copy(spark):
+    """Every copy that all pairs of the driver's documents show goes, and nothing else does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    held, by = sets(texts.items()), {}
+    for i, x in held.items():
+        for s in x:
+            by.setdefault(s, []).append(i)
+    shared = Counter((a, b) for ids in by.values() for k, b in enumerate(ids) for a in ids[:k])
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(held[a]) + len(held[b]) - n)]
+    bits = {i: S.fingerprint(t) for i, t in texts.items()}
+    ids = sorted(bits)
+    near += [(a, b) for k, b in enumerate(ids) for a in ids[:k] if (bits[a] ^ bits[b]).bit_count() <= 2]
+    root = groups(held, near)
+    copies = {i for i in held if root[i] != i}
+    assert len(copies) > 40
+    assert {r.doc_id for r in S.deduplicate(spark, docs).collect()} == set(held) - copies
+
+
 def test_all_pairs_of_widespread_passages_are_joined(spark):
     rng = np.random.default_rng(3)
     passages = [[f"p{p}w{int(k)}" for k in rng.integers(0, 500, 60)] for p in range(40)]
