@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again for the next. All but the last keep the columns of
 documents.
+
+Defined results: rows without text or words have no language and go in the first stage,
+as do those whose words agree on none; of equal and of similar texts the one with the
+smallest doc_id stays, rows without doc_id behind all others; repeated rows are equal
+texts. What is left is rewritten, mixed and encoded, a document of a small source more
+than once, as the mix asks. Whole texts go through every stage, however long they are,
+each in one task at a time. Columns beside those of documents, whatever their names, go
+along until the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
