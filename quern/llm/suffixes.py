@@ -48,8 +48,8 @@ DEPTH, GRAM = 50, 24
 BUCKET_BYTES = 24 << 20
 #: Parts, by the anchor's hash, in which a bucket is sorted one after another.
 PARTS = 16
-#: Texts with a gram beyond which its windows are dealt one by one.
-HOT = 256
+#: Texts with a gram beyond which its windows are dealt one by one; so many fragments are a hundredth of a bucket.
+HOT = 4096
 #: Window starts that are looked at at once.
 CHUNK = 1 << 18
 LAST = (1 << 63) - 1
@@ -310,7 +310,12 @@ def covered_spans(texts: DataFrame, buckets: int) -> DataFrame:
             known: dict[int, list] = {}
             for b, u, i, x, piece in mine:
                 if least[piece] < doc[i]:
-                    known.setdefault(int(t1[i]) % buckets, []).append((i, x, len(piece)))
+                    spans = known.setdefault(int(t1[i]) % buckets, [])
+                    if spans and spans[-1][0] == i and spans[-1][1] <= x <= spans[-1][1] + spans[-1][2]:
+                        # windows side by side are one span
+                        spans[-1] = (i, spans[-1][1], max(spans[-1][2], x + len(piece) - spans[-1][1]))
+                    else:
+                        spans.append((i, x, len(piece)))
                 else:
                     sent.setdefault(b, []).append((i, x, piece, u))
             rows = []
