@@ -50,6 +50,8 @@ BUCKET_BYTES = 24 << 20
 PARTS = 16
 #: Texts with a gram beyond which its windows are dealt one by one; so many fragments are a hundredth of a bucket.
 HOT = 4096
+#: Copies of a text from which it is broadcast to them, and such texts up to which it is.
+MANY_COPIES, MOST_BROADCAST = 1000, 100_000
 #: Window starts that are looked at at once.
 CHUNK = 1 << 18
 LAST = (1 << 63) - 1
@@ -387,6 +389,19 @@ def cut_out(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("t1", "t2", "packed", "begins", "ends"), run, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def with_copies(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their text (t1, t2, copies, ...).
+
+    Rows of a text of many copies would meet in one task: such texts, if they are as few
+    as they should be, are broadcast to their rows, and only the other rows are shuffled.
+    """
+    many = texts.where(F.col("copies") > MANY_COPIES)
+    if many.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return rows.join(texts, ["t1", "t2"])
+    few = rows.join(F.broadcast(many.select("t1", "t2")), ["t1", "t2"], "left_anti").join(texts.where(F.col("copies") <= MANY_COPIES), ["t1", "t2"])
+    return few.unionByName(rows.join(F.broadcast(many), ["t1", "t2"]))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     small_batches(spark)
@@ -395,14 +410,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUC
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     first = F.min(F.coalesce("doc_id", F.lit(LAST))).alias("doc")
-    texts = rows.groupBy("t1", "t2").agg(first)
-    grams = with_heat(scratch.keep(shared_grams(docs, buckets))).groupBy("t1").agg(F.collect_list("gram").alias("grams")).join(texts, "t1")
+    texts = scratch.keep(rows.groupBy("t1", "t2").agg(first, F.count(F.lit(1)).alias("copies")))
+    grams = with_heat(scratch.keep(shared_grams(docs, buckets))).groupBy("t1").agg(F.collect_list("gram").alias("grams")).join(texts.drop("copies"), "t1")
     # dealt once by (t1, t2) and read by both joins: neither needs it dealt otherwise
     packed = pack(docs)
     spans = covered_spans(packed.join(grams, ["t1", "t2"]), buckets)
-    each = spans.groupBy("t1", "doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")).join(texts, ["t1", "doc"])
+    each = spans.groupBy("t1", "doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")).join(texts.drop("copies"), ["t1", "doc"])
     found = scratch.keep(cut_out(packed.join(each, ["t1", "t2"])))
-    out = rows.join(texts, ["t1", "t2"]).join(found, ["t1", "t2"], "left")
+    out = with_copies(rows, texts.join(found, ["t1", "t2"], "left"))
     copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("doc")) & (F.col("n_bytes") >= DEPTH)
     return out.select(
         "doc_id",

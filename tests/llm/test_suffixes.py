@@ -49,6 +49,13 @@ def test_against_brute_force(spark, bucket_bytes):
     assert run(spark, cases(), bucket_bytes=bucket_bytes) == brute(cases())
 
 
+@pytest.mark.parametrize("most", [X.MOST_BROADCAST, 0])
+def test_texts_of_many_copies_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(X, "MANY_COPIES", 1)
+    monkeypatch.setattr(X, "MOST_BROADCAST", most)
+    assert run(spark, cases()) == brute(cases())
+
+
 def test_hot_grams_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(X, "HOT", 3)
     assert run(spark, cases(), bucket_bytes=2000) == brute(cases())
