@@ -86,8 +86,8 @@ def affine(triples: DataFrame, keys: list[str], ridge: float = 1e-2) -> DataFram
     """(keys, id, inferred): test subjects under the ridge map of their relation's training rows.
 
     Primal: a group of any size is summed to cross products of the vectors' dimension,
-    part by part, and one small system a group is solved; the map itself is applied to
-    test rows by expressions.
+    part by part, and one small system a group is solved; the map goes once to each block
+    of the group's test rows.
     """
     kinds = ", ".join(f"`{k}` {triples.schema[k].dataType.simpleString()}" for k in keys)
     full = f"{kinds}, n long, sx array<double>, sy array<double>, xx array<double>, xy array<double>"
@@ -107,9 +107,20 @@ def affine(triples: DataFrame, keys: list[str], ridge: float = 1e-2) -> DataFram
 
     parts = _cross_products(triples.where("split = 'train'").select(*keys, "s", "o"), keys, kinds).withColumn("_part", F.spark_partition_id() % PARTS)
     fits = parts.groupBy(*keys, "_part").applyInPandas(lambda pdf: added(pdf.drop(columns="_part")), full).groupBy(*keys).applyInPandas(solve, f"{kinds}, w array<array<double>>, mx array<double>, my array<double>")
-    moved = triples.where("split = 'test'").select(*keys, "id", "s").join(fits, keys).withColumn("_x", V.subtract(F.col("s"), F.col("mx")))
-    dot = lambda c: F.aggregate(F.zip_with("_x", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return moved.select(*keys, "id", F.zip_with(F.transform("w", dot), "my", lambda a, b: a + b).alias("inferred"))
+    test, sizes = _blocks(triples.where("split = 'test'").select(*keys, "id", "s"), keys, "id", "_q", "_nq")
+    spread = null_safe_join(fits, sizes, keys).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
+    spread = spread.select(*[F.col(c).alias(c) for c in spread.columns])  # both sides may come from one frame
+
+    def apply(rows: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*keys, "id"]].copy()
+        if not len(rows) or not len(maps):
+            return out.head(0).assign(inferred=pd.Series(dtype=object))
+        m = maps.iloc[0]
+        x = np.stack(rows["s"].to_numpy()) - m["mx"]
+        return out.assign(inferred=list(x @ np.stack(m["w"]).T + m["my"]))
+
+    kinds_id = f"{kinds}, id {triples.schema['id'].dataType.simpleString()}, inferred array<double>"
+    return test.groupBy(*keys, "_q").cogroup(spread.groupBy(*keys, "_q")).applyInPandas(lambda a, b: apply(a, b), kinds_id)
 
 
 def queries_of(triples: DataFrame, keys: list[str], gold: str, mode: str) -> DataFrame:

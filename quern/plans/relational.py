@@ -335,10 +335,12 @@ def d18(spark, sf):
     return guards.null_safe_join(c, fuzzy.best_matches(c, s, ["k"], "a", "b"), ["k", "a"]).select("c_custkey", "best", _r(F.col("score"), "score"))
 
 
-@Q.add("d19_layer_grid", "SELECT s::INT AS subject_layer, o::INT AS object_layer FROM range(0, 12) a(s), range(0, 12) b(o) WHERE o > s")
+@Q.add("d19_layer_grid", "SELECT a.p_size AS subject_layer, b.p_size AS object_layer FROM (SELECT DISTINCT p_size FROM part) a JOIN (SELECT DISTINCT p_size FROM part) b ON b.p_size > a.p_size")
 def d19(spark, sf):
-    s = spark.range(12).select(F.col("id").cast("int").alias("subject_layer"))
-    return s.select("subject_layer", F.explode(F.sequence(F.col("subject_layer") + 1, F.lit(12))).alias("object_layer")).where("object_layer < 12")
+    """Every pair of sizes of which the second is larger: a grid of parameters, each entered with those above it."""
+    p = read(spark, sf, "part").where("p_size IS NOT NULL").select("p_size").distinct()
+    above = F.filter(F.lit([r[0] for r in p.limit(10_001).collect()]).cast("array<int>"), lambda x: x > F.col("p_size"))
+    return p.select(F.col("p_size").alias("subject_layer"), F.explode(above).alias("object_layer"))
 
 
 @Q.add("d20_null_aware_difference", "SELECT d.doc_id, d.doc_id % 3 - nullif(l.quality, 0) AS diff FROM documents d JOIN labels l USING (doc_id)")
@@ -395,6 +397,14 @@ def g01(spark, sf):
     return read(spark, sf, "lineitem").orderBy("l_returnflag", F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(25).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@Q.add("g01_mixed_sort", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem")
+def g01w(spark, sf):
+    """The place of every line in an order by four keys, one of them descending, without a window over all lines."""
+    li = read(spark, sf, "lineitem").select("l_returnflag", (-F.col("l_extendedprice")).alias("down"), "l_orderkey", "l_linenumber")
+    placed = ordering.Ordered(li, [], ["l_returnflag", "down", "l_orderkey", "l_linenumber"]).places()
+    return placed.select("l_orderkey", "l_linenumber", (F.col("before") + 1).alias("pos"))
+
+
 @Q.add("g02_custom_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS pos FROM orders")
 def g02(spark, sf):
     """Places in a custom order: those before a block of 4096 keys, and those inside it, so that no window spans a category."""

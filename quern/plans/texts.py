@@ -215,6 +215,13 @@ def i14(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", T.subject(T.fill_template(asked, F.col("c_name")), t).alias("subject"))
 
 
+@Q.add("i14_subject_of_prompts")
+def i14p(spark, sf):
+    """What the prompts and answers of conversations are about, by quotes, 's and capitals; SQL lacks the lookbehind."""
+    a = answers(spark, sf)
+    return a.select("id", *[T.subject(F.col(c), "Where does {SUBJECT} live?").alias(c) for c in ("prompt", "answer")])
+
+
 @Q.add("i15_task", f"""WITH {ANSWERS}, p AS (SELECT id, prompt || [' father''s name?', ' Which Instrument?', ' godfather', ''][id % 4 + 1] AS p FROM answers)
     SELECT id, CASE WHEN regexp_matches(p, '(?i)\\bfather\\b') THEN 'father' WHEN regexp_matches(p, '(?i)\\binstrument\\b') THEN 'instrument' END AS task FROM p""")
 def i15(spark, sf):
@@ -279,6 +286,13 @@ def i23(spark, sf):
     return read(spark, sf, "events").select("event_id", T.json_field(raw, "label").alias("label"), T.json_field(raw, "confidence").cast("double").alias("confidence"))
 
 
+@Q.add("i23_json_props", "SELECT event_id, props->>'k' AS k, NULL::VARCHAR AS none FROM events")
+def i23p(spark, sf):
+    """A field of the events' own JSON, inside a reply with words around it."""
+    raw = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" - as asked."))
+    return read(spark, sf, "events").select("event_id", T.json_field(raw, "k").alias("k"), T.json_field(raw, "missing").alias("none"))
+
+
 @Q.add("i24_formats", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'p<1e-300' ELSE 'p=' || printf('%.4f', l_tax) END AS p, printf('%.3f [%.3f,%.3f]', l_tax, l_tax - l_discount, l_tax + l_discount) AS ci FROM lineitem")
 def i24(spark, sf):
     t, d = F.col("l_tax"), F.col("l_discount")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 
 from quern.plans import catalog
 from quern.plans.statistics import SPECS
@@ -72,6 +73,26 @@ def borders(got):
         assert hits[i] == (gold.strip() != "" and re.search(rf"(?<!\w){re.escape(gold)}(?!\w)", answer, re.I) is not None)
 
 
+def subjects(got):
+    run = r"\p{Lu}[\p{L}\p{N}#'-]*(?: \p{Lu}[\p{L}\p{N}#'-]*)*"
+
+    def one(t):
+        m = regex.search(r"^Where does (.+?) live\?$", t.strip())
+        if m:
+            return m[1]
+        m = regex.search("[\"“]([^\"“”]+)[\"”]", t) or regex.search(rf"(?<=[^\p{{L}}])({run}?)['’]s\b", t)
+        if m:
+            return m[1]
+        found = regex.findall(run, regex.sub(r"^\S+\s*", "", t.strip(" ")))
+        return found[-1] if found else None
+
+    rows = {i: (p, a) for i, p, a, _ in qa()}
+    assert len(got) == len(rows) and got.prompt.notna().sum() + got.answer.notna().sum() > 20
+    for r in got.itertuples():
+        for have, text in zip((r.prompt, r.answer), rows[r.id], strict=True):
+            assert (None if have is None or have != have else have) == one(text), text
+
+
 def similar(got):
     want = {r.s_suppkey: round(ratio(r.s_name, "Supplier#000000001"), 6) for r in read("supplier").itertuples()}
     assert told(got, "s_suppkey", "ratio") == want
@@ -343,7 +364,7 @@ def drawn_orders(got):
 
 
 CHECKS = {
-    "d18_fuzzy_best_match": fuzzy, "i09_boundary_match": borders, "i20_similarity": similar, "i22_fnv1a": fnv, "j07_collision_verdict": verdicts, "k08_affine_ridge": ridge, "l18_isotonic": isotonic,
+    "d18_fuzzy_best_match": fuzzy, "i09_boundary_match": borders, "i14_subject_of_prompts": subjects, "i20_similarity": similar, "i22_fnv1a": fnv, "j07_collision_verdict": verdicts, "k08_affine_ridge": ridge, "l18_isotonic": isotonic,
     "l04_weighted_p": weighted_tests, "l06_t_test_p": t_tests, "l07_permutation_exact": orders, "l13_ols_hc3": fits, "l14_incremental_fit": gains_of_fits,
     "l19_thresholds_by_p": thresholds_by_p, "l21_affine_and_behaviour": affine_and_behaviour,
     "l08_permutation_sampled": drawn_orders, "l17_cross_validated": held_out(plain.logistic_curve), "l17_spline_cross_validated": held_out(plain.spline_curve),
