@@ -108,13 +108,11 @@ def a09(spark, sf):
 
 @Q.add("a10_source_file", "SELECT o_orderpriority, count(*) AS n, 1 AS n_files, count(DISTINCT o_orderstatus) AS n_statuses FROM orders GROUP BY 1")
 def a10(spark, sf):
-    """Orders in a file for each priority, told apart again by the file that a row comes from."""
+    """Orders sorted into files by priority, and how many files each priority's rows come from."""
     d = files.scratch_dir(spark, "a10")
-    read(spark, sf, "orders").select("o_orderpriority", "o_orderstatus").repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(d)
-    rows = readers.with_source(spark.read.parquet(f"{d}/*"))
-    of = spark.read.parquet(d).select("o_orderpriority", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")).distinct()
-    met = rows.join(of, "source_file")
-    return met.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("source_file").cast("int").alias("n_files"), F.countDistinct("o_orderstatus").alias("n_statuses"))
+    read(spark, sf, "orders").select("o_orderpriority", "o_orderstatus").repartitionByRange(5, "o_orderpriority").write.parquet(d)
+    rows = readers.with_source(spark.read.parquet(d))
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.countDistinct("source_file").cast("int").alias("n_files"), F.countDistinct("o_orderstatus").alias("n_statuses"))
 
 
 @Q.add("a11_keys_from_names", "SELECT n_regionkey::VARCHAR AS region, count(*) AS n FROM nation GROUP BY 1")
