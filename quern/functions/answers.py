@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,12 +193,21 @@ def canonical_gender(s: Column) -> Column:
     return F.when(word("neither"), "neither").when(word("both") | (m & f), "both").when(m, "men").when(f, "women").otherwise("")
 
 
-def contains_gold(answer: Column, gold: Column) -> Column:
-    """The gold between word borders, else token by token."""
+def gold_as_written(answer: Column, gold: Column) -> Column:
+    """The gold, its signs included, between word borders."""
     a, g = F.lower(T.normalize_text(answer, collapse=False)), F.trim(F.lower(T.normalize_text(gold, collapse=False)))
+    return (g != "") & T.boundary_match(a, g)
+
+
+def gold_by_tokens(answer: Column, gold: Column) -> Column:
+    """The gold's letters and digits, token by token, whatever stands between them."""
     sa, sg = T.simplify_for_match(answer), T.simplify_for_match(gold)
-    loose = (sg != "") & F.contains(F.concat(F.lit(" "), sa, F.lit(" ")), F.concat(F.lit(" "), sg, F.lit(" ")))
-    return (g != "") & (T.boundary_match(a, g) | loose)
+    return (sg != "") & F.contains(F.concat(F.lit(" "), sa, F.lit(" ")), F.concat(F.lit(" "), sg, F.lit(" ")))
+
+
+def contains_gold(answer: Column, gold: Column) -> Column:
+    """The gold as it is written, else token by token."""
+    return gold_as_written(answer, gold) | gold_by_tokens(answer, gold)
 
 
 def value_candidate(clean: Column) -> Column:
@@ -261,11 +272,7 @@ def judge_binary(answer: Column, patterns: list[str] | None = None) -> Column:
 
 
 def refusal_substring(s: Column) -> Column:
-    low = F.lower(F.coalesce(s, F.lit("")))
-    out = F.lit(False)
-    for p in REFUSAL_SUBSTRINGS:
-        out = out | F.contains(low, F.lit(p))
-    return out
+    return F.rlike(F.lower(F.coalesce(s, F.lit(""))), F.lit("|".join(map(re.escape, REFUSAL_SUBSTRINGS))))
 
 
 def names_father(s: Column) -> Column:

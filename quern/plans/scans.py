@@ -197,11 +197,27 @@ def a16(spark, sf):
             z.writestr("release/about.txt", "regions")
         return pd.DataFrame({"name": [f"{region}.zip"], "content": [out.getvalue()]})
 
-    sinks.archives(spark, _nation(spark, sf).groupBy("n_regionkey").applyInPandas(pack, "name string, content binary"), d + "/in")
-    sinks.archives(spark, readers.clean_archives(spark, d + "/in", ["subject"]), d + "/out")
+    sinks.archives(_nation(spark, sf).groupBy("n_regionkey").applyInPandas(pack, "name string, content binary"), d + "/in")
+    sinks.archives(readers.clean_archives(spark, d + "/in", ["subject"]), d + "/out")
     return readers.release_rows(readers.archive_lines(spark, d + "/out"), _CLEAN)
 
 
+@Q.add(
+    "a20_xlsx_sheet",
+    """SELECT * FROM (SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment) AS "row", c_nationkey::VARCHAR AS nation, '<' || c_mktsegment || '> & co' AS segment, count(*) AS n, max(c_acctbal) AS most FROM customer GROUP BY c_nationkey, c_mktsegment)
+    UNION ALL SELECT 0, 'nation', 'segment', NULL, NULL""",
+)
+def a20(spark, sf):
+    """A summary as a sheet and read back: its header, numbers, and text without control characters."""
+    d = files.scratch_dir(spark, "a20")
+    groups = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation"), "c_mktsegment").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("most"))
+    segment = F.concat(F.lit("<\x07"), "c_mktsegment", F.lit("> & co\x1f")).alias("segment")
+    sinks.xlsx(groups.select("nation", segment, "n", "most"), d + "/summary.xlsx", ["nation", "segment"])
+    cell = lambda i: F.col("cells")[i]
+    number = lambda i, t: F.when(F.col("row") > 0, cell(i)).cast(t)
+    return readers.sheet_rows(spark, d).select("row", cell(0).alias("nation"), cell(1).alias("segment"), number(2, "long").alias("n"), number(3, "double").alias("most"))
+
+
 @Q.add("a21_markdown_report", "SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |' || chr(10), '' ORDER BY r_regionkey) AS report FROM region")
 def a21(spark, sf):
     r = read(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")

@@ -171,6 +171,16 @@ def i09(spark, sf):
     return answers(spark, sf).select("id", T.boundary_match(F.col("answer"), F.regexp_replace("gold", r"[.,]+$", "")).alias("hit"))
 
 
+@Q.add(
+    "i09_two_stage_match",
+    f"""WITH {VARIED}, x AS (SELECT id, {_simple("answer")} AS cs, {_simple("gold")} AS gs, lower({_flat("answer")}) AS la, trim(lower({_flat("gold")})) AS lg FROM varied)
+    SELECT id, {_stands("la", "lg")} AS as_written, (gs <> '' AND contains(' ' || cs || ' ', ' ' || gs || ' ')) AS by_tokens FROM x""",
+)
+def i09_two(spark, sf):
+    """Gold as written between word borders, and token by token."""
+    return varied(spark, sf).select("id", A.gold_as_written(F.col("answer"), F.col("gold")).alias("as_written"), A.gold_by_tokens(F.col("answer"), F.col("gold")).alias("by_tokens"))
+
+
 @Q.add("i10_gender", f"WITH {VARIED}, x AS (SELECT id, {_tokens('answer')} AS w, {_simple('answer')} AS s FROM varied) SELECT id, {_category('w')} AS category, {_canonical('s')} AS canonical FROM x")
 def i10(spark, sf):
     return varied(spark, sf).select("id", A.gender_category(F.col("answer")).alias("category"), A.canonical_gender(F.col("answer")).alias("canonical"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,6 +67,22 @@ def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
         out.close()
 
 
+@contextlib.contextmanager
+def opened(name: str) -> Iterator[pa.NativeFile]:
+    """In a task: a new file on a store that pyarrow knows (shared folders, HDFS, S3, GCS). It gets its name once it is whole, so a task that is run twice does no harm."""
+    store, path = FileSystem.from_uri(name)
+    folder, _, last = path.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/.{last}.{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(part) as out:
+            yield out
+    except BaseException:
+        store.delete_file(part)
+        raise
+    store.move(part, path)
+
+
 def delete(spark: SparkSession, name: str) -> None:
     p, fs = _path(spark, name)
     fs.delete(p, True)

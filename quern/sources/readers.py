@@ -7,6 +7,7 @@ import itertools
 import json
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -181,6 +182,32 @@ def clean_archives(spark: SparkSession, path: str, keep: Sequence[str]) -> DataF
     return _archives(spark, path).mapInArrow(run, "name string, content binary")
 
 
+def sheet_rows(spark: SparkSession, path: str, at_once: int = 10_000) -> DataFrame:
+    """(name, row, cells): the rows of the first sheet of every workbook that ``sinks.xlsx`` wrote, from 0 for the header; an empty cell is NULL. Read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("name", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))])
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open("xl/worksheets/sheet1.xml") as f:
+                    rows = enumerate(_sheet_cells(f))
+                    while some := list(itertools.islice(rows, at_once)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([i for i, _ in some], pa.int64()), pa.array([c for _, c in some], pa.list_(pa.string()))], schema=schema)
+
+    return _archives(spark, path).mapInArrow(run, "name string, row long, cells array<string>")
+
+
+def _sheet_cells(stream) -> Iterator[list[str | None]]:
+    held = None
+    for event, e in ElementTree.iterparse(stream, ("start", "end")):
+        tag = e.tag.rpartition("}")[2]
+        if event == "start":
+            held = e if tag == "sheetData" else held
+        elif tag == "row":
+            yield [text if (text := "".join(c.itertext())) or len(c) else None for c in e]
+            held.clear()
+
+
 def archive_lines(spark: SparkSession, path: str, at_once: int = 10_000) -> DataFrame:
     """(name, task_key, line_no, line) of the JSON-lines members of every archive, read as streams; ``task_key`` is a member's name without folder and extension."""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,18 +51,70 @@ def latex(df: DataFrame, most: int = 10_000) -> str:
     return "\\begin{tabular}{" + "l" * len(df.columns) + "}\n" + body + "\\end{tabular}\n"
 
 
-def xlsx(df: DataFrame, path: str, most: int = 10_000) -> None:
-    """A small sheet; control characters, which its format forbids, are dropped. Needs openpyxl."""
-    try:
-        from openpyxl import Workbook
-    except ImportError as e:
-        raise RuntimeError("xlsx needs openpyxl") from e
-    book = Workbook()
-    sheet = book.active
-    sheet.append(df.columns)
-    for r in _small(df, most):
-        sheet.append(["".join(c for c in v if c >= " " or c in "\t\n\r") if isinstance(v, str) else v for v in r])
-    book.save(path)
+#: Rows that a sheet has room for, its header included: the format's bound.
+SHEET_ROWS = 1 << 20
+# The parts of a workbook of one sheet, and its namespaces.
+_SHEET_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+SHEET = "xl/worksheets/sheet1.xml"
+_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_KIND}.sheet.main+xml"/><Override PartName="/{SHEET}" ContentType="{_KIND}.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_DOCUMENT}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_SHEET_NS}" xmlns:r="{_DOCUMENT}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_DOCUMENT}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def _cell(value: Column, kind: str) -> Column:
+    """A value as a cell: numbers as such, flags, all else as text without the control characters that XML forbids; NULL, NaN and infinities are empty."""
+    plain = value.cast("string")
+    if kind == "boolean":
+        cell = F.concat(F.lit('<c t="b"><v>'), value.cast("int").cast("string"), F.lit("</v></c>"))
+    elif kind in ("float", "double"):
+        cell = F.when(F.abs(value) < float("inf"), F.concat(F.lit("<c><v>"), plain, F.lit("</v></c>")))
+    elif kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        cell = F.concat(F.lit("<c><v>"), plain, F.lit("</v></c>"))
+    else:
+        clean = F.regexp_replace(plain, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]", "")
+        for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ("\r", "#13")):
+            clean = F.replace(clean, F.lit(sign), F.lit(f"&{name};"))
+        cell = F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), clean, F.lit("</t></is></c>"))
+    return F.coalesce(cell, F.lit("<c/>"))
+
+
+def _row(cells: Sequence[Column]) -> Column:
+    return F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
+
+
+def xlsx(df: DataFrame, path: str, order: Sequence[str | Column]) -> int:
+    """One sorted sheet with a header; the number of its rows. More than a sheet has room for is an error.
+
+    A file has one writer: one task streams the sorted rows into it.
+    """
+    first = max(df.columns, key=len, default="") + "_first"
+    head = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], F.lit(True).alias(first))
+    cells = F.when(F.col(first), _row([_cell(F.lit(c), "string") for c in df.columns])).otherwise(_row([_cell(F.col(f"`{c}`"), t) for c, t in df.dtypes]))
+    xml = head.union(df.withColumn(first, F.lit(False))).orderBy(F.desc(first), *order).select(cells.alias("xml"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        with files.opened(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in _PARTS.items():
+                z.writestr(name, _HEAD + text)
+            with z.open(SHEET, "w", force_zip64=True) as f:
+                f.write(f'{_HEAD}<worksheet xmlns="{_SHEET_NS}"><sheetData>'.encode())
+                for batch in batches:
+                    n += batch.num_rows
+                    if n > SHEET_ROWS:
+                        raise ValueError(f"a sheet has at most {SHEET_ROWS} rows")
+                    f.write("".join(batch.column(0).to_pylist()).encode())
+                f.write(b"</sheetData></worksheet>")
+        yield pa.RecordBatch.from_pydict({"n": [n - 1]})
+
+    return xml.coalesce(1).mapInArrow(run, "n long").first()[0]
 
 
 def todo(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,10 +138,21 @@ def after(df: DataFrame, done: DataFrame, position: str) -> DataFrame:
     return df.where(F.col(position) >= n)
 
 
-def archives(spark: SparkSession, df: DataFrame, folder: str) -> None:
-    """Write (name, content) as files, one after the other through the driver: for release archives, not for data."""
-    for name, content in df.select("name", "content").toLocalIterator():
-        files.write_bytes(spark, f"{folder}/{name}", bytes(content))
+def archives(df: DataFrame, folder: str) -> int:
+    """Write each (name, content) as a file of the folder, where the rows are; the number of files. Two of one name are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with files.opened(f"{folder}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield batch.select(["name"])
+
+    done = df.select("name", "content").mapInArrow(run, "name string").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    files_, most = done.agg(F.count(F.lit(1)), F.max("n")).first()
+    if files_ and most > 1:
+        raise ValueError("two archives have one name")
+    return files_
 
 
 def complete(source: DataFrame, output: DataFrame) -> bool:
