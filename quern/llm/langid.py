@@ -95,6 +95,16 @@ def words_of(texts: list[str | None]) -> Words:
     return Words(doc, _mix(h), grams, first, affixes)
 
 
+def narrow_words(texts: list[str]) -> Words:
+    """``words_of`` block by block, in small integers: for training, where all words are held at once."""
+    slot, parts, letters = np.min_scalar_type(SLOTS - 1), [], 0
+    for lo, hi in blocks(texts):
+        w = words_of(texts[lo:hi])
+        parts.append(((w.doc + lo).astype(np.int32), w.hash, w.grams.astype(slot), w.first + letters, w.affixes.astype(slot)))
+        letters += len(w.grams)
+    return Words(*map(np.concatenate, zip(*parts, strict=True))) if parts else words_of([])
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -161,7 +171,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 1) -> Model:
     labels = sorted(set(languages))
     k = len(labels)
     empty = Model(labels, np.zeros((SLOTS, k), np.float32), np.zeros((k, k), np.float32), np.empty(0, np.uint64), np.zeros((0, k), np.float32))
-    w = words_of(texts)
+    w = narrow_words(texts)
     if not len(w.doc):
         return Model([], empty.weights[:, :0], empty.transitions[:0, :0], empty.lexicon, empty.lexicon_weights[:, :0])
     rng = np.random.default_rng(seed)

@@ -66,3 +66,13 @@ def test_held_out_rows_are_never_learned_from(spark):
     rows = [(i, "zzz qqq", "xx") for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert L.fit_on(d).labels == []
+
+
+def test_training_words_are_those_of_all_texts(monkeypatch):
+    docs = ["Ein Satz, noch einer", "", "naïve x", "ΑΒΓ " * 50, "12 34", "a" * 300, None, "letzte Worte"]
+    wide = L.words_of(docs)
+    monkeypatch.setattr(L, "blocks", lambda texts: [(0, 3), (3, 4), (4, 8)])
+    narrow = L.narrow_words(docs)
+    for name in ("doc", "hash", "grams", "first", "affixes"):
+        assert np.array_equal(getattr(wide, name), getattr(narrow, name)), name
+    assert narrow.grams.dtype.itemsize < wide.grams.dtype.itemsize
