@@ -255,19 +255,25 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     other = [F.col("size").alias("size_b"), F.col("pos").alias("pos_b")]
     support = shared.groupBy("doc_id").agg((F.sum(F.log2("n")) / F.max("size")).alias("support"))
     best = shared.join(support.hint("merge"), "doc_id").groupBy("token").agg(F.max_by(F.struct(F.col("doc_id").alias("b"), *other), F.struct("support", -F.col("doc_id"))).alias("o")).select("token", "o.*")
-    star = shared.join(best.hint("merge"), "token").where("doc_id <> b").where(may).select(F.col("doc_id").alias("a"), "b").distinct()
-    links = equal.union(_verified(named, scratch.keep(star), scratch, least))
+    star = scratch.keep(shared.join(best.hint("merge"), "token").where("doc_id <> b").where(may).select(F.col("doc_id").alias("a"), "b").distinct())
+    links = equal.union(_verified(named, star, scratch, least))
     links = scratch.keep(links if known is None else links.union(known.select("a", "b")))
+    scratch.drop(rows)
+    scratch.drop(star)
 
     found = roots(links, scratch).select(F.col("node").alias("doc_id"), "root")
     rooted = shared.join(found.hint("merge"), "doc_id", "left").join(bits.hint("merge"), "doc_id")
     marked = scratch.keep(rooted.select("token", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root"), *parity))
+    scratch.drop(shared)
+    scratch.drop(known_sets)
     major = marked.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     split = scratch.keep(marked.join(major.hint("merge"), "token"))
+    scratch.drop(marked)
     right = split.select("token", F.col("doc_id").alias("b"), *other, F.col("root").alias("root_b"), *[F.col(c).alias(f"{c}_b") for c in parity])
     apart = " + ".join(f"bit_count({c} ^ {c}_b)" for c in parity) + f" <= size + size_b - 2 * {enough}"
     rest = split.where("root <> major").join(right.hint("merge"), "token").where("root <> root_b AND (root_b = major OR doc_id < b)").where(may).where(apart)
     pairs = scratch.keep(rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
+    scratch.drop(split)
     return links.union(_verified(named, pairs, scratch, least))
 
 
@@ -310,7 +316,9 @@ def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float
     left = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
     rows = left.groupBy("b", "part").agg(F.collect_list(F.struct("a", "x")).alias("met"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    return map_arrow(rows.join(right, "b").select("b", "y", "met"), verify, "a long, b long")
+    found = scratch.keep(map_arrow(rows.join(right, "b").select("b", "y", "met"), verify, "a long, b long"))
+    scratch.drop(texts)
+    return found
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
