@@ -119,10 +119,11 @@ def links(distinct: DataFrame, scratch: Scratch, most: int = CELL) -> DataFrame:
         entered = todo.withColumn("point", embedding(F.col("fp"), width)).select("node", "fp", F.explode(cells(F.col("point"), width)).alias("cell"))
         # counts are combined before they move, and a crowded cell's rows may be split in the join
         sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("first")).where("n > 1")
-        shared = scratch.keep(entered.join(sizes, "cell"))
+        # merged whatever Spark's estimate is, which leaves out how many rows explode makes, so that it would broadcast them all
+        shared = scratch.keep(entered.join(sizes.hint("merge"), "cell"))
         light = shared.where(F.col("n") <= most).select("cell", "node", "fp")
         other = light.select("cell", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-        pairs = light.join(other, "cell").where((F.col("node") < F.col("b")) & near("fp_b")).select(F.col("node").alias("a"), "b")
+        pairs = light.join(other.hint("merge"), "cell").where((F.col("node") < F.col("b")) & near("fp_b")).select(F.col("node").alias("a"), "b")
         found = pairs if found is None else found.union(pairs)
         crowded = shared.where(F.col("n") > most)
         if width == 1:
@@ -142,9 +143,9 @@ def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) ->
     fps = scratch.keep(fingerprints(docs, shingle))
     distinct = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = roots(links(distinct.select(F.col("fp").alias("node"), "fp"), scratch), scratch)
-    owner = scratch.keep(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    owner = scratch.keep(distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = owner.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(owner.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(owner.join(named.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -310,13 +311,13 @@ def _verified(named: DataFrame, pairs: DataFrame, scratch: Scratch, least: float
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(keep), pa.int64())], names=["a", "b"])
 
-    sized = pairs.join(texts.select(F.col("doc_id").alias("a"), F.length("packed").alias("size")), "a")
+    sized = pairs.join(texts.select(F.col("doc_id").alias("a"), F.length("packed").alias("size")).hint("merge"), "a")
     parts = sized.groupBy("b").agg(F.ceil(F.sum("size") / COMPARED_BYTES).alias("parts"))
     dealt = pairs.join(parts.hint("merge"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
-    left = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
+    left = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")).hint("merge"), "a")
     rows = left.groupBy("b", "part").agg(F.collect_list(F.struct("a", "x")).alias("met"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    found = scratch.keep(map_arrow(rows.join(right, "b").select("b", "y", "met"), verify, "a long, b long"))
+    found = scratch.keep(map_arrow(rows.join(right.hint("merge"), "b").select("b", "y", "met"), verify, "a long, b long"))
     scratch.drop(texts)
     return found
 

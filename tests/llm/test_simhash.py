@@ -148,3 +148,24 @@ def test_similar_shingle_sets_are_one_group(spark):
     want, got = groups(every), groups(links)
     assert sum(want[i] == got[i] for i in text) >= 0.97 * len(text)
     assert all(want[i] == want[got[i]] for i in text)
+
+
+def test_growing_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Spark's estimate of exploded cells leaves out how many there are, so under its default threshold it would hold them all in the driver."""
+    plans, write = [], Scratch.keep
+
+    def keep(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        docs = as_tables(tmp_path, documents=edge_docs(spark))
+        found = S.op6_simhash(spark, docs)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        S.deduplicate(spark, edge_docs(spark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
