@@ -16,6 +16,12 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """x rounded half up; what a small negative number is rounded to keeps its sign, as in SQL engines that round doubles themselves: -0.0."""
+    out = F.round(x, places)
+    return F.when((out == 0) & (x < 0), F.lit(-0.0)).otherwise(out)
+
+
 def ratio(num: Column, den: Column, on_empty: float | None = None) -> Column:
     """num / den as double; ``on_empty`` where den is 0 or NULL."""
     out = F.try_divide(num.cast("double"), den.cast("double"))

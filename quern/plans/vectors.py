@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.functions.numeric import rounded
 from quern.operators import linearity as L
 from quern.operators import spans as S
 
@@ -22,7 +23,7 @@ scored AS (SELECT *, list_cosine_similarity(s, o) AS base_cos, list_cosine_simil
 
 
 def _rounded(df, places=6, skip=()):
-    return df.select(*[F.round(c, places).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(F.col(c), places).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
 def _gold(spark, sf):
@@ -48,7 +49,7 @@ def k01(spark, sf):
 @Q.add("k02_mean_pool", "WITH u AS (SELECT label, i, avg(embedding[i]::DOUBLE) v FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, list(round(v, 6) ORDER BY i) AS pooled FROM u GROUP BY 1")
 def k02(spark, sf):
     m = V.mean_vector(read(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")), ["label"], "v", "pooled")
-    return m.select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+    return m.select("label", F.transform("pooled", lambda x: rounded(x)).alias("pooled"))
 
 
 _WORDS = "len(regexp_extract_all({0}, '\\S+'))"
@@ -113,12 +114,12 @@ def k02s(spark, sf):
     at = F.transform("tokens", lambda i: i % F.lit(max(1, n)))
     spans = _piece_spans(spark, sf).withColumn("tokens", at)
     m = S.pool_rows(spans, ["conv_id", "turn", "which"], "tokens", e, [], "token", "v")
-    return m.select("conv_id", "turn", "which", "n_tokens", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+    return m.select("conv_id", "turn", "which", "n_tokens", F.transform("pooled", lambda x: rounded(x)).alias("pooled"))
 
 
 @Q.add("k04_direction", f"WITH {DIRECTION} SELECT relation_key, [round(x, 6) for x in d] AS direction FROM dir")
 def k04(spark, sf):
-    return L.directions(triples(spark, sf), KEY).select("relation_key", F.transform("direction", lambda x: F.round(x, 6)).alias("direction"))
+    return L.directions(triples(spark, sf), KEY).select("relation_key", F.transform("direction", lambda x: rounded(x)).alias("direction"))
 
 
 @Q.add("k05_per_triple", f"WITH {DIRECTION} SELECT id, relation_key, split, round(base_cos,6) AS base_cos, round(cos,6) AS cos, round(cos-base_cos,6) AS delta_cos FROM scored")
