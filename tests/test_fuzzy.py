@@ -41,3 +41,20 @@ def test_bounds(spark):
     for r in pairs.select("a", "b", T.similarity_bound(F.col("a"), F.col("b")).alias("bound"), T.similarity(F.col("a"), F.col("b")).alias("full"), T.similarity(F.col("a"), F.col("b"), 0.7).alias("some")).collect():
         assert r.bound >= r.full - 1e-12 and r.some == (r.full if r.bound >= 0.7 else None)
         assert abs(fuzzy.Index([r.b]).bounds(r.a)[0] - r.bound) < 1e-12
+
+
+def test_few_are_compared_and_blocks_spread(spark):
+    """Numbered names of the same letters, whose bounds by letters hardly differ; no name is left to one task."""
+    rng = random.Random(4)
+    pool = [f"Supplier#{i:09d}" for i in rng.sample(range(60_000), 600)]
+    asked = [f"Customer#{i:09d}" for i in rng.sample(range(900_000), 40)]
+    index = fuzzy.Index(pool)
+    for a in asked:
+        score, best = max((SequenceMatcher(None, a, c).ratio(), c) for c in pool)
+        assert index.best(a)[:2] == (best, score)
+    assert sum(index.best(a)[2] for a in asked) <= 10 * len(asked)
+    x = spark.createDataFrame([(k, a) for k in range(40) for a in asked[:3]], "k int, a string")
+    y = spark.createDataFrame([(k, b) for k in range(40) for b in pool[:3]], "k int, b string")
+    found = fuzzy.best_matches(x, y, ["k"], "a", "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 120 and plan.count("REPARTITION_BY_NUM") >= 2
