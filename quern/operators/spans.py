@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.sources.files import kept
 
 
 def span_start(text: Column, span: Column, which: str = "first") -> Column:
@@ -68,10 +69,16 @@ def pool(vectors: Column, indexes: Column) -> Column:
 def pool_rows(spans: DataFrame, keys: Sequence[str], indexes: str, vectors: DataFrame, on: Sequence[str], at: str, vector: str) -> DataFrame:
     """(keys, n_tokens, pooled): the same where vectors are rows.
 
-    ``vectors`` has the columns ``on``, the token's index ``at`` and ``vector``. Only the
-    tokens of spans are joined; means are added up dimension by dimension.
+    ``vectors`` has the columns ``on``, the token's index ``at`` and ``vector``. Spans mostly
+    touch the same few places, so each distinct list of tokens is pooled once, dimension by
+    dimension, and goes to its spans from a table of its own: neither a frequent token nor
+    the dimensions of all spans meet in a task. Rows of the same keys are one span.
     """
-    each = spans.select(*dict.fromkeys([*keys, *on]), F.explode(indexes).alias(at))
+    token = lambda i: F.struct(*on, i.alias(at))
+    named = kept(spans.where(F.size(indexes) > 0).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(F.transform(indexes, token)))).alias("_list")), "spans")
+    lists = kept(named.select("_list").distinct(), "lists")
+    each = lists.select("_list", F.inline("_list"))
     met = each.join(vectors.select(*on, at, F.col(vector).alias("_v")), [*on, at])
-    dims = met.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"), F.count(F.lit(1)).alias("_n"))
-    return dims.groupBy(*keys).agg(F.max("_n").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("pooled"))
+    dims = met.select("_list", F.posexplode("_v").alias("_i", "_x")).groupBy("_list", "_i").agg(F.avg("_x").alias("_x"), F.count(F.lit(1)).alias("_n"))
+    pooled = dims.groupBy("_list").agg(F.max("_n").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("pooled"))
+    return named.join(kept(pooled, "pooled"), "_list").drop("_list")

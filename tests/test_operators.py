@@ -437,3 +437,15 @@ def test_a_run_that_stops_loses_no_slice(spark, tmp_path):
     assert sorted(i for part in seen for i in part) == list(range(200)) and len(seen) == 8
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(i, i % 3, 2 * i) for i in range(200)]
     assert not files.exists(spark, path + ".slices")
+
+
+def test_frequent_tokens_are_pooled_once(spark):
+    """Spans that touch the same tokens, repeated keys and tokens without a vector; the dimensions of all spans never meet."""
+    from quern.operators import spans as S
+
+    rows = [(i, [1, 2] if i % 3 else [2, 9]) for i in range(900)] + [(0, [1]), (901, []), (902, None), (903, [9])]
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 6.0]), (3, [0.0, 0.0])], "token int, v array<double>")
+    out = S.pool_rows(spark.createDataFrame(rows, "id int, tokens array<int>"), ["id"], "tokens", vectors, [], "token", "v")
+    got = {r.id: (r.n_tokens, r.pooled) for r in out.collect()}
+    assert got == {i: (2, [2.0, 4.0]) if i % 3 or i == 0 else (1, [3.0, 6.0]) for i in range(900)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
