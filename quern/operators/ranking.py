@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quern.sources.files import kept
 
 from .guards import null_safe_join
-from .ordering import Ordered
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -31,19 +30,31 @@ def position(keys: Sequence[str], order: Sequence[Column | str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
 
 
+#: Parts, by a hash of the id, of which a category's least numbers are taken to bound its first rows.
+PARTS = 1024
+
+
 def pick_one_each(df: DataFrame, keys: Sequence[str], category: str, id_col: str, order: Sequence[str]) -> DataFrame:
     """(keys, category, id): the first row of each category, the smallest category first, that no category of the same keys before it takes.
 
     A row may stand in any number of categories. Each category proposes its first row, a
     row accepts the smallest category that proposes, and those turned away propose their
     next, until none is; a row may still go to a smaller category in a later round. As
-    there are c categories, no category needs more than its first c rows. A category
-    whose rows are all taken has none.
+    there are c categories, no category needs more than its first c rows, and only those
+    are moved between tasks. Numbers that are NULL come last. A category whose rows are
+    all taken has none.
     """
     keys = list(keys)
-    c = df.agg(F.countDistinct(category)).first()[0]
-    placed = Ordered(df.select(*keys, category, *order, id_col).where(F.col(category).isNotNull()), [*keys, category], [*dict.fromkeys([*order, id_col])]).places()
-    pools = kept(placed.where(F.col("before") < c).select(*keys, category, F.col(id_col).alias("_id"), F.col("before").alias("_at")), "pools")
+    rows, number = df.select(*keys, category, *order, id_col).where(F.col(category).isNotNull()), F.col(order[0])
+    lows = kept(rows.groupBy(*keys, category, F.pmod(F.xxhash64(id_col), F.lit(PARTS)).alias("_part")).agg(F.min(order[0]).alias("_low")), "lows")
+    c = lows.agg(F.countDistinct(category)).first()[0]
+    # the c-th of the parts' least numbers: c rows at least are not above it, so the first c are among those; fewer parts give no bound
+    at = F.row_number().over(Window.partitionBy(*keys, category).orderBy("_low"))
+    bounds = kept(lows.where("_low IS NOT NULL").withColumn("_at", at).where(F.col("_at") == c).select(*keys, category, F.col("_low").alias("_most")), "bounds")
+    near = null_safe_join(rows, bounds, [*keys, category], "left").where(F.col("_most").isNull() | (number <= F.col("_most")))
+    by = Window.partitionBy(*keys, category).orderBy(*[F.asc_nulls_last(x) for x in dict.fromkeys([*order, id_col])])
+    ranked = near.withColumn("_rank", F.dense_rank().over(by)).where(F.col("_rank") <= c)
+    pools = kept(ranked.select(*keys, category, F.col(id_col).alias("_id"), (F.col("_rank") - 1).alias("_at")).distinct(), "pools")
     asks = kept(pools.groupBy(*keys, category).agg(F.min("_at").alias("_at")), "asks")
     while True:
         asked = null_safe_join(asks, pools, [*keys, category, "_at"])

@@ -447,8 +447,8 @@ def _picks_sql() -> str:
 def g06(spark, sf):
     """One order for each of eight categories, none twice, in every priority."""
     o = read(spark, sf, "orders").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")).cast("double"))
-    each = [F.when(F.expr(what), F.struct(F.lit(name).alias("category"), F.expr(number).alias("number"))) for name, what, number in PICKS]
-    pools = o.select("o_orderpriority", "o_orderkey", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())))
+    each = [x for name, what, number in PICKS for x in (F.lit(name), F.expr(what), F.expr(number))]
+    pools = o.select("o_orderpriority", "o_orderkey", F.stack(F.lit(len(PICKS)), *each).alias("category", "wanted", "number")).where("wanted").drop("wanted")
     return ranking.pick_one_each(pools, ["o_orderpriority"], "category", "o_orderkey", ["number"])
 
 

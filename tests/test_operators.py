@@ -449,3 +449,22 @@ def test_frequent_tokens_are_pooled_once(spark):
     got = {r.id: (r.n_tokens, r.pooled) for r in out.collect()}
     assert got == {i: (2, [2.0, 4.0]) if i % 3 or i == 0 else (1, [3.0, 6.0]) for i in range(900)}
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picks_move_a_bounded_number_of_rows_and_take_missing_numbers_last(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.operators import ordering
+
+    written = []
+
+    def counted(df, name, keep=ranking.kept):
+        written.append((out := keep(df, name)).count())
+        return out
+
+    monkeypatch.setattr(ordering, "kept", counted)
+    monkeypatch.setattr(ranking, "kept", counted)
+    number = F.when(F.col("i") >= 3, F.col("i").cast("double"))
+    rows = spark.range(20_000).withColumnRenamed("id", "i").select(F.lit("g").alias("g"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("c"), "i", number.alias("o"))
+    got = {r.c: r.i for r in ranking.pick_one_each(rows, ["g"], "c", "i", ["o"]).collect()}
+    assert got == {"a": 3, "b": 4, "c": 5} and max(written) <= 3 * 1024
