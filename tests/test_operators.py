@@ -468,3 +468,21 @@ def test_picks_move_a_bounded_number_of_rows_and_take_missing_numbers_last(spark
     rows = spark.range(20_000).withColumnRenamed("id", "i").select(F.lit("g").alias("g"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("c"), "i", number.alias("o"))
     got = {r.c: r.i for r in ranking.pick_one_each(rows, ["g"], "c", "i", ["o"]).collect()}
     assert got == {"a": 3, "b": 4, "c": 5} and max(written) <= 3 * 1024
+
+
+def test_texts_travel_in_batches_of_bounded_bytes(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quern.functions import text as T
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    @F.pandas_udf("long")
+    def together(s: pd.Series) -> pd.Series:
+        return pd.Series([len(s)] * len(s))
+
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("é ﬁ x"), 1000).alias("t"))
+    got = rows.select(T.tokens(F.col("t"))[1].alias("w"), T.strip_accents(F.col("t")).alias("s"), together("t").alias("n"))
+    r = got.agg(F.max("n").alias("n"), F.min("w").alias("w"), F.min(F.length("s")).alias("short")).first()
+    assert r.n * 5000 < 2_500_000 and r.w == "fi" and r.short >= 5000
