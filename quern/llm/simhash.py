@@ -226,6 +226,12 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     parity bits differ in more places than sets that similar can differ in shingles: each
     shingle that only one has flips one bit.
     """
+    links, _, more = _near_links(docs, nodes, scratch, least, known)
+    return links.union(more)
+
+
+def _near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least: float = NEAR_SIMILARITY, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``near_links``: the first links with ``known``, the same components as links of root and member, and the links between these components."""
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     counters = docs.sparkSession.sparkContext.broadcast(_counted(named))
 
@@ -275,7 +281,7 @@ def near_links(docs: DataFrame, nodes: DataFrame | None, scratch: Scratch, least
     rest = split.where("root <> major").join(right.hint("merge"), "token").where("root <> root_b AND (root_b = major OR doc_id < b)").where(may).where(apart)
     pairs = scratch.keep(rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct())
     scratch.drop(split)
-    return links.union(_verified(named, pairs, scratch, least))
+    return links, found.select(F.col("root").alias("a"), F.col("doc_id").alias("b")), _verified(named, pairs, scratch, least)
 
 
 #: Packed bytes of the texts that are compared with one text in a row, unless one text is larger.
@@ -339,7 +345,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = scratch.keep(components(spark, named))
     known = found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     near = Scratch(spark, "near")
-    links = scratch.keep(near_links(named, None, near, known=known))
+    _, stars, more = _near_links(named, None, near, known=known)
+    # stars and few links need fewer rounds than all links again
+    links = scratch.keep(stars.union(more))
     near.clear()
     hung = scratch.keep(roots(links, near).withColumnRenamed("node", "row"))
     near.clear()

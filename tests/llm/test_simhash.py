@@ -76,6 +76,14 @@ def test_long_chain_settles(spark):
     assert {r.node for r in found} == set(range(1, n + 1)) and {r.root for r in found} == {0}
 
 
+def test_settled_links_need_no_round(spark):
+    """Stars are written once and never joined; a path of four takes two rounds and none to see that nothing changes."""
+    for pairs, most in (([(k % 7, k) for k in range(7, 200)], 1), ([(1, 2), (2, 3), (3, 4)], 5)):
+        sc = Scratch(spark, "t")
+        found = {r.node: r.root for r in roots(spark.createDataFrame(pairs, "a long, b long"), sc).collect()}
+        assert found == {b: a % 7 if most == 1 else 1 for a, b in pairs} and sc._n <= most
+
+
 def test_one_of_each_group_stays(spark):
     kept = sorted((r.doc_id for r in S.deduplicate(spark, edge_docs(spark)).collect()), key=lambda i: (i is None, i))
     assert kept == [1, 4, 7, 8, 9, None]
