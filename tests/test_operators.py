@@ -486,3 +486,25 @@ def test_texts_travel_in_batches_of_bounded_bytes(spark):
     got = rows.select(T.tokens(F.col("t"))[1].alias("w"), T.strip_accents(F.col("t")).alias("s"), together("t").alias("n"))
     r = got.agg(F.max("n").alias("n"), F.min("w").alias("w"), F.min(F.length("s")).alias("short")).first()
     assert r.n * 5000 < 2_500_000 and r.w == "fi" and r.short >= 5000
+
+
+def test_short_answers_are_normal_and_a_task_has_three_python_steps(spark):
+    """The parts of a normal text are normal, so a label doesn't wait for a fourth step."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quern.functions import answers as A
+    from quern.functions import text as T
+
+    r = random.Random(5)
+    some = ["a", "Q", " ", " ", " ", "\n", "́", "̸", "ͅ", "é", "ﬁ", "Å", "İ", "Σ", "가", "ᆨ", "’", "“", "–", "`", "=", ":", ",", "-", "who", " is ", "Sure, the answer is: ", "½", "ᄀ", "ᅡ", "ﷺ", "𝔸"]
+    rows = [("".join(r.choices(some, k=r.randint(0, 14))), "".join(r.choices(some, k=r.randint(0, 6)))) for _ in range(3000)]
+    rows += [(p + a, p) for a, p in rows]
+    d = spark.createDataFrame(rows, "a string, p string")
+    short = d.select(T.short_answer(F.col("a"), F.col("p")).alias("s")).localCheckpoint()
+    assert short.where(T.normalize_text(F.col("s")) != F.col("s")).isEmpty()
+    low = T.strip_accents(F.lower(T.normalize_text(F.col("s"))))
+    assert short.where(low != T.strip_accents(F.lower("s"))).isEmpty()
+    label = d.select(A.label_v1(F.col("a"), F.col("p"), F.lit("Qué"), F.lit("father")).alias("label"))
+    assert label._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 3
